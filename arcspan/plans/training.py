@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.operators.spatial import near_join, region_join
+from arcspan.operators.units import BP, CALENDAR, standard_values, stated_units
 from arcspan.plans.runtime import not_blank, table
 
 
@@ -20,5 +21,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(inside.select(F.col("place_key").alias("place_id"), F.lit("inside").alias("match_kind"), F.col("region_key").alias("match_key")))
 
 
-QUERIES = {"p1_found": p1_found}
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages in years BP and earliest dates in signed calendar years, where they were written otherwise."""
+    sources = stated_units(table(spark, sf_dir, "date_sources"), "source_code", "remark")
+    ages = standard_values(table(spark, sf_dir, "p3k14c_data"), "rec_id", "Age", "Notes", "Source", BP, sources)
+    years = standard_values(table(spark, sf_dir, "pleiades_places_latest"), "id", "minDate", "description", None, CALENDAR)
+    return ages.select(F.lit("p3k14c_data").alias("src_table"), "rec_key", "std_value").unionByName(years.select(F.lit("pleiades_places_latest").alias("src_table"), "rec_key", "std_value"))
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 ORACLE: dict[str, str] = {}
