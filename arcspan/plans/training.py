@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arcspan.operators.multivalue import split_values
 from arcspan.operators.spatial import near_join, region_join
 from arcspan.operators.units import BP, CALENDAR, standard_values, stated_units
 from arcspan.plans.runtime import not_blank, table
@@ -29,5 +30,10 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ages.select(F.lit("p3k14c_data").alias("src_table"), "rec_key", "std_value").unionByName(years.select(F.lit("pleiades_places_latest").alias("src_table"), "rec_key", "std_value"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature types of the gazetteer, one row each with its position."""
+    return split_values(table(spark, sf_dir, "pleiades_places_latest"), "id", "featureTypes").withColumnRenamed("id", "place_id")
+
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
 ORACLE: dict[str, str] = {}
