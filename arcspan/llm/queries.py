@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.llm.canonical import map_values
+from arcspan.llm.residue import candidates, messages, residue
 from arcspan.plans.runtime import table
 
 
@@ -23,5 +24,15 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_types(spark, sf_dir).where("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("uses"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_misses": p2_misses}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with template residue, filler, error messages or notices about scripts."""
+    return residue(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages themselves, with their documents and sources."""
+    return messages(candidates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("message", "kind", "docs", "sources")
+
+
+QUERIES = {"p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLE: dict[str, str] = {}
