@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.llm.canonical import map_values
+from arcspan.llm.mixing import mix
+from arcspan.llm.packing import pack
 from arcspan.llm.residue import candidates, messages, residue
+from arcspan.llm.tokens import with_tokens
 from arcspan.plans.runtime import table
 
 
@@ -24,6 +27,45 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_types(spark, sf_dir).where("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("uses"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity = table(spark, sf_dir, "pack_spec").select("capacity_tokens").first()[0]
+    return pack(with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id", "tokens", capacity)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that had to be cut, as their text alone is longer than a container."""
+    return _packed(spark, sf_dir).where("pieces > 1 and piece = 0").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which piece of which document lies in which container, and the container's step group."""
+    return _packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the fewest that any packing could need, and the share of room that is filled."""
+    capacity = table(spark, sf_dir, "pack_spec").select("capacity_tokens").first()[0]
+    packed = _packed(spark, sf_dir).where("container_id is not null")
+    by_container = packed.groupBy("container_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))
+    return by_container.agg(
+        F.count("*").alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.ceil(F.sum("tokens") / F.lit(capacity)).alias("fewest_possible"), F.round(F.sum("tokens") / (F.count("*") * F.lit(capacity)), 6).alias("filled")
+    )
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mix(with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id", "source"]), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents, one row a copy."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached shares of the listed sources."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with template residue, filler, error messages or notices about scripts."""
     return residue(table(spark, sf_dir, "documents")).select("doc_id")
@@ -34,5 +76,5 @@ def p8_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(candidates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("message", "kind", "docs", "sources")
 
 
-QUERIES = {"p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}
+QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLE: dict[str, str] = {}

@@ -9,12 +9,13 @@ where it recurs widely.
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_DOCS, MIN_SOURCES = 5, 2
@@ -107,7 +108,7 @@ WEAK = re.compile(
 )
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{2,80}'(?!\w)|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“\n]{2,80}“|‘[^’\n]{2,80}’|« [^»\n]{2,80} »")
 
-#: strings of which every message that a rule can match holds one; they are looked for in the JVM, so that ordinary sentences go no further
+#: strings of which every message that a rule can match holds one; ordinary sentences go no further
 TRIGGERS = (
     "{ } < > « @@ $ # %( %% [[ __ [err",
     "[insert (insert [enter (enter [add (add [type (type [fill (fill [your (your [ins (ins [saisir (saisir [votre (votre [entrer (entrer [hier (hier [ihr (ihr [escriba (escriba [introduzca (introduzca [su| (su| [scrivere (scrivere [il| (il| to|be| |here] |here) compléter] compléter) completer] completer) |ici] |ici) fügen] fügen) fugen] fugen) gänzen] gänzen) ganzen] ganzen) tragen] tragen) completar] completar) |aquí] |aquí) |aqui] |aqui) completare] completare) inserire] inserire) |qui] |qui)",
@@ -121,28 +122,41 @@ TRIGGERS = (
     "try|again reload once|more address help|desk loading... oops! erneut adresse réessayer vuelva|a inténtelo dirección riprovare controllare",
 )
 LITERALS = tuple(w.replace("|", " ") for line in TRIGGERS for w in line.split())
-REPEATED = r"(\p{L})\1\1"
+REPEATED = re.compile(r"([^\W\d_])\1\1")
+ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+")
+FIGURE = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\d+(?:[.,:]\d+)*")
+SPACE = re.compile(r"[^\S\n\r]+")
+CUT = re.compile(r"(?<=[.!?…])\s+|\s*[\n\r]+\s*")
+ODD = {0x2019: "'", 0x2BC: "'", 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
 
 
-def may_match(message: Column) -> Column:
-    """False only for messages that judge() takes for ordinary content."""
-    return message.rlike(REPEATED) | F.exists(F.array(*map(F.lit, LITERALS)), lambda literal: F.contains(message, literal))
+def masked(text: str) -> str:
+    """Lower case, character entities and odd white space resolved, addresses, dates and numbers masked; line breaks stay."""
+    t = html.unescape(text) if "&" in text else text
+    t = SPACE.sub(" ", t.translate(ODD)).lower()
+    if "://" in t or "www." in t or "@" in t:
+        t = ADDRESS.sub("u", t)
+    return FIGURE.sub("9", t)
 
 
-def decoded(text: Column) -> Column:
-    """Character entities and odd white space resolved; line breaks stay."""
-    t = text
-    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#160;", " "), ("&amp;", "&")):
-        t = F.replace(t, F.lit(entity), F.lit(sign))
-    t = F.translate(t, "\u2019\u02bc\u200b\u200c\u200d\ufeff\u00ad", "''")
-    return F.regexp_replace(t, r"[\p{Zs}\t]+", " ")
+def segments(text: str, automaton) -> list[str]:
+    """The distinct sentences and lines of a text in which a trigger stands, in order; all others are ordinary content."""
+    t = masked(text)
+    if next(automaton.iter(t), None) is None and not REPEATED.search(t):
+        return []
+    parts = dict.fromkeys(p.strip() for p in CUT.split(t))
+    return [p for p in parts if next(automaton.iter(p), None) is not None or REPEATED.search(p)]
 
 
-def segments(text: Column) -> Column:
-    """Sentences and lines, masked and in lower case: numbers, dates and addresses are the same in each."""
-    t = F.regexp_replace(decoded(text), r"(?i)https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+", "u")
-    t = F.regexp_replace(t, r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\d+(?:[.,:]\d+)*", "9")
-    return F.transform(F.split(F.lower(t), r"(?<=[.!?…])\s+|\s*[\n\r]+\s*"), lambda s: F.trim(s))
+def triggers():
+    """The literals as one Aho-Corasick automaton, so that a text is searched for all of them in a single pass."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for literal in LITERALS:
+        automaton.add_word(literal)
+    automaton.make_automaton()
+    return automaton
 
 
 def judge(message: str) -> str | None:
@@ -178,8 +192,16 @@ def _in_a_row(words: list[str]) -> bool:
 
 def candidates(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """doc, source, message and its hash h for each distinct sentence or line that a rule might match."""
-    rows = documents.where(F.coalesce(F.trim(text) != "", F.lit(False))).select(F.col(doc_id).alias("doc"), F.col(source).alias("source"), F.explode(F.array_distinct(segments(F.col(text)))).alias("message"))
-    return rows.where(may_match(F.col("message"))).withColumn("h", F.xxhash64("message"))
+    rows = documents.where(F.coalesce(F.trim(text) != "", F.lit(False))).select(F.col(doc_id).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = triggers()
+        for b in batches:
+            found = b[["doc", "source"]].assign(message=[segments(t, automaton) for t in b["text"]])
+            yield found[found["message"].str.len() > 0].explode("message")
+
+    kind = rows.schema["doc"].dataType.simpleString()
+    return rows.mapInPandas(run, f"doc {kind}, source string, message string").withColumn("h", F.xxhash64("message"))
 
 
 def messages(found: DataFrame) -> DataFrame:
