@@ -64,9 +64,10 @@ PURPOSE = (
     r"|im browser|für diese seite|laden sie neu|diese seite|um die karte|um den katalog|zum lesen|fortzufahren|zuerst|dans le navigateur|dans votre navigateur|pour ce site|rechargez|cette page|pour voir|pour lire|pour utiliser|avant de continuer|d'abord"
     r"|en el navegador|en su navegador|en este sitio|recargue|esta página|para ver|para leer|para usar|antes de seguir|primero|nel browser|per questo sito|ricaricare|questa pagina|per vedere|per leggere|per usare|prima di continuare|prima)"
 )
+ASKED = re.compile(rf"\b{ENABLE} (?:\w+ )?{OBJECT}\b")
+PURPOSES = re.compile(rf"\b{PURPOSE}")
 SCRIPT = re.compile(
-    rf"(?=.*\b{PURPOSE})(?:\b{ENABLE} (?:\w+ )?{OBJECT}\b)"
-    r"|\b(?:javascript|js|scripting|scripts|cookies)(?: and (?:javascript|cookies|scripts))? (?:is|are|must be) (?:required|needed|disabled|turned off|switched off|enabled)|\bscripting turned off|^noscript\b|(?:needs|requires) (?:javascript|scripts|cookies)\b"
+    r"\b(?:javascript|js|scripting|scripts|cookies)(?: and (?:javascript|cookies|scripts))? (?:is|are|must be) (?:required|needed|disabled|turned off|switched off|enabled)|\bscripting turned off|^noscript\b|(?:needs|requires) (?:javascript|scripts|cookies)\b"
     r"|does not work without (?:scripts|javascript)|\b(?:your )?browser is (?:not supported|too old|out of date|outdated)|checking your browser|allow scripts to continue|turn it on in your browser|switch them on to|need to enable (?:cookies|javascript)"
     r"|wird javascript benötigt|(?:javascript|skripte|cookies)(?: und (?:skripte|javascript|cookies))? (?:muss|müssen|wird|werden) (?:\w+ )?(?:zugelassen|aktiviert|benötigt)|browser lässt keine skripte|ihr browser (?:wird nicht unterstützt|ist veraltet)"
     r"|nécessite javascript|scripts sont désactivés|(?:votre )?navigateur (?:n'est pas (?:pris en charge|compatible)|est trop ancien|est obsolète)|necesita javascript|scripts desactivados|(?:su )?navegador (?:no es compatible|no está admitido|está obsoleto)"
@@ -124,16 +125,20 @@ TRIGGERS = (
 LITERALS = tuple(w.replace("|", " ") for line in TRIGGERS for w in line.split())
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+")
-FIGURE = re.compile(r"\b\d{1,3}(?:\.\d{1,3}){3}\b|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\d+(?:[.,:]\d+)*")
-SPACE = re.compile(r"[^\S\n\r]+")
+#: numbers, dates, times and network addresses
+FIGURE = re.compile(r"\d+(?:[.,:/-]\d+)*")
+SPACE = re.compile(r"[^\S\n\r ]+ *| [^\S\n\r]+")
 CUT = re.compile(r"(?<=[.!?…])\s+|\s*[\n\r]+\s*")
-ODD = {0x2019: "'", 0x2BC: "'", 0x200B: None, 0x200C: None, 0x200D: None, 0xFEFF: None, 0xAD: None}
+ODD = (("\u2019", "'"), ("\u02bc", "'"), ("\u200b", ""), ("\u200c", ""), ("\u200d", ""), ("\ufeff", ""), ("\u00ad", ""))
 
 
 def masked(text: str) -> str:
     """Lower case, character entities and odd white space resolved, addresses, dates and numbers masked; line breaks stay."""
     t = html.unescape(text) if "&" in text else text
-    t = SPACE.sub(" ", t.translate(ODD)).lower()
+    if not t.isascii():
+        for sign, plain in ODD:
+            t = t.replace(sign, plain)
+    t = SPACE.sub(" ", t).lower()
     if "://" in t or "www." in t or "@" in t:
         t = ADDRESS.sub("u", t)
     return FIGURE.sub("9", t)
@@ -174,7 +179,7 @@ def judge(message: str) -> str | None:
         return "filler"
     if FILLER.search(bare):
         return "filler"
-    if SCRIPT.search(bare):
+    if ASKED.search(bare) and PURPOSES.search(bare) or SCRIPT.search(bare):
         return "script"
     if ERROR.search(bare):
         return "error"
