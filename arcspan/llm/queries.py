@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.llm.canonical import map_values
+from arcspan.llm.matching import match, site_profiles
 from arcspan.llm.mixing import mix
 from arcspan.llm.packing import pack
 from arcspan.llm.residue import candidates, messages, residue
@@ -27,6 +28,22 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped_types(spark, sf_dir).where("ref_id = 0").groupBy("field_name", "value").agg(F.count("*").alias("uses"))
 
 
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = table(spark, sf_dir, "pleiades_places_latest").select("id", F.col("title").alias("name"), F.col("reprLat").alias("lat"), F.col("reprLong").alias("lon"))
+    sites = site_profiles(table(spark, sf_dir, "p3k14c_data"), "SiteID", "SiteName", "Lat", "Long")
+    return match(places, sites)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a gazetteer place and a site that are rather the same place than not."""
+    return _matched(spark, sf_dir).where("confidence >= 0.5").select(F.col("place").alias("place_id"), F.col("site").alias("site_id"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs that may be the same place, with their posterior probabilities."""
+    return _matched(spark, sf_dir).select(F.col("place").alias("place_id"), F.col("site").alias("site_id"), F.round("confidence", 6).alias("confidence"))
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity = table(spark, sf_dir, "pack_spec").select("capacity_tokens").first()[0]
     return pack(with_tokens(table(spark, sf_dir, "documents"), "text", ["doc_id"]), "doc_id", "tokens", capacity)
@@ -76,5 +93,5 @@ def p8_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(candidates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("message", "kind", "docs", "sources")
 
 
-QUERIES = {"p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}
+QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}
 ORACLE: dict[str, str] = {}
