@@ -104,7 +104,7 @@ def overlapping_bins(spans: DataFrame, low: str, high: str, start: int, stop: in
     """A row for each bin [t, t + width] that a closed span [low, high] touches, of the bins that start at start, start + width ..."""
     first = F.greatest(F.ceil((F.col(low) - start - width) / F.lit(width)), F.lit(0))
     last = F.least(F.floor((F.col(high) - start) / F.lit(width)), F.lit((stop - start) // width - 1))
-    return spans.where((last >= first) & (F.col(low) <= F.col(high))).withColumn("bin", F.explode(F.sequence(first.cast("long"), last.cast("long"))) * width + start)
+    return spans.where((last >= first) & (F.col(low) <= F.col(high))).withColumn("bin", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("bin", F.col("bin") * width + start)
 
 
 def lagged(left: DataFrame, right: DataFrame, at: str, left_value: str, right_value: str, lags: list[int]) -> DataFrame:

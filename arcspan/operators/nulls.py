@@ -50,7 +50,7 @@ def normal_sql(seed: int, trial: str, row: str) -> str:
 
 def trials_of(df: DataFrame, trials: int) -> DataFrame:
     """Every row in every trial; the rows stay where they are."""
-    return df.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).cast("long"))
+    return df.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(trials - 1).cast("long"))))
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:

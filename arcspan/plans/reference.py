@@ -147,7 +147,7 @@ def q_density_profile(spark, d):
 
 @query("gap_islands", f"""WITH {SITES}, b AS (SELECT DISTINCT type, CAST(floor({_frame_sql()[0]}) AS BIGINT) AS deg FROM sites WHERE {circle()} <= 300), g AS (SELECT type, deg, deg - row_number() OVER (PARTITION BY type ORDER BY deg) AS g FROM b),
 r AS (SELECT type, g, min(deg) AS f, max(deg) AS l, count(*) AS s FROM g GROUP BY type, g), w AS (SELECT *, min(f) OVER (PARTITION BY type) = 0 AND max(l) OVER (PARTITION BY type) = 359 AND count(*) OVER (PARTITION BY type) > 1 AS w FROM r)
-SELECT type, f AS first, l AS last, s AS size FROM w WHERE NOT (w AND (f = 0 OR l = 359)) UNION ALL SELECT type, max(f), min(l), sum(s) FROM w WHERE w AND (f = 0 OR l = 359) GROUP BY type""")
+SELECT type, f AS first, l AS last, s AS size FROM w WHERE NOT (w AND (f = 0 OR l = 359)) UNION ALL SELECT type, max(f), min(l), sum(s)::BIGINT FROM w WHERE w AND (f = 0 OR l = 359) GROUP BY type""")
 def q_gap_islands(spark, d):
     near = sites(spark, d).where(circle_km("lat", "lon") <= 300).select("type", F.floor(geo.arc_position("lat", "lon")).cast("long").alias("deg"))
     return windows.islands(near, ["type"], "deg", 360)
@@ -160,7 +160,7 @@ def q_gap_sessions(spark, d):
 
 # --- gazetteers ---------------------------------------------------------------------------------------------------------
 
-_GAZ = "gaz AS (SELECT id, reprLat AS lat, reprLong AS lon, list_transform(string_split(lower(featureTypes), ','), x -> trim(x)) AS types, minDate FROM pleiades_places_latest WHERE reprLat BETWEEN -90 AND 90 AND reprLong BETWEEN -180 AND 180 AND NOT (reprLat = 0 AND reprLong = 0))"
+_GAZ = "gaz AS (SELECT id, reprLat AS lat, reprLong AS lon, list_transform(string_split(lower(featureTypes), ','), lambda x: trim(x)) AS types, minDate FROM pleiades_places_latest WHERE reprLat BETWEEN -90 AND 90 AND reprLong BETWEEN -180 AND 180 AND NOT (reprLat = 0 AND reprLong = 0))"
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
@@ -316,7 +316,7 @@ _HALF = nulls.draw_int_sql(71, "split", "id") + " % 2"
 @query("split_sample", f"""WITH {SITES}, {_GRID}, h AS (SELECT range AS split, id, lat, lon, {_HALF.replace('split', 'range')} AS half FROM range(5), sites), c AS (SELECT split, half, pole_id, count(*) FILTER (WHERE {_DOT} <= {band_sine(300.0)!r}) AS n FROM h, grid GROUP BY ALL),
 b AS (SELECT split, arg_min(pole_id, (-n * 1000000 + pole_id)) AS pole_id, max(n) AS fitted FROM c WHERE half = 0 GROUP BY split) SELECT b.split, b.pole_id, fitted, c.n AS tested FROM b JOIN c ON c.split = b.split AND c.pole_id = b.pole_id AND half = 1""")
 def q_split_sample(spark, d):
-    s = sites(spark, d).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(4))).cast("long"))
+    s = sites(spark, d).withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     s = s.withColumn("half", F.concat_ws(":", F.col("split").cast("string"), F.pmod(nulls.draw_int(71, F.col("split"), F.col("id")), F.lit(2)).cast("string")))
     part = F.split("cls", ":")
     c = poles.pole_counts(s, poles.pole_grid(10.0), 300.0, "half").select(part[0].cast("long").alias("split"), part[1].cast("int").alias("half"), "pole_id", "n")

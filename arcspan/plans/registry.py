@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcspan.plans import training
+from arcspan.plans import reference, reference_stats, training
 
-_MODULES = (training,)
+_MODULES = (reference, reference_stats, training)
 
 
 def queries() -> dict:

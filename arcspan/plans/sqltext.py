@@ -29,4 +29,4 @@ def wrap(x: str) -> str:
     return f"((((({x}) + 180.0) % 360) + 360) % 360 - 180.0)"
 
 
-PI = repr(math.pi)
+PI = f"{math.pi!r}::DOUBLE"

@@ -9,6 +9,7 @@ from arcspan.operators.multivalue import split_values
 from arcspan.operators.spatial import near_join, region_join
 from arcspan.operators.units import BP, CALENDAR, standard_values, stated_units
 from arcspan.plans.runtime import not_blank, table
+from arcspan.plans.sqltext import hav, wrap
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +37,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
-ORACLE: dict[str, str] = {}
+
+_USABLE = "{lat} IS NOT NULL AND NOT isnan({lat}) AND {lon} IS NOT NULL AND NOT isnan({lon}) AND abs({lat}) <= 90 AND NOT ({lat} = 0 AND {lon} = 0)"
+_PLACES = f"p AS (SELECT DISTINCT id, reprLat AS lat, {wrap('reprLong')} AS lon FROM pleiades_places_latest WHERE {_USABLE.format(lat='reprLat', lon='reprLong')})"
+_SITES = f"s AS (SELECT DISTINCT SiteID, Lat AS lat, {wrap('Long')} AS lon FROM p3k14c_data WHERE trim(SiteID) <> '' AND {_USABLE.format(lat='Lat', lon='Long')})"
+ORACLE: dict[str, str] = {
+    "p1_found": f"""WITH {_PLACES}, {_SITES}, e AS (SELECT area_code, lat AS y1, lon AS x1, coalesce(lead(lat) OVER w, first(lat) OVER w) AS y2, coalesce(lead(lon) OVER w, first(lon) OVER w) AS x2 FROM study_areas WINDOW w AS (PARTITION BY area_code, ring_no ORDER BY vertex_no ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t AS (SELECT unnest([-360.0, 0.0, 360.0])::DOUBLE AS turn), c AS (SELECT p.id, e.area_code, t.turn, count(*) FILTER (WHERE (y1 <= p.lat) <> (y2 <= p.lat) AND p.lon + turn < (x2 - x1) * (p.lat - y1) / (y2 - y1) + x1) AS crossings FROM p, t, e GROUP BY ALL)
+SELECT DISTINCT p.id AS place_id, 'near' AS match_kind, s.SiteID AS match_key FROM p JOIN s ON s.lat BETWEEN p.lat - 0.02 AND p.lat + 0.02 AND {hav('p.lat', 'p.lon', 's.lat', 's.lon')} <= 2 UNION ALL SELECT DISTINCT id, 'inside', area_code FROM c WHERE crossings % 2 = 1""",
+}
