@@ -33,8 +33,12 @@ CELL = 0.25
 #: words in at least this share of the names are generic; there can be no more than this share's inverse times a name's words
 GENERIC_SHARE, GENERIC_LEAST = 1e-4, 8
 SIM_BINS, KM_BIN = 50, 0.1
-#: weight of the squared distance of means in each variance, and least variances of similarity, distance and additions
-KAPPA, LEAST_VAR = 0.15, np.array([1e-3, 1e-2, 2e-3])
+#: what different additions take off the similarity of names; one record with and one without takes off half as much
+ADDITION_LOSS = 0.6
+#: weight of the squared distance of means in each variance, and least variances of similarity and distance
+KAPPA, LEAST_VAR = 0.02, np.array([1e-3, 1e-2])
+#: what so many pairs would say of each component: means and deviations; it carries tables with hardly any pairs of a kind
+PRIOR_PAIRS, PRIOR = 5.0, (((0.95, 0.6), (0.08, 0.7)), ((0.35, 3.0), (0.15, 1.3)))
 ROUNDS, INNER = 3, 60
 SEEN = 0.05
 
@@ -155,14 +159,17 @@ def _nameless(places: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """Two Gaussian components over (similarity, km, additions), fitted to counted bins. A missing similarity is left out of the density."""
+    """Two Gaussian components over (similarity less what additions take off, km), fitted to counted bins.
+
+    bins: similarity (NaN where a name is missing, which is left out of the density), km, additions (0, 0.5 or 1).
+    """
 
     def __init__(self, bins: np.ndarray, counts: np.ndarray):
-        self.x, self.n = bins, counts.astype(float)
-        known = ~np.isnan(self.x[:, 0])
-        start = np.where(known, np.nan_to_num(self.x[:, 0]), 0.4) - 0.06 * self.x[:, 1] - 0.6 * (1 - self.x[:, 2])
+        self.x, self.n = np.column_stack([bins[:, 0] - ADDITION_LOSS * (1.0 - bins[:, 2]), bins[:, 1]]), counts.astype(float)
+        self.known = ~np.isnan(self.x[:, 0])
+        start = np.where(self.known, np.nan_to_num(self.x[:, 0]), 0.4) - 0.06 * self.x[:, 1]
         self.gamma = 1.0 / (1.0 + np.exp(-25.0 * (start - 0.62)))
-        self.fixed = np.zeros(len(self.x))
+        self.lost = np.zeros(len(self.x))
 
     def fit(self, rounds: int = INNER) -> None:
         for _ in range(rounds):
@@ -170,28 +177,27 @@ class Mixture:
             self.gamma = self.posterior()
 
     def _maximise(self) -> None:
-        keep = np.clip(self.gamma - self.fixed, 0.0, 1.0)
+        """Weights, means and regularised covariances; lost is the share of each bin that transitivity took away."""
+        kept = np.clip(self.gamma - self.lost, 0.0, 1.0)
         self.mean, self.cov, self.weight = [], [], []
-        known = ~np.isnan(self.x[:, 0])
-        for g in (keep, 1.0 - keep):
+        for g, (prior_mean, prior_sd) in zip((kept, 1.0 - kept), PRIOR):
             w = g * self.n
-            self.weight.append(max(w.sum(), 1e-9))
-            wk, xk = w[known], self.x[known]
-            mean = (wk[:, None] * xk).sum(0) / max(wk.sum(), 1e-9)
-            centred = xk - mean
+            self.weight.append(w.sum() + PRIOR_PAIRS)
+            wk, xk = w[self.known], self.x[self.known]
+            total = wk.sum() + PRIOR_PAIRS
+            mean = ((wk[:, None] * xk).sum(0) + PRIOR_PAIRS * np.array(prior_mean)) / total
+            centred, off = xk - mean, np.array(prior_mean) - mean
             self.mean.append(mean)
-            self.cov.append((wk[:, None] * centred).T @ centred / max(wk.sum(), 1e-9))
+            self.cov.append(((wk[:, None] * centred).T @ centred + PRIOR_PAIRS * (np.diag(np.square(prior_sd)) + np.outer(off, off))) / total)
         ridge = np.diag(KAPPA * (self.mean[0] - self.mean[1]) ** 2 + LEAST_VAR)
         self.cov = [c + ridge for c in self.cov]
-        total = sum(self.weight)
-        self.weight = [w / total for w in self.weight]
+        self.weight = [w / sum(self.weight) for w in self.weight]
 
     def posterior(self) -> np.ndarray:
         logs = []
-        missing = np.isnan(self.x[:, 0])
         for mean, cov, weight in zip(self.mean, self.cov, self.weight):
             out = np.empty(len(self.x))
-            for rows, dims in ((~missing, [0, 1, 2]), (missing, [1, 2])):
+            for rows, dims in ((self.known, [0, 1]), (~self.known, [1])):
                 c, d = cov[np.ix_(dims, dims)], self.x[np.ix_(rows, dims)] - mean[dims]
                 out[rows] = math.log(weight) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (d @ np.linalg.inv(c) * d).sum(1) - 0.5 * len(dims) * math.log(2 * math.pi)
             logs.append(out)
@@ -228,7 +234,7 @@ def match(places: DataFrame, sites: DataFrame) -> DataFrame:
     bins = pairs.groupBy("bs", "bk", "ba").agg(F.count("*").alias("n")).collect()
     spark = places.sparkSession
     empty = pairs.select("p", "s").limit(0).withColumn("kept", F.lit(0.0))
-    if len(bins) < 3:
+    if not bins:
         return _expand(empty, members_p, members_s)
     keys = [(r["bs"], r["bk"], r["ba"]) for r in bins]
     x = np.array([(np.nan if s < 0 else s / SIM_BINS, (k + 0.5) * KM_BIN, a / 2.0) for s, k, a in keys])
@@ -241,7 +247,7 @@ def match(places: DataFrame, sites: DataFrame) -> DataFrame:
         if turn == ROUNDS - 1:
             break
         lost = {(r["bs"], r["bk"], r["ba"]): r["lost"] for r in strong.groupBy("bs", "bk", "ba").agg(F.avg(F.col("gamma") - F.col("kept")).alias("lost")).collect()}
-        mixture.fixed = np.array([lost.get(k, 0.0) for k in keys])
+        mixture.lost = np.array([lost.get(k, 0.0) for k in keys])
         mixture.fit(10)
     return _expand(strong.where("kept > 0").select("p", "s", "kept"), members_p, members_s)
 

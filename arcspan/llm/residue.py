@@ -104,8 +104,8 @@ ERROR = re.compile(
 )
 #: what stands beside notices; alone it counts only where it recurs
 WEAK = re.compile(
-    r"^(?:please )?(?:try again later|reload the page|reload or contact the administrator|go back and try once more|check the address|the help desk has been informed|if the problem lasts, write to the help desk|loading\.\.\.|oops!)$"
-    r"|^(?:bitte (?:versuchen sie es )?später erneut(?: versuchen)?|bitte prüfen sie die adresse|veuillez réessayer(?: plus tard)?|vérifiez l'adresse|vuelva a intentarlo|inténtelo de nuevo más tarde|compruebe la dirección|riprovare più tardi|controllare l'indirizzo)\.?$"
+    r"^(?:please )?(?:try again later|reload the page|reload or contact the administrator|go back and try once more|check the address|the help desk has been informed|if the problem lasts, write to the help desk|loading|oops)[.!…]*$"
+    r"|^(?:bitte (?:versuchen sie es )?später erneut(?: versuchen)?|bitte prüfen sie die adresse|veuillez réessayer(?: plus tard)?|vérifiez l'adresse|vuelva a intentarlo|inténtelo de nuevo más tarde|compruebe la dirección|riprovare più tardi|controllare l'indirizzo)[.!…]*$"
 )
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{2,80}'(?!\w)|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“\n]{2,80}“|‘[^’\n]{2,80}’|« [^»\n]{2,80} »")
 

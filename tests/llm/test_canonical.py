@@ -21,7 +21,7 @@ def test_distance():
 @pytest.mark.parametrize(
     "value, want",
     [
-        ("Cave", 2), ("Hoehle", 2), ("cave?", 2), ("poss. cave", 2), ("part of a Grotte", 2), ("cvae / mine", 2), ("mine + cave", 3), ("minefield", 0), ("setttlement", 1), ("SETTLEMENT_MOUND", 6), ("settl.", 1), ("stonec ircle", 4), ("st. circle", 4), ("circle", 0), ("worshop 2", 5),
+        ("Cave", 2), ("Hoehle", 2), ("cave?", 2), ("poss. cave", 2), ("part of a Grotte", 2), ("cvae / mine", 2), ("mine + cave", 3), ("minefield", 0), ("setttlement", 1), ("SETTLEMENT_MOUND", 6), ("settl.", 1), ("stonec ircle", 4), ("st. circle", 4), ("worshop 2", 5),
         ("n/a", 0), ("12", 0), ("?", 0), ("bridge", 0), ("caves", 2), ("x" * 5000, 0),
     ],
 )
