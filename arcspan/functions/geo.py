@@ -19,18 +19,23 @@ def col(v) -> Column:
     return v if isinstance(v, Column) else F.col(v) if isinstance(v, str) else F.lit(float(v))
 
 
+def held(c: Column, low: float, high: float) -> Column:
+    """c held between two bounds; null stays null, which least() and greatest() would pass over."""
+    return F.when(c > high, F.lit(high)).when(c < low, F.lit(low)).otherwise(c)
+
+
 def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     """Great-circle distance; the arcsine's argument is held at 1."""
     a1, o1, a2, o2 = map(col, (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(a2 - a1) / 2), 2) + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * F.pow(F.sin(F.radians(o2 - o1) / 2), 2)
-    return F.asin(F.sqrt(F.least(F.lit(1.0), h))) * (2 * EARTH_RADIUS_KM)
+    return F.asin(F.sqrt(held(h, 0.0, 1.0))) * (2 * EARTH_RADIUS_KM)
 
 
 def angular_separation(lat1, lon1, lat2, lon2) -> Column:
     """Degrees between two points by the cosine rule; less exact than haversine for close points."""
     a1, o1, a2, o2 = (F.radians(col(v)) for v in (lat1, lon1, lat2, lon2))
     c = F.sin(a1) * F.sin(a2) + F.cos(a1) * F.cos(a2) * F.cos(o2 - o1)
-    return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))))
+    return F.degrees(F.acos(held(c, -1.0, 1.0)))
 
 
 def planar_km(lat1, lon1, lat2, lon2) -> Column:
@@ -148,7 +153,7 @@ def cross_track_km(lat, lon, centre_lat: float, centre_lon: float, course: float
     """Signed distance from the great circle through a centre on a course; positive to its right."""
     d = haversine_km(centre_lat, centre_lon, lat, lon) / EARTH_RADIUS_KM
     turn = F.radians(bearing(centre_lat, centre_lon, lat, lon) - course)
-    return F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(d) * F.sin(turn)))) * EARTH_RADIUS_KM
+    return F.asin(held(F.sin(d) * F.sin(turn), -1.0, 1.0)) * EARTH_RADIUS_KM
 
 
 def nearest_on_circle(lat, lon, pole=DEFAULT_POLE) -> tuple[Column, Column]:
@@ -181,7 +186,7 @@ def collinearity(lat1, lon1, lat2, lon2, lat3, lon3) -> Column:
     def angle(i: int, j: int, k: int) -> Column:
         ux, uy, vx, vy = p[j][1] - p[i][1], p[j][0] - p[i][0], p[k][1] - p[i][1], p[k][0] - p[i][0]
         size = F.sqrt((ux * ux + uy * uy) * (vx * vx + vy * vy))
-        return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(ux * vx + uy * vy, size)))))
+        return F.degrees(F.acos(held(F.try_divide(ux * vx + uy * vy, size), -1.0, 1.0)))
 
     return F.greatest(angle(0, 1, 2), angle(1, 0, 2), angle(2, 0, 1))
 

@@ -1,7 +1,7 @@
 """Random draws as data: every draw is a hash of (seed, trial, row), so that results do not depend on partitions.
 
-The generator is a linear congruential one on 31 bits, applied twice, with products that stay below 2^63; any SQL engine
-can repeat it. Trials are rows: sites are replicated by trial where they lie, and only index draws, which need the value of
+The generator squares between two congruential steps on 31 bits, as linear steps alone would leave draws of neighbouring
+seeds at a fixed distance; products stay below 2^63, so that any SQL engine can repeat it. Trials are rows: sites are replicated by trial where they lie, and only index draws, which need the value of
 another row, are joined, on the row number.
 """
 
@@ -23,11 +23,13 @@ JITTER_DEG = 2.0
 def draw_int(seed: int, trial: Column, row: Column) -> Column:
     """A whole number in [0, 2^31 - 1)."""
     x = F.pmod(trial * 7919 + row * 104_729 + F.lit(seed * 15_485_863), F.lit(M31))
-    return F.pmod(F.pmod(x * A1, F.lit(M31)) * A2, F.lit(M31))
+    y = F.pmod(x * A1, F.lit(M31))
+    return F.pmod(F.pmod(y * y, F.lit(M31)) * A2 + y, F.lit(M31))
 
 
 def draw_int_sql(seed: int, trial: str, row: str) -> str:
-    return f"(((({trial} * 7919 + {row} * 104729 + {seed * 15_485_863}) % {M31}) * {A1} % {M31}) * {A2} % {M31})"
+    y = f"((({trial} * 7919 + {row} * 104729 + {seed * 15_485_863}) % {M31}) * {A1} % {M31})"
+    return f"((({y} * {y}) % {M31} * {A2} + {y}) % {M31})"
 
 
 def uniform(seed: int, trial: Column, row: Column) -> Column:

@@ -131,7 +131,7 @@ def test_greedy_radius_against_loop(spark):
 
 def test_ordered_fold_against_loop(spark):
     rng = np.random.default_rng(11)
-    rows = [(i, float(round(rng.uniform(0, 0.05), 3)), float(round(rng.uniform(0, 0.05), 3)), float(rng.integers(0, 800))) for i in range(60)]
+    rows = [(i, float(rng.integers(0, 50)) / 1000 + 0.0002, float(rng.integers(0, 50)) / 1000 + 0.0002, float(rng.integers(0, 800))) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, lat double, lon double, age double")
     got = dedup.ordered_fold(df, "lat", "lon", "age").count()
     last, n = None, 0
