@@ -55,3 +55,40 @@ def zone(distance, near: float = 50.0, far: float = 200.0) -> Column:
 def grid_cell(lat, lon, degrees: float) -> tuple[Column, Column]:
     la, lo = (F.col(v) if isinstance(v, str) else v for v in (lat, lon))
     return F.floor(la / degrees) * F.lit(degrees), F.floor(lo / degrees) * F.lit(degrees)
+
+
+def multi_label(types: Column, labels: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """All labels of which the types hold a word, in the order given."""
+    return F.array_compact(F.array(*[F.when(F.arrays_overlap(types, F.array(*map(F.lit, words))), F.lit(name)) for name, words in labels]))
+
+
+def flags(types: Column, first: Sequence[str] = MONUMENTAL, second: Sequence[str] = SETTLEMENT) -> tuple[Column, Column]:
+    """Both classes as they are: a place may be in either, both or none."""
+    return F.arrays_overlap(types, F.array(*map(F.lit, first))), F.arrays_overlap(types, F.array(*map(F.lit, second)))
+
+
+def period(year, table: Sequence[tuple[str, float | None, float | None]], other: str = "other") -> Column:
+    """The first half-open range [start, end) that holds the year; None is an open end."""
+    y = F.col(year) if isinstance(year, str) else year
+    out = None
+    for name, start, end in table:
+        hit = (y >= start if start is not None else F.lit(True)) & (y < end if end is not None else F.lit(True)) & y.isNotNull()
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    return out.otherwise(F.lit(other))
+
+
+def cluster(lat, lon, clusters: Sequence[tuple[str, float, float, float]], other: str = "none") -> Column:
+    """The first cluster (name, latitude, longitude, radius in km) within whose radius a point lies."""
+    from arcspan.functions.geo import haversine_km
+
+    out = None
+    for name, a, o, km in clusters:
+        hit = haversine_km(lat, lon, a, o) <= km
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    return out.otherwise(F.lit(other))
+
+
+def offset_bin(lon, reference: float, width: float) -> Column:
+    """Bin of the longitude east of a reference, 0 to 360."""
+    o = F.col(lon) if isinstance(lon, str) else lon
+    return F.floor(F.pmod(o - reference, F.lit(360.0)) / width) * width

@@ -195,3 +195,37 @@ def sunrise_azimuth(lat, declination: float = 23.44) -> Column:
     """Azimuth of the rising sun for a declination; null where it does not rise."""
     c = math.sin(math.radians(declination)) / F.cos(F.radians(col(lat)))
     return F.when(F.abs(c) <= 1, F.degrees(F.acos(c)))
+
+
+def offset_toward_pole(lat, lon, share, pole=DEFAULT_POLE) -> tuple[Column, Column]:
+    """A point moved by a share of its way to the pole, straight in degrees of latitude and longitude."""
+    la, lo, s = col(lat), col(lon), col(share)
+    return la + (F.lit(float(pole[0])) - la) * s, lo + signed_angle(pole[1], lo) * s
+
+
+def midpoint(lat1, lon1, lat2, lon2) -> tuple[Column, Column]:
+    """The middle in degrees, not on the sphere."""
+    return (col(lat1) + col(lat2)) / 2, (col(lon1) + col(lon2)) / 2
+
+
+def along_across(km, course, lat, lon, pole=DEFAULT_POLE) -> tuple[Column, Column]:
+    """The parts of a move along the circle's direction at its start and across it."""
+    turn = F.radians(signed_angle(course, tangent_bearing(lat, lon, *pole)))
+    return F.abs(col(km) * F.cos(turn)), F.abs(col(km) * F.sin(turn))
+
+
+def precessed_lon(ecliptic_lon, years, rate: float = 50.29 / 3600.0) -> Column:
+    """Ecliptic longitude after linear precession of 50.29 seconds of arc a year."""
+    return F.pmod(col(ecliptic_lon) + col(years) * rate, F.lit(360.0))
+
+
+def rising_azimuth(lat, declination) -> Column:
+    """Azimuth at which a body of a declination rises; null where it never does."""
+    c = F.sin(F.radians(col(declination))) / F.cos(F.radians(col(lat)))
+    return F.when(F.abs(c) <= 1, F.degrees(F.acos(c)))
+
+
+def mutual_inclination(pole1_lat, pole1_lon, pole2_lat, pole2_lon) -> Column:
+    """Angle between two great circles, 0 to 90."""
+    d = angular_separation(pole1_lat, pole1_lon, pole2_lat, pole2_lon)
+    return F.least(d, F.lit(180.0) - d)

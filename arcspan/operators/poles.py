@@ -66,3 +66,54 @@ def pole_grid(step: float, hemisphere: bool = True) -> list[tuple[int, float, fl
     lats = np.arange(0.0 if hemisphere else -90.0, 90.0 + 1e-9, step)
     lons = np.arange(-180.0, 180.0, step)
     return [(i * len(lons) + j, float(a), float(o)) for i, a in enumerate(lats) for j, o in enumerate(lons)]
+
+
+def ring_counts(points: DataFrame, centres: list[tuple[int, float, float]], low_deg: float, high_deg: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """centre_id and n: how many points lie between two angular distances (closed) of each of a stated set of centres.
+
+    The same blocks as in pole_counts; points with null or NaN coordinates count nowhere; no points give no rows.
+    """
+    if len(centres) > MAX_POLES:
+        raise ValueError(f"more than {MAX_POLES} centres in one scan")
+    top, bottom = float(np.cos(np.radians(low_deg))), float(np.cos(np.radians(high_deg)))
+    shared = points.sparkSession.sparkContext.broadcast((np.array([c[0] for c in centres], dtype=np.int64), unit_vectors([c[1] for c in centres], [c[2] for c in centres]).T))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shared.value
+        total = np.zeros(len(ids), dtype=np.int64)
+        seen = False
+        for b in batches:
+            seen |= len(b) > 0
+            xyz = b[["x", "y", "z"]].to_numpy()
+            step = max(1, BLOCK // max(len(xyz), 1))
+            for a in range(0, len(ids), step):
+                dot = xyz @ vectors[:, a : a + step]
+                total[a : a + step] += np.count_nonzero((dot <= top) & (dot >= bottom), axis=0)
+        if seen:
+            yield pd.DataFrame({"centre_id": ids, "n": total})
+
+    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
+    slim = points.where(la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)).select(unit_x(la, lo).alias("x"), unit_y(la, lo).alias("y"), unit_z(la).alias("z"))
+    return slim.mapInPandas(run, "centre_id bigint, n bigint").groupBy("centre_id").agg(F.sum("n").alias("n"))
+
+
+def circles_through(points: list[tuple[int, float, float]], second: tuple[float, float]) -> list[tuple[int, float, float]]:
+    """Poles of the circles through each point and a second one, by cross products; coinciding points are left out."""
+    a, b = unit_vectors([p[1] for p in points], [p[2] for p in points]), unit_vectors([second[0]], [second[1]])[0]
+    n = np.cross(a, b)
+    size = np.linalg.norm(n, axis=1)
+    out = []
+    for (i, _, _), v, s in zip(points, n, size):
+        if s > 1e-12:
+            v = v / s * (1 if v[2] >= 0 else -1)
+            out.append((i, float(np.degrees(np.arcsin(np.clip(v[2], -1, 1)))), float(np.degrees(np.arctan2(v[1], v[0])))))
+    return out
+
+
+def through_box(poles: DataFrame, south: float, north: float, west: float, east: float, samples: int = 360) -> DataFrame:
+    """pole_id, lat and lon of the poles whose circle, sampled at equal bearings, has a point in a closed box."""
+    from arcspan.functions.geo import point_lat, point_lon
+
+    b = poles.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("__b", F.col("__b") * (360.0 / samples))
+    la, lo = point_lat(F.col("__b"), F.col("lat")), point_lon(F.col("__b"), F.col("lat"), F.col("lon"), wrapped=True)
+    return b.where(la.between(south, north) & lo.between(west, east)).select("pole_id", "lat", "lon").distinct()

@@ -140,3 +140,57 @@ def ripley(pairs: DataFrame, radii: list[float], n: int, area: float) -> DataFra
     out = counted.select(F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"n{k}").alias("pairs")) for k, r in enumerate(radii)])).alias("x")).select("x.*")
     k = F.lit(area) * 2 * F.col("pairs") / float(n * n)
     return out.withColumn("k", k).withColumn("l", F.sqrt(k / math.pi) - F.col("radius"))
+
+
+def two_by_two(df: DataFrame, row: Column, col: Column) -> DataFrame:
+    """a, b, c, d, odds (null for an empty margin), chi2 and the one-sided Fisher p (at least a) of a 2 x 2 table.
+
+    Counts are summed in the JVM; the hypergeometric tail is summed by logarithms in one Arrow row.
+    """
+    t = df.select(row.alias("r"), col.alias("c")).where("r is not null and c is not null").agg(
+        F.count_if(F.col("r") & F.col("c")).alias("a"), F.count_if(F.col("r") & ~F.col("c")).alias("b"), F.count_if(~F.col("r") & F.col("c")).alias("c"), F.count_if(~F.col("r") & ~F.col("c")).alias("d")
+    )
+
+    def tail(batches):
+        for g in batches:
+            out = []
+            for a, b, c, d in zip(g["a"], g["b"], g["c"], g["d"]):
+                n, k, m = a + b + c + d, a + b, a + c
+                lg = math.lgamma
+                log = lambda x: lg(k + 1) - lg(x + 1) - lg(k - x + 1) + lg(n - k + 1) - lg(m - x + 1) - lg(n - k - m + x + 1) - (lg(n + 1) - lg(m + 1) - lg(n - m + 1))  # noqa: B023, E731
+                out.append(min(1.0, math.fsum(math.exp(log(x)) for x in range(a, min(k, m) + 1))))
+            yield g.assign(p=out)
+
+    v = lambda c: F.col(c).cast("double")
+    n = v("a") + v("b") + v("c") + v("d")
+    chi = F.try_divide(n * (v("a") * v("d") - v("b") * v("c")) ** 2, (v("a") + v("b")) * (v("c") + v("d")) * (v("a") + v("c")) * (v("b") + v("d")))
+    return t.mapInPandas(tail, "a bigint, b bigint, c bigint, d bigint, p double").select("a", "b", "c", "d", F.try_divide(v("a") * v("d"), v("b") * v("c")).alias("odds"), chi.alias("chi2"), "p")
+
+
+def kolmogorov_smirnov(df: DataFrame, value: str, group: str, first: str, buckets: int = RANK_BUCKETS) -> DataFrame:
+    """d (greatest gap of the two empirical distributions), n1, n2, over distinct values in buckets with exact counts before."""
+    counts = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(F.col(group) == first).alias("x"), F.count_if(F.col(group) != first).alias("y"))
+    edges = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 0.01)))
+    counts = counts.withColumn("b", F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col("v"))) if edges else F.lit(0))
+    w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    all_of = Window.partitionBy(F.lit(0))
+    shift = counts.groupBy("b").agg(F.sum("x").alias("sx"), F.sum("y").alias("sy")).select("b", F.coalesce(F.sum("sx").over(w), F.lit(0)).alias("bx"), F.coalesce(F.sum("sy").over(w), F.lit(0)).alias("by"), F.sum("sx").over(all_of).alias("n1"), F.sum("sy").over(all_of).alias("n2"))
+    inner = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    gap = F.abs((F.col("bx") + F.sum("x").over(inner)) / F.col("n1") - (F.col("by") + F.sum("y").over(inner)) / F.col("n2"))
+    return counts.join(F.broadcast(shift), "b").withColumn("gap", gap).agg(F.max("gap").alias("d"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+
+
+def cohens_d(df: DataFrame, value: str, group: str, first: str) -> DataFrame:
+    """Difference of means of the first group and all others over their pooled deviation."""
+    x, y = F.when(F.col(group) == first, F.col(value)), F.when(F.col(group) != first, F.col(value))
+    s = df.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("vx"), F.var_samp(y).alias("vy"), F.count(x).alias("n1"), F.count(y).alias("n2"))
+    return s.select("n1", "n2", ((F.col("mx") - F.col("my")) / F.sqrt(((F.col("n1") - 1) * F.col("vx") + (F.col("n2") - 1) * F.col("vy")) / (F.col("n1") + F.col("n2") - 2))).alias("d"))
+
+
+def global_moran(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """i, n and weight sum of Moran's I with inverse-distance weights over given pairs (a, b, km > 0, both directions)."""
+    m = values.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(value).alias("n")).withColumn("k", F.lit(0))
+    z = values.select(F.col(key).alias("id"), F.col(value).alias("x"))
+    p = pairs.where("km > 0").join(z.withColumnsRenamed({"id": "a", "x": "xa"}), "a").join(z.withColumnsRenamed({"id": "b", "x": "xb"}), "b").withColumn("k", F.lit(0)).join(F.broadcast(m), "k")
+    s = p.groupBy("n", "v").agg(F.sum(1.0 / F.col("km")).alias("w"), F.sum((F.col("xa") - F.col("m")) * (F.col("xb") - F.col("m")) / F.col("km")).alias("c"))
+    return s.select(F.try_divide(F.col("c"), F.col("w") * F.col("v")).alias("i"), "n", "w")

@@ -71,3 +71,45 @@ def filled_bins(df: DataFrame, by: list[str], bin_column: str, bins: DataFrame,
     grid = groups.withColumn(bin_column, F.explode(F.array(*map(F.lit, wanted))))
     found = df.groupBy(*by, bin_column).agg(value.alias("value"))
     return grid.join(found, [*by, bin_column], "left").withColumn("value", F.coalesce("value", F.lit(0)))
+
+
+def interpolated_bins(df: DataFrame, at: str, value: str, start: float, stop: float, width: float) -> DataFrame:
+    """bin and value: mean of the rows in each bin [start, start + width) ..., empty bins by the line between their neighbours.
+
+    Bins before the first or after the last filled one take its value. The bins are a stated list, one window.
+    """
+    bins = int((stop - start) / width)
+    means = df.where(F.col(at).isNotNull() & F.col(value).isNotNull() & (F.col(at) >= start) & (F.col(at) < start + bins * width)).groupBy(F.floor((F.col(at) - start) / width).alias("k")).agg(F.avg(value).alias("v"))
+    grid = df.sparkSession.range(bins).select(F.col("id").alias("k")).join(means, "k", "left").withColumn("known", F.when(F.col("v").isNotNull(), F.struct("k", "v")))
+    w = Window.partitionBy(F.lit(0)).orderBy("k")
+    both = grid.withColumns({"left": F.last("known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first("known", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    share = F.try_divide(F.col("k") - F.col("left.k"), F.col("right.k") - F.col("left.k"))
+    line = F.col("left.v") + (F.col("right.v") - F.col("left.v")) * F.coalesce(share, F.lit(0.0))
+    return both.select((F.lit(start) + F.col("k") * width).alias("bin"), F.coalesce(line, F.col("left.v"), F.col("right.v")).alias("value"))
+
+
+def on_curve(points: DataFrame, at: str, curve: list[tuple[float, float]], name: str) -> DataFrame:
+    """Adds the value of a piecewise linear curve, given as sorted (x, y), held at its ends: one CASE, no join."""
+    x = F.col(at)
+    out = F.when(x <= curve[0][0], F.lit(float(curve[0][1])))
+    for (x0, y0), (x1, y1) in zip(curve, curve[1:]):
+        out = out.when(x <= x1, F.lit(float(y0)) + (x - float(x0)) * ((y1 - y0) / (x1 - x0)))
+    return points.withColumn(name, out.when(x.isNotNull(), F.lit(float(curve[-1][1]))))
+
+
+def histogram(df: DataFrame, by: list[str], value: str, low: float, high: float, bins: int) -> DataFrame:
+    """bin (from 0) and n of equal bins; the last one holds its upper edge."""
+    width = (high - low) / bins
+    k = F.least(F.floor((F.col(value) - low) / width), F.lit(bins - 1))
+    return df.where(F.col(value).between(low, high)).groupBy(*by, k.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+
+
+def rank_in_null(null: DataFrame, value: str, observed: float) -> DataFrame:
+    """rank (1 + values at least as high), trials, percentile, its binomial standard error and an upper bound of p.
+
+    The bound is 3 / n where no value reaches the observed one, else p plus 1.96 standard errors.
+    """
+    s = null.agg(F.count_if(F.col(value) >= observed).alias("ge"), F.count(value).alias("n"))
+    p = (F.col("ge") + 1) / (F.col("n") + 1)
+    se = F.sqrt(p * (1 - p) / F.col("n"))
+    return s.select((F.col("ge") + 1).alias("rank"), F.col("n").alias("trials"), ((1 - (F.col("ge") + 1) / (F.col("n") + 1)) * 100).alias("percentile"), se.alias("se"), F.when(F.col("ge") == 0, 3.0 / F.col("n")).otherwise(p + 1.96 * se).alias("p_bound"))

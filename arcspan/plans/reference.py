@@ -80,7 +80,7 @@ def q_arc_bins(spark, d):
 
 
 @query("circle_trace", f"""WITH b AS (SELECT range AS bearing FROM range(360)), p AS (SELECT bearing, degrees(asin(cos(radians(59.682122)) * cos(radians(bearing)))) AS lat FROM b)
-SELECT bearing, round(lat, 6) AS lat, round(-138.646087 + degrees(atan2(sin(radians(bearing)) * cos(radians(59.682122)), -sin(radians(59.682122)) * sin(radians(lat)))), 6) AS lon FROM p""")
+SELECT bearing, round(lat, 6) + 0.0 AS lat, round(-138.646087 + degrees(atan2(sin(radians(bearing)) * cos(radians(59.682122)), -sin(radians(59.682122)) * sin(radians(lat)))), 6) AS lon FROM p""")
 def q_circle_trace(spark, d):
     return spark.range(360).select(F.col("id").alias("bearing"), r6(geo.point_lat(F.col("id"))).alias("lat"), r6(geo.point_lon(F.col("id"))).alias("lon"))
 
