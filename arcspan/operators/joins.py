@@ -7,45 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcspan.functions.geo import EARTH_RADIUS_KM, haversine_km
-from arcspan.operators.spatial import near_join
+from arcspan.functions.geo import haversine_km
+from arcspan.operators.poles import unit_vectors
+from arcspan.operators.spatial import grow_quadtree, haversine_np, leaf_salts, near_join, share_out, usable_points
 
-NEAREST_CELL = 8.0
-
-
-def _cells(lat: float, lon: float, km: float, cell: float) -> list[int]:
-    """Cells that a circle touches, in rows of latitude each cut into about as wide cells."""
-    up = math.degrees(km / EARTH_RADIUS_KM) * (1 + 1e-9) + 1e-9
-    out = []
-    for band in range(math.floor((max(lat - up, -90.0) + 90.0) / cell), math.floor((min(lat + up, 89.999999) + 90.0) / cell) + 1):
-        edge = min(90.0, max(abs(band * cell - 90.0), abs((band + 1) * cell - 90.0)))
-        count = max(1, math.floor(360.0 * math.cos(math.radians(edge)) / cell))
-        if abs(lat) + up >= 90.0:
-            wide = 180.0
-        else:
-            sine = math.sin(math.radians(up)) / math.cos(math.radians(lat))
-            wide = 180.0 if sine >= 1 else math.degrees(math.asin(sine)) + 1e-9
-        first, last = math.floor((lon + 180.0 - wide) / 360.0 * count), math.floor((lon + 180.0 + wide) / 360.0 * count)
-        out += [band * 1_000_000 + k % count for k in (range(count) if last - first + 1 >= count else range(first, last + 1))]
-    return out
-
-
-def with_cells(df: DataFrame, km: float, cell: float, name: str = "cell") -> DataFrame:
-    """A row for each cell that a circle of km around the row's lat and lon touches."""
-    schema = df.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [_cells(a, o, km, cell) for a, o in zip(b["lat"], b["lon"])]
-            out = b.loc[b.index.repeat([len(f) for f in found])].copy()
-            out[name] = np.array([c for f in found for c in f], dtype="int64")
-            yield out
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    return df.mapInPandas(run, f"{fields}, {name} bigint")
+#: most leaves of the quadtree behind nearest(): pairs of leaves are bounded on the driver
+NEAREST_LEAVES = 2_000
+BLOCK = 2_000_000
 
 
 def distance_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
@@ -65,28 +37,79 @@ def without_near(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return left.join(hit, left_id, "left_anti")
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, first_km: float = 250.0) -> DataFrame:
-    """left_id, nearest (a right id, of ties the smallest) and km for each left row with lat and lon, by rings.
+def _caps(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Centre vectors and angles of caps that hold the boxes: half the height plus half the width along the longest parallel."""
+    lat, lon = (boxes[:, 1] + boxes[:, 3]) / 2, (boxes[:, 0] + boxes[:, 2]) / 2
+    straddles = (boxes[:, 1] < 0) & (boxes[:, 3] > 0)
+    widest = np.where(straddles, 1.0, np.cos(np.radians(np.minimum(np.abs(boxes[:, 1]), np.abs(boxes[:, 3])))))
+    angle = np.radians((boxes[:, 3] - boxes[:, 1]) / 2) + np.radians((boxes[:, 2] - boxes[:, 0]) / 2) * widest
+    return unit_vectors(lat, lon), np.minimum(angle, math.pi)
+
 
-    Rows that find nothing within a radius go on with a three times larger one, so that each looks only as far as it must;
-    the last round takes in the whole sphere. Without right rows nothing comes out.
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, leaf_rows: int = 4_096, group_rows: int = 65_536) -> DataFrame:
+    """left_id, nearest (a right id, of ties the smallest) and km for each left row with usable coordinates, exactly.
+
+    A quadtree grown from a sample of the right side adapts to its density. For each leaf with left rows, the leaves that
+    may hold a nearest right row are those whose least distance is at most the smallest greatest distance; these pairs
+    of leaves, whose number does not grow with the rows, are bounded by caps on the driver. Left rows then meet only the
+    right rows of those leaves, in blocks, and keep one candidate a leaf. Full leaves are shared out by exact counts.
+
+    Null right ids and rows with unusable coordinates are left out; equal rows come out once; without right rows nothing
+    comes out; other columns are not read.
     """
-    todo, out, radius, top = left.select(F.col(left_id).alias("a"), "lat", "lon"), None, first_km, math.pi * EARTH_RADIUS_KM
-    if right.isEmpty():
-        return todo.limit(0).select(F.col("a").alias(left_id), F.lit(None).cast(right.schema[right_id].dataType).alias("nearest"), F.lit(0.0).alias("km"))
-    while True:
-        whole = radius >= top
-        cell = max(1.0, min(90.0, math.degrees(radius / EARTH_RADIUS_KM)))
-        here = with_cells(todo, min(radius, top), cell).alias("p")
-        there = with_cells(right.select(F.col(right_id).alias("b"), "lat", "lon"), 0.0, cell).alias("s")
-        d = haversine_km(F.col("p.lat"), F.col("p.lon"), F.col("s.lat"), F.col("s.lon"))
-        found = here.join(there, F.col("p.cell") == F.col("s.cell")).select(F.col("p.a").alias("a"), F.struct(d.alias("km"), F.col("s.b").alias("b")).alias("x"))
-        best = (found if whole else found.where(F.col("x.km") <= radius)).groupBy("a").agg(F.min("x").alias("x")).select("a", F.col("x.b").alias("nearest"), F.col("x.km").alias("km"))
-        out = best if out is None else out.unionByName(best)
-        if whole:
-            return out.withColumnRenamed("a", left_id)
-        todo = todo.join(best.select("a"), "a", "left_anti")
-        radius *= 3.0
+    l = usable_points(left, "lat", "lon", F.col(left_id).alias("a")).distinct()
+    r = usable_points(right.where(F.col(right_id).isNotNull()), "lat", "lon", F.col(right_id).alias("b")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    a_type, b_type = l.schema["a"].dataType.simpleString(), r.schema["b"].dataType.simpleString()
+    n = r.count()
+    tree = grow_quadtree(r, n, 0.02, min(20_000, 8 * NEAREST_LEAVES), max(leaf_rows, math.ceil(n / (NEAREST_LEAVES / 4))))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy()).astype("int64"))
+
+    r_owned = r.mapInPandas(own, f"b {b_type}, lat double, lon double, leaf bigint")
+    held = {x["leaf"]: x["n"] for x in r_owned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    full = np.array(sorted(held), dtype=np.int64)
+    centres, angles = _caps(tree.boxes)
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            home = tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy())
+            for h in np.unique(home):
+                if h not in known:
+                    d = np.arccos(np.clip(centres[full] @ centres[h], -1.0, 1.0))
+                    most = (d + angles[full] + angles[h]).min() if len(full) else 0.0
+                    known[h] = full[d - angles[full] - angles[h] <= most + 1e-9]
+            wanted = [known[h] for h in home]
+            out = b.loc[b.index.repeat([len(w) for w in wanted])].copy()
+            out["leaf"] = np.concatenate(wanted).astype("int64") if len(wanted) else np.empty(0, dtype="int64")
+            yield out
+
+    l_reached = l.mapInPandas(reach, f"a {a_type}, lat double, lon double, leaf bigint")
+    r_shared, l_shared = share_out(r_owned, l_reached, {k: math.ceil(v / group_rows) for k, v in held.items() if v > group_rows}, leaf_salts(l_reached, group_rows), ["b", "lat", "lon"], ["a", "lat", "lon"])
+
+    def best(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or p.empty:
+            return pd.DataFrame({"a": p["a"].iloc[:0], "b": s["b"].iloc[:0], "km": pd.Series(dtype=float)})
+        s = s.sort_values("b", kind="stable")
+        sv, s_lat, s_lon = unit_vectors(s["lat"], s["lon"]), s["lat"].to_numpy(), s["lon"].to_numpy()
+        pv, p_lat, p_lon = unit_vectors(p["lat"], p["lon"]), p["lat"].to_numpy(), p["lon"].to_numpy()
+        step, picks, dist = max(1, BLOCK // len(sv)), [], []
+        for k in range(0, len(pv), step):
+            dot = pv[k : k + step] @ sv.T
+            # the chord orders like the distance but for rounding, so near-equal ones are told apart by the distance itself
+            close = dot >= dot.max(axis=1, keepdims=True) - 1e-12
+            q, item = np.nonzero(close)
+            km = haversine_np(p_lat[k + q], p_lon[k + q], s_lat[item], s_lon[item])
+            order = np.lexsort((item, km, q))
+            first = order[np.unique(q[order], return_index=True)[1]]
+            picks.append(item[first])
+            dist.append(km[first])
+        return pd.DataFrame({"a": p["a"].to_numpy(), "b": s["b"].to_numpy()[np.concatenate(picks)], "km": np.concatenate(dist)})
+
+    found = r_shared.groupBy("leaf", "i", "j").cogroup(l_shared.groupBy("leaf", "i", "j")).applyInPandas(best, f"a {a_type}, b {b_type}, km double")
+    return found.groupBy("a").agg(F.min(F.struct("km", "b")).alias("x")).select(F.col("a").alias(left_id), F.col("x.b").alias("nearest"), F.col("x.km").alias("km"))
 
 
 def asof_tolerance(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_at: str, value: str, tolerance: float) -> DataFrame:

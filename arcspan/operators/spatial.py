@@ -159,7 +159,7 @@ def grow_quadtree(points: DataFrame, rows: int, min_deg: float, sample_rows: int
     return QuadTree(drawn["lon"].to_numpy(), drawn["lat"].to_numpy(), max(1, round(leaf_rows * share)), min_deg)
 
 
-def _salts(owned: DataFrame, group_rows: int) -> dict[int, int]:
+def leaf_salts(owned: DataFrame, group_rows: int) -> dict[int, int]:
     """Leaf -> number of shares, by exact counts; as many rows come to the driver as there are leaves over group_rows."""
     return {r["leaf"]: math.ceil(r["n"] / group_rows) for r in owned.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).collect()}
 
@@ -204,7 +204,7 @@ def near_join(
 
     owned = sites.mapInPandas(own, f"__site {s_type}, lat double, lon double, leaf bigint")
     reached = places.mapInPandas(reach, f"__place {p_type}, lat double, lon double, leaf bigint")
-    owned, reached = _share_out(owned, reached, _salts(owned, group_rows) if n_sites > group_rows else {}, _salts(reached, group_rows), ["__site", "lat", "lon"], ["__place", "lat", "lon"])
+    owned, reached = share_out(owned, reached, leaf_salts(owned, group_rows) if n_sites > group_rows else {}, leaf_salts(reached, group_rows), ["__site", "lat", "lon"], ["__place", "lat", "lon"])
 
     def refine(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"__place": p["__place"].iloc[:0], "__site": s["__site"].iloc[:0]})
@@ -229,7 +229,7 @@ def near_join(
     return pairs.distinct().select(F.col("__place").alias("place_key"), F.col("__site").alias("site_key"))
 
 
-def _share_out(left: DataFrame, right: DataFrame, left_salts: dict[int, int], right_salts: dict[int, int], left_by: list[str], right_by: list[str]) -> tuple[DataFrame, DataFrame]:
+def share_out(left: DataFrame, right: DataFrame, left_salts: dict[int, int], right_salts: dict[int, int], left_by: list[str], right_by: list[str]) -> tuple[DataFrame, DataFrame]:
     """Columns i and j: each left row in one share i and every j of its leaf, each right row in one j and every i.
 
     The counts are joined by broadcast: there is at most one a leaf, and leaves are at most about four a sampled point.
@@ -302,7 +302,7 @@ def region_join(
 
     owned = places.mapInPandas(own, f"__place {p_type}, lat double, lon double, leaf bigint")
     spread_out = regions.mapInPandas(spread, f"__region {r_type}, r array<bigint>, y array<double>, x array<double>, turn int, leaf bigint")
-    owned, spread_out = _share_out(owned, spread_out, _salts(owned, group_rows) if n > group_rows else {}, {}, ["__place", "lat", "lon"], ["__region"])
+    owned, spread_out = share_out(owned, spread_out, leaf_salts(owned, group_rows) if n > group_rows else {}, {}, ["__place", "lat", "lon"], ["__region"])
 
     def refine(p: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         out = []
