@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arcspan.functions.geo import band_sine, unit_x, unit_y, unit_z
+from arcspan.functions.geo import EARTH_RADIUS_KM, band_sine, unit_x, unit_y, unit_z
 
 MAX_POLES = 1_000_000
 BLOCK = 2_000_000
@@ -117,3 +117,52 @@ def through_box(poles: DataFrame, south: float, north: float, west: float, east:
     b = poles.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("__b", F.col("__b") * (360.0 / samples))
     la, lo = point_lat(F.col("__b"), F.col("lat")), point_lon(F.col("__b"), F.col("lat"), F.col("lon"), wrapped=True)
     return b.where(la.between(south, north) & lo.between(west, east)).select("pole_id", "lat", "lon").distinct()
+
+
+def pole_errors(points: DataFrame, poles: list[tuple[int, float, float]], by: str | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """pole_id, cls, n, mean_km, rms_km and max_km of the distances of the points of a group to each circle, in blocks."""
+    if len(poles) > MAX_POLES:
+        raise ValueError(f"more than {MAX_POLES} poles in one scan")
+    shared = points.sparkSession.sparkContext.broadcast((np.array([p[0] for p in poles], dtype=np.int64), unit_vectors([p[1] for p in poles], [p[2] for p in poles]).T))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shared.value
+        sums: dict[object, list] = {}
+        for b in batches:
+            for c, part in b.groupby("cls", dropna=False, sort=False):
+                c = None if pd.isna(c) else c
+                s = sums.setdefault(c, [0, np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids))])
+                xyz = part[["x", "y", "z"]].to_numpy()
+                s[0] += len(xyz)
+                step = max(1, BLOCK // max(len(xyz), 1))
+                for a in range(0, len(ids), step):
+                    km = EARTH_RADIUS_KM * np.arcsin(np.minimum(1.0, np.abs(xyz @ vectors[:, a : a + step])))
+                    s[1][a : a + step] += km.sum(axis=0)
+                    s[2][a : a + step] += (km * km).sum(axis=0)
+                    s[3][a : a + step] = np.maximum(s[3][a : a + step], km.max(axis=0))
+        for c, (n, one, two, top) in sums.items():
+            yield pd.DataFrame({"pole_id": ids, "cls": pd.Series([c] * len(ids), dtype="object"), "n": n, "one": one, "two": two, "top": top})
+
+    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
+    slim = points.where(la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)).select(unit_x(la, lo).alias("x"), unit_y(la, lo).alias("y"), unit_z(la).alias("z"), (F.col(by).cast("string") if by else F.lit(None).cast("string")).alias("cls"))
+    s = slim.mapInPandas(run, "pole_id bigint, cls string, n bigint, one double, two double, top double").groupBy("pole_id", "cls").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"), F.max("top").alias("max_km"))
+    return s.select("pole_id", "cls", "n", (F.col("one") / F.col("n")).alias("mean_km"), F.sqrt(F.col("two") / F.col("n")).alias("rms_km"), "max_km")
+
+
+def best_pole(points: DataFrame, by: str = "rms_km", levels: int = 5, step: float = 10.0) -> tuple[float, float, float] | None:
+    """Latitude, longitude and error of the circle with the least mean_km, rms_km or max_km, from coarse to fine grids.
+
+    Each level scans a stated grid around the best pole so far, a third as wide; None without points.
+    """
+    grid = pole_grid(step)
+    found = None
+    for _ in range(levels):
+        best = pole_errors(points, grid).orderBy(by, "pole_id").first()
+        if best is None:
+            return None
+        _, lat, lon = grid[best["pole_id"]]
+        found = (lat, lon, best[by])
+        step /= 3.0
+        wide = 1.0 / max(np.cos(np.radians(lat)), 0.02)
+        grid = [(i * 7 + j, float(max(-90.0, min(90.0, lat + (i - 3) * step))), float(lon + (j - 3) * step * wide)) for i in range(7) for j in range(7)]
+    return found

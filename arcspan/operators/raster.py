@@ -37,3 +37,25 @@ def gradient(grid: DataFrame) -> DataFrame:
     gx = F.lead("smooth").over(h) - F.lag("smooth").over(h)
     gy = F.lag("diff").over(h) + 2 * F.col("diff") + F.lead("diff").over(h)
     return lines.withColumn("slope", F.when(beside, F.sqrt(gx * gx + gy * gy))).where("slope is not null").select("row", "col", "slope")
+
+
+def focal(grid: DataFrame, reach: int) -> DataFrame:
+    """row, col, value, mean, lowest and highest of the square of cells within reach, columns not wrapped: two separable passes."""
+    lines = Window.partitionBy("col").orderBy("row").rangeBetween(-reach, reach)
+    down = grid.withColumns({"s": F.sum("value").over(lines), "n": F.count("value").over(lines), "lo": F.min("value").over(lines), "hi": F.max("value").over(lines)})
+    across = Window.partitionBy("row").orderBy("col").rangeBetween(-reach, reach)
+    return down.select("row", "col", "value", (F.sum("s").over(across) / F.sum("n").over(across)).alias("mean"), F.min("lo").over(across).alias("lowest"), F.max("hi").over(across).alias("highest"))
+
+
+def position_index(grid: DataFrame, reach: int) -> DataFrame:
+    """row, col, tpi (value over the mean around) and prominence (value over the lowest around)."""
+    return focal(grid, reach).select("row", "col", (F.col("value") - F.col("mean")).alias("tpi"), (F.col("value") - F.col("lowest")).alias("prominence"))
+
+
+def suitability(layers: list[tuple[DataFrame, float]]) -> DataFrame:
+    """row, col and value: the weighted sum of layers of one grid; a cell that a layer lacks is left out."""
+    out = None
+    for layer, weight in layers:
+        part = layer.select("row", "col", (F.col("value") * weight).alias("part"))
+        out = part.withColumnRenamed("part", "value") if out is None else out.join(part, ["row", "col"]).select("row", "col", (F.col("value") + F.col("part")).alias("value"))
+    return out

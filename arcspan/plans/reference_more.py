@@ -330,3 +330,59 @@ def q_labels(spark, d):
 @query("circle_angles", f"WITH {SITES}, a AS (SELECT id, degrees(acos(greatest(-1.0, least(1.0, sin(radians(lat)) * sin(radians(59.682122)) + cos(radians(lat)) * cos(radians(59.682122)) * cos(radians(-138.646087 - lon)))))) AS s, sin(radians(23.44)) / cos(radians(lat)) AS c FROM sites) SELECT id, round(least(s, 180 - s), 6) AS inclination, round(CASE WHEN abs(c) <= 1 THEN degrees(acos(c)) END, 6) AS sunrise FROM a")
 def q_angles(spark, d):
     return sites(spark, d).select("id", r6(geo.mutual_inclination("lat", "lon", *geo.DEFAULT_POLE)).alias("inclination"), r6(geo.sunrise_azimuth("lat")).alias("sunrise"))
+
+
+@query("polyline_crossings", f"WITH {SITES}, s AS (SELECT nation, id, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2 FROM sites WINDOW w AS (PARTITION BY nation ORDER BY id)), h AS (SELECT nation, {_frame_sql()[1]} AS ha, {_frame_sql()[1].replace('lat', 'lat2').replace('lon', 'lon2')} AS hb FROM s WHERE lat2 IS NOT NULL AND abs(lon2 - lon) <= 180) SELECT nation, count(*) FILTER (WHERE ha * hb <= 0 AND ha <> hb) AS crossings FROM h GROUP BY nation")
+def q_polylines(spark, d):
+    from arcspan.operators import lines
+
+    s = sites(spark, d).select("nation", "id", "lat", "lon")
+    n = lines.crossings(s, "nation", "id").groupBy("nation").agg(F.count("*").alias("c"))
+    return s.select("nation").distinct().join(n, "nation", "left").select("nation", F.coalesce("c", F.lit(0)).alias("crossings"))
+
+
+@query("route_lengths", f"WITH {SITES}, s AS (SELECT nation, {circle()} AS d, {hav('lag(lat) OVER w', 'lag(lon) OVER w', 'lat', 'lon')} AS km, lag(lat) OVER w AS p FROM sites WINDOW w AS (PARTITION BY nation ORDER BY id)) SELECT nation, round(sum(CASE WHEN p IS NOT NULL THEN km ELSE 0 END), 3) AS km, count(*) AS points, round(sqrt(avg(d * d)), 5) AS rms_circle_km FROM s GROUP BY nation")
+def q_lengths(spark, d):
+    from arcspan.operators import lines
+
+    return lines.lengths(sites(spark, d).select("nation", "id", "lat", "lon"), "nation", "id").select("nation", r6("km", 3).alias("km"), "points", r6("rms_circle_km", 5).alias("rms_circle_km"))
+
+
+@query("straight_deviation", f"WITH {SITES}, e AS (SELECT nation, id, lat, lon, row_number() OVER (PARTITION BY nation ORDER BY id) - 1 AS k, count(*) OVER p - 1 AS n, arg_min(lat, id) OVER p AS a0, arg_max(lat, id) OVER p AS a1, arg_min(lon, id) OVER p AS o0, arg_max(lon, id) OVER p AS o1 FROM sites WINDOW p AS (PARTITION BY nation)), d AS (SELECT nation, {hav('lat', 'lon', 'a0 + (a1 - a0) * k / n::DOUBLE', 'o0 + (o1 - o0) * k / n::DOUBLE')} AS d FROM e) SELECT nation, round(sqrt(avg(d * d)), 5) AS rms_km FROM d GROUP BY nation")
+def q_straight(spark, d):
+    from arcspan.operators import lines
+
+    return lines.straight_deviation(sites(spark, d).select("nation", "id", "lat", "lon"), "nation", "id").select("nation", r6("rms_km", 5).alias("rms_km"))
+
+
+@query("pole_errors", f"WITH {SITES}, grid AS (SELECT (a.range * 12 + b.range) AS pole_id, a.range * 30.0 AS plat, b.range * 30.0 - 180.0 AS plon FROM range(4) a, range(12) b), d AS (SELECT pole_id, cls, 6371.0 * asin(least(1.0, {_DOT})) AS km FROM sites, grid) SELECT pole_id, cls, count(*) AS n, round(avg(km), 5) AS mean_km, round(sqrt(avg(km * km)), 5) AS rms_km, round(max(km), 5) AS max_km FROM d GROUP BY ALL")
+def q_pole_errors(spark, d):
+    e = poles.pole_errors(sites(spark, d), poles.pole_grid(30.0), "cls")
+    return e.select("pole_id", "cls", "n", *[r6(c, 5).alias(c) for c in ("mean_km", "rms_km", "max_km")])
+
+
+@query("position_index", "WITH grid AS (SELECT a.range AS row, b.range AS col, ((a.range * 37 + b.range * 91) % 1000) / 10.0 AS value FROM range(37) a, range(72) b) SELECT a.row::INT AS row, a.col::INT AS col, round(any_value(a.value) - avg(b.value), 6) AS tpi, round(any_value(a.value) - min(b.value), 6) AS prominence FROM grid a JOIN grid b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col")
+def q_position(spark, d):
+    from arcspan.operators import raster
+    from arcspan.plans.reference_stats import _grid
+
+    return raster.position_index(_grid(spark), 2).select("row", "col", r6("tpi").alias("tpi"), r6("prominence").alias("prominence"))
+
+
+@query("feature_auc")
+def q_auc(spark, d):
+    """Held-out areas under the curve of telling monuments from settlements by distance, latitude and neighbours."""
+    from arcspan.operators import learning
+
+    s = sites(spark, d).where("cls <> 'other'")
+    rows = s.select("id", circle_km("lat", "lon").alias("km"), F.abs("lat").alias("abs_lat"), "bal", (F.col("cls") == "monument").cast("double").alias("label"))
+    return spark.createDataFrame([(k, round(a, 6)) for k, a in enumerate(learning.auc_by_fold(rows, ["km", "abs_lat", "bal"], "label", "id", 3))], "fold int, auc double")
+
+
+@query("jittered_floor_null", f"WITH {SITES}, n AS (SELECT count(*) AS n FROM sites), t AS (SELECT range AS trial, id AS slot, {nulls.draw_int_sql(55, 'range', 'id')} % n.n AS id FROM range({_N}), sites, n), p AS (SELECT trial, lat + 2.0 * {nulls.normal_sql(57, 'trial', 'slot')} AS lat, lon + 2.0 * {nulls.normal_sql(59, 'trial', 'slot')} AS lon FROM t JOIN sites USING (id)), c AS (SELECT trial, count(*) FILTER (WHERE {circle()} < 100) AS n FROM p GROUP BY trial), o AS (SELECT count(*) FILTER (WHERE {circle()} < 100) AS obs FROM sites) SELECT any_value(obs) AS observed, round(avg(n), 6) AS mu, round(greatest(stddev_pop(n), 1.0), 6) AS sigma, round((any_value(obs) - avg(n)) / greatest(stddev_pop(n), 1.0), 6) AS z FROM c, o")
+def q_floor_null(spark, d):
+    s = sites(spark, d).select(F.col("id").alias("row"), "lat", "lon")
+    p = nulls.matched_points(s, _N, s.count(), clamp=False, seed=55)
+    null = p.groupBy("trial", F.lit(0).alias("k")).agg(F.count_if(circle_km("lat", "lon") < 100).alias("n"))
+    observed = s.groupBy(F.lit(0).alias("k")).agg(F.count_if(circle_km("lat", "lon") < 100).alias("n"))
+    return nulls.null_summary(observed, null, ["k"], _N, 1.0).select("observed", r6("mu").alias("mu"), r6("sigma").alias("sigma"), r6("z").alias("z"))

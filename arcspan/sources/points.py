@@ -135,3 +135,64 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"')
+
+
+def read_xlsx(spark: SparkSession, path: str, sheet: str, columns: dict[str, int]) -> DataFrame:
+    """Cells of a named sheet by position (name -> column from 0), as strings, without the first row; a file is one task."""
+    import re
+    import xml.etree.ElementTree as ET
+
+    def local(e):
+        return e.tag.rpartition("}")[2]
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for content in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    shared = ["".join(t.text or "" for t in s.iter() if local(t) == "t") for s in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in z.namelist() else []
+                    names = [e.get("name") for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"]
+                    if sheet not in names:
+                        continue
+                    rows = [e for e in ET.fromstring(z.read(f"xl/worksheets/sheet{names.index(sheet) + 1}.xml")).iter() if local(e) == "row"]
+                    for row in rows[1:]:
+                        cells = {}
+                        for c in row:
+                            letters = re.match(r"[A-Z]+", c.get("r", "A")).group()
+                            at = 0
+                            for ch in letters:
+                                at = at * 26 + ord(ch) - 64
+                            text = "".join(v.text or "" for v in c.iter() if local(v) in ("v", "t"))
+                            cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text else text or None
+                        out.append([cells.get(k) for k in columns.values()])
+            yield pd.DataFrame(out, columns=list(columns))
+
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, schema)
+
+
+def read_shapefile(spark: SparkSession, path: str) -> DataFrame:
+    """shape, part, vertex, lat and lon of points, polylines and polygons in .shp files, one task a file."""
+    import struct
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for content in b["content"]:
+                out, at, shape = [], 100, 0
+                while at + 12 <= len(content):
+                    size = struct.unpack(">i", content[at + 4 : at + 8])[0] * 2
+                    body = content[at + 8 : at + 8 + size]
+                    kind = struct.unpack("<i", body[:4])[0]
+                    if kind in (1, 11, 21):
+                        x, y = struct.unpack("<2d", body[4:20])
+                        out.append((shape, 0, 0, y, x))
+                    elif kind in (3, 5, 13, 15, 23, 25):
+                        parts, points = struct.unpack("<2i", body[36:44])
+                        starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+                        xy = np.frombuffer(body, dtype="<f8", count=2 * points, offset=44 + 4 * parts).reshape(-1, 2)
+                        out += [(shape, p, v - starts[p], float(xy[v, 1]), float(xy[v, 0])) for p in range(parts) for v in range(starts[p], starts[p + 1])]
+                    shape += 1
+                    at += 8 + size
+                yield pd.DataFrame(out, columns=["shape", "part", "vertex", "lat", "lon"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(unpack, "shape int, part int, vertex int, lat double, lon double")
