@@ -9,8 +9,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: type vocabularies of the two classes that are compared
-MONUMENTAL = ("amphitheatre", "aqueduct", "arch", "basilica", "church", "monument", "pyramid", "sanctuary", "shrine", "temple", "theatre", "tomb", "tumulus")
-SETTLEMENT = ("farmstead", "fortified-settlement", "port", "settlement", "settlement-modern", "townhouse", "villa", "village")
+MONUMENTAL = (
+    "pyramid", "temple", "temple-2", "sanctuary", "monument", "architecturalcomplex", "tomb", "church", "church-2", "amphitheatre", "hippodrome", "aqueduct", "dam", "lighthouse", "arch", "theatre", "basilica", "acropolis", "nuraghe", "tumulus", "shrine",
+)
+SETTLEMENT = (
+    "settlement", "settlement-modern", "village", "villa", "farmstead", "station", "findspot", "port", "mine", "mine-2", "quarry", "bath", "cistern", "bridge", "fortified-settlement", "townhouse", "production",
+)
+# fixed values: words in names of the two classes of dated sites, the first class goes before the second
+MONUMENTAL_WORDS = (
+    "temple", "pyramid", "tomb", "mound", "monument", "cairn", "megalith", "henge", "huaca", "ceremonial", "ritual", "geoglyph", "ahu", "moai", "stela", "ziggurat", "palace", "citadel", "fortress", "dolmen", "stone circle", "standing stone", "barrow", "tumulus", "sanctuary", "necropolis", "acropolis", "amphitheatre", "colosseum",
+)
+DOMESTIC_WORDS = (
+    "village", "settlement", "farm", "camp", "midden", "shell mound", "quarry", "mine", "shelter", "rockshelter", "workshop", "kiln", "pit", "habitation", "dwelling", "house", "homestead", "terrace", "field", "granary", "storehouse", "well", "cistern", "fishweir",
+)
+# fixed values: types of three uses that a place may have at once
+USES = (
+    ("mortuary", ("tomb", "tumulus", "necropolis", "mausoleum", "pyramid", "mastaba", "catacomb", "cemetery", "burial")),
+    ("ceremonial", ("temple", "sanctuary", "shrine", "altar", "church", "monastery", "synagogue", "sacred-grove", "temple-2", "church-2")),
+    ("administrative", ("palace", "fortress", "fort", "castle", "wall", "aqueduct", "bridge", "bath", "theater", "amphitheater", "arch", "hippodrome", "stadium", "forum", "amphitheatre", "theatre")),
+)
+# fixed values: types of another gazetteer
+ATLAS_TYPES = (
+    ("monumental", ("temple", "amphitheater", "theatre", "odeon", "stadium", "circus", "monument", "necropolis", "tumulus", "aqueduct/dam/cistern/spring", "basilica", "forum", "bath", "lighthouse", "bouleuterion")),
+    ("settlement", ("city", "town", "civitas", "villa", "settlement", "Late-Roman oppidum", "Iron-Age oppidum", "oasis")),
+    ("military", ("fort", "fortress", "camp", "fortlet/tower", "wall")),
+    ("infrastructure", ("station", "bridge", "port", "road/milestone", "mine/quarry", "production", "well")),
+)
+# fixed values: boxes of regions (south, north, west, east), tested in this order
+REGIONS = (
+    ("Egypt/Levant", 25.0, 35.0, 25.0, 40.0), ("Iran/Central Asia", 25.0, 40.0, 40.0, 65.0), ("South Asia", 5.0, 35.0, 65.0, 95.0), ("SE Asia", -15.0, 25.0, 95.0, 140.0),
+    ("Pacific/Oceania", -50.0, 25.0, 140.0, 180.0), ("Peru/Amazon", -20.0, 5.0, -85.0, -65.0), ("North Africa/Mediterranean", 15.0, 35.0, -20.0, 25.0), ("Sub-Saharan Africa", -10.0, 15.0, -20.0, 45.0),
+)
+# fixed values: types of an added list that are old whatever their date, and those that are late
+OLD_TYPES = ("pyramid", "temple", "geoglyph", "megalith", "stone_circle", "rock_art", "dolmen", "burial", "earthwork", "mound", "observatory", "ziggurat", "rock_cut_city", "trilithon", "jar_burial", "shrine", "rock", "aqueducts", "terraces")
+LATE_TYPES = ("fortress", "stela", "palace", "tower", "tomb", "rock_cut")
+# fixed values: periods of one valley, half-open, tested in this order
+VALLEY_PERIODS = (
+    ("Badarian", -4400, -4000), ("Naqada I", -4000, -3500), ("Naqada II", -3500, -3200), ("Naqada III", -3200, -3000), ("Early Dynastic", -3100, -2686), ("Old Kingdom", -2686, -2181), ("Pre-Badarian", None, -4400), ("Post-OK", -2181, None),
+)
 
 
 def type_set(text) -> Column:
@@ -92,3 +128,34 @@ def offset_bin(lon, reference: float, width: float) -> Column:
     """Bin of the longitude east of a reference, 0 to 360."""
     o = F.col(lon) if isinstance(lon, str) else lon
     return F.floor(F.pmod(o - reference, F.lit(360.0)) / width) * width
+
+
+def member_class(kind, sets: Sequence[tuple[str, Sequence[str]]] = ATLAS_TYPES, other: str = "other") -> Column:
+    """The first set that holds a type, letter for letter."""
+    t = F.col(kind) if isinstance(kind, str) else kind
+    out = None
+    for name, words in sets:
+        hit = F.coalesce(t.isin(*words), F.lit(False))
+        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
+    return out.otherwise(F.lit(other))
+
+
+def era_class(kind, year) -> Column:
+    """prehistoric or later by type, where that leaves it open by signed year: a citadel is later after 500, a settlement or city after -500."""
+    t, y = (F.col(v) if isinstance(v, str) else v for v in (kind, year))
+    dated = F.coalesce(y, F.lit(0)) != 0
+    return (
+        F.when(t.isin(*OLD_TYPES), "prehistoric").when(t.isin(*LATE_TYPES), "later")
+        .when(t == "citadel", F.when(dated & (y > 500), "later").otherwise("prehistoric"))
+        .when(t.isin("settlement", "city"), F.when(y.isNull() | (y < -500), "prehistoric").otherwise("later"))
+        .otherwise("prehistoric")
+    )
+
+
+def stage(subtype, bp) -> Column:
+    """Stage 1 to 6 of a hollow by its subtype and age; null for other subtypes."""
+    t, age = (F.col(v) if isinstance(v, str) else v for v in (subtype, bp))
+    cave = F.when((age >= 5000) & (age < 10000), 3).otherwise(1)
+    modified = F.when((age >= 5000) & (age < 10000), 3).otherwise(2)
+    cut = F.when((age >= 3000), 4).otherwise(F.when(age == 0, 4).otherwise(5))
+    return F.when(t == "natural_cave", cave).when(t == "modified_cave", modified).when(t == "rock_cut_monumental", cut).when(t == "artificial_complex", 6)

@@ -11,7 +11,7 @@ CALIBRATION_2 = ((2000, 1.0, 0.0), (5000, 1.05, -100.0), (10000, 1.08, -250.0),
 
 # fixed values: period words and the age in BP each stands for, the first that occurs counts
 PERIODS = (
-    ("paleolithic", 40000), ("palaeolithic", 40000), ("epipaleolithic", 12000), ("mesolithic", 10000), ("neolithic", 8000), ("chalcolithic", 6000), ("bronze age", 4500), ("iron age", 2800), ("roman", 1900), ("byzantine", 1500), ("medieval", 1000),
+    ("paleolithic", 40000), ("palaeolithic", 40000), ("mesolithic", 12000), ("epipaleolithic", 12000), ("neolithic", 7000), ("bronze age", 4000), ("iron age", 2800), ("roman", 2200), ("hellenistic", 2200), ("medieval", 1000), ("mediaeval", 1000), ("byzantine", 1000),
 )
 
 
@@ -39,21 +39,32 @@ def year_label(year) -> Column:
     return F.concat(F.abs(c).cast("string"), F.when(c < 0, F.lit(" BCE")).otherwise(F.lit(" CE")))
 
 
+def _found(c: Column) -> Column:
+    return F.nullif(c, F.lit("")).try_cast("long")
+
+
 def parse_date(text) -> Column:
-    """Signed year of "13th c CE", "2500 BCE", "300-100 BCE" (the middle, rounded down), "1200 CE"; null for the rest."""
-    t = F.lower(F.col(text) if isinstance(text, str) else text)
-    before = t.rlike(r"\bbce?\b")
-    sign = F.when(before, F.lit(-1)).otherwise(F.lit(1))
-    century = F.try_to_number(F.nullif(F.regexp_extract(t, r"(\d{1,2})(?:st|nd|rd|th)\s+c", 1), F.lit("")), F.lit("99")).cast("int")
-    low = F.regexp_extract(t, r"(\d{1,5})\s*[-–]\s*(\d{1,5})", 1)
-    high = F.regexp_extract(t, r"(\d{1,5})\s*[-–]\s*(\d{1,5})", 2)
-    one = F.regexp_extract(t, r"(\d{1,5})\s*(?:bce?|ce|ad)\b", 1)
-    number = lambda c: F.nullif(c, F.lit("")).cast("int")
-    return (
-        F.when(century.isNotNull(), F.when(before, -(century * 100 - 50)).otherwise(century * 100 - 50))
-        .when(low != "", F.floor((number(low) * sign + number(high) * sign) / 2).cast("int"))
-        .when(one != "", number(one) * sign)
-    )
+    """Signed year that a date begins with: "13th c CE" (the middle of the century), "2500 BCE", "300-100 BCE" (the middle, rounded down).
+
+    A range whose first year has no era is BCE if the second has one; "500 BCE-500 CE" is read as its first year. Null else.
+    """
+    t = F.col(text) if isinstance(text, str) else text
+    part = lambda pattern, k: F.regexp_extract(t, pattern, k)
+    signed = lambda n, era: F.when(era == "BCE", -n).otherwise(n)
+    century, single, spread = r"^(\d{1,9})(?:st|nd|rd|th)\s+c\s+(BCE|CE)", r"^(\d{1,9})\s*(BCE|CE)", r"^(\d{1,9})\s*(BCE|CE)?[-–](\d{1,9})\s*(BCE|CE)?"
+    c, n = _found(part(century, 1)), _found(part(single, 1))
+    y1, e1, y2, e2 = _found(part(spread, 1)), part(spread, 2), _found(part(spread, 3)), part(spread, 4)
+    first = F.when((e1 == "BCE") | (e1 == "") & (e2 != ""), -y1).otherwise(y1)
+    return F.when(c.isNotNull(), signed((c - 1) * 100 + 50, part(century, 2))).when(n.isNotNull(), signed(n, part(single, 2))).when(y2.isNotNull(), F.floor((first + signed(y2, e2)) / 2))
+
+
+def years_bce(text) -> Column:
+    """Years BCE, CE negative: of a signed year, "3000 BC", "500 AD", "3rd millennium BCE" and "13th c CE" (counted from its end)."""
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
+    plain = t.try_cast("double")
+    part = lambda pattern: _found(F.regexp_extract(t, "(?i)^" + pattern, 1))
+    bce, ce, thousand, century, century_bce = part(r"(\d{1,9})\s*BCE?"), part(r"(\d{1,9})\s*(?:CE|AD)"), part(r"(\d{1,9})\w*\s*millennium\s*BCE?"), part(r"(\d{1,9})\w*\s*c(?:entury)?\s*(?:CE|AD)"), part(r"(\d{1,9})\w*\s*c(?:entury)?\s*BCE?")
+    return F.when(plain.isNotNull(), -plain).when(bce.isNotNull(), bce).when(ce.isNotNull(), -ce).when(thousand.isNotNull(), thousand * 1000).when(century.isNotNull(), -century * 100).when(century_bce.isNotNull(), century_bce * 100).cast("double")
 
 
 def period_age(text) -> Column:

@@ -107,7 +107,7 @@ def q_type_enrichment(spark, d):
     return by.withColumn("rate", rate).where("total >= 20").select("type", "total", "within", r6(100.0 * F.col("within") / F.col("total")).alias("pct"), r6(F.col("within") / (F.col("rate") * F.col("total"))).alias("ratio"))
 
 
-BOXES = [("Levant", 29.0, 37.0, 34.0, 43.0), ("Nile", 22.0, 32.0, 24.0, 37.0), ("Andes", -35.0, 5.0, -82.0, -60.0), ("Europe", 35.0, 72.0, -25.0, 45.0), ("Asia", 0.0, 75.0, 45.0, 180.0), ("Pacific", -60.0, 30.0, -180.0, -100.0)]
+BOXES = classify.REGIONS
 
 
 @query("region_cascade", f"WITH {SITES} SELECT CASE " + " ".join(f"WHEN lat BETWEEN {s} AND {n} AND lon BETWEEN {w} AND {e} THEN '{k}'" for k, s, n, w, e in BOXES) + " ELSE 'Other' END AS region, cls, count(*) AS n FROM sites GROUP BY ALL")

@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None):
 _D = f"d AS (SELECT *, {circle()} AS km FROM sites)"
 _TYPES = "g AS (SELECT list_transform(string_split(lower(featureTypes), ','), lambda x: trim(x)) AS t FROM pleiades_places_latest WHERE reprLat BETWEEN -90 AND 90 AND reprLong BETWEEN -180 AND 180 AND NOT (reprLat = 0 AND reprLong = 0))"
 _L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-LABELS = [("mortuary", ["tomb", "tumulus"]), ("ceremonial", ["temple", "sanctuary", "shrine", "church"]), ("administrative", ["fort", "basilica", "acropolis"])]
+LABELS = classify.USES
 
 
 # --- classes --------------------------------------------------------------------------------------------------------------
@@ -386,3 +386,27 @@ def q_floor_null(spark, d):
     null = p.groupBy("trial", F.lit(0).alias("k")).agg(F.count_if(circle_km("lat", "lon") < 100).alias("n"))
     observed = s.groupBy(F.lit(0).alias("k")).agg(F.count_if(circle_km("lat", "lon") < 100).alias("n"))
     return nulls.null_summary(observed, null, ["k"], _N, 1.0).select("observed", r6("mu").alias("mu"), r6("sigma").alias("sigma"), r6("z").alias("z"))
+
+
+@query("site_keywords", "WITH k AS (SELECT CASE WHEN SiteName IS NULL OR SiteName = '' THEN 'unclassified' WHEN regexp_matches(lower(SiteName), '" + "|".join(classify.MONUMENTAL_WORDS) + "') THEN 'monumental' WHEN regexp_matches(lower(SiteName), '" + "|".join(classify.DOMESTIC_WORDS) + "') THEN 'domestic' ELSE 'unclassified' END AS cls FROM p3k14c_data) SELECT cls, count(*) AS n FROM k GROUP BY cls")
+def q_site_keywords(spark, d):
+    cls = classify.keyword_class("SiteName", [("monumental", classify.MONUMENTAL_WORDS), ("domestic", classify.DOMESTIC_WORDS)], "unclassified")
+    return table(spark, d, "p3k14c_data").groupBy(cls.alias("cls")).agg(F.count("*").alias("n"))
+
+
+@query("years_bce", "SELECT CASE WHEN TRY_CAST(trim(minDate) AS DOUBLE) IS NOT NULL THEN -TRY_CAST(trim(minDate) AS DOUBLE) WHEN regexp_matches(trim(minDate), '^\\d+\\s*BCE?', 'i') THEN regexp_extract(trim(minDate), '^(\\d+)', 1)::DOUBLE WHEN regexp_matches(trim(minDate), '^\\d+\\s*(CE|AD)', 'i') THEN -(regexp_extract(trim(minDate), '^(\\d+)', 1)::DOUBLE) END + 0.0 AS bce, count(*) AS n FROM pleiades_places_latest GROUP BY 1")
+def q_years_bce(spark, d):
+    return table(spark, d, "pleiades_places_latest").groupBy((dates.years_bce("minDate") + 0.0).alias("bce")).agg(F.count("*").alias("n"))
+
+
+@query("valley_periods", "SELECT CASE " + " ".join(f"WHEN {'y >= ' + str(a) if a is not None else 'TRUE'} AND {'y < ' + str(b) if b is not None else 'TRUE'} THEN '{k}'" for k, a, b in classify.VALLEY_PERIODS) + " ELSE 'other' END AS period, count(*) AS n FROM (SELECT TRY_CAST(minDate AS DOUBLE) AS y FROM pleiades_places_latest) WHERE y IS NOT NULL GROUP BY 1")
+def q_valley(spark, d):
+    y = table(spark, d, "pleiades_places_latest").select(F.expr("try_cast(minDate as double)").alias("y")).where("y is not null")
+    return y.groupBy(classify.period("y", classify.VALLEY_PERIODS).alias("period")).agg(F.count("*").alias("n"))
+
+
+@query("hollow_stages", "WITH k AS (SELECT CASE p_size % 5 WHEN 0 THEN 'natural_cave' WHEN 1 THEN 'modified_cave' WHEN 2 THEN 'rock_cut_monumental' WHEN 3 THEN 'artificial_complex' ELSE 'utilitarian' END AS t, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 60 * 1000 END AS bp FROM part) SELECT t AS subtype, CASE WHEN t = 'natural_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 1 END WHEN t = 'modified_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 2 END WHEN t = 'rock_cut_monumental' THEN CASE WHEN bp >= 3000 OR bp = 0 THEN 4 ELSE 5 END WHEN t = 'artificial_complex' THEN 6 END AS stage, count(*) AS n FROM k GROUP BY ALL")
+def q_stages(spark, d):
+    kinds = F.array(*map(F.lit, ("natural_cave", "modified_cave", "rock_cut_monumental", "artificial_complex", "utilitarian")))
+    k = table(spark, d, "part").select(F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int")).alias("subtype"), F.when(F.col("p_partkey") % 11 > 0, F.col("p_partkey") % 60 * 1000).alias("bp"))
+    return k.groupBy("subtype", classify.stage("subtype", "bp").alias("stage")).agg(F.count("*").alias("n"))

@@ -294,7 +294,7 @@ def q_pub_year(spark, d):
     return table(spark, d, "p3k14c_data").groupBy(dates.publication_year("Reference").alias("year")).agg(F.count("*").alias("n"))
 
 
-@query("date_parse", "WITH t AS (SELECT minDate AS m, lower(minDate) AS l FROM pleiades_places_latest), p AS (SELECT CASE WHEN regexp_matches(l, '\\bbce?\\b') THEN -1 ELSE 1 END AS s, nullif(regexp_extract(l, '(\\d{1,5})\\s*[-–]\\s*(\\d{1,5})', 1), '') AS a, nullif(regexp_extract(l, '(\\d{1,5})\\s*[-–]\\s*(\\d{1,5})', 2), '') AS b, nullif(regexp_extract(l, '(\\d{1,5})\\s*(?:bce?|ce|ad)\\b', 1), '') AS o FROM t), y AS (SELECT CASE WHEN a IS NOT NULL THEN floor((a::INT * s + b::INT * s) / 2)::INT WHEN o IS NOT NULL THEN o::INT * s END AS y FROM p) SELECT y AS year, count(*) AS n FROM y GROUP BY y")
+@query("date_parse", "WITH t AS (SELECT minDate AS m FROM pleiades_places_latest), p AS (SELECT m, regexp_extract(m, '^(\\d+)(?:st|nd|rd|th)\\s+c\\s+(BCE|CE)', ['n', 'e']) AS c, regexp_extract(m, '^(\\d+)\\s*(BCE|CE)', ['n', 'e']) AS s, regexp_extract(m, '^(\\d+)\\s*(BCE|CE)?[-–](\\d+)\\s*(BCE|CE)?', ['a', 'e', 'b', 'f']) AS r FROM t), y AS (SELECT CASE WHEN c.n <> '' THEN ((TRY_CAST(c.n AS BIGINT) - 1) * 100 + 50) * CASE WHEN c.e = 'BCE' THEN -1 ELSE 1 END WHEN s.n <> '' THEN TRY_CAST(s.n AS BIGINT) * CASE WHEN s.e = 'BCE' THEN -1 ELSE 1 END WHEN r.b <> '' THEN floor((TRY_CAST(r.a AS BIGINT) * CASE WHEN r.e = 'BCE' OR r.e = '' AND r.f <> '' THEN -1 ELSE 1 END + TRY_CAST(r.b AS BIGINT) * CASE WHEN r.f = 'BCE' THEN -1 ELSE 1 END) / 2)::BIGINT END AS y FROM p) SELECT y AS year, count(*) AS n FROM y GROUP BY y")
 def q_date_parse(spark, d):
     return table(spark, d, "pleiades_places_latest").groupBy(dates.parse_date("minDate").alias("year")).agg(F.count("*").alias("n"))
 

@@ -59,9 +59,16 @@ def test_folds_and_auc(spark):
 
 
 def test_dates_and_classes(spark):
-    texts = ["13th c CE", "2nd century BCE", "2500 BCE", "300-100 BCE", "1200 CE", "soon", None]
+    texts = ["13th c CE", "2nd c BCE", "2500 BCE", "300-100 BCE", "1200 CE", "500 BCE-500 CE", "300-101 BCE", "debated", None]
     got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(dates.parse_date("t")).collect()]
-    assert got == [1250, -150, -2500, -200, 1200, None, None]
+    assert got == [1250, -150, -2500, -200, 1200, -500, -201, None, None]
+    texts = ["-2000", "500", "3000 BC", "500 AD", "3rd millennium BCE", "13th c CE", "13th century BC", "x", " "]
+    got = [r[0] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").orderBy("k").select(dates.years_bce("t")).collect()]
+    assert got == [2000, -500, 3000, -500, 3000, -1300, 1300, None, None]
+    kinds = [("pyramid", None), ("tomb", -3000), ("citadel", 600), ("citadel", None), ("city", -600), ("city", 10), ("city", None), ("odd", 5)]
+    got = [r[0] for r in spark.createDataFrame([(k, t, y) for k, (t, y) in enumerate(kinds)], "k int, t string, y int").orderBy("k").select(classify.era_class("t", "y")).collect()]
+    assert got == ["prehistoric", "later", "later", "prehistoric", "prehistoric", "later", "prehistoric", "prehistoric"]
+    assert spark.range(1).select(classify.member_class(F.lit("fort"))).first()[0] == "military"
     r = spark.range(1).select(dates.period_age(F.lit("Epipaleolithic layer")).alias("a"), dates.year_label(F.lit(-5)).alias("b"), dates.publication_year(F.lit("x (1999) and (2005) 1980")).alias("c"), dates.publication_year(F.lit("none")).alias("d")).first()
     assert (r["a"], r["b"], r["c"], r["d"]) == (40000, "5 BCE", 2005, None)
     r = spark.range(1).select(classify.set_class(F.array(F.lit("temple"), F.lit("villa"))).alias("a"), classify.set_class(F.array(F.lit("temple"), F.lit("villa")), both=True).alias("b"), classify.set_class(F.lit(None).cast("array<string>")).alias("c"), classify.keyword_class(F.lit("Old TEMPLE (x)"), [("t", ["temple (x)"]), ("u", ["old"])]).alias("d")).first()
