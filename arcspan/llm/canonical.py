@@ -158,10 +158,11 @@ class Dictionary:
             single = {r for r in refs if any(" " not in normal(x) for i, _, ls in entries if i == r for x in ls)} or refs
             if len(single) == 1 and key not in self.exact:
                 self.short[key] = next(iter(single))
+        # the longer shortened forms may be misspelt like any phrase
         for ref, _, labels in entries:
             for head, _, rest in (normal(x).partition(" ") for x in labels):
-                for n in range(2, 6) if rest else ():
-                    if self.short.get(key := head[:n] + rest.replace(" ", "")) == ref:
+                for key in [head[:n] + rest.replace(" ", "") for n in range(2, 6) if rest] + [head[:n] for n in (5, 6) if len(head) >= 8]:
+                    if self.short.get(key) == ref:
                         self._keep(key, ref)
         self.longest = max(map(len, self.exact), default=0)
         for key in self.exact:
