@@ -34,25 +34,41 @@ def by_site(df: DataFrame, site: str, lat: str, lon: str, age: str, digits: int
 def ordered_fold(df: DataFrame, lat: str, lon: str, age: str, degrees: float = 0.01, years: float = 200.0) -> DataFrame:
     """Rows in order of rounded coordinates and age, less those that lie within the tolerances of the last kept row.
 
-    The fold depends on what was kept before, so it runs in Arrow groups; groups are runs of rounded latitude between
-    gaps wider than the tolerance, over which no row can drop another.
+    The fold depends on what was kept before, so it runs in Arrow groups: stretches of the order between gaps of more than
+    twice a tolerance, over which no kept row can reach. Of rows equal in coordinates and age one is kept beforehand (the
+    least of its other columns), so a stretch holds distinct ages of close places. Rows with a null in one of the three
+    columns are left out; an empty frame stays empty.
     """
-    keyed = df.withColumns({"__la": F.bround(lat, 2), "__lo": F.bround(lon, 2)})
-    bands = keyed.select("__la").distinct()
-    new = (F.col("__la") - F.lag("__la").over(Window.orderBy("__la")) > degrees + 1e-9).cast("int")
-    bands = bands.withColumn("__run", F.sum(F.coalesce(new, F.lit(1))).over(Window.orderBy("__la")))
-    joined = keyed.join(F.broadcast(bands) if bands.count() <= 18_001 else bands, "__la")
-    schema = joined.schema
+    rest = [c for c in df.columns if c not in (lat, lon, age)]
+    known = df.where(F.col(lat).isNotNull() & F.col(lon).isNotNull() & F.col(age).isNotNull())
+    one = known.groupBy(lat, lon, age).agg(*([F.min(F.struct(*rest)).alias("__rest")] if rest else [F.first(F.lit(0)).alias("__rest")]))
+    one = one.select(lat, lon, age, *([F.col(f"__rest.{c}").alias(c) for c in rest]))
+    keyed = one.withColumns({"__la": F.bround(lat, 2), "__lo": F.bround(lon, 2)})
+    reach, span = 2 * degrees + 0.0101, 2 * years
+    order = ["__lo", age, lat, lon]
+    w = Window.partitionBy("__la").orderBy(*order)
+    gap = (F.col("__lo") - F.lag("__lo").over(w) > reach) | (F.abs(F.col(age) - F.lag(age).over(w)) > span)
+    parts = keyed.withColumn("__new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("__i", F.sum("__new").over(w))
+    # one row a rounded latitude, 18 001 at most: whether its first stretch goes on from the latitude before
+    bands = parts.groupBy("__la").agg(F.min_by(F.struct("__lo", age), F.struct(*order)).alias("head"), F.max_by(F.struct("__lo", age), F.struct(*order)).alias("tail"), F.max("__i").alias("last"))
+    b = Window.orderBy("__la")
+    before = lambda c: F.lag(c).over(b)
+    linked = F.coalesce((F.col("__la") - before("__la") <= reach) & (F.abs(F.col("head.__lo") - before("tail.__lo")) <= reach) & (F.abs(F.col(f"head.{age}") - before(f"tail.{age}")) <= span), F.lit(False))
+    anchor = F.when(~linked, F.struct(F.col("__la").alias("la"), F.lit(0).cast("long").alias("i"))).when(before("last") > 0, F.struct(before("__la").alias("la"), before("last").cast("long").alias("i")))
+    roots = bands.withColumn("__anchor", anchor).select(F.col("__la").alias("__band"), F.last("__anchor", True).over(b.rowsBetween(Window.unboundedPreceding, 0)).alias("__root"))
+    joined = parts.join(F.broadcast(roots), F.col("__la") == F.col("__band"))
+    stretch = F.when(F.col("__i") == 0, F.col("__root")).otherwise(F.struct(F.col("__la").alias("la"), F.col("__i").cast("long").alias("i")))
+    joined = joined.withColumns({"__ga": stretch["la"], "__gi": stretch["i"]}).select(*df.columns, "__la", "__lo", "__ga", "__gi")
 
     def fold(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["__la", "__lo", age], kind="stable")
+        g = g.sort_values(["__la", "__lo", age, lat, lon], kind="stable")
         keep, last = np.zeros(len(g), dtype=bool), None
         for k, (a, o, t) in enumerate(zip(g[lat].to_numpy(), g[lon].to_numpy(), g[age].to_numpy())):
             if last is None or not (abs(a - last[0]) <= degrees and abs(o - last[1]) <= degrees and abs(t - last[2]) <= years):
                 keep[k], last = True, (a, o, t)
         return g[keep]
 
-    return joined.groupBy("__run").applyInPandas(fold, schema).select(*df.columns)
+    return joined.groupBy("__ga", "__gi").applyInPandas(fold, joined.schema).select(*df.columns)
 
 
 def greedy_radius(df: DataFrame, key: str, priority: str, km: float, source: str | None = None, rounds: int = 50) -> DataFrame:

@@ -129,16 +129,20 @@ def test_greedy_radius_against_loop(spark):
     assert {r["id"] for r in dedup.greedy_radius(s, "id", "rank", 1500.0).collect()} == {q.id for q in kept}
 
 
-def test_ordered_fold_against_loop(spark):
-    rng = np.random.default_rng(11)
-    rows = [(i, float(rng.integers(0, 50)) / 1000 + 0.0002, float(rng.integers(0, 50)) / 1000 + 0.0002, float(rng.integers(0, 800))) for i in range(60)]
+@pytest.mark.parametrize("seed, span, ages", [(11, 50, 800), (12, 2000, 3000), (13, 8, 100), (14, 300, 20000)])
+def test_ordered_fold_against_loop(spark, seed, span, ages):
+    rng = np.random.default_rng(seed)
+    rows = [(i, float(rng.integers(0, span)) / 1000 + 0.0002, float(rng.integers(0, 50)) / 1000 + 0.0002, float(rng.integers(0, ages))) for i in range(150)]
+    rows += rows[:5] + [(900, None, 1.0, 1.0)]
     df = spark.createDataFrame(rows, "id long, lat double, lon double, age double")
-    got = dedup.ordered_fold(df, "lat", "lon", "age").count()
-    last, n = None, 0
-    for _, a, o, t in sorted(rows, key=lambda r: (round(r[1], 2), round(r[2], 2), r[3])):
+    got = {tuple(r)[1:] for r in dedup.ordered_fold(df, "lat", "lon", "age").collect()}
+    last, kept = None, []
+    for _, a, o, t in sorted([r for r in rows if r[1] is not None], key=lambda r: (round(r[1], 2), round(r[2], 2), r[3], r[1], r[2])):
         if last is None or not (abs(a - last[0]) <= 0.01 and abs(o - last[1]) <= 0.01 and abs(t - last[2]) <= 200):
-            last, n = (a, o, t), n + 1
-    assert got == n
+            last = (a, o, t)
+            kept.append(last)
+    assert got == set(kept) and len(got) == len(kept)
+    assert dedup.ordered_fold(df.limit(0), "lat", "lon", "age").count() == 0
 
 
 def test_fit_pole_finds_the_circle(spark):
