@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcspan.operators.joins import distance_pairs
+from arcspan.functions.geo import haversine_km
+from arcspan.operators.joins import with_cells
+from arcspan.operators.spatial import near_join, usable_points
 from arcspan.plans.runtime import cut_lineage
 
 
@@ -71,24 +73,47 @@ def ordered_fold(df: DataFrame, lat: str, lon: str, age: str, degrees: float = 0
     return joined.groupBy("__ga", "__gi").applyInPandas(fold, joined.schema).select(*df.columns)
 
 
-def greedy_radius(df: DataFrame, key: str, priority: str, km: float, source: str | None = None, rounds: int = 50) -> DataFrame:
-    """Rows kept when each, in order of priority then key, is dropped if a kept one lies within km (of another source, if given).
+def greedy_radius(df: DataFrame, key: str, priority: str, km: float) -> DataFrame:
+    """Rows kept when, in order of priority then key, a row is dropped if a kept one lies within km.
 
-    Rounds over the pairs within km: a row all of whose better neighbours are dropped is kept, one with a kept better
-    neighbour is dropped. Lineage is cut by reliable checkpoints.
+    Rounds over cells, not over pairs: the best undecided row of a cell is kept if it is better than the best undecided
+    rows of all cells within its reach; then what lies within km of a newly kept row is dropped, of which there are few in
+    reach of any row, as kept rows lie more than km apart. The overall best row is decided in each round, so the loop ends.
+    Lineage is cut by reliable checkpoints. Rows without usable coordinates are kept; keys must be unique and not null.
     """
-    pairs = distance_pairs(df, df, key, key, km).where("a <> b")
-    attrs = df.select(F.col(key).alias("a"), F.col(priority).alias("pa"), *([F.col(source).alias("sa")] if source else []))
-    edges = pairs.join(attrs, "a").join(attrs.select(F.col("a").alias("b"), F.col("pa").alias("pb"), *([F.col("sa").alias("sb")] if source else [])), "b")
-    if source:
-        edges = edges.where("sa <> sb")
-    edges = cut_lineage(edges.where(F.struct("pb", "b") < F.struct("pa", "a")).select("a", F.col("b").alias("better")))
-    state = cut_lineage(df.select(F.col(key).alias("a")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
-        seen = edges.join(state.select(F.col("a").alias("better"), F.col("kept").alias("bk")), "better").groupBy("a").agg(F.bool_or(F.coalesce("bk", F.lit(False))).alias("hit"), F.bool_or(F.col("bk").isNull()).alias("wait"))
-        state = cut_lineage(
-            state.join(seen, "a", "left").select("a", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), F.lit(False)).when(F.coalesce("wait", F.lit(False)), F.lit(None)).otherwise(F.lit(True)).alias("kept"))
-        )
-        if state.where("kept is null").isEmpty():
+    cell = max(0.02, km / 111.195)
+    todo = cut_lineage(usable_points(df, "lat", "lon", F.col(key).alias("k"), F.struct(F.col(priority).alias("p"), F.col(key).alias("k")).alias("r")).select("k", F.col("r.p").alias("p"), "lat", "lon"))
+    rank = lambda: F.struct("p", "k")
+    dropped = None
+    while True:
+        owned = with_cells(todo, 0.0, cell)
+        best = cut_lineage(owned.groupBy("cell").agg(F.min_by(F.struct("k", "p", "lat", "lon"), rank()).alias("x")).select("cell", "x.*"))
+        if best.isEmpty():
             break
-    return df.join(state.where("kept").select(F.col("a").alias(key)), key, "left_semi")
+        seen = with_cells(best.select("k", "p", "lat", "lon"), km, cell).join(best.select("cell", F.struct(F.col("p"), F.col("k")).alias("b")), "cell")
+        kept = cut_lineage(seen.groupBy("k", "p", "lat", "lon").agg(F.min("b").alias("b")).where(F.struct("p", "k") == F.col("b")).select("k", "p", "lat", "lon"))
+        near = with_cells(kept.select("k", "p", "lat", "lon"), km, cell).select("cell", F.col("k").alias("kk"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
+        gone = owned.join(near, "cell").where((F.col("k") != F.col("kk")) & (haversine_km("lat", "lon", "la", "lo") <= km)).select("k").distinct()
+        gone = cut_lineage(gone)
+        dropped = gone if dropped is None else cut_lineage(dropped.unionByName(gone))
+        todo = cut_lineage(todo.join(gone, "k", "left_anti").join(kept.select("k"), "k", "left_anti"))
+    return df if dropped is None else df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
+
+
+def without_other_source(df: DataFrame, key: str, priority: str, source: str, km: float) -> DataFrame:
+    """Rows of the sources in order of priority, each less the rows within km of a kept row of a better source.
+
+    One pass a source: rows of one source never drop each other. The number of sources is a stated list's.
+    """
+    order = [r[0] for r in df.groupBy(source).agg(F.min(priority).alias("p")).orderBy("p", source).limit(1_001).collect()]
+    if len(order) > 1_000:
+        raise ValueError("more than 1 000 sources")
+    kept = None
+    for name in order:
+        part = df.where(F.col(source).eqNullSafe(name))
+        if kept is not None:
+            hit = near_join(part, kept, key, key, km).select(F.col("place_key").alias(key)).distinct()
+            part = part.join(hit, key, "left_anti")
+        part = cut_lineage(part)
+        kept = part if kept is None else kept.unionByName(part)
+    return df if kept is None else kept

@@ -11,7 +11,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arcspan.functions.geo import haversine_km
+from arcspan.functions.geo import EARTH_RADIUS_KM, haversine_km
 from arcspan.operators.poles import unit_vectors
 from arcspan.operators.spatial import grow_quadtree, haversine_np, leaf_salts, near_join, share_out, usable_points
 
@@ -20,6 +20,36 @@ NEAREST_LEAVES = 2_000
 BLOCK = 2_000_000
 
 
+def _cells(lat: float, lon: float, km: float, cell: float) -> list[int]:
+    """Cells that a circle touches, in rows of latitude each cut into about as wide cells."""
+    up = math.degrees(km / EARTH_RADIUS_KM) * (1 + 1e-9) + 1e-9 * (km > 0)
+    low, high = max(lat - up, -90.0), min(lat + up, 90.0)
+    out = []
+    for band in range(math.floor((low + 90.0) / cell), math.floor((high + 90.0) / cell) + 1):
+        edge = min(90.0, max(abs(band * cell - 90.0), abs((band + 1) * cell - 90.0)))
+        count = max(1, math.floor(360.0 * math.cos(math.radians(edge)) / cell))
+        sine = math.sin(math.radians(min(up, 90.0))) / max(math.cos(math.radians(lat)), 1e-12)
+        wide = 180.0 if km > 0 and (abs(lat) + up >= 90.0 or sine >= 1) else math.degrees(math.asin(min(sine, 1.0))) + 1e-9 * (km > 0)
+        first, last = math.floor((lon + 180.0 - wide) / 360.0 * count), math.floor((lon + 180.0 + wide) / 360.0 * count)
+        out += [band * 100_000_000 + k % count for k in (range(count) if last - first + 1 >= count else range(first, last + 1))]
+    return out
+
+
+def with_cells(df: DataFrame, km: float, cell: float, name: str = "cell") -> DataFrame:
+    """A row for each cell, of so many degrees, that a circle of km around the row's lat and lon touches."""
+    schema = df.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [_cells(a, o, km, cell) for a, o in zip(b["lat"], b["lon"])]
+            out = b.loc[b.index.repeat([len(f) for f in found])].copy()
+            out[name] = np.array([c for f in found for c in f], dtype="int64")
+            yield out
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return df.mapInPandas(run, f"{fields}, {name} bigint")
+
+
 def distance_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
     """a, b and km of all pairs of a left and a right row (with lat and lon) at most km apart; see near_join for edge cases."""
     key = lambda i: F.concat_ws("\u0001", F.col(i).cast("string"), F.col("lat").cast("string"), F.col("lon").cast("string")).alias("k")

@@ -119,14 +119,23 @@ def test_circular(spark):
     assert axial["x"]["r"] == pytest.approx(1)
 
 
-def test_greedy_radius_against_loop(spark):
+@pytest.mark.parametrize("km", [300.0, 1500.0])
+def test_greedy_radius_against_loop(spark, km):
     s = points(spark, 80, 9).withColumn("rank", F.col("id") % 7)
-    p = s.toPandas().sort_values(["rank", "id"])
+    hot = spark.createDataFrame([(1000 + i, 10.0 + i * 1e-5, 20.0, 3) for i in range(60)] + [(2000, 89.9, 0.0, 1), (2001, 89.9, 180.0, 2), (2002, -45.0, 179.99, 1), (2003, -45.0, -179.99, 2), (2004, None, 1.0, 1)], "id long, lat double, lon double, rank long")
+    s = s.unionByName(hot)
     kept = []
-    for r in p.itertuples():
-        if all(haversine_np(r.lat, r.lon, q.lat, q.lon) > 1500.0 for q in kept):
+    for r in s.where("lat is not null").toPandas().sort_values(["rank", "id"]).itertuples():
+        if all(haversine_np(r.lat, r.lon, q.lat, q.lon) > km for q in kept):
             kept.append(r)
-    assert {r["id"] for r in dedup.greedy_radius(s, "id", "rank", 1500.0).collect()} == {q.id for q in kept}
+    assert {r["id"] for r in dedup.greedy_radius(s, "id", "rank", km).collect()} == {q.id for q in kept} | {2004}
+    assert dedup.greedy_radius(s.limit(0), "id", "rank", km).count() == 0
+
+
+def test_sources_in_order_of_priority(spark):
+    rows = [(1, "a", 0, 10.0, 10.0), (2, "a", 0, 10.0, 10.001), (3, "b", 1, 10.0, 10.0005), (4, "b", 1, 12.0, 10.0), (5, "c", 2, 12.0, 10.001), (6, None, 3, 50.0, 1.0)]
+    df = spark.createDataFrame(rows, "id long, src string, p int, lat double, lon double")
+    assert {r["id"] for r in dedup.without_other_source(df, "id", "p", "src", 2.0).collect()} == {1, 2, 4, 6}
 
 
 @pytest.mark.parametrize("seed, span, ages", [(11, 50, 800), (12, 2000, 3000), (13, 8, 100), (14, 300, 20000)])
