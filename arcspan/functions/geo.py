@@ -229,3 +229,11 @@ def mutual_inclination(pole1_lat, pole1_lon, pole2_lat, pole2_lon) -> Column:
     """Angle between two great circles, 0 to 90."""
     d = angular_separation(pole1_lat, pole1_lon, pole2_lat, pole2_lon)
     return F.least(d, F.lit(180.0) - d)
+
+
+def frame_point(angle_deg, pole=DEFAULT_POLE, origin: tuple[float, float] = GIZA) -> tuple[Column, Column]:
+    """Latitude and longitude of the circle's point at an angle from its point nearest to the origin."""
+    _, u, v = _frame(pole, origin)
+    c, s = F.cos(F.radians(col(angle_deg))), F.sin(F.radians(col(angle_deg)))
+    x, y, z = (c * a + s * b for a, b in zip(u, v))
+    return F.degrees(F.asin(held(z, -1.0, 1.0))), F.degrees(F.atan2(y, x))

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from arcspan.functions import classify, dates, geo
 from arcspan.functions.geo import band_sine, circle_km, haversine_km
-from arcspan.operators import circular, dedup, fit, joins, nulls, poles, raster, stats, windows
-from arcspan.operators.spatial import usable_points
+from arcspan.operators import dedup, joins, nulls, poles, windows
 from arcspan.plans.runtime import not_blank, table
-from arcspan.plans.sqltext import PI, SITES, SITES2, bearing, circle, hav, wrap
+from arcspan.plans.sqltext import PI, SITES, bearing, circle, hav, wrap
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -246,11 +245,9 @@ SELECT km, observed, round(mu, 6) AS mu, round(sigma, 6) AS sigma, round(CASE WH
 
 def _null_query(joint: bool):
     def run(spark, d):
-        s = nulls.numbered(sites(spark, d), ["id"]).select("row", "lat", "lon")
-        n = s.count()
-        # row numbers by hash differ from row numbers by id, so the sites are numbered by their own dense key
+        # ids are dense from 0 here; elsewhere nulls.numbered() gives such row numbers
         s = sites(spark, d).select(F.col("id").alias("row"), "lat", "lon")
-        null = nulls.corridor_counts(nulls.matched_points(s, TRIALS, n, joint), [100.0, 500.0], ["trial"])
+        null = nulls.corridor_counts(nulls.matched_points(s, TRIALS, s.count(), joint), [100.0, 500.0], ["trial"])
         observed = nulls.corridor_counts(s.withColumn("all", F.lit(0)), [100.0, 500.0], ["all"]).select("km", "n")
         out = nulls.null_summary(observed, null, ["km"], TRIALS)
         return out.select("km", "observed", *[r6(c).alias(c) for c in ("mu", "sigma", "z", "enrichment", "p")])

@@ -410,3 +410,102 @@ def q_stages(spark, d):
     kinds = F.array(*map(F.lit, ("natural_cave", "modified_cave", "rock_cut_monumental", "artificial_complex", "utilitarian")))
     k = table(spark, d, "part").select(F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int")).alias("subtype"), F.when(F.col("p_partkey") % 11 > 0, F.col("p_partkey") % 60 * 1000).alias("bp"))
     return k.groupBy("subtype", classify.stage("subtype", "bp").alias("stage")).agg(F.count("*").alias("n"))
+
+
+# --- the rest ---------------------------------------------------------------------------------------------------------------
+
+
+@query("sampled_circle_distance", f"WITH {SITES}, p AS (SELECT range AS bearing, degrees(asin(cos(radians(59.682122)) * cos(radians(range)))) AS plat FROM range(360)), q AS (SELECT plat, -138.646087 + degrees(atan2(sin(radians(bearing)) * cos(radians(59.682122)), -sin(radians(59.682122)) * sin(radians(plat)))) AS plon FROM p) SELECT id, round(min({hav('lat', 'lon', 'plat', 'plon')}), 6) AS km FROM sites, q GROUP BY id")
+def q_sampled(spark, d):
+    trace = spark.range(360).select("id", geo.point_lat(F.col("id")).alias("lat"), geo.point_lon(F.col("id"), wrapped=True).alias("lon"))
+    return joins.nearest(sites(spark, d), trace, "id", "id").select("id", r6("km").alias("km"))
+
+
+@query("arc_origins", f"WITH {SITES} SELECT id, round({bearing('59.682122', '-138.646087', 'lat', 'lon')}, 5) AS from_north, round({_frame_sql()[0]}, 5) AS from_giza FROM sites")
+def q_origins(spark, d):
+    return sites(spark, d).select("id", r6(geo.pole_bearing("lat", "lon"), 5).alias("from_north"), r6(geo.arc_position("lat", "lon"), 5).alias("from_giza"))
+
+
+@query("offset_points", f"WITH {SITES} SELECT id, round(lat + (59.682122 - lat) * 0.01, 6) AS lat, round(lon + ((((-138.646087 - lon + 180) % 360 + 360) % 360) - 180) * 0.01, 6) AS lon FROM sites")
+def q_offset(spark, d):
+    la, lo = geo.offset_toward_pole("lat", "lon", 0.01)
+    return sites(spark, d).select("id", r6(la).alias("lat"), r6(lo).alias("lon"))
+
+
+_NATIONS = "p AS (SELECT n_nationkey AS id, ((n_nationkey * 7919) % 18001) / 100.0 - 90.0 AS lat, ((n_nationkey * 104729) % 36001) / 100.0 - 180.0 AS lon FROM nation)"
+
+
+@query("triplets", f"WITH {_NATIONS}, t AS (SELECT a.id AS a, b.id AS b, c.id AS c, sqrt(pow(b.lon - a.lon, 2) + pow(b.lat - a.lat, 2)) AS ab, sqrt(pow(c.lon - b.lon, 2) + pow(c.lat - b.lat, 2)) AS bc, sqrt(pow(c.lon - a.lon, 2) + pow(c.lat - a.lat, 2)) AS ca FROM p a JOIN p b ON a.id < b.id JOIN p c ON b.id < c.id) SELECT a, b, c, round(degrees(greatest(acos(greatest(-1, least(1, (ab * ab + ca * ca - bc * bc) / (2 * ab * ca)))), acos(greatest(-1, least(1, (ab * ab + bc * bc - ca * ca) / (2 * ab * bc)))), acos(greatest(-1, least(1, (bc * bc + ca * ca - ab * ab) / (2 * bc * ca)))))), 3) AS widest FROM t")
+def q_triplets(spark, d):
+    """Triples of a stated list of places, cut to pieces by array functions; the list is refused beyond 200 places."""
+    n = table(spark, d, "nation")
+    p = n.select(F.struct(F.col("n_nationkey").alias("id"), (F.pmod(F.col("n_nationkey") * 7919, F.lit(18001)) / 100.0 - 90.0).alias("lat"), (F.pmod(F.col("n_nationkey") * 104729, F.lit(36001)) / 100.0 - 180.0).alias("lon")).alias("x"))
+    if n.limit(201).count() > 200:
+        raise ValueError("triples are made of a stated list of at most 200 places")
+    one = p.agg(F.sort_array(F.collect_list("x")).alias("all"))
+    two = one.select("all", F.posexplode("all").alias("i", "a")).select("a", F.expr("slice(all, i + 2, 200)").alias("rest"))
+    three = two.select("a", "rest", F.posexplode("rest").alias("j", "b")).select("a", "b", F.explode(F.expr("slice(rest, j + 2, 200)")).alias("c"))
+    return three.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("c.id").alias("c"), r6(geo.collinearity("a.lat", "a.lon", "b.lat", "b.lon", "c.lat", "c.lon"), 3).alias("widest"))
+
+
+@query("substring_anti_join", "WITH w AS (SELECT unnest(['ring', 'small', 'blue bolt extra', 'red']) AS word) SELECT p_name, count(*) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(p_name, word) OR contains(word, p_name)) GROUP BY p_name")
+def q_substring(spark, d):
+    words = F.array(*map(F.lit, ("ring", "small", "blue bolt extra", "red")))
+    clash = F.exists(words, lambda w: F.contains(F.col("p_name"), w) | F.contains(w, F.col("p_name")))
+    return table(spark, d, "part").where(~clash).groupBy("p_name").agg(F.count("*").alias("n"))
+
+
+@query("mode_value", "WITH c AS (SELECT o_orderpriority AS g, o_custkey, count(*) AS n FROM orders GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY n DESC, o_custkey) AS k FROM c) SELECT g, o_custkey AS most, n FROM r WHERE k = 1")
+def q_mode(spark, d):
+    c = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("g"), "o_custkey").agg(F.count("*").alias("n"))
+    return c.groupBy("g").agg(F.max_by("o_custkey", F.struct("n", -F.col("o_custkey"))).alias("most"), F.max("n").alias("n"))
+
+
+@query("dedup_first_site", "SELECT SiteID AS site, min(rec_id) AS rec_id FROM p3k14c_data WHERE trim(SiteID) <> '' GROUP BY 1")
+def q_first_site(spark, d):
+    from arcspan.operators.dedup import first_by_key
+    from arcspan.plans.runtime import not_blank
+
+    t = table(spark, d, "p3k14c_data").where(not_blank("SiteID")).select("SiteID", "rec_id")
+    return first_by_key(t, {"site": F.col("SiteID")}, ["rec_id"]).select("site", "rec_id")
+
+
+@query("corridor_k", f"WITH {SITES}, {_POLES}, r AS (SELECT unnest([50.0, 100.0, 200.0, 400.0, 800.0, 1600.0])::DOUBLE AS km), c AS (SELECT r.km, pole_id, count(*) FILTER (WHERE {_DOT} <= sin(r.km / 6371.0)) AS n FROM sites, poles, r GROUP BY ALL), o AS (SELECT r.km, count(*) FILTER (WHERE {circle()} <= r.km) AS obs FROM sites, r GROUP BY r.km) SELECT km, any_value(obs) AS observed, round(any_value(obs) / avg(n) - 1, 6) AS l, round((any_value(obs) - avg(n)) / stddev_pop(n), 6) AS z, round(quantile_cont(n, 0.025), 6) AS low, round(quantile_cont(n, 0.975), 6) AS high FROM c JOIN o USING (km) GROUP BY km")
+def q_corridor_k(spark, d):
+    s, radii = sites(spark, d), [50.0, 100.0, 200.0, 400.0, 800.0, 1600.0]
+    drawn = nulls.random_poles(spark.range(200).select(F.col("id").alias("pole_id")), 5).collect()  # as many as were asked for
+    c = poles.pole_counts(s, [(r["pole_id"], r["lat"], r["lon"]) for r in drawn], radii)
+    n = c.groupBy("km").agg(F.avg("n").alias("mu"), F.stddev_pop("n").alias("sd"), F.percentile("n", 0.025).alias("low"), F.percentile("n", 0.975).alias("high"))
+    o = nulls.corridor_counts(s.withColumn("k", F.lit(0)), radii, ["k"]).select("km", F.col("n").alias("observed"))
+    return o.join(n, "km").select("km", "observed", r6(F.col("observed") / F.col("mu") - 1).alias("l"), r6((F.col("observed") - F.col("mu")) / F.col("sd")).alias("z"), r6("low").alias("low"), r6("high").alias("high"))
+
+
+@query("kde_peaks", f"WITH {SITES}, b AS (SELECT floor({_frame_sql()[0]} / 0.25) * 0.25 + 0.125 AS c, count(*) AS n FROM sites GROUP BY 1), g AS (SELECT range AS k FROM range(72)), f AS (SELECT k, sum(n * exp(-0.5 * pow(abs(((k * 5.0 - c + 180.0 + 360.0) % 360) - 180.0) / 8.0, 2)) / (8.0 * sqrt(2 * pi()))) AS v FROM b, g GROUP BY k) SELECT a.k * 5.0 AS at, round(a.v, 6) AS density FROM f a JOIN f l ON l.k = (a.k + 71) % 72 JOIN f r ON r.k = (a.k + 1) % 72 WHERE a.v > l.v AND a.v > r.v AND a.v > 1.02 * (SELECT avg(v) FROM f)")
+def q_peaks(spark, d):
+    f = stats.wrapped_density(sites(spark, d).withColumn("arc", geo.arc_position("lat", "lon")), "arc", 72, 8.0).withColumn("k", F.round(F.col("at") / 5.0).cast("int"))
+    one = Window.partitionBy(F.lit(0))  # 72 grid points
+    w = one.orderBy("k")
+    left = F.coalesce(F.lag("density").over(w), F.max_by("density", "k").over(one))
+    right = F.coalesce(F.lead("density").over(w), F.min_by("density", "k").over(one))
+    return f.withColumns({"l": left, "r": right, "m": F.avg("density").over(one)}).where("density > l and density > r and density > 1.02 * m").select("at", r6("density").alias("density"))
+
+
+@query("nearest_raster_cell", f"WITH {SITES}, grid AS (SELECT a.range AS row, b.range AS col, ((a.range * 37 + b.range * 91) % 1000) / 10.0 AS value FROM range(37) a, range(72) b), p AS (SELECT id, round_even((90.0 - lat) / 5.0, 0) AS r, round_even((lon + 180.0) / 5.0, 0)::BIGINT % 72 AS c FROM sites) SELECT p.id, value FROM p JOIN grid ON row = r AND col = c")
+def q_cell(spark, d):
+    from arcspan.operators import raster
+    from arcspan.plans.reference_stats import _grid
+
+    return raster.nearest_cell(sites(spark, d), _grid(spark), 5.0).select("id", "value")
+
+
+@query("monotone_gradient", f"WITH {SITES}, c AS (SELECT nation % 5 AS step, count(*) AS n, count(*) FILTER (WHERE {circle()} <= 500) AS o FROM sites GROUP BY 1), z AS (SELECT step, (o - n * sin(500 / 6371.0)) / sqrt(n * sin(500 / 6371.0)) AS z FROM c), l AS (SELECT step, z, lag(z) OVER (ORDER BY step) AS p FROM z) SELECT count(*) AS steps, bool_and(p IS NULL OR z <= p) AS falling, round(max(z) - min(z), 6) AS span FROM l")
+def q_monotone(spark, d):
+    c = sites(spark, d).groupBy((F.col("nation") % 5).alias("step")).agg(F.count("*").alias("n"), F.count_if(circle_km("lat", "lon") <= 500).alias("o"))
+    e = F.col("n") * math.sin(500 / 6371.0)
+    z = c.withColumn("z", (F.col("o") - e) / F.sqrt(e)).withColumn("p", F.lag("z").over(Window.partitionBy(F.lit(0)).orderBy("step")))
+    return z.agg(F.count("*").alias("steps"), F.bool_and(F.col("p").isNull() | (F.col("z") <= F.col("p"))).alias("falling"), r6(F.max("z") - F.min("z")).alias("span"))
+
+
+@query("precession", "SELECT c_custkey AS id, round((((c_custkey % 360) + c_nationkey * 100 * 50.29::DOUBLE / 3600.0) % 360), 6) AS lon FROM customer")
+def q_precession(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), r6(geo.precessed_lon(F.col("c_custkey") % 360, F.col("c_nationkey") * 100)).alias("lon"))

@@ -1,4 +1,4 @@
-"""Tables, checkpoints and size-checked broadcasts."""
+"""Tables and checkpoints."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 100_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,12 +27,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint where a count proves the side small; else the plain frame, so that the join shuffles."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
-
-
 def not_blank(column) -> F.Column:
     """False for null, empty and only-space strings."""
     return F.coalesce(F.trim(column) != "", F.lit(False))

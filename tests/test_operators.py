@@ -76,6 +76,11 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert abs(u[0] - 0.5) < 0.02 and 0 < u[1] and u[2] < 1 and abs(u[3]) < 0.05 and abs(u[4] - 1) < 0.05
 
 
+def test_numbered_is_dense(spark):
+    got = nulls.numbered(spark.range(5, 105, 3).repartition(5), ["id"]).toPandas()
+    assert sorted(got["row"]) == list(range(len(got)))
+
+
 def test_null_summary_counts_missing_trials(spark):
     observed = spark.createDataFrame([(1, 3), (2, 0)], "km int, n long")
     null = spark.createDataFrame([(0, 1, 4), (1, 1, 2)], "trial long, km int, n long")

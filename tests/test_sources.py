@@ -2,8 +2,6 @@ import json
 import zipfile
 
 import numpy as np
-from pyspark.sql import functions as F
-
 from arcspan.sources import points as src
 
 KML = '<?xml version="1.0"?><kml><Document><Placemark><name>A</name><Point><coordinates>10.5,20.5,3</coordinates></Point></Placemark><Placemark><name>B</name><styleUrl>#late</styleUrl><Point><coordinates>bad</coordinates></Point></Placemark></Document></kml>'

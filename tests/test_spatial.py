@@ -1,6 +1,4 @@
 import numpy as np
-import pandas as pd
-import pytest
 
 from arcspan.operators.spatial import PackedRTree, QuadTree, haversine_np, near_join, region_join
 
