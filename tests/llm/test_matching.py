@@ -1,5 +1,4 @@
 import numpy as np
-import pytest
 
 from arcspan.llm.matching import Mixture, match, rounding_km, site_profiles
 from arcspan.llm.names import parts
