@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BP, B2K, BCE, CE, CALENDAR = "bp", "b2k", "bce", "ce", "cal"
@@ -288,12 +288,11 @@ def to_year(value: Decimal, unit: Unit) -> Decimal:
     return {BP: 1950 - v, B2K: 2000 - v, BCE: -abs(v), CE: v, CALENDAR: v}[unit.epoch]
 
 
-def standard(text: str, stated: tuple[Unit | None, ...], common: str) -> int | None:
-    """The value in the common unit (BP or CALENDAR), or None if it is no case.
+def reading(text: str, stated: tuple[Unit | None, ...], common: str) -> tuple[Decimal, Unit] | None:
+    """The signed calendar year that a value means and the unit it was read in; None if it is not one quantity.
 
-    No case: no single quantity, or a plain number already in the common unit. The unit written with the value goes
-    before the stated ones, in order. A scale without an epoch counts back from the present; a minus sign without one
-    marks a calendar year, as an age is never negative.
+    The unit written with the value goes before the stated ones, in order. A scale without an epoch counts back from the
+    present; a minus sign without one marks a calendar year, as an age is never negative.
     """
     parsed = parse_value(text)
     if parsed is None:
@@ -308,9 +307,17 @@ def standard(text: str, stated: tuple[Unit | None, ...], common: str) -> int | N
         unit = Unit(None, CALENDAR if value < 0 else common)
     if unit.epoch is None:
         unit = Unit(unit.scale, BP)
+    return to_year(value, unit), unit
+
+
+def standard(text: str, stated: tuple[Unit | None, ...], common: str) -> int | None:
+    """The value in the common unit (BP or CALENDAR), or None if it is no case: not one quantity, or plainly in that unit already."""
+    found = reading(text, stated, common)
+    if found is None:
+        return None
+    year, unit = found
     if unit.epoch == common and unit.scale in (None, Decimal(1)) and _PLAIN.fullmatch(text):
         return None
-    year = to_year(value, unit)
     return int((1950 - year if common == BP else year).quantize(Decimal(1), ROUND_HALF_UP))
 
 
@@ -338,6 +345,18 @@ def stated_units(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"unit_key {kind}, unit string")
 
 
+def _rows(df: DataFrame, key: str, value: str, note: str | None, source: str | None, common: str, sources: DataFrame | None) -> tuple[DataFrame, Column]:
+    """rec_key, v, n and unit of the rows with a value, and whether a row is a plain number in the common unit about which no note says anything."""
+    rows = df.where(F.coalesce(F.trim(value) != "", F.lit(False))).select(F.col(key).alias("rec_key"), F.col(value).alias("v"), (F.col(note) if note else F.lit(None).cast("string")).alias("n"), (F.col(source) if source else F.lit(None).cast("string")).alias("unit_key"))
+    if sources is not None:
+        rows = rows.join(sources.where(F.col("unit").isNotNull()), "unit_key", "left")
+    else:
+        rows = rows.withColumn("unit", F.lit(None).cast("string"))
+    number = r"^\s*\+?\d{1,9}(\.\d{1,9})?\s*$" if common == BP else r"^\s*[+-]?\d{1,9}(\.\d{1,9})?\s*$"
+    plain = F.col("n").isNull() & (F.col("unit").isNull() | (F.col("unit") == Unit(None, common).code())) & F.col("v").rlike(number)
+    return rows.select("rec_key", "v", "n", "unit"), plain
+
+
 def standard_values(df: DataFrame, key: str, value: str, note: str | None, source: str | None, common: str, sources: DataFrame | None = None) -> DataFrame:
     """rec_key and std_value (bigint) for each row whose value states one quantity and is not plainly in the common unit.
 
@@ -345,14 +364,7 @@ def standard_values(df: DataFrame, key: str, value: str, note: str | None, sourc
     size is under its threshold. Null and blank values, limits, ranges and words give no row; null notes and sources
     state nothing; repeated rows stay repeated; an empty table gives no rows; other columns are not read.
     """
-    rows = df.where(F.coalesce(F.trim(value) != "", F.lit(False))).select(F.col(key).alias("rec_key"), F.col(value).alias("v"), (F.col(note) if note else F.lit(None).cast("string")).alias("n"), (F.col(source) if source else F.lit(None).cast("string")).alias("unit_key"))
-    if sources is not None:
-        rows = rows.join(sources.where(F.col("unit").isNotNull()), "unit_key", "left")
-    else:
-        rows = rows.withColumn("unit", F.lit(None).cast("string"))
-    # a plain number about which nothing is stated is in the common unit already, whatever it says
-    plain_unstated = F.col("n").isNull() & F.col("unit").isNull() & F.col("v").rlike(r"^\s*\+?\d+(\.\d+)?\s*$")
-    rows = rows.where(~plain_unstated).select("rec_key", "v", "n", "unit")
+    rows, plain = _rows(df, key, value, note, source, common, sources)
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -362,4 +374,21 @@ def standard_values(df: DataFrame, key: str, value: str, note: str | None, sourc
             keep = [x is not None for x in out]
             yield pd.DataFrame({"rec_key": b["rec_key"][keep], "std_value": pd.array([x for x in out if x is not None], dtype="int64")})
 
-    return rows.mapInPandas(run, f"rec_key {kind}, std_value bigint")
+    return rows.where(~plain).mapInPandas(run, f"rec_key {kind}, std_value bigint")
+
+
+def calendar_years(df: DataFrame, key: str, value: str, note: str | None, source: str | None, common: str, sources: DataFrame | None = None) -> DataFrame:
+    """rec_key and year (double, BCE negative) for each row whose value states one quantity, in whatever unit; else as standard_values."""
+    rows, plain = _rows(df, key, value, note, source, common, sources)
+    kind = df.schema[key].dataType.simpleString()
+    number = F.trim("v").try_cast("double")
+    easy = rows.where(plain).select("rec_key", (1950.0 - number if common == BP else number).alias("year"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        notes, units = Cache(unit_in_text), Cache(Unit.of)
+        for b in batches:
+            out = [reading(v, (notes[n] if n else None, units[u]), common) for v, n, u in zip(b["v"], b["n"], b["unit"])]
+            keep = [x is not None for x in out]
+            yield pd.DataFrame({"rec_key": b["rec_key"][keep], "year": pd.array([float(x[0]) for x in out if x is not None], dtype="float64")})
+
+    return easy.unionByName(rows.where(~plain).mapInPandas(run, f"rec_key {kind}, year double"))
