@@ -1,9 +1,9 @@
 """Rows of two tables that describe the same place, without a common key, each pair with a confidence.
 
 Candidates share a cell of the sphere and the first or last sounds of a name; records alike in every attribute are
-compared once. Similarity vectors (name, distance beyond what rounding explains, additions to the name) are counted in
-bins, whose number is fixed, so that a two-component Gaussian mixture can be fitted without labels to all pairs at once.
-Covariances are regularised by the distance of the component means. During expectation-maximisation, a pair loses its
+compared once. Similarity vectors (name less what different additions take off, distance beyond what rounding explains,
+gap between the spans of dates) are counted in bins, whose number is fixed, so that a two-component Gaussian mixture can
+be fitted without labels to all pairs at once. Variances are regularised by the distance of the component means. During expectation-maximisation, a pair loses its
 weight where it contradicts the best pair of its place or site: two sites can be the same place only if they agree with
 each other, too.
 """
@@ -32,13 +32,15 @@ NAMELESS_KM = 1.0
 CELL = 0.25
 #: words in at least this share of the names are generic; there can be no more than this share's inverse times a name's words
 GENERIC_SHARE, GENERIC_LEAST = 1e-4, 8
-SIM_BINS, KM_BIN = 50, 0.1
+SIM_BINS, KM_BIN, GAP_BIN = 50, 0.2, 0.5
+#: a gap of g years counts as log(1 + g / GAP_YEARS), at most GAP_MOST, as a date may be wrong altogether
+GAP_YEARS, GAP_MOST = 50.0, 3.0
 #: what different additions take off the similarity of names; one record with and one without takes off half as much
 ADDITION_LOSS = 0.6
-#: weight of the squared distance of means in each variance, and least variances of similarity and distance
-KAPPA, LEAST_VAR = 0.02, np.array([1e-3, 1e-2])
+#: weight of the squared distance of means in each variance, and least variances of similarity, distance and gap
+KAPPA, LEAST_VAR = 0.02, np.array([1e-3, 1e-2, 0.3])
 #: what so many pairs would say of each component: means and deviations; it carries tables with hardly any pairs of a kind
-PRIOR_PAIRS, PRIOR = 5.0, (((0.95, 0.6), (0.08, 0.7)), ((0.35, 3.0), (0.15, 1.3)))
+PRIOR_PAIRS, PRIOR = 5.0, (((0.95, 0.6, 0.4), (0.08, 0.7, 0.8)), ((0.35, 3.0, 2.3), (0.15, 1.3, 1.0)))
 ROUNDS, INNER = 3, 60
 SEEN = 0.05
 
@@ -94,7 +96,7 @@ def _keys(core: str) -> set[str]:
     return {core[:3] + "<", ">" + core[-3:], core[:2] + "~" + core[-2:]}
 
 
-_ENTITY = "ent bigint, lat double, lon double, err double, core string, snd string, adds string, cell bigint, blk string"
+_ENTITY = "ent bigint, lat double, lon double, err double, low double, high double, core string, snd string, adds string, cell bigint, blk string"
 
 
 def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataFrame:
@@ -103,7 +105,7 @@ def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataF
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for ent, name, lat, lon in zip(b["ent"], b["name"], b["lat"], b["lon"]):
+            for ent, name, lat, lon, low, high in zip(b["ent"], b["name"], b["lat"], b["lon"], b["low"], b["high"]):
                 cores, sounds, adds = parts(name, generic)
                 if not cores:
                     continue
@@ -111,8 +113,8 @@ def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataF
                 # a site's own rounding is met by the reach of the place, which takes in the coarsest usual one
                 cells = _cells(lat, lon, REACH_KM + err + 0.8 if reach else err if err > 0.8 else 0.0)
                 for core, snd in zip(cores, sounds):
-                    out += [(ent, lat, lon, err, core, snd, adds, cell, key) for key in _keys(snd) | {core[:2] + "~" + core[-2:]} for cell in cells]
-            yield pd.DataFrame(out, columns=["ent", "lat", "lon", "err", "core", "snd", "adds", "cell", "blk"])
+                    out += [(ent, lat, lon, err, low, high, core, snd, adds, cell, key) for key in _keys(snd) | {core[:2] + "~" + core[-2:]} for cell in cells]
+            yield pd.DataFrame(out, columns=["ent", "lat", "lon", "err", "low", "high", "core", "snd", "adds", "cell", "blk"])
 
     return entities.where(F.col("name").isNotNull()).mapInPandas(run, _ENTITY)
 
@@ -133,18 +135,27 @@ def _additions(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.5)).otherwise(F.lit(0.0))
 
 
+def _gap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
+    """Scaled gap in years between two spans, 0 if they meet; null where one is missing."""
+    both = low_a.isNotNull() & high_a.isNotNull() & low_b.isNotNull() & high_b.isNotNull()
+    years = F.greatest(F.lit(0.0), low_a - high_b, low_b - high_a)
+    return F.when(both, F.least(F.lit(GAP_MOST), F.log1p(years / GAP_YEARS)))
+
+
 def candidate_pairs(places: DataFrame, sites: DataFrame, generic: frozenset[str]) -> DataFrame:
-    """p, s, sim (null where a name is missing), km and adds for each candidate pair of entities, once, with the attributes compared."""
+    """p, s, sim (null where a name is missing), km, adds and gap (null where a date is missing) of each candidate pair, once, with what is compared further."""
     a, b = _blocked(places, generic, True).alias("a"), _blocked(sites, generic, False).alias("b")
     raw = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     km = F.greatest(F.lit(0.0), raw - F.col("a.err") - F.col("b.err"))
     sim = F.greatest(_likeness(F.col("a.core"), F.col("b.core")), _likeness(F.col("a.snd"), F.col("b.snd")))
     side = lambda x: F.struct(F.col(f"{x}.snd").alias("snd"), F.col(f"{x}.adds").alias("adds"), F.col(f"{x}.lat").alias("lat"), F.col(f"{x}.lon").alias("lon"))
     near = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.blk") == F.col("b.blk"))).where(km <= REACH_KM)
-    named = near.select(F.col("a.ent").alias("p"), F.col("b.ent").alias("s"), sim.alias("sim"), km.alias("km"), _additions(F.col("a.adds"), F.col("b.adds")).alias("adds"), side("a").alias("pa"), side("b").alias("sa"))
-    best = named.groupBy("p", "s").agg(F.max("sim").alias("sim"), F.min("km").alias("km"), F.max("adds").alias("adds"), F.max_by("pa", "sim").alias("pa"), F.max_by("sa", "sim").alias("sa"))
+    named = near.select(F.col("a.ent").alias("p"), F.col("b.ent").alias("s"), sim.alias("sim"), km.alias("km"), _additions(F.col("a.adds"), F.col("b.adds")).alias("adds"), _gap(F.col("a.low"), F.col("a.high"), F.col("b.low"), F.col("b.high")).alias("gap"), side("a").alias("pa"), side("b").alias("sa"))
+    best = named.groupBy("p", "s").agg(F.max("sim").alias("sim"), F.min("km").alias("km"), F.max("adds").alias("adds"), F.min("gap").alias("gap"), F.max_by("pa", "sim").alias("pa"), F.max_by("sa", "sim").alias("sa"))
     one = _nameless(places.where(F.col("name").isNull()), sites).unionByName(_nameless(places.where(F.col("name").isNotNull()), sites.where(F.col("name").isNull())))
-    return best.unionByName(one)
+    spans = lambda e, k: e.select(F.col("ent").alias(k), F.col("low").alias(f"{k}_low"), F.col("high").alias(f"{k}_high"))
+    one = one.join(spans(places, "p"), "p").join(spans(sites, "s"), "s").withColumn("gap", _gap(F.col("p_low"), F.col("p_high"), F.col("s_low"), F.col("s_high")))
+    return best.unionByName(one.select(*best.columns))
 
 
 def _nameless(places: DataFrame, sites: DataFrame) -> DataFrame:
@@ -159,15 +170,12 @@ def _nameless(places: DataFrame, sites: DataFrame) -> DataFrame:
 
 
 class Mixture:
-    """Two Gaussian components over (similarity less what additions take off, km), fitted to counted bins.
-
-    bins: similarity (NaN where a name is missing, which is left out of the density), km, additions (0, 0.5 or 1).
-    """
+    """Two components over (similarity, km, gap), each the product of Gaussians, fitted to counted bins; NaN is a missing value and left out."""
 
     def __init__(self, bins: np.ndarray, counts: np.ndarray):
-        self.x, self.n = np.column_stack([bins[:, 0] - ADDITION_LOSS * (1.0 - bins[:, 2]), bins[:, 1]]), counts.astype(float)
-        self.known = ~np.isnan(self.x[:, 0])
-        start = np.where(self.known, np.nan_to_num(self.x[:, 0]), 0.4) - 0.06 * self.x[:, 1]
+        self.x, self.n = bins, counts.astype(float)
+        self.known = ~np.isnan(self.x)
+        start = np.where(self.known[:, 0], np.nan_to_num(self.x[:, 0]), 0.4) - 0.06 * self.x[:, 1]
         self.gamma = 1.0 / (1.0 + np.exp(-25.0 * (start - 0.62)))
         self.lost = np.zeros(len(self.x))
 
@@ -177,30 +185,22 @@ class Mixture:
             self.gamma = self.posterior()
 
     def _maximise(self) -> None:
-        """Weights, means and regularised covariances; lost is the share of each bin that transitivity took away."""
+        """Weights, means and regularised variances; lost is the share of each bin that transitivity took away."""
         kept = np.clip(self.gamma - self.lost, 0.0, 1.0)
-        self.mean, self.cov, self.weight = [], [], []
-        for g, (prior_mean, prior_sd) in zip((kept, 1.0 - kept), PRIOR):
-            w = g * self.n
-            self.weight.append(w.sum() + PRIOR_PAIRS)
-            wk, xk = w[self.known], self.x[self.known]
-            total = wk.sum() + PRIOR_PAIRS
-            mean = ((wk[:, None] * xk).sum(0) + PRIOR_PAIRS * np.array(prior_mean)) / total
-            centred, off = xk - mean, np.array(prior_mean) - mean
+        self.mean, self.var, self.weight = [], [], []
+        x = np.where(self.known, self.x, 0.0)
+        for g, (prior_mean, prior_sd) in zip((kept, 1.0 - kept), map(np.array, PRIOR)):
+            w = (g * self.n)[:, None] * self.known
+            self.weight.append((g * self.n).sum() + PRIOR_PAIRS)
+            total = w.sum(0) + PRIOR_PAIRS
+            mean = ((w * x).sum(0) + PRIOR_PAIRS * prior_mean) / total
             self.mean.append(mean)
-            self.cov.append(((wk[:, None] * centred).T @ centred + PRIOR_PAIRS * (np.diag(np.square(prior_sd)) + np.outer(off, off))) / total)
-        ridge = np.diag(KAPPA * (self.mean[0] - self.mean[1]) ** 2 + LEAST_VAR)
-        self.cov = [c + ridge for c in self.cov]
+            self.var.append(((w * (x - mean) ** 2).sum(0) + PRIOR_PAIRS * (prior_sd**2 + (prior_mean - mean) ** 2)) / total)
+        self.var = [v + KAPPA * (self.mean[0] - self.mean[1]) ** 2 + LEAST_VAR for v in self.var]
         self.weight = [w / sum(self.weight) for w in self.weight]
 
     def posterior(self) -> np.ndarray:
-        logs = []
-        for mean, cov, weight in zip(self.mean, self.cov, self.weight):
-            out = np.empty(len(self.x))
-            for rows, dims in ((self.known, [0, 1]), (~self.known, [1])):
-                c, d = cov[np.ix_(dims, dims)], self.x[np.ix_(rows, dims)] - mean[dims]
-                out[rows] = math.log(weight) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (d @ np.linalg.inv(c) * d).sum(1) - 0.5 * len(dims) * math.log(2 * math.pi)
-            logs.append(out)
+        logs = [math.log(w) + np.where(self.known, -0.5 * (np.nan_to_num(self.x) - m) ** 2 / v - 0.5 * np.log(2 * math.pi * v), 0.0).sum(1) for w, m, v in zip(self.weight, self.mean, self.var)]
         return 1.0 / (1.0 + np.exp(np.clip(logs[1] - logs[0], -700, 700)))
 
 
@@ -221,46 +221,49 @@ def _transitive(strong: DataFrame) -> DataFrame:
 def match(places: DataFrame, sites: DataFrame) -> DataFrame:
     """place, site and confidence of each pair that is the same real place with a posterior of at least SEEN.
 
-    places: id, name, lat, lon; sites: the same, one row an id. Coordinates with a latitude beyond 90 degrees whose other
-    value is none are taken as swapped; records with no usable coordinates make no pair. Records equal in name and
-    coordinates are compared once and come out each. Null ids are left out; null and blank names are compared by
-    place alone; empty tables give no rows.
+    places: id, name, lat, lon, low and high (span of calendar years, both or neither); sites: the same, one row an id. Coordinates with a
+    latitude beyond 90 degrees whose other value is none are taken as swapped; records with no usable coordinates make no
+    pair. Records equal in all of this are compared once and come out each. Null ids are left out; null and blank names
+    are compared by place and dates alone, missing dates not at all; empty tables give no rows.
     """
+    places, sites = (t if {"low", "high"} <= set(t.columns) else t.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}) for t in (places, sites))
     members_p, ents_p = _collapse(places)
     members_s, ents_s = _collapse(sites)
     generic = _generic(places.select("name").unionByName(sites.select("name")))
-    pairs = candidate_pairs(ents_p, ents_s, generic).withColumn("bs", F.coalesce(F.round(F.col("sim") * SIM_BINS).cast("int"), F.lit(-1))).withColumn("bk", F.floor(F.col("km") / KM_BIN).cast("int")).withColumn("ba", (F.col("adds") * 2).cast("int"))
+    lowered = F.col("sim") - ADDITION_LOSS * (1.0 - F.col("adds"))
+    pairs = candidate_pairs(ents_p, ents_s, generic)
+    pairs = pairs.withColumns({"bs": F.coalesce(F.round(lowered * SIM_BINS).cast("int"), F.lit(-1000)), "bk": F.floor(F.col("km") / KM_BIN).cast("int"), "bg": F.coalesce(F.floor(F.col("gap") / GAP_BIN).cast("int"), F.lit(-1))})
     pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    bins = pairs.groupBy("bs", "bk", "ba").agg(F.count("*").alias("n")).collect()
+    # at most 82 similarities, 26 distances and 8 gaps, a fixed number of rows
+    bins = pairs.groupBy("bs", "bk", "bg").agg(F.count("*").alias("n")).collect()
     spark = places.sparkSession
-    empty = pairs.select("p", "s").limit(0).withColumn("kept", F.lit(0.0))
     if not bins:
-        return _expand(empty, members_p, members_s)
-    keys = [(r["bs"], r["bk"], r["ba"]) for r in bins]
-    x = np.array([(np.nan if s < 0 else s / SIM_BINS, (k + 0.5) * KM_BIN, a / 2.0) for s, k, a in keys])
+        return _expand(pairs.select("p", "s").limit(0).withColumn("kept", F.lit(0.0)), members_p, members_s)
+    keys = [(r["bs"], r["bk"], r["bg"]) for r in bins]
+    x = np.array([(np.nan if s == -1000 else s / SIM_BINS, (k + 0.5) * KM_BIN, np.nan if g < 0 else min((g + 0.5) * GAP_BIN if g else 0.1, GAP_MOST)) for s, k, g in keys])
     mixture = Mixture(x, np.array([r["n"] for r in bins]))
     mixture.fit()
     for turn in range(ROUNDS):
-        # at most (SIM_BINS + 2) * (REACH_KM / KM_BIN + 1) * 3 rows
-        seen = spark.createDataFrame([(*k, float(g)) for k, g in zip(keys, mixture.gamma) if g >= SEEN], "bs int, bk int, ba int, gamma double")
-        strong = _transitive(pairs.join(F.broadcast(seen), ["bs", "bk", "ba"]))
+        seen = spark.createDataFrame([(*k, float(g)) for k, g in zip(keys, mixture.gamma) if g >= SEEN], "bs int, bk int, bg int, gamma double")
+        strong = _transitive(pairs.join(F.broadcast(seen), ["bs", "bk", "bg"]))
         if turn == ROUNDS - 1:
             break
-        lost = {(r["bs"], r["bk"], r["ba"]): r["lost"] for r in strong.groupBy("bs", "bk", "ba").agg(F.avg(F.col("gamma") - F.col("kept")).alias("lost")).collect()}
+        lost = {(r["bs"], r["bk"], r["bg"]): r["lost"] for r in strong.groupBy("bs", "bk", "bg").agg(F.avg(F.col("gamma") - F.col("kept")).alias("lost")).collect()}
         mixture.lost = np.array([lost.get(k, 0.0) for k in keys])
         mixture.fit(10)
     return _expand(strong.where("kept > 0").select("p", "s", "kept"), members_p, members_s)
 
 
 def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(ent, id) for each record and (ent, name, lat, lon) for each distinct one with usable coordinates."""
+    """(ent, id) for each record and (ent, name, lat, lon, low, high) for each distinct one with usable coordinates."""
     lat, lon = F.col("lat").cast("double"), F.col("lon").cast("double")
     swapped = (F.abs(lat) > 90) & (F.abs(lon) <= 90)
     la, lo = F.when(swapped, lon).otherwise(lat), F.when(swapped, lat).otherwise(lon)
-    good = rows.where(F.col("id").isNotNull()).select("id", F.when(F.trim("name") != "", F.trim("name")).alias("name"), la.alias("lat"), lo.alias("lon"))
+    spans = [F.when(~F.isnan(c), F.col(c).cast("double")).alias(c) for c in ("low", "high")]
+    good = rows.where(F.col("id").isNotNull()).select("id", F.when(F.trim("name") != "", F.trim("name")).alias("name"), la.alias("lat"), lo.alias("lon"), *spans)
     good = good.where(F.col("lat").between(-90, 90) & (F.abs("lon") < 1e9) & ~((F.col("lat") == 0) & (F.col("lon") == 0))).withColumn("lon", F.round(F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0, 7))
-    keyed = good.withColumn("ent", F.xxhash64("name", "lat", "lon")).persist(StorageLevel.MEMORY_AND_DISK)
-    entities = keyed.groupBy("ent").agg(F.first("name").alias("name"), F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    keyed = good.withColumn("ent", F.xxhash64("name", "lat", "lon", "low", "high")).persist(StorageLevel.MEMORY_AND_DISK)
+    entities = keyed.groupBy("ent").agg(*[F.first(c).alias(c) for c in ("name", "lat", "lon", "low", "high")])
     return keyed.select("ent", "id"), entities.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -269,6 +272,12 @@ def _expand(pairs: DataFrame, members_p: DataFrame, members_s: DataFrame) -> Dat
     return out.groupBy("place", "site").agg(F.max("kept").alias("confidence"))
 
 
+def site_spans(years: DataFrame) -> DataFrame:
+    """id, low and high: tenth and ninetieth percentile of the years (rec_key, year) of each site, approximate, so that stray dates do not stretch it."""
+    p = years.groupBy(F.col("rec_key").alias("id")).agg(F.percentile_approx("year", F.array(F.lit(0.1), F.lit(0.9)), 200).alias("p"))
+    return p.select("id", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
 def site_profiles(dates: DataFrame, site: str, name: str, lat: str, lon: str) -> DataFrame:
     """id, name, lat and lon of each site: its commonest name and its commonest usable coordinates, of ties the finest."""
     usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & (F.abs("lat") <= 180) & (F.abs("lon") < 1e9) & ~((F.col("lat") == 0) & (F.col("lon") == 0))

@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arcspan.llm.canonical import map_values
-from arcspan.llm.matching import match, site_profiles
+from arcspan.llm.matching import match, site_profiles, site_spans
 from arcspan.llm.mixing import mix
 from arcspan.llm.packing import pack
 from arcspan.llm.residue import candidates, messages, residue
 from arcspan.llm.tokens import with_tokens
-from arcspan.plans.runtime import table
+from arcspan.operators.units import BP, CALENDAR, calendar_years, stated_units
+from arcspan.plans.runtime import not_blank, table
 
 
 def _mapped_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,8 +30,12 @@ def p2_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "pleiades_places_latest").select("id", F.col("title").alias("name"), F.col("reprLat").alias("lat"), F.col("reprLong").alias("lon"))
-    sites = site_profiles(table(spark, sf_dir, "p3k14c_data"), "SiteID", "SiteName", "Lat", "Long")
+    gazetteer, dates = table(spark, sf_dir, "pleiades_places_latest"), table(spark, sf_dir, "p3k14c_data")
+    first = calendar_years(gazetteer, "id", "minDate", "description", None, CALENDAR).groupBy(F.col("rec_key").alias("id")).agg(F.min("year").alias("low"))
+    places = gazetteer.select("id", F.col("title").alias("name"), F.col("reprLat").alias("lat"), F.col("reprLong").alias("lon"), F.col("maxDate").alias("high")).join(first, "id", "left")
+    sources = stated_units(table(spark, sf_dir, "date_sources"), "source_code", "remark")
+    spans = site_spans(calendar_years(dates.where(not_blank("SiteID")), "SiteID", "Age", "Notes", "Source", BP, sources))
+    sites = site_profiles(dates, "SiteID", "SiteName", "Lat", "Long").join(spans, "id", "left")
     return match(places, sites)
 
 

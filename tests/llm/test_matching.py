@@ -19,8 +19,9 @@ def test_names():
 
 def test_mixture_separates():
     rng = np.random.default_rng(0)
-    a = np.column_stack([rng.normal(0.95, 0.04, 400), abs(rng.normal(0.4, 0.4, 400)), np.ones(400)])
-    b = np.column_stack([rng.normal(0.3, 0.1, 4000), rng.uniform(0, 5, 4000), rng.choice([1.0, 0.0], 4000, p=[0.8, 0.2])])
+    a = np.column_stack([rng.normal(0.95, 0.04, 400), abs(rng.normal(0.4, 0.4, 400)), abs(rng.normal(0.3, 0.4, 400))])
+    b = np.column_stack([rng.normal(0.3, 0.1, 4000), rng.uniform(0, 5, 4000), np.minimum(3.0, abs(rng.normal(2.2, 1.0, 4000)))])
+    a[::7, 2] = b[::5, 2] = np.nan
     m = Mixture(np.vstack([a, b]), np.ones(4400))
     m.fit()
     assert m.gamma[:400].mean() > 0.95 and m.gamma[400:].mean() < 0.02
@@ -55,6 +56,17 @@ def test_match(spark):
     assert match(p.limit(0), s).count() == 0 and match(p, s.limit(0)).count() == 0
 
 
+def test_dates_decide_where_names_are_missing(spark):
+    rng = np.random.default_rng(8)
+    la, lo = rng.uniform(-60, 60, 60), rng.uniform(-170, 170, 60)
+    year = rng.uniform(-8000, 1000, 60)
+    places = [(k, f"{NAMES[k % 20]}{k}", float(la[k]) + 0.004, float(lo[k]), float(year[k]), float(year[k]) + 50) for k in range(60)]
+    sites = [(f"S{k}", None if k >= 58 else f"{NAMES[k % 20]}{k}", float(la[k]), float(lo[k]), float(year[k]) + (6000 if k == 59 else 0), float(year[k]) + (6000 if k == 59 else 10)) for k in range(60)]
+    schema = "id {}, name string, lat double, lon double, low double, high double"
+    got = {(r["place"], r["site"]): r["confidence"] for r in match(spark.createDataFrame(places, schema.format("long")), spark.createDataFrame(sites, schema.format("string"))).collect()}
+    assert got[(58, "S58")] > got.get((59, "S59"), 0.0) and all(got[(k, f"S{k}")] > 0.5 for k in range(58))
+
+
 def test_site_profiles(spark):
     rows = [("a", "X", 10.0, 20.0), ("a", "X", 10.0, 20.0), ("a", "x ", 0.0, 0.0), ("a", None, 10.01, None), ("b", " ", None, 1.0), (" ", "q", 1.0, 1.0), (None, "q", 1.0, 1.0), ("c", "Z", 120.0, 33.0), ("c", "Z", float("nan"), 2.0)]
     got = {r["id"]: (r["name"], r["lat"], r["lon"]) for r in site_profiles(spark.createDataFrame(rows, "k string, n string, a double, o double"), "k", "n", "a", "o").collect()}
