@@ -39,37 +39,43 @@ class Piece:
     before: str
 
 
+def _ends_piece(s: str, i: int) -> bool:
+    """Whether nothing but spaces comes before the next delimiter or the end."""
+    while i < len(s) and s[i] == " ":
+        i += 1
+    return i == len(s) or s[i] in DELIMITERS
+
+
 def _closing(s: str, at: int) -> int:
-    """Where the quote that opens at a place closes, if a delimiter or the end follows; else -1."""
-    quote, i = s[at], at + 1
+    """Where the quote that opens at a place closes, if a delimiter or the end follows; else -1.
+
+    A lone double quote inside goes on to the next one before a delimiter; a lone single quote is an apostrophe.
+    """
+    quote, i, lone = s[at], at + 1, False
     while i < len(s):
         if s[i] == quote:
-            if i + 1 < len(s) and s[i + 1] == quote:
+            if not lone and i + 1 < len(s) and s[i + 1] == quote:
                 i += 2
                 continue
-            rest = s[i + 1 :].lstrip(" ")
-            return i if not rest or rest[0] in DELIMITERS else -1 if quote == "'" else _closing_later(s, i, quote)
+            if _ends_piece(s, i + 1):
+                return i
+            if quote == "'":
+                return -1
+            lone = True
         i += 1
     return -1
 
 
-def _closing_later(s: str, at: int, quote: str) -> int:
-    """A lone double quote inside a quoted value: the next one before a delimiter closes."""
-    i = at + 1
-    while i < len(s):
-        if s[i] == quote and (not (rest := s[i + 1 :].lstrip(" ")) or rest[0] in DELIMITERS):
-            return i
-        i += 1
-    return -1
-
-
-def _bracket_end(s: str, at: int) -> int:
-    depth = 0
-    for i in range(at, len(s)):
-        depth += (s[i] == "(") - (s[i] == ")")
-        if depth == 0:
-            return i
-    return -1
+def _bracket_ends(s: str) -> dict[int, int]:
+    """Where each round bracket that is closed at all is closed."""
+    opened: list[int] = []
+    ends: dict[int, int] = {}
+    for i, ch in enumerate(s):
+        if ch == "(":
+            opened.append(i)
+        elif ch == ")" and opened:
+            ends[opened.pop()] = i
+    return ends
 
 
 def pieces(field: str) -> tuple[str, list[Piece]]:
@@ -78,8 +84,9 @@ def pieces(field: str) -> tuple[str, list[Piece]]:
     while len(s) > 1 and s[0] in LISTS and s[-1] == LISTS[s[0]]:
         s = s[1:-1].strip()
     out: list[Piece] = []
-    i, start, before = 0, 0, ""
+    i, start, before, fresh, unclosed = 0, 0, "", True, False
     quoted: tuple[int, int] | None = None
+    brackets = _bracket_ends(s) if "(" in s else {}
 
     def close(end: int, delimiter: str) -> None:
         nonlocal start, before, quoted
@@ -98,15 +105,20 @@ def pieces(field: str) -> tuple[str, list[Piece]]:
 
     while i < len(s):
         ch = s[i]
-        if ch in QUOTES and not s[start:i].strip() and quoted is None and (end := _closing(s, i)) > 0:
-            quoted, i = (i, end), end + 1
-        elif ch == "(" and (end := _bracket_end(s, i)) > 0:
-            i = end + 1
-        elif ch in DELIMITERS:
+        if ch in DELIMITERS:
             close(i, ch)
-            i += 1
-        else:
-            i += 1
+            i, fresh = i + 1, True
+            continue
+        if ch in QUOTES and fresh and quoted is None and not (ch == '"' and unclosed):
+            end = _closing(s, i)
+            if end > 0:
+                quoted, i = (i, end), end
+            elif ch == '"':
+                unclosed = True  # no later one closes either
+        elif ch == "(":
+            i = brackets.get(i, i)
+        fresh = fresh and ch == " "
+        i += 1
     close(len(s), "")
     return s, out
 

@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BP, B2K, BCE, CE, CALENDAR = "bp", "b2k", "bce", "ce", "cal"
+#: a figure beyond the age of the universe many times over is no quantity of years
+MOST_YEARS = Decimal(10) ** 12
 
 
 @dataclass(frozen=True)
@@ -307,7 +309,8 @@ def reading(text: str, stated: tuple[Unit | None, ...], common: str) -> tuple[De
         unit = Unit(None, CALENDAR if value < 0 else common)
     if unit.epoch is None:
         unit = Unit(unit.scale, BP)
-    return to_year(value, unit), unit
+    year = to_year(value, unit)
+    return (year, unit) if abs(year) <= MOST_YEARS else None
 
 
 def standard(text: str, stated: tuple[Unit | None, ...], common: str) -> int | None:

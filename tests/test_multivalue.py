@@ -14,6 +14,13 @@ def test_pieces(field, want):
     assert [p.text for p in pieces(field)[1]] == want
 
 
+def test_long_fields_take_linear_time():
+    n = 200_000
+    for field in ('"' * n, "(" * n, "'a," * n, '"a,' * n, "(a," * n, ")" * n, " " * n + "x", '"a"b,' * n):
+        assert isinstance(pieces(field)[1], list)
+    assert len(pieces("a," * n)[1]) == n
+
+
 def test_model_joins_known_units_only():
     model = Model({"kiln / oven": 50, "tomb": 100, "villa": 100}, {"kiln / oven"}, {}, {"/": 10.0, ",": 100.0})
     assert model.best("kiln / oven, tomb") == ["kiln / oven", "tomb"]

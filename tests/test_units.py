@@ -40,7 +40,7 @@ def test_statements(text, want):
 def test_order_of_sources_and_edges(spark):
     sources = spark.createDataFrame([("K", "All ages are listed in thousands of years before present."), ("N", None), (None, "Ages b2k")], "code string, remark string")
     rows = spark.createDataFrame(
-        [(1, "3.5", None, "K", 9), (2, "3", "b2k", "K", 9), (3, "3500 BP", "age entered in ka", "K", 9), (4, "3500", None, "N", 9), (5, None, None, "K", 9), (6, "  ", None, "K", 9), (None, "1 ka", None, None, 9), (7, "1 ka", None, "unknown", 9), (7, "1 ka", None, "unknown", 9), (8, "9" * 3000, None, None, 9)],
+        [(1, "3.5", None, "K", 9), (2, "3", "b2k", "K", 9), (3, "3500 BP", "age entered in ka", "K", 9), (4, "3500", None, "N", 9), (5, None, None, "K", 9), (6, "  ", None, "K", 9), (None, "1 ka", None, None, 9), (7, "1 ka", None, "unknown", 9), (7, "1 ka", None, "unknown", 9), (8, "9" * 3000, None, None, 9), (9, "9" * 3000 + " BP", None, None, 9), (10, "9" * 40 + " ka", None, None, 9), (11, "x" * 100000, "y" * 100000, None, 9)],
         "id long, v string, note string, src string, unit int",
     )
     got = sorted(map(tuple, standard_values(rows, "id", "v", "note", "src", BP, stated_units(sources, "code", "remark")).collect()), key=str)
