@@ -119,9 +119,14 @@ def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataF
     return entities.where(F.col("name").isNotNull()).mapInPandas(run, _ENTITY)
 
 
+#: names of more letters are alike only if they are equal, as edit distances take the product of both lengths
+MOST_LETTERS = 400
+
+
 def _edits(a: Column, b: Column) -> Column:
     """Levenshtein distance, where two edits that leave the same letters, a swap, count as one."""
-    d = F.levenshtein(a, b)
+    longest = F.greatest(F.length(a), F.length(b))
+    d = F.when(longest <= MOST_LETTERS, F.levenshtein(a, b)).when(a == b, F.lit(0)).otherwise(longest)
     swap = (d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
     return F.when(swap, F.lit(1)).otherwise(d)
 

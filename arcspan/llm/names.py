@@ -44,13 +44,16 @@ def tokens(name: str) -> list[str]:
     return [w.replace("ae", "a").replace("oe", "o").replace("ue", "u") for w in re.findall(r"[a-z0-9]+", plain(name))]
 
 
+LONGEST_GENERIC = 24
+
+
 def bare(word: str, generic: frozenset[str]) -> str:
-    """The word without a generic word that is written together with it."""
-    for n in range(4, len(word) - 2):
+    """The word without a generic word, of at most LONGEST_GENERIC letters, that is written together with it."""
+    for n in range(4, min(len(word) - 2, LONGEST_GENERIC + 1)):
         if word[:n] in generic:
             word = word[n:]
             break
-    for n in range(4, len(word) - 2):
+    for n in range(4, min(len(word) - 2, LONGEST_GENERIC + 1)):
         if word[-n:] in generic:
             return word[:-n]
     return word
