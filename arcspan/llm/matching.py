@@ -46,7 +46,7 @@ SEEN = 0.05
 
 
 def _generic(names: DataFrame) -> frozenset[str]:
-    """Words common among the names (column name, every row counts), with a bound on their number: see GENERIC_SHARE."""
+    """Words common among the names (column name, once a distinct record), with a bound on their number: see GENERIC_SHARE."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
@@ -234,7 +234,7 @@ def match(places: DataFrame, sites: DataFrame) -> DataFrame:
     places, sites = (t if {"low", "high"} <= set(t.columns) else t.withColumns({"low": F.lit(None).cast("double"), "high": F.lit(None).cast("double")}) for t in (places, sites))
     members_p, ents_p = _collapse(places)
     members_s, ents_s = _collapse(sites)
-    generic = _generic(places.select("name").unionByName(sites.select("name")))
+    generic = _generic(ents_p.select("name").unionByName(ents_s.select("name")))
     lowered = F.col("sim") - ADDITION_LOSS * (1.0 - F.col("adds"))
     pairs = candidate_pairs(ents_p, ents_s, generic)
     pairs = pairs.withColumns({"bs": F.coalesce(F.round(lowered * SIM_BINS).cast("int"), F.lit(-1000)), "bk": F.floor(F.col("km") / KM_BIN).cast("int"), "bg": F.coalesce(F.floor(F.col("gap") / GAP_BIN).cast("int"), F.lit(-1))})
