@@ -59,3 +59,19 @@ def long_axis(df: DataFrame, by: list[str], lat: str, lon: str) -> DataFrame:
     vx, vy, vxy = F.col("vx") * k * k, F.col("vy"), F.col("vxy") * k
     spread = F.sqrt((vx - vy) ** 2 + 4 * vxy**2)
     return s.select(*by, "n", F.pmod(F.degrees(0.5 * F.atan2(2 * vxy, vy - vx)), F.lit(180.0)).alias("bearing_deg"), F.sqrt(F.try_divide(vx + vy + spread, vx + vy - spread)).alias("elongation"))
+
+
+def fitted_to_draws(points: DataFrame, rows: int, trials: int, size: int, km: float, seed: int = 101) -> DataFrame:
+    """trial, pole_lat, pole_lon, rms_km and n: circles fitted to so many drawn points, and how many of all points lie within km.
+
+    points: row (0 to rows - 1), lat, lon. Draws are by hash, with repetition; the poles are a stated number of trials.
+    """
+    from arcspan.operators.nulls import draw_int
+    from arcspan.operators.poles import pole_counts
+
+    spark = points.sparkSession
+    slots = spark.range(trials * size).select(F.floor(F.col("id") / size).alias("trial"), F.pmod("id", F.lit(size)).alias("slot"))
+    drawn = slots.select("trial", F.pmod(draw_int(seed, F.col("trial"), F.col("slot")), F.lit(rows)).alias("row")).join(points.select("row", "lat", "lon"), "row")
+    fits = [(r["trial"], r["pole_lat"], r["pole_lon"], r["rms_km"]) for r in fit_pole(drawn, ["trial"]).where("pole_lat is not null").collect()]
+    counts = pole_counts(points, [f[:3] for f in fits], km).select(F.col("pole_id").alias("trial"), "n")
+    return spark.createDataFrame(fits, "trial bigint, pole_lat double, pole_lon double, rms_km double").join(counts, "trial")

@@ -509,3 +509,21 @@ def q_monotone(spark, d):
 @query("precession", "SELECT c_custkey AS id, round((((c_custkey % 360) + c_nationkey * 100 * 50.29::DOUBLE / 3600.0) % 360), 6) AS lon FROM customer")
 def q_precession(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), r6(geo.precessed_lon(F.col("c_custkey") % 360, F.col("c_nationkey") * 100)).alias("lon"))
+
+
+@query("fit_random_sites")
+def q_fit_random(spark, d):
+    """Circles fitted to 15 drawn sites, 200 times, and the sites within 50 km of each."""
+    from arcspan.operators import fit
+
+    s = sites(spark, d).select(F.col("id").alias("row"), "lat", "lon")
+    f = fit.fitted_to_draws(s, s.count(), 200, 15, 50.0)
+    return f.select("trial", r6("pole_lat", 4).alias("pole_lat"), r6("pole_lon", 4).alias("pole_lon"), r6("rms_km", 3).alias("rms_km"), "n")
+
+
+@query("latitude_matched_poles", f"WITH {_POLES}, r AS (SELECT pole_id, 90 - abs(plat) AS top FROM poles) SELECT pole_id FROM r WHERE least(top, 30.318) / greatest(top, 30.318) >= 0.5")
+def q_latitude_matched(spark, d):
+    """Random circles whose range of latitudes overlaps that of the default circle by half at least; both are symmetric about the equator."""
+    drawn = nulls.random_poles(spark.range(200).select(F.col("id").alias("pole_id")), 5)
+    top = 90 - F.abs("lat")
+    return drawn.where(F.least(top, F.lit(30.318)) / F.greatest(top, F.lit(30.318)) >= 0.5).select("pole_id")

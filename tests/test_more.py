@@ -105,3 +105,11 @@ def test_spreadsheet_and_shapes(spark, tmp_path):
     (tmp_path / "a.shp").write_bytes(b"\0" * 100 + body)
     got = [tuple(r) for r in src.read_shapefile(spark, str(tmp_path / "a.shp")).orderBy("shape", "vertex").collect()]
     assert got == [(0, 0, 0, 1.0, 0.0), (0, 0, 1, 2.0, 1.0), (0, 0, 2, 3.0, 2.0), (1, 0, 0, 8.0, 7.0)]
+
+
+def test_fitted_to_draws(spark):
+    from arcspan.operators.fit import fitted_to_draws
+
+    trace = spark.range(0, 360, 3).select((F.col("id") / 3).cast("long").alias("row"), geo.point_lat(F.col("id")).alias("lat"), geo.point_lon(F.col("id")).alias("lon"))
+    rows = fitted_to_draws(trace, 120, 6, 8, 10.0).collect()
+    assert len(rows) == 6 and all(r["n"] == 120 and abs(r["pole_lat"] - geo.DEFAULT_POLE[0]) < 1e-4 for r in rows)
