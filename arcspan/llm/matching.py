@@ -1,7 +1,7 @@
 """Rows of two tables that describe the same place, without a common key, each pair with a confidence.
 
-Candidates share a cell of the sphere and the first or last sounds of a name; records alike in every attribute are
-compared once. Similarity vectors (name less what different additions take off, distance beyond what rounding explains,
+All records within reach of each other are compared, found by cells of the sphere, as any key cut from a name loses pairs
+that a slip or a swap spoils; records alike in every attribute are compared once. Similarity vectors (name less what different additions take off, distance beyond what rounding explains,
 gap between the spans of dates) are counted in bins, whose number is fixed, so that a two-component Gaussian mixture can
 be fitted without labels to all pairs at once. Variances are regularised by the distance of the component means. During expectation-maximisation, a pair loses its
 weight where it contradicts the best pair of its place or site: two sites can be the same place only if they agree with
@@ -28,7 +28,7 @@ from arcspan.operators.spatial import near_join
 REACH_KM = 5.0
 #: records without a name are compared with what lies within
 NAMELESS_KM = 1.0
-#: side of the blocking cells in degrees of latitude
+#: side of the cells by which records in reach find each other, in degrees of latitude
 CELL = 0.25
 #: words in at least this share of the names are generic; there can be no more than this share's inverse times a name's words
 GENERIC_SHARE, GENERIC_LEAST = 1e-4, 8
@@ -91,16 +91,11 @@ def _cells(lat: float, lon: float, km: float) -> list[int]:
     return out
 
 
-def _keys(core: str) -> set[str]:
-    """First, last, and first with last letters: a slip spoils one or two of them, seldom all."""
-    return {core[:3] + "<", ">" + core[-3:], core[:2] + "~" + core[-2:]}
+_ENTITY = "ent bigint, lat double, lon double, err double, low double, high double, core string, snd string, adds string, cell bigint"
 
 
-_ENTITY = "ent bigint, lat double, lon double, err double, low double, high double, core string, snd string, adds string, cell bigint, blk string"
-
-
-def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataFrame:
-    """A row for each entity (ent, name, lat, lon), alias, cell and key; with reach, cells are those that REACH_KM touches."""
+def _placed(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataFrame:
+    """A row for each entity (ent, name, lat, lon), alias and cell; with reach, cells are those that REACH_KM touches."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -113,8 +108,8 @@ def _blocked(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataF
                 # a site's own rounding is met by the reach of the place, which takes in the coarsest usual one
                 cells = _cells(lat, lon, REACH_KM + err + 0.8 if reach else err if err > 0.8 else 0.0)
                 for core, snd in zip(cores, sounds):
-                    out += [(ent, lat, lon, err, low, high, core, snd, adds, cell, key) for key in _keys(snd) | {core[:2] + "~" + core[-2:]} for cell in cells]
-            yield pd.DataFrame(out, columns=["ent", "lat", "lon", "err", "low", "high", "core", "snd", "adds", "cell", "blk"])
+                    out += [(ent, lat, lon, err, low, high, core, snd, adds, cell) for cell in cells]
+            yield pd.DataFrame(out, columns=["ent", "lat", "lon", "err", "low", "high", "core", "snd", "adds", "cell"])
 
     return entities.where(F.col("name").isNotNull()).mapInPandas(run, _ENTITY)
 
@@ -149,12 +144,12 @@ def _gap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column
 
 def candidate_pairs(places: DataFrame, sites: DataFrame, generic: frozenset[str]) -> DataFrame:
     """p, s, sim (null where a name is missing), km, adds and gap (null where a date is missing) of each candidate pair, once, with what is compared further."""
-    a, b = _blocked(places, generic, True).alias("a"), _blocked(sites, generic, False).alias("b")
+    a, b = _placed(places, generic, True).alias("a"), _placed(sites, generic, False).alias("b")
     raw = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     km = F.greatest(F.lit(0.0), raw - F.col("a.err") - F.col("b.err"))
     sim = F.greatest(_likeness(F.col("a.core"), F.col("b.core")), _likeness(F.col("a.snd"), F.col("b.snd")))
     side = lambda x: F.struct(F.col(f"{x}.snd").alias("snd"), F.col(f"{x}.adds").alias("adds"), F.col(f"{x}.lat").alias("lat"), F.col(f"{x}.lon").alias("lon"))
-    near = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.blk") == F.col("b.blk"))).where(km <= REACH_KM)
+    near = a.join(b, F.col("a.cell") == F.col("b.cell")).where(km <= REACH_KM)
     named = near.select(F.col("a.ent").alias("p"), F.col("b.ent").alias("s"), sim.alias("sim"), km.alias("km"), _additions(F.col("a.adds"), F.col("b.adds")).alias("adds"), _gap(F.col("a.low"), F.col("a.high"), F.col("b.low"), F.col("b.high")).alias("gap"), side("a").alias("pa"), side("b").alias("sa"))
     best = named.groupBy("p", "s").agg(F.max("sim").alias("sim"), F.min("km").alias("km"), F.max("adds").alias("adds"), F.min("gap").alias("gap"), F.max_by("pa", "sim").alias("pa"), F.max_by("sa", "sim").alias("sa"))
     one = _nameless(places.where(F.col("name").isNull()), sites).unionByName(_nameless(places.where(F.col("name").isNotNull()), sites.where(F.col("name").isNull())))

@@ -1,6 +1,6 @@
 import numpy as np
 
-from arcspan.llm.matching import Mixture, match, rounding_km, site_profiles
+from arcspan.llm.matching import REACH_KM, Mixture, candidate_pairs, match, rounding_km, site_profiles
 from arcspan.llm.names import parts
 
 G = frozenset({"hill", "great", "tepe", "ober", "hohle"})
@@ -71,3 +71,18 @@ def test_site_profiles(spark):
     rows = [("a", "X", 10.0, 20.0), ("a", "X", 10.0, 20.0), ("a", "x ", 0.0, 0.0), ("a", None, 10.01, None), ("b", " ", None, 1.0), (" ", "q", 1.0, 1.0), (None, "q", 1.0, 1.0), ("c", "Z", 120.0, 33.0), ("c", "Z", float("nan"), 2.0)]
     got = {r["id"]: (r["name"], r["lat"], r["lon"]) for r in site_profiles(spark.createDataFrame(rows, "k string, n string, a double, o double"), "k", "n", "a", "o").collect()}
     assert got == {"a": ("X", 10.0, 20.0), "b": (None, None, None), "c": ("Z", 120.0, 33.0)}
+
+
+def test_all_pairs_in_reach_are_compared(spark):
+    rng = np.random.default_rng(2)
+    names = [("Abri Moali", "Abri Molai"), ("Resnu", "Rensu"), ("Teugr Hill", "Tegur Hill"), ("Cerro Bteue", "Cerro Betue"), ("Solruot", "Sorlout"), ("Ab", "Zyx")]
+    at = [(float(60 + rng.uniform(-0.1, 0.1)), float((180 + rng.uniform(-0.2, 0.2) + 180) % 360 - 180)) for _ in range(60)]
+    rows = lambda k, pick: spark.createDataFrame([(i, names[i % 6][k], round(la, 4), round(lo, 4), None, None) for i, (la, lo) in enumerate(at) if i in pick], "ent long, name string, lat double, lon double, low double, high double")
+    got = {(r["p"], r["s"]) for r in candidate_pairs(rows(0, range(60)), rows(1, range(0, 60, 2)), frozenset({"hill", "abri", "cerro"})).select("p", "s").collect()}
+
+    def km(a, b):
+        (p, q), (r, s) = np.radians(a), np.radians(b)
+        return 2 * 6371 * np.arcsin(np.sqrt(np.sin((p - r) / 2) ** 2 + np.cos(p) * np.cos(r) * np.sin((q - s) / 2) ** 2))
+
+    want = {(i, j) for i in range(60) for j in range(0, 60, 2) if km(at[i], at[j]) <= REACH_KM}
+    assert want <= got and len(want) > 100 and all(km(at[i], at[j]) <= REACH_KM + 0.1 for i, j in got)
