@@ -61,6 +61,42 @@ def pole_counts(points: DataFrame, poles: list[tuple[int, float, float]], km: fl
     return slim.mapInPandas(run, "pole_id bigint, km double, cls string, n bigint").groupBy("pole_id", "km", "cls").agg(F.sum("n").alias("n"))
 
 
+def split_counts(points: DataFrame, poles: list[tuple[int, float, float]], km: float, halves: str, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """split, pole_id, fitted and tested: points within km of each circle in half 0 and in half 1 of each split.
+
+    halves: an array column with the half, 0 or 1, of a point in each split, of one length for all points. Distances are
+    computed once for all splits; points with null or NaN coordinates count nowhere; no points give no rows.
+    """
+    if len(poles) > MAX_POLES:
+        raise ValueError(f"more than {MAX_POLES} poles in one scan")
+    sine = band_sine(km)
+    shared = points.sparkSession.sparkContext.broadcast((np.array([p[0] for p in poles], dtype=np.int64), unit_vectors([p[1] for p in poles], [p[2] for p in poles]).T))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vectors = shared.value
+        total = None
+        for b in batches:
+            if not len(b):
+                continue
+            # whole numbers below 2^24 are exact in single precision, far above the rows of a batch
+            tested = np.stack(b["halves"].to_numpy()).T.astype(np.float32)
+            if total is None:
+                total = np.zeros((2, len(tested), len(ids)), dtype=np.int64)
+            xyz = b[["x", "y", "z"]].to_numpy()
+            step = max(1, BLOCK // len(xyz))
+            for a in range(0, len(ids), step):
+                near = (np.abs(xyz @ vectors[:, a : a + step]) <= sine).astype(np.float32)
+                second = (tested @ near).astype(np.int64)
+                total[0, :, a : a + step] += near.sum(axis=0, dtype=np.float64).astype(np.int64) - second
+                total[1, :, a : a + step] += second
+        for split in range(0 if total is None else total.shape[1]):
+            yield pd.DataFrame({"split": split, "pole_id": ids, "fitted": total[0, split], "tested": total[1, split]})
+
+    la, lo = F.col(lat).cast("double"), F.col(lon).cast("double")
+    slim = points.where(la.isNotNull() & lo.isNotNull() & ~F.isnan(la) & ~F.isnan(lo)).select(unit_x(la, lo).alias("x"), unit_y(la, lo).alias("y"), unit_z(la).alias("z"), F.col(halves).cast("array<tinyint>").alias("halves"))
+    return slim.mapInPandas(run, "split bigint, pole_id bigint, fitted bigint, tested bigint").groupBy("split", "pole_id").agg(F.sum("fitted").alias("fitted"), F.sum("tested").alias("tested"))
+
+
 def pole_grid(step: float, hemisphere: bool = True) -> list[tuple[int, float, float]]:
     """A grid of poles; antipodal poles have the same circle, so that one hemisphere is enough."""
     lats = np.arange(0.0 if hemisphere else -90.0, 90.0 + 1e-9, step)

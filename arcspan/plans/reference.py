@@ -321,6 +321,39 @@ def q_split_sample(spark, d):
     return best.join(c.where("half = 1"), ["split", "pole_id"]).select("split", "pole_id", "fitted", F.col("n").alias("tested"))
 
 
+#: the reference's own scan: 2 degrees over the whole sphere, 16 380 poles, and 100 splits; too much for a SQL of every pole with every site
+FULL_STEP, FULL_SPLITS, FINE_STEP = 2.0, 100, 0.5
+
+
+@query("pole_scan_full")
+def q_pole_scan_full(spark, d):
+    """pole_scan over the reference's grid."""
+    return poles.pole_counts(sites(spark, d), poles.pole_grid(FULL_STEP, False), 300.0, "cls").select("pole_id", "cls", "n")
+
+
+@query("pole_scan_twostage_full")
+def q_pole_twostage_full(spark, d):
+    """Every pole of the half-degree grid within 1 degree, so as far as half way and beyond, of each 2-degree pole with at least 0.9 of the best count."""
+    s, coarse = sites(spark, d), poles.pole_grid(FULL_STEP)
+    counts = {r["pole_id"]: r["n"] for r in poles.pole_counts(s, coarse, 300.0).collect()}  # one row a pole of the stated grid
+    best, steps = max(counts.values(), default=0), round(1.0 / FINE_STEP)
+    # steps from the south pole and from 180 degrees west; neighbours share the poles between them
+    fine = {(round((la + 90.0) / FINE_STEP) + a, (round((lo + 180.0) / FINE_STEP) + b) % round(360.0 / FINE_STEP)) for p, la, lo in coarse if counts.get(p, 0) >= 0.9 * best for a in range(-steps, steps + 1) for b in range(-steps, steps + 1)}
+    fine = [(i * 1000 + j, i * FINE_STEP - 90.0, j * FINE_STEP - 180.0) for i, j in sorted(fine) if i * FINE_STEP <= 180.0]
+    at = spark.createDataFrame(fine, "pole_id long, lat double, lon double")
+    return poles.pole_counts(s, fine, 300.0).join(at, "pole_id").select("pole_id", "lat", "lon", "n")
+
+
+@query("split_sample_full")
+def q_split_sample_full(spark, d):
+    """split_sample over the reference's grid and number of splits."""
+    half = lambda k: F.pmod(nulls.draw_int(71, k, F.col("id")), F.lit(2))
+    s = sites(spark, d).withColumn("halves", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(FULL_SPLITS - 1).cast("long")), half))
+    c = poles.split_counts(s, poles.pole_grid(FULL_STEP, False), 300.0, "halves")
+    first = F.struct(-F.col("fitted"), F.col("pole_id"))
+    return c.groupBy("split").agg(F.min_by("pole_id", first).alias("pole_id"), F.max("fitted").alias("fitted"), F.min_by("tested", first).alias("tested"))
+
+
 @query("loo_cluster", f"""WITH {SITES}, c(cluster, clat, clon) AS (VALUES ('giza', 29.9792, 31.1342), ('nazca', -14.7, -75.1), ('rapanui', -27.1, -109.3)) SELECT cluster, count(*) AS n, count(*) FILTER (WHERE {circle()} <= 200) AS near FROM c, sites WHERE {hav('lat', 'lon', 'clat', 'clon')} > 500 GROUP BY cluster""")
 def q_loo_cluster(spark, d):
     s = sites(spark, d).withColumn("km", circle_km("lat", "lon"))
