@@ -264,7 +264,9 @@ def q_compound(spark, d):
 @query("two_site_poles", f"WITH {SITES}, v AS (SELECT id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z, cos(radians(29.9792)) * cos(radians(31.1342)) AS gx, cos(radians(29.9792)) * sin(radians(31.1342)) AS gy, sin(radians(29.9792)) AS gz FROM sites WHERE id % 50 = 0), c AS (SELECT id, y * gz - z * gy AS nx, z * gx - x * gz AS ny, x * gy - y * gx AS nz FROM v) SELECT id, round(degrees(asin(abs(nz) / sqrt(nx * nx + ny * ny + nz * nz))), 6) AS pole_lat FROM c")
 def q_two_site(spark, d):
     """Poles of the circles through a fixed place and every site whose id is divisible by 50."""
-    s = [(r["id"], r["lat"], r["lon"]) for r in sites(spark, d).where(F.col("id") % 50 == 0).select("id", "lat", "lon").limit(poles.MAX_POLES).collect()]
+    s = [(r["id"], r["lat"], r["lon"]) for r in sites(spark, d).where(F.col("id") % 50 == 0).select("id", "lat", "lon").limit(poles.MAX_POLES + 1).collect()]
+    if len(s) > poles.MAX_POLES:
+        raise ValueError(f"more than {poles.MAX_POLES} sites for circles")
     return spark.createDataFrame([(i, la) for i, la, _ in poles.circles_through(s, geo.GIZA)], "id long, pole_lat double").select("id", r6("pole_lat").alias("pole_lat"))
 
 
