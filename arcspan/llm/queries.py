@@ -60,7 +60,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which piece of which document lies in which container, and the container's step group."""
+    """Which piece of which document lies in which container, the tier it was routed to, and the container's step group."""
     return _packed(spark, sf_dir)
 
 
@@ -94,8 +94,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The messages themselves, with their documents and sources."""
-    return messages(candidates(table(spark, sf_dir, "documents"), "doc_id", "text", "source")).select("message", "kind", "docs", "sources")
+    """The groups of messages themselves, each with one of its messages, its kind, documents and sources."""
+    return messages(candidates(table(spark, sf_dir, "documents"), "doc_id", "text", "source", with_text=True)).select("message", "kind", "docs", "sources")
 
 
 QUERIES = {"p5_found": p5_found, "p5_pairs": p5_pairs, "p6_found": p6_found, "p6_containers": p6_containers, "p6_fill": p6_fill, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_messages": p8_messages, "p2_found": p2_found, "p2_misses": p2_misses}

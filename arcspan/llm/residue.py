@@ -1,10 +1,15 @@
 """Texts that are, or hold, template residue, filler, error messages or notices that scripts are needed.
 
-Texts are cut into sentences and lines; numbers, addresses and dates are masked, and equal normalised messages are grouped
-by hash over all documents and sources, so that each is judged once, with the number of its documents and sources. Rules
-know messages by the grammar of a notice (a web subject with a failing predicate, a verb of enabling with scripts as its
-object), by the syntax of placeholders and by the vocabulary of filler; a message that only goes with a notice counts
-where it recurs widely.
+Texts are cut into sentences and lines; numbers, addresses and dates are masked, and *every* message is grouped by its
+exact hash over all documents and sources. Words of the same office (things of a web page, script words, verbs of
+enabling or replacing, in one language) are masked alike in a notice, so that its variants make one group. Then
+
+* a message of which a notice's wording makes a part counts where its group recurs widely: in MIN_DOCS documents of
+  MIN_SOURCES sources;
+* a message that no rule knows counts where it recurs widely and nearly all of its documents hold a notice (a companion:
+  "please try again later"), which finds new wordings;
+* syntax that nothing but a template or a program writes (placeholders, filler Latin, status lines, tracebacks), and a
+  message that is nothing but a notice, count wherever they stand.
 """
 
 from __future__ import annotations
@@ -13,12 +18,16 @@ import html
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_DOCS, MIN_SOURCES = 5, 2
+MIN_DOCS, MIN_SOURCES = 3, 2
+#: a companion needs at least so many documents, this share of them with a notice, and so many words
+COMPANION_DOCS, COMPANION_SHARE, COMPANION_WORDS = 8, 0.95, 3
+
 
 # --- placeholders -----------------------------------------------------------------------------------------------------
 
@@ -42,7 +51,12 @@ SPEAKS = re.compile(r"for example|such as|e\. ?g\.|braces|field names?|z\. ?b\.|
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur".split()
 )
+#: words of filler Latin that other texts hardly have; a message needs two of them
+TELLING = frozenset(w for w in LATIN if len(w) > 3) - {"nulla"}
 MASH = frozenset("foo bar baz qux quux qwerty qwertz asdf asdfg jklö hjkl yxcv test blah bla dummy".split())
+#: what stands between two words of mashed keys
+BETWEEN = (" ", ", ", ",", "-", "/", ". ")
+MASHED = re.compile("(?<![^\\W_])(?:{m})(?:(?:{b})(?:{m})){{2}}(?![^\\W_])".format(m="|".join(sorted(MASH, key=len, reverse=True)), b="|".join(re.escape(x) for x in sorted(BETWEEN, key=len, reverse=True))))
 FILLER = re.compile(
     r"(?:placeholder|dummy|sample|filler) text\b|\btext goes here|body copy to follow|(?:description|text) to come\b|\b(?:replace|overwrite|swap|change) (?:this|it) (?:text|box|block|caption|paragraph|with\b|before\b)|^please (?:replace|swap) this"
     r"|^type your \w+ here|test (?:record|entry|page), please ignore|(?:blindtext|platzhaltertext|mustertext)\b|steht später der|testeintrag, bitte|(?:überschreiben|ersetzen|ändern) sie diesen? (?:platzhalter|absatz|textblock|block|text)\b"
@@ -67,7 +81,7 @@ PURPOSE = (
 ASKED = re.compile(rf"\b{ENABLE} (?:\w+ )?{OBJECT}\b")
 PURPOSES = re.compile(rf"\b{PURPOSE}")
 SCRIPT = re.compile(
-    r"\b(?:javascript|js|scripting|scripts|cookies)(?: and (?:javascript|cookies|scripts))? (?:is|are|must be) (?:required|needed|disabled|turned off|switched off|enabled)|\bscripting turned off|^noscript\b|(?:needs|requires) (?:javascript|scripts|cookies)\b"
+    r"\b(?:javascript|js|scripting|scripts|cookies)(?: and (?:javascript|cookies|scripts))? (?:is|are|must be) (?:required|needed|disabled|turned off|switched off|enabled)|\bscripting turned off|(?:needs|requires) (?:javascript|scripts|cookies)\b"
     r"|does not work without (?:scripts|javascript)|\b(?:your )?browser is (?:not supported|too old|out of date|outdated)|checking your browser|allow scripts to continue|turn it on in your browser|switch them on to|need to enable (?:cookies|javascript)"
     r"|wird javascript benötigt|(?:javascript|skripte|cookies)(?: und (?:skripte|javascript|cookies))? (?:muss|müssen|wird|werden) (?:\w+ )?(?:zugelassen|aktiviert|benötigt)|browser lässt keine skripte|ihr browser (?:wird nicht unterstützt|ist veraltet)"
     r"|nécessite javascript|scripts sont désactivés|(?:votre )?navigateur (?:n'est pas (?:pris en charge|compatible)|est trop ancien|est obsolète)|necesita javascript|scripts desactivados|(?:su )?navegador (?:no es compatible|no está admitido|está obsoleto)"
@@ -81,7 +95,7 @@ _EN_WHAT = (
 )
 _EN_FAILS = (
     r"(?:is (?:not|temporarily not|currently not|no longer) available (?:at this address|right now|at the moment)|(?:cannot|can't|could not) be (?:shown|displayed|found|loaded|located|retrieved|opened)(?: (?:right now|at the moment|on this server|at this address))?(?=\W*$| \(code| on this| right| at)"
-    r"|failed to load|did not respond|returned no answer|ran into a problem|no longer exists|has been moved|is closed to guests|is down for maintenance|is gone\b)"
+    r"|failed to load|did not respond|returned no answer|ran into a problem|no longer exists|has been moved|is closed to (?:guests|visitors|the public|anonymous users|non-?members)|is down for maintenance|is gone\b)"
 )
 _DE_WHAT = r"(?:(?:diese|die angeforderte) (?:seite|datei|ressource)|der (?:eintrag|datensatz|kartendienst|bildserver|suchdienst)|die (?:datenbank|karte)|das (?:dokument|bild))"
 _DE_FAILS = r"(?:antwortet nicht|existiert nicht mehr|(?:ist )?(?:derzeit|unter dieser adresse|zurzeit|momentan) nicht (?:erreichbar|verfügbar)|ist nicht (?:erreichbar|verfügbar)|konnten? nicht (?:gefunden|geladen|angezeigt) werden)"
@@ -91,38 +105,38 @@ _ES_WHAT = r"(?:esta página|la (?:página|ficha) solicitada|el archivo solicita
 _ES_FAILS = r"(?:no responde|ya no existe|no se (?:pudo|ha podido) (?:cargar|mostrar|encontrar)|no se encuentra en esta dirección|no está disponible ahora|no está disponible en este momento)"
 _IT_WHAT = r"(?:questa pagina|la (?:pagina|risorsa|scheda) richiesta|il file richiesto|la mappa|la scheda|il servizio|questo documento)"
 _IT_FAILS = r"(?:non risponde|non esiste più|non è stat[ao] (?:caricat|mostrat|trovat)[ao](?! nell)|non si trova a questo indirizzo|non è disponibile(?: ora| al momento))"
+#: what only a program or a server writes; counts wherever it stands
+SYNTAX = re.compile(
+    r"\bhttp 9\b|\[err[_-]9\]|^(?:error|erreur|errore|fehler) 9\b ?[:\-–]|^9: |^9 (?:not found|forbidden|unauthorized)\b|(?:^|\W)9 (?:bad gateway|internal server error|service unavailable|gateway time-?out|not found\W*$)|(?:^|\W)9 forbidden|\berror 9 - page not found|sqlstate\["
+    r"|fatal error: |^(?:warning|notice): \w+\(|failed to open stream|traceback \(most recent call last\)|\b(?:keyerror|typeerror|nullpointerexception|undefined (?:index|method|variable))\b|segmentation fault|stack trace:|^noscript\b"
+    r"|\berror code:? 9|fehlercode 9|code d'erreur 9|código de error 9|codice di errore 9"
+)
+#: the wording of errors and refusals; counts where its group recurs widely
 ERROR = re.compile(
     rf"\b{_EN_WHAT} (?:\w+ )?{_EN_FAILS}|\b{_DE_WHAT} (?:\w+ )?{_DE_FAILS}|\b{_FR_WHAT} {_FR_FAILS}|\b{_ES_WHAT} {_ES_FAILS}|\b{_IT_WHAT} {_IT_FAILS}"
-    r"|\bhttp 9\b|\[err[_-]9\]|^(?:error|erreur|errore|fehler) 9\b ?[:\-–]|^9: |^9 (?:not found|forbidden|unauthorized)\b|(?:^|\W)9 (?:bad gateway|internal server error|service unavailable|gateway time-?out|not found\W*$)|(?:^|\W)403 forbidden|\berror 9 - page not found|sqlstate\["
-    r"|fatal error: |^(?:warning|notice): \w+\(|failed to open stream|traceback \(most recent call last\)|\b(?:keyerror|typeerror|nullpointerexception|undefined (?:index|method|variable))\b|segmentation fault|stack trace:"
-    r"|\bpage not found\b|\berror code:? 9|internal server error|request timed out|too many requests|your (?:ip )?address has been blocked|your session has expired|log in again to continue|access denied|you (?:do not|don't) have permission|are not authori[sz]ed"
-    r"|unable to (?:retrieve|load|open) (?:the )?(?:document|page|record)|upstream (?:host|server)|something went wrong (?:while|with)|could not be located on this server|connection to the database failed|we dug everywhere but this page"
-    r"|fehlercode 9|zugriff verweigert|keine berechtigung für|ihre sitzung ist abgelaufen|interner serverfehler|seite nicht gefunden\b|hier ist etwas schiefgelaufen|keine verbindung zur datenbank"
-    r"|code d'erreur 9|accès refusé|vous n'êtes pas autorisé|votre session a expiré|erreur interne du serveur|page introuvable\b|service (?:momentanément )?indisponible|connexion à la base de données"
-    r"|código de error 9|acceso denegado|no tiene permiso para|su sesión ha caducado|error interno del servidor|página no encontrada|no se pudo conectar con|algo salió mal"
-    r"|codice di errore 9|accesso negato|non si dispone dei permessi|la sessione è scaduta|errore interno del server|pagina non trovata|impossibile connettersi|qualcosa è andato storto"
+    r"|\bpage not found\b|internal server error|request timed out|too many requests|your (?:ip )?address has been blocked|your session has expired|log in again to continue|access denied|you (?:do not|don't) have permission|are not authori[sz]ed"
+    r"|unable to (?:retrieve|load|open) (?:the )?(?:document|page|record)|upstream (?:host|server)|something went wrong (?:while|with)|could not be located on this server|connection to the database failed"
+    r"|zugriff verweigert|keine berechtigung für|ihre sitzung ist abgelaufen|interner serverfehler|seite nicht gefunden\b|hier ist etwas schiefgelaufen|keine verbindung zur datenbank"
+    r"|accès refusé|vous n'êtes pas autorisé|votre session a expiré|erreur interne du serveur|page introuvable\b|service (?:momentanément )?indisponible|connexion à la base de données"
+    r"|acceso denegado|no tiene permiso para|su sesión ha caducado|error interno del servidor|página no encontrada|no se pudo conectar con|algo salió mal"
+    r"|accesso negato|non si dispone dei permessi|la sessione è scaduta|errore interno del server|pagina non trovata|impossibile connettersi|qualcosa è andato storto"
 )
-#: what stands beside notices; alone it counts only where it recurs
-WEAK = re.compile(
-    r"^(?:please )?(?:try again later|reload the page|reload or contact the administrator|go back and try once more|check the address|the help desk has been informed|if the problem lasts, write to the help desk|loading|oops)[.!…]*$"
-    r"|^(?:bitte (?:versuchen sie es )?später erneut(?: versuchen)?|bitte prüfen sie die adresse|veuillez réessayer(?: plus tard)?|vérifiez l'adresse|vuelva a intentarlo|inténtelo de nuevo más tarde|compruebe la dirección|riprovare più tardi|controllare l'indirizzo)[.!…]*$"
+#: words of one office are masked alike in a notice, so that its variants have one hash
+OFFICES = tuple(
+    (re.compile(rf"\b{words}\b"), sign)
+    for words, sign in (
+        (rf"(?:(?:le|les|la|los|el|gli|i|l') ?)?{OBJECT}(?: and {OBJECT})?", "§script"), (_EN_FAILS, "§fails"), (_DE_FAILS, "§versagt"), (_FR_FAILS, "§échoue"), (_ES_FAILS, "§falla"), (_IT_FAILS, "§manca"), (_EN_WHAT, "§it"), (_DE_WHAT, "§es"), (_FR_WHAT, "§ce"), (_ES_WHAT, "§eso"), (_IT_WHAT, "§esso"),
+        (r"(?:(?:is|are|must be) (?:required|needed|enabled|disabled|turned off|switched off)|needs|requires|does not work without|(?:wird|werden|muss|müssen) (?:\w+ )?(?:benötigt|aktiviert|zugelassen)|lässt keine|nécessite|sont désactivés|necesita|desactivados|è necessario|richiede|necessita di|sono disattivati)", "§needs"),
+        (r"(?:access denied|you (?:do not|don't) have permission|are not authori[sz]ed|your session has expired|your (?:ip )?address has been blocked|too many requests|log in again to continue)", "§refused"), (r"(?:zugriff verweigert|keine berechtigung für|ihre sitzung ist abgelaufen)", "§verwehrt"),
+        (r"(?:accès refusé|vous n'êtes pas autorisé|votre session a expiré)", "§refusé"), (r"(?:acceso denegado|no tiene permiso para|su sesión ha caducado)", "§denegado"), (r"(?:accesso negato|non si dispone dei permessi|la sessione è scaduta)", "§negato"),
+        (r"(?:enable|activate|allow|unblock|turn on|switch on|accept)", "§on"), (r"(?:aktivieren|erlauben|schalten sie|zulassen)", "§an"), (r"(?:activez|activer|autorisez|autoriser|débloquez|débloquer|acceptez)", "§actif"),
+        (r"(?:active|habilite|permita|desbloquee|acepte)", "§activo"), (r"(?:attivare|attivi|consentire|abilitare|sbloccare|accettare)", "§attivo"),
+        (r"(?:replace|overwrite|swap|change|überschreiben|ersetzen|ändern|remplacez|modifiez|écrasez|cambie|sustituya|reemplace|cambiare|sostituire|modificare)", "§put"),
+        (r"(?:text|box|block|caption|paragraph|platzhalter|absatz|textblock|texte|bloc|paragraphe|légende|cadre|bloque|texto|párrafo|cuadro|blocco|testo|paragrafo|riquadro)", "§text"),
+    )
 )
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{2,80}'(?!\w)|\"[^\"\n]{2,80}\"|“[^”\n]{2,80}”|„[^“\n]{2,80}“|‘[^’\n]{2,80}’|« [^»\n]{2,80} »")
 
-#: strings of which every message that a rule can match holds one; ordinary sentences go no further
-TRIGGERS = (
-    "{ } < > « @@ $ # %( %% [[ __ [err",
-    "[insert (insert [enter (enter [add (add [type (type [fill (fill [your (your [ins (ins [saisir (saisir [votre (votre [entrer (entrer [hier (hier [ihr (ihr [escriba (escriba [introduzca (introduzca [su| (su| [scrivere (scrivere [il| (il| to|be| |here] |here) compléter] compléter) completer] completer) |ici] |ici) fügen] fügen) fugen] fugen) gänzen] gänzen) ganzen] ganzen) tragen] tragen) completar] completar) |aquí] |aquí) |aqui] |aqui) completare] completare) inserire] inserire) |qui] |qui)",
-    "lorem ipsum dolor aliqu consectetur veniam labor nostrud ullamco tempor incididunt commodo adipisc eiusmod magna minim |amet |elit |enim |quis foo| bar| baz qux qwert asdf jklö hjkl yxcv test| blah bla| dummy",
-    "|text text|goes placeholder body|copy to|come replace overwrite swap| change|this change|it type|your test|record test|entry test|page blindtext platzhalter mustertext später|der testeintrag überschreiben ersetzen|sie ändern|sie faux|texte texte|d'ex texte|de|rem |ici |test,|ne remplacez modifiez écrasez texto|de aquí|va registro|de|prueba cambie| sustituya| reemplace| |resumen|aquí testo qui|va|ins cambiare sostituire modificare scheda|di|prova inserire|qui",
-    "script skript cookie browser navigateur navegador active|content aktive|inhalte contenu|actif contenido|activo contenuti|attivi |js|and |js|in |js|for |js|to |js|first |js|is js|is turn|it|on switch|them",
-    "not|available no|longer|available be|shown be|displayed be|found be|loaded be|located be|retrieved be|opened failed|to did|not|respond returned|no|answer into|a|problem no|longer|exists been|moved closed|to|guests maintenance is|gone",
-    "antwortet existiert|nicht nicht|erreichbar nicht|verfügbar gefunden|werden geladen|werden angezeigt|werden ne|répond|pas n'existe introuvable pas|pu|être pas|accessible pas|disponible indisponible inaccessible no|responde ya|no|existe no|se|pudo no|se|ha|podido no|se|encuentra no|está|disp non|risponde non|esiste non|è|stat non|si|trova non|è|disp",
-    "http|9 error erreur fehler 9:| 9|forbidden not|found bad|gateway unavailable time-out timeout unauthorized sqlstate warning: notice: traceback keyerror typeerror exception undefined segmentation stack|trace timed|out too|many|requests been|blocked expired log|in|again denied have|permission not|author unable|to upstream went|wrong database|failed dug|everywhere",
-    "verweigert berechtigung sitzung|ist serverfehler nicht|gefunden schiefgelaufen keine|verbindung refusé pas|autorisé session|a|expiré connexion|à|la denegado permiso|para sesión|ha página|no|enc conectar|con salió|mal accesso|negato permessi sessione|è pagina|non connettersi andato|storto",
-    "try|again reload once|more address help|desk loading... oops! erneut adresse réessayer vuelva|a inténtelo dirección riprovare controllare",
-)
-LITERALS = tuple(w.replace("|", " ") for line in TRIGGERS for w in line.split())
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 ADDRESS = re.compile(r"https?://\S+|www\.\S+|[\w.+-]+@[\w-]+\.[\w.]+")
 #: numbers, dates, times and network addresses
@@ -144,92 +158,162 @@ def masked(text: str) -> str:
     return FIGURE.sub("9", t)
 
 
-def segments(text: str, automaton) -> list[str]:
-    """The distinct sentences and lines of a text in which a trigger stands, in order; all others are ordinary content."""
-    t = masked(text)
-    if next(automaton.iter(t), None) is None and not REPEATED.search(t):
-        return []
-    parts = dict.fromkeys(p.strip() for p in CUT.split(t))
-    return [p for p in parts if next(automaton.iter(p), None) is not None or REPEATED.search(p)]
+def literals(*rules: re.Pattern) -> list[str]:
+    """Strings of which every text that one of the rules matches must hold one, worked out from the rules' own syntax.
+
+    Of the parts that a rule cannot do without, the one whose shortest string is the most telling is taken: a sign that
+    ordinary prose hardly has counts as four letters.
+    """
+    import re._constants as op
+    import re._parser as syntax
+
+    def worth(options: list[str]) -> float:
+        return min(len(o) + 3 * sum(not (ch.isalnum() or ch in " .,'-:") for ch in o) for o in options)
+
+    def needed(tree) -> list[str] | None:
+        found, run = [], ""
+        for kind, value in [*tree, (None, None)]:
+            if kind is op.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+                run = ""
+            if kind is op.SUBPATTERN:
+                inner = needed(value[3])
+            elif kind is op.IN and all(k is op.LITERAL for k, _ in value):
+                inner = [chr(v) for _, v in value]
+            elif kind is op.BRANCH:
+                parts = [needed(t) for t in value[1]]
+                inner = None if any(p is None for p in parts) else [x for p in parts for x in p]
+            elif kind is op.MAX_REPEAT and value[0] > 0:
+                inner = needed(value[2])
+            else:
+                inner = None
+            if inner:
+                found.append(inner)
+        return max(found, key=worth) if found else None
+
+    out: set[str] = set()
+    for rule in rules:
+        options = needed(syntax.parse(rule.pattern))
+        if not options:
+            raise ValueError(f"nothing that {rule.pattern[:40]} needs can be searched for")
+        out |= set(options)
+    return sorted(out)
 
 
 def triggers():
-    """The literals as one Aho-Corasick automaton, so that a text is searched for all of them in a single pass."""
+    """The literals of all rules as one Aho-Corasick automaton: a text without any of them can match no rule."""
     import ahocorasick
 
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for literal in LITERALS:
+    for literal in [*literals(CODE, LIGHT, WORDED, SYNTAX, ERROR, FILLER, ASKED, SCRIPT), *TELLING, *(a + between + b for a in MASH for between in BETWEEN for b in MASH)]:
         automaton.add_word(literal)
     automaton.make_automaton()
     return automaton
 
 
-def judge(message: str) -> str | None:
-    """placeholder, filler, script, error or weak; None for ordinary content. message: masked and in lower case."""
+def judge(message: str) -> tuple[str, str | None] | None:
+    """The kind of a message and the notice in it by which it is grouped; None for ordinary content.
+
+    The group is None where none is needed: for syntax, and for a message that is nothing but a notice.
+
+    message: masked and in lower case.
+    """
     bare = QUOTED.sub(" ", message)
     if not SPEAKS.search(bare) and (CODE.search(message) or LIGHT.search(message) or WORDED.search(message)):
-        return "placeholder"
+        return "placeholder", None
     words = re.findall(r"[^\W\d_]+", bare)
     latin = sum(w in LATIN for w in words)
-    if len(words) >= 3 and latin >= 0.8 * len(words) and len({w for w in words if w in LATIN} - {"in", "ad", "et", "ex", "ut", "do", "ea", "eu", "nulla", "data"}) >= 2:
-        return "filler"
+    if len(words) >= 3 and latin >= 0.8 * len(words) and len(TELLING.intersection(words)) >= 2:
+        return "filler", None
     same = [w for w in words if len(w) >= 3 and len(set(w)) == 1]
-    mash = [w for w in words if w in MASH]
-    if len(words) >= 3 and (len(same) >= 3 and len(same) >= 0.7 * len(words) or len(mash) >= 3 and _in_a_row(words)):
-        return "filler"
-    if FILLER.search(bare):
-        return "filler"
-    if ASKED.search(bare) and PURPOSES.search(bare) or SCRIPT.search(bare):
-        return "script"
-    if ERROR.search(bare):
-        return "error"
-    return "weak" if WEAK.search(bare.strip()) else None
-
-
-def _in_a_row(words: list[str]) -> bool:
-    run = 0
-    for w in words:
-        run = run + 1 if w in MASH else 0
-        if run >= 3:
-            return True
-    return False
-
-
-def candidates(documents: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
-    """doc, source, message and its hash h for each distinct sentence or line that a rule might match."""
+    if len(words) >= 3 and (len(same) >= 3 and len(same) >= 0.7 * len(words) or MASHED.search(bare)):
+        return "filler", None
+    if SYNTAX.search(bare):
+        return "error", None
+    asked = ASKED.search(bare)
+    for kind, hit in (("filler", FILLER.search(bare)), ("script", asked and PURPOSES.search(bare) and asked), ("script", SCRIPT.search(bare)), ("error", ERROR.search(bare))):
+        if hit:
+            whole = len(hit.group()) >= len(bare.strip(" .!…:¡")) - 1
+            return kind, None if whole else framed(hit.group())
+    return None
+
+
+def framed(notice: str) -> str:
+    """A notice with its words of one office masked alike."""
+    for words, sign in OFFICES:
+        notice = words.sub(sign, notice)
+    if "§text" in notice and "§put" not in notice:
+        return "§text"
+    return notice.strip(" .!…:")
+
+
+def parts_of(text: str, automaton) -> list[tuple[str, str | None, bool, str]]:
+    """(group, kind, sure, message) of each distinct sentence or line of a text; kind is None for what no rule knows."""
+    t = masked(text)
+    parts = dict.fromkeys(p.strip() for p in CUT.split(t))
+    parts.pop("", None)
+    if next(automaton.iter(t), None) is None and not REPEATED.search(t):
+        return [(p, None, False, p) for p in parts]
+    out = []
+    for p in parts:
+        found = judge(p) if next(automaton.iter(p), None) is not None or REPEATED.search(p) else None
+        if found is None:
+            out.append((p, None, False, p))
+        else:
+            kind, notice = found
+            out.append((p if notice is None else f"{kind}\t{notice}", kind, notice is None, p))
+    return out
+
+
+def candidates(documents: DataFrame, doc_id: str, text: str, source: str, with_text: bool = False) -> DataFrame:
+    """doc, source, h (hash of the message or of the notice in it), kind, sure and words for each distinct message of each document.
+
+    The messages' texts are kept only if they are to be shown, as hashes are enough to group them.
+    """
     rows = documents.where(F.coalesce(F.trim(text) != "", F.lit(False))).select(F.col(doc_id).alias("doc"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
         automaton = triggers()
         for b in batches:
-            found = b[["doc", "source"]].assign(message=[segments(t, automaton) for t in b["text"]])
-            yield found[found["message"].str.len() > 0].explode("message")
+            found = [parts_of(t, automaton) for t in b["text"]]
+            flat = [x for f in found for x in f]
+            out = b[["doc", "source"]].loc[b.index.repeat([len(f) for f in found])].reset_index(drop=True)
+            out["h"] = np.array([xxhash.xxh64_intdigest(x[0]) for x in flat], dtype=np.uint64).view(np.int64)
+            out["kind"] = pd.Series([x[1] for x in flat], dtype="object")
+            out["sure"] = np.array([x[2] for x in flat], dtype=bool)
+            out["words"] = np.array([x[3].count(" ") + 1 for x in flat], dtype=np.int32)
+            out["message"] = pd.Series([x[3] if with_text else None for x in flat], dtype="object")
+            yield out
 
     kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInPandas(run, f"doc {kind}, source string, message string").withColumn("h", F.xxhash64("message"))
-
-
-def messages(found: DataFrame) -> DataFrame:
-    """h, message, docs, sources and kind of each distinct candidate message that a rule matches."""
-    by_source = found.groupBy("h", "source").agg(F.min("message").alias("message"), F.count("*").alias("docs"))
-    all_over = by_source.groupBy("h").agg(F.min("message").alias("message"), F.sum("docs").alias("docs"), F.count("*").alias("sources"))
+    return rows.mapInPandas(run, f"doc {kind}, source string, h bigint, kind string, sure boolean, words int, message string")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kind = [judge(m) for m in b["message"]]
-            out = b.assign(kind=kind)
-            yield out[[k is not None for k in kind]]
 
-    return all_over.mapInPandas(run, "h bigint, message string, docs bigint, sources bigint, kind string")
+def messages(found: DataFrame, min_docs: int = MIN_DOCS, min_sources: int = MIN_SOURCES) -> DataFrame:
+    """h, kind, docs, sources, words and message of the groups that are residue: sure ones, notices that recur widely, and companions."""
+    by_source = found.groupBy("h", "source").agg(F.count("*").alias("docs"), F.min("kind").alias("kind"), F.bool_or("sure").alias("sure"), F.max("words").alias("words"), F.min("message").alias("message"))
+    groups = by_source.groupBy("h").agg(F.sum("docs").alias("docs"), F.count("*").alias("sources"), F.min("kind").alias("kind"), F.bool_or("sure").alias("sure"), F.max("words").alias("words"), F.min("message").alias("message"))
+    groups = groups.where("sure or docs >= %d and sources >= %d" % (min_docs, min_sources)).persist(StorageLevel.MEMORY_AND_DISK)
+    known = groups.where("kind is not null")
+    bad = found.where("kind is not null").join(known.select("h"), "h", "left_semi").select(F.col("doc").alias("bad")).distinct()
+    wide = groups.where((F.col("kind").isNull()) & (F.col("docs") >= max(min_docs, COMPANION_DOCS)) & (F.col("words") >= COMPANION_WORDS))
+    beside = found.where("kind is null").select("doc", "h").join(wide.select("h"), "h", "left_semi").join(bad, F.col("doc").eqNullSafe(F.col("bad")), "left_semi")
+    beside = beside.groupBy(F.col("h").alias("hh")).agg(F.count("*").alias("with"))
+    companions = wide.join(beside, F.col("h") == F.col("hh")).where(F.col("with") >= COMPANION_SHARE * F.col("docs")).withColumn("kind", F.lit("companion"))
+    return known.unionByName(companions.select(*known.columns)).select("h", "kind", "docs", "sources", "message")
 
 
 def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", min_docs: int = MIN_DOCS, min_sources: int = MIN_SOURCES) -> DataFrame:
-    """doc_id and kinds (array, sorted) of the documents to leave out.
+    """doc_id and kinds (array, sorted: companion, error, filler, placeholder, script) of the documents to leave out.
 
-    A weak message counts if at least min_docs documents of min_sources sources hold it. Null and blank texts are no
-    case; a null source is a source of its own; a null id is kept; rows that repeat an id come out once; texts are read
-    whole; an empty table gives no rows; other columns are not read.
+    Null and blank texts are no case; a null source is a source of its own; a null id is kept; rows that repeat an id
+    come out once; texts are read whole; an empty table gives no rows; other columns are not read.
     """
     found = candidates(documents, doc_id, text, source).persist(StorageLevel.MEMORY_AND_DISK)
-    bad = messages(found).where((F.col("kind") != "weak") | (F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("h", "kind")
+    bad = messages(found, min_docs, min_sources).select("h", "kind")
     return found.select("doc", "h").join(bad, "h").groupBy(F.col("doc").alias(doc_id)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))

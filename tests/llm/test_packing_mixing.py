@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from arcspan.llm.mixing import mix, wanted_tokens
-from arcspan.llm.packing import fill_gap, pack, plan
+from arcspan.llm.packing import Plan, fill_gap, pack, plan, widths
 from arcspan.llm.tokens import with_tokens
 
 
@@ -28,7 +28,8 @@ def test_plan_uses_every_item_once(capacity):
     for _ in range(5000):
         s = min(capacity, max(1, int(rng.lognormvariate(2.5, 1))))
         hist[s] = hist.get(s, 0) + 1
-    patterns, used = plan(hist, capacity), {}
+    (patterns, left), used = plan(hist, capacity), {}
+    assert not left
     for p in patterns:
         assert p.fill == sum(s * n for s, n in p.uses) <= capacity
         for s, n in p.uses:
@@ -55,6 +56,40 @@ def test_pack(spark):
     assert large.groupby("container_id")["tokens"].sum().max() <= 10_000 and large["tokens"].sum() == got["tokens"].sum()
 
 
+def sizes(n: int, capacity: int, seed: int = 5) -> np.ndarray:
+    return np.clip(np.random.default_rng(seed).lognormal(np.log(capacity) - 2, 1.0, n).astype(int), 1, capacity)
+
+
+def placed(size: np.ndarray, made: Plan) -> np.ndarray:
+    rank, seen = np.zeros(len(size), dtype=np.int64), {}
+    for k, s in enumerate(size.tolist()):
+        rank[k] = seen.get(s, 0)
+        seen[s] = rank[k] + 1
+    return made.place(size, rank)
+
+
+@pytest.mark.parametrize("capacity", [1024, 1000, 20_000])
+def test_tiers_decide_the_plan(capacity):
+    """Other tiers make other windows and other containers; all fill them as well, none overflows."""
+    size = sizes(20_000, capacity)
+    hist = {int(s): int(n) for s, n in zip(*np.unique(size, return_counts=True))}
+    made = {t: Plan(hist, capacity, t) for t in (1, 3, 5)}
+    assert made[1].windows == len(size) > made[3].windows > made[5].windows
+    assert len({tuple(p.uses for p in m.containers) for m in made.values()}) == 3
+    for m in made.values():
+        load = np.bincount(placed(size, m), weights=size)
+        assert len(load) == m.total and load.max() <= capacity and load.min() > 0
+        assert size.sum() >= 0.995 * capacity * (m.total - 1)
+
+
+def test_a_window_holds_one_item_of_its_tier():
+    size = sizes(5_000, 512)
+    made = Plan({int(s): int(n) for s, n in zip(*np.unique(size, return_counts=True))}, 512, 4)
+    assert widths(512, 4) == [512, 256, 128, 64] and widths(5, 5) == [5, 2, 1]
+    long = np.bincount(placed(size, made)[size > 256])
+    assert long.max() == 1
+
+
 def test_wanted_tokens():
     assert wanted_tokens({"a": 100, "b": 100}, {"a": 0.5, "b": 0.5}, {"a": 100, "b": 300}) == {"a": 100, "b": 100}
     w = wanted_tokens({"a": 10, "b": 100}, {"a": 0.5, "b": 0.5, "none": 0.2}, {"a": 20, "b": 500})
