@@ -3,12 +3,12 @@
 The plan is made from the exact histogram of sizes, which has no more classes than the capacity has tokens, whatever the
 number of items. It has two levels. Every item is routed to the shortest context window of C, C/2, C/4 ... tokens that
 holds it. From the longest tier on, each item of a tier opens a window of its tier, whose gap is filled from the shorter
-tiers by subset sums over what is left; what the shortest tier keeps stays single. The windows, and those single items,
-are then put together to containers, again by subset sums over what they really hold, so that a window that could not be
-filled costs no room. A pattern found so is used as often as its counts allow. Items find their window by their rank
-within their size, and windows their container by their rank within their kind, so that no item leaves its executor but
-for one shuffle of narrow rows. Containers are numbered by falling cost of attention (the sum of squared lengths) and dealt
-to step groups to and fro, which balances the groups.
+tiers by subset sums over what is left; a window that cannot be filled is not made, and its item stays single, like what
+is left of the shortest tier. The windows and the single items are then put together to containers, again by subset sums.
+A pattern found so is used as often as its counts allow. Items find their window by their rank within their size, and
+windows their container by their rank within their kind, so that no item leaves its executor but for one shuffle of narrow
+rows. Containers are numbered by falling cost of attention (the sum of squared lengths) and dealt to step groups to and
+fro, which balances the groups.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from arcspan.operators.ranking import rank_within
 
 TIERS = 5
 STEP_CONTAINERS = 16
+#: a window is closed only if so much of it is filled; else its item stays single for the second level
+FULL = 0.99
 #: gaps up to this many tokens are filled by exact subset sums; of a larger gap the longest items that fit are taken off first
 EXACT_GAP = 4096
 
@@ -77,8 +79,11 @@ def fill_gap(gap: int, left: dict[int, int], sizes: list[int]) -> list[tuple[int
     return sorted(taken.items(), reverse=True)
 
 
-def plan(histogram: dict[int, int], capacity: int, opening: tuple[int, int] | None = None) -> tuple[list[Pattern], dict[int, int]]:
-    """Patterns, and what is left. histogram: size (1 to capacity) -> items. opening: only sizes in this half-open range open a pattern."""
+def plan(histogram: dict[int, int], capacity: int, opening: tuple[int, int] | None = None, full: float = 0.0) -> tuple[list[Pattern], dict[int, int]]:
+    """Patterns, and what is left. histogram: size (1 to capacity) -> items.
+
+    opening: only sizes in this half-open range open a pattern. full: patterns that fill less than this share are not made.
+    """
     left = {s: n for s, n in histogram.items() if n > 0}
     sizes = sorted(left, reverse=True)
     low, high = opening or (0, capacity)
@@ -90,6 +95,8 @@ def plan(histogram: dict[int, int], capacity: int, opening: tuple[int, int] | No
             for size, n in fill_gap(capacity - s, left, sizes):
                 uses[size] = uses.get(size, 0) + n
             left[s] += 1
+            if sum(size * n for size, n in uses.items()) < full * capacity:
+                break
             times = min(left[size] // n for size, n in uses.items())
             for size, n in uses.items():
                 left[size] -= n * times
@@ -110,9 +117,9 @@ class Plan:
         windows: list[tuple[int, Pattern]] = []
         left = histogram
         for t, (width, below) in enumerate(zip(self.widths, self.widths[1:])):
-            found, left = plan(left, width, (below, width))
+            found, left = plan(left, width, (below, width), FULL)
             windows += [(t, p) for p in found]
-        # the shortest tier stays single: a window of one item
+        # the shortest tier and what opened no window stay single: windows of one item
         windows += [(len(self.widths) - 1, Pattern(((s, 1),), n, s)) for s, n in sorted(left.items(), reverse=True)]
         kinds: dict[int, int] = {}
         self.item_slots: dict[int, list[tuple[int, int, int, int]]] = {}
