@@ -1,7 +1,7 @@
 """Freely typed values mapped to the entries of a reference list.
 
-A symmetric-delete dictionary holds every phrase of the list (labels in all languages, a thesaurus, plurals, spellings
-without umlauts, shortened first words) under each string that is left when up to d letters are taken out. A typed value
+A symmetric-delete dictionary holds every phrase of the list (labels in all languages, further names that the caller
+gives, plurals, spellings without umlauts, shortened first words, and words without their vowels) under each string that is left when up to d letters are taken out. A typed value
 is normalised and searched window by window; windows within the edit bound are ranked by weighted Damerau-Levenshtein
 distance and by how often an entry's own label is used in the column.
 """
@@ -16,65 +16,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_REFERENCE = 20_000
-MAX_WORDS = 5
-
-#: further names of entries, by English label; labels, plurals and words around a name need no line here
-THESAURUS = {
-    "settlement": "living site|village site|Siedlung|habitat|habitation|occupation site|asentamiento|insediamento|sttlmt",
-    "cave": "cavern|cueva|grotta|grotto",
-    "rock shelter": "abri|abri sous roche|overhang|rk shelter|shelter under rock|abrigo rocoso",
-    "cemetery": "burial ground|graveyard|necropolis|necropoli|cementerio|grave field",
-    "burial mound": "barrow|kurgan|tumulo",
-    "megalithic tomb": "megalith tomb|dolmen|passage grave|gallery grave|allée couverte|Hünengrab|sepulcro megalítico",
-    "stone circle": "stone ring|ring of stones|circle of stones|circle stone|círculo de piedras",
-    "hillfort": "hill fort|hillft|castro|Ringwall|éperon barré|fortified hilltop|defended hilltop",
-    "enclosure": "Grabenwerk|recinto|recinto de fosos|enclosed area",
-    "sanctuary": "santuario|sacred site|holy place|cult place|Kultplatz|Heiligtum|lieu de culte",
-    "temple": "tempio|templo|temple|tmpl",
-    "monastery": "abbey|Abtei|priory|convent|monasterio",
-    "quarry": "cantera|stone pit|qry|Steinbruchareal|stone extraction site",
-    "mine": "mina|mining site|Feuersteinbergwerk|mine",
-    "workshop": "taller|atelier|Schlagplatz|knapping site|craft area|production site|workshp",
-    "harbour": "harbor|puerto|Hafenanlage|anchorage|landing place",
-    "farmstead": "farm|Einzelhof|granja|homestead",
-    "shell midden": "kitchen midden|shell mound|shell heap|Muschelhügel|conchero|sambaqui",
-    "settlement mound": "tepe|höyük|hüyük|Siedlungshügel|occupation mound",
-    "lake dwelling": "lakeside dwelling|pile dwelling|pile village|stilt houses|Feuchtbodensiedlung|palafito",
-    "campsite": "camp|camp site|campamento|Freilandstation",
-    "watchtower": "watch tower|w tower|lookout tower|signal tower|torre de vigilancia|tour de guet",
-    "pit": "Grubenfüllung|hoyo|fosa|pit",
-    "posthole": "post hole|post socket|Pfostengrube|hoyo de poste|buca di palo|PH",
-    "hearth": "fireplace|fire place|open fire|Feuerstelle|focolare|hogar|combustion feature",
-    "ditch": "foso|fossato|Grabenfüllung",
-    "inhumation grave": "single burial|skeleton grave|flat grave|tumba de inhumación|sépulture",
-    "cremation grave": "cremation|cremated burial|urn burial|urn grave|Urnengrab|Brandgrab|incineración",
-    "floor": "sol|sol d'habitat|suelo de ocupación",
-    "wall": "muro|Mauerwerk",
-    "well": "pozo|pozzo|Brunnenschacht",
-    "kiln": "Töpferofen|horno de alfarero",
-    "oven": "horno de pan|tannur|Lehmofen",
-    "storage pit": "grain pit|granary pit|Getreidegrube|fosa de almacenamiento",
-    "cistern": "cisterna|aljibe|water tank|rainwater tank",
-    "foundation trench": "bedding trench|footing trench|wall trench|Wandgräbchen|zanja de cimentación|tranchée de fondation",
-    "pavement": "paving|paved area|paved surface|cobbling|cobbled surface|Pflaster|Steinpflaster|empedrado",
-    "burial chamber": "grave chamber|tomb chamber|chamber of the tomb|cámara funeraria",
-    "rampart": "defensive bank|bank and palisade|Wallanlage|muralla",
-    "drain": "drainage channel|sewer|Kanal|desagüe",
-    "smelting furnace": "furnace|smelter|bloomery|Rennofen|horno de fundición",
-    "destruction layer": "destruction level|burnt layer|conflagration layer|Brandschicht|couche d'incendie|nivel de destrucción",
-    "cultural layer": "occupation layer|occupation deposit|anthropic layer|find layer|Fundschicht|couche archéologique|nivel arqueológico",
-}
-#: common companions of a name, before (+) or after it; as phrases of their own they are found when run together or misspelt
-COMPANIONS = {
-    "pit": "rubbish+ feature fill", "ditch": "boundary+ section fill", "wall": "stone+ drystone+ mudbrick+ footing", "floor": "clay+ house+ level", "oven": "bread+ baking+ cooking+",
-    "kiln": "lime+ pottery+ potters+", "well": "water+ timberlined+ shaft", "silo": "pit", "rampart": "earth+", "furnace": "iron+", "cistern": "basin", "drain": "channel",
-    "farm": "single+ site", "barrow": "round+", "mine": "flint+ copper+ shaft", "enclosure": "ditched+ causewayed+", "burial mound": "earthen+", "settlement": "open+", "camp": "seasonal+ openair+ hunting+",
-    "temple": "precinct building", "cave": "site karst", "quarry": "site", "port": "site", "tell": "site mound", "habitation": "site", "cemetery": "area",
-}
+#: largest list of which the dictionary is broadcast; beyond it the deletes of list and values meet in a shuffle join
+BROADCAST_REFERENCE = 20_000
+
 #: words that stand around a name and are never misspelt names themselves
 AROUND = frozenset(
     "a an and area base building centre de du disturbed early feature fill for from iron age late large lower neolithic bronze no not of or part phase poss possible prob probable possibly rev ruined section shaft site small the undated upper with near by cf see notes report".split()
@@ -130,49 +78,68 @@ def distance(a: str, b: str, most: float) -> float:
     return above[-1]
 
 
+#: what a form of an entry is: a whole phrase, a shortened one, one of a label of a single word, one that may be misspelt
+FULL, SHORT, SINGLE, LOOSE = 1, 2, 4, 8
+
+
+def forms(phrases: list[str], label: str) -> dict[str, int]:
+    """The strings, without spaces, by which an entry is found, each with what it is.
+
+    Whole phrases with plurals; the label with its first word shortened; and words of the label without their vowels.
+    """
+    out: dict[str, int] = defaultdict(int)
+    for phrase in phrases:
+        for form in {normal(phrase), normal(phrase, umlauts=True)} - {""}:
+            for key in {form.replace(" ", "")} | ({f"{form}s", f"{form}es"} if " " not in form else set()):
+                out[key] |= FULL
+    head, _, rest = normal(label).partition(" ")
+    single = 0 if rest else SINGLE
+    for n in range(2 if rest else 3, len(head)):
+        out[head[:n] + rest.replace(" ", "")] |= SHORT | single | (LOOSE if rest and n < 6 else 0)
+        if rest and n > 3 or not rest:
+            out[head[:n]] |= SHORT | single | (LOOSE if n in (5, 6) and len(head) >= 8 else 0)
+    bones = "".join(w[0] + re.sub("[aeiou]", "", w[1:]) for w in (head, *rest.split()) if w)
+    if len(bones) >= 4:
+        out[bones] |= SHORT | single | (LOOSE if len(bones) > 6 else 0)
+    doubled = re.sub(r"(.)\1", r"\1", bones)
+    if len(doubled) >= 3 and doubled != head:
+        out[doubled] |= SHORT | single
+    return out
+
+
+def resolved(owners: list[tuple[int, int, float]]) -> tuple[int, bool] | None:
+    """Of the entries (id, what, prior) that one string stands for: the one meant, and whether it may be misspelt; None if that is open."""
+    full = [(prior, ref) for ref, what, prior in owners if what & FULL]
+    if full:
+        return min(full)[1], True
+    short = {ref for ref, what, _ in owners if what & SINGLE} or {ref for ref, _, _ in owners}
+    if len(short) != 1:
+        return None
+    ref = next(iter(short))
+    return ref, any(r == ref and what & LOOSE for r, what, _ in owners)
+
+
 class Dictionary:
-    """The phrases of one field. weight: how often each entry's own label is used."""
+    """The phrases of one field: string -> (id, whether it may be misspelt). prior: how rarely each entry's own label is used."""
 
-    def __init__(self, entries: list[tuple[int, list[str], list[str]]], weight: dict[int, int]):
-        """entries: (id, full phrases, labels whose first word may be shortened)."""
-        self.exact: dict[str, int] = {}
-        self.short: dict[str, int] = {}
+    def __init__(self, phrases: dict[str, tuple[int, bool]], prior: dict[int, float]):
+        self.phrases, self.prior = phrases, prior
         self.index: dict[str, list[str]] = defaultdict(list)
-        total = sum(weight.values()) + len(entries)
-        self.prior = {ref: -math.log((weight.get(ref, 0) + 1) / total) for ref, _, _ in entries}
-        shortened: dict[str, set[int]] = defaultdict(set)
-        for ref, phrases, labels in entries:
-            for phrase in phrases:
-                for form in {normal(phrase), normal(phrase, umlauts=True)} - {""}:
-                    for key in {form.replace(" ", "")} | ({f"{form}s", f"{form}es"} if " " not in form else set()):
-                        self._keep(key, ref)
-                    for word in COMPANIONS.get(form, "").split():
-                        self._keep(word[:-1] + form.replace(" ", "") if word[-1] == "+" else form.replace(" ", "") + word, ref)
-            for label in labels:
-                head, _, rest = normal(label).partition(" ")
-                for n in range(2 if rest else 3, len(head)):
-                    shortened[head[:n] + rest.replace(" ", "")].add(ref)
-                    if rest and n > 3:
-                        shortened[head[:n]].add(ref)
-        for key, refs in shortened.items():
-            single = {r for r in refs if any(" " not in normal(x) for i, _, ls in entries if i == r for x in ls)} or refs
-            if len(single) == 1 and key not in self.exact:
-                self.short[key] = next(iter(single))
-        # the longer shortened forms may be misspelt like any phrase
-        for ref, _, labels in entries:
-            for head, _, rest in (normal(x).partition(" ") for x in labels):
-                for key in [head[:n] + rest.replace(" ", "") for n in range(2, 6) if rest] + [head[:n] for n in (5, 6) if len(head) >= 8]:
-                    if self.short.get(key) == ref:
-                        self._keep(key, ref)
-        self.longest = max(map(len, self.exact), default=0)
-        for key in self.exact:
+        loose = [key for key, (_, misspelt) in phrases.items() if misspelt]
+        self.longest = max(map(len, phrases), default=0)
+        for key in loose:
             for cut in deletes(key, allowed(len(key))):
                 self.index[cut].append(key)
 
-    def _keep(self, key: str, ref: int) -> None:
-        old = self.exact.get(key)
-        if old is None or self.prior[ref] < self.prior[old]:
-            self.exact[key] = ref
+    @classmethod
+    def of(cls, entries: list[tuple[int, list[str], str]], weight: dict[int, int]) -> "Dictionary":
+        """entries: (id, phrases, label)."""
+        prior = priors(weight, [ref for ref, _, _ in entries])
+        owners: dict[str, list] = defaultdict(list)
+        for ref, phrases, label in entries:
+            for key, what in forms(phrases, label).items():
+                owners[key].append((ref, what, prior[ref]))
+        return cls({key: found for key, o in owners.items() if (found := resolved(o))}, prior)
 
     def near(self, s: str, start: str = "", end: str = "") -> tuple[float, int] | None:
         """(cost, id) of the best phrase within the bound; of equal costs the more used entry, then the smaller id.
@@ -189,14 +156,15 @@ class Dictionary:
             bound = min(float(allowed(len(key))), 0.29 * len(key))
             cost = distance(s, key, bound)
             if cost <= bound:
-                found = (cost + 0.05 * self.prior[self.exact[key]], cost, self.exact[key])
+                ref = self.phrases[key][0]
+                found = (cost + 0.05 * self.prior[ref], cost, ref)
                 best = found if best is None or found < best else best
         return None if best is None else (best[1], best[2])
 
     def find(self, value: str) -> int:
         """The id of the entry that a value names first, 0 if it names none.
 
-        Windows of up to MAX_WORDS words are tried from each start. At one start an exact phrase goes before a misspelt
+        Windows of as many words as a phrase can have are tried from each start. At one start an exact phrase goes before a misspelt
         one, unless that covers more words at a cost of at most 0.17 a letter.
         """
         for words in (normal(value).split(), normal(value, umlauts=True).split()):
@@ -204,23 +172,30 @@ class Dictionary:
                 return found
         return 0
 
+    def windows(self, words: list[str]) -> Iterator[tuple[list[str], str]]:
+        """Windows of words and their letters, from each start the longest first, none longer than any phrase can be."""
+        for start in range(len(words)):
+            found, s = [], ""
+            for end in range(start, len(words)):
+                s += words[end]
+                if len(s) > self.longest + 3:
+                    break
+                found.append((words[start : end + 1], s))
+            yield found[::-1]
+
     def _find(self, words: list[str]) -> int:
-        n = len(words)
-        for start in range(n):
+        for start in self.windows(words):
             exact = fuzzy = None
-            for size in range(min(MAX_WORDS, n - start), 0, -1):
-                window = words[start : start + size]
-                s = "".join(window)
-                ref = self.exact.get(s) or self.short.get(s)
-                if ref:
-                    exact = (size, ref)
+            for window, s in start:
+                if known := self.phrases.get(s):
+                    exact = (len(window), known[0])
                     break
                 if all(w in AROUND for w in window) or window[-1].isdigit() or len(s) < 4:
                     continue
                 if found := self.near(s, window[0] if window[0] in AROUND else "", window[-1] if window[-1] in AROUND else ""):
                     cost = found[0] / len(s)
                     if fuzzy is None or cost < fuzzy[0] - 0.06:
-                        fuzzy = (cost, size, found[1])
+                        fuzzy = (cost, len(window), found[1])
             if exact and fuzzy and fuzzy[1] > exact[0] and fuzzy[0] <= 0.17:
                 return fuzzy[2]
             if exact:
@@ -230,45 +205,118 @@ class Dictionary:
         return 0
 
 
-def dictionaries(reference: DataFrame, used: DataFrame, ref_id: str, field: str, label: str, others: list[str], thesaurus: dict[str, str]) -> dict[str, Dictionary]:
-    """A dictionary for each field. used: fields, values and counts over the whole column; only labels' counts are kept."""
-    rows = reference.select(ref_id, field, label, *others).where(F.col(ref_id).isNotNull() & F.col(field).isNotNull() & F.col(label).isNotNull()).limit(MAX_REFERENCE + 1).collect()
-    if len(rows) > MAX_REFERENCE:
-        raise ValueError(f"a reference list of more than {MAX_REFERENCE} entries is too large to be broadcast as a delete dictionary")
-    labels = F.broadcast(reference.select(F.col(field).alias("f"), F.col(label).alias("v"), F.col(ref_id).alias("ref")))
-    weight = {r["ref"]: r["n"] for r in used.join(labels, ["f", "v"]).groupBy("ref").agg(F.sum("n").alias("n")).collect()}
+def priors(weight: dict[int, int], refs: list[int]) -> dict[int, float]:
+    total = sum(weight.get(r, 0) for r in refs) + len(refs)
+    return {ref: -math.log((weight.get(ref, 0) + 1) / total) for ref in refs}
+
+
+def _entries(reference: DataFrame, used: DataFrame, names: DataFrame | None, ref_id: str, field: str, label: str, others: list[str]) -> DataFrame:
+    """f, ref, label, phrases and weight (uses of the label itself) of each usable row of the list."""
+    rows = reference.where(F.col(ref_id).isNotNull() & F.col(field).isNotNull() & F.col(label).isNotNull()).select(F.col(field).alias("f"), F.col(label).alias("label"), F.col(ref_id).cast("int").alias("ref"), F.array_compact(F.array(label, *others)).alias("phrases"))
+    rows = rows.join(used.select("f", F.col("v").alias("label"), F.col("n").alias("weight")), ["f", "label"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    if names is None:
+        return rows
+    more = names.groupBy("label").agg(F.collect_set("name").alias("more"))
+    return rows.join(more, "label", "left").select("f", "label", "ref", "weight", F.concat("phrases", F.coalesce("more", F.array().cast("array<string>"))).alias("phrases"))
+
+
+def dictionaries(entries: DataFrame) -> dict[str, Dictionary] | None:
+    """A dictionary for each field, or None for a list that is too long to be broadcast."""
+    rows = entries.limit(BROADCAST_REFERENCE + 1).collect()
+    if len(rows) > BROADCAST_REFERENCE:
+        return None
+    rows.sort(key=lambda r: r["ref"])
     out = {}
-    for name in {r[field] for r in rows}:
-        mine = [r for r in rows if r[field] == name]
-        entries = [(r[ref_id], [r[label], *(r[o] for o in others if r[o]), *(x for x in thesaurus.get(r[label], "").split("|") if x)], [r[label]]) for r in sorted(mine, key=lambda r: r[ref_id])]
-        out[name] = Dictionary(entries, weight)
+    for name in {r["f"] for r in rows}:
+        mine = [r for r in rows if r["f"] == name]
+        out[name] = Dictionary.of([(r["ref"], r["phrases"], r["label"]) for r in mine], {r["ref"]: r["weight"] for r in mine})
     return out
 
 
-def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame, ref_id: str = "ref_id", field: str = "field_name", label: str = "label", others: tuple[str, ...] = ("label_de", "label_fr"), thesaurus: dict[str, str] | None = None) -> DataFrame:
-    """key, field_name, value and ref_id for each non-blank value of the fields that is not itself a label of its field.
+def _phrase_table(entries: DataFrame) -> DataFrame:
+    """f, key, ref, loose and prior: the dictionaries of any size as rows."""
+    totals = entries.groupBy("f").agg((F.sum("weight") + F.count("*")).alias("total"))
+    entries = entries.join(totals, "f").withColumn("prior", -F.log((F.col("weight") + 1) / F.col("total")))
 
-    ref_id is 0 for a value that means no entry. Null and blank values give no rows; a null key is kept; repeated rows
-    each give their own; very long values are searched whole;
-    an empty table gives no rows, an empty reference list only zeros; other columns are not read.
-    """
-    long = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields])).alias("x")).select("k", "x.f", "x.v").where(F.coalesce(F.trim("v") != "", F.lit(False)))
-    found = dictionaries(reference, long.groupBy("f", "v").agg(F.count("*").alias("n")), ref_id, field, label, list(others), THESAURUS if thesaurus is None else thesaurus)
-    shared = df.sparkSession.sparkContext.broadcast(found)
-    cases = long.join(F.broadcast(reference.select(F.col(field).alias("f"), F.col(label).alias("v"))), ["f", "v"], "left_anti").select("k", "f", "v")
+    def all_forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(f, key, ref, what, prior) for f, ref, phrases, label, prior in zip(b["f"], b["ref"], b["phrases"], b["label"], b["prior"]) for key, what in forms(list(phrases), label).items()]
+            yield pd.DataFrame(out, columns=["f", "key", "ref", "what", "prior"])
+
+    rows = entries.select("f", "ref", "phrases", "label", "prior").mapInPandas(all_forms, "f string, key string, ref int, what int, prior double")
+    owner = rows.groupBy("f", "key", "ref").agg(F.expr("bit_or(what)").alias("what"), F.min("prior").alias("prior"))
+    single = F.col("what").bitwiseAND(SINGLE) > 0
+    full = F.col("what").bitwiseAND(FULL) > 0
+    one = owner.groupBy("f", "key").agg(
+        F.min(F.when(full, F.struct("prior", "ref"))).alias("full"), F.count_if(single).alias("n_single"), F.count("*").alias("n"), F.min(F.when(single, F.struct("ref", "what", "prior"))).alias("single"), F.min(F.struct("ref", "what", "prior")).alias("any")
+    )
+    short = F.when(F.col("n_single") == 1, F.col("single")).when((F.col("n_single") == 0) & (F.col("n") == 1), F.col("any"))
+    one = one.withColumn("short", short).where(F.col("full").isNotNull() | F.col("short").isNotNull())
+    loose = F.col("full").isNotNull() | (F.col("short.what").bitwiseAND(LOOSE) > 0)
+    return one.select("f", "key", F.coalesce("full.ref", "short.ref").alias("ref"), loose.alias("loose"), F.coalesce("full.prior", "short.prior").alias("prior"))
+
+
+def _found_by_shuffle(values: DataFrame, entries: DataFrame) -> DataFrame:
+    """f, v and ref of each distinct value, where deletes of the values' windows and of the phrases meet in a join."""
+    phrases = _phrase_table(entries).persist(StorageLevel.MEMORY_AND_DISK)
+    longest = phrases.agg(F.coalesce(F.max(F.length("key")), F.lit(0))).first()[0]
+
+    def cuts_of_phrases(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cuts = [sorted(deletes(k, allowed(len(k))) | {k}) if loose else [k] for k, loose in zip(b["key"], b["loose"])]
+            out = b.loc[b.index.repeat([len(c) for c in cuts])].copy()
+            out["cut"] = [c for cut in cuts for c in cut]
+            yield out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        dicts, memo = shared.value, {}
+    def cuts_of_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ruler = Dictionary({"x" * longest: (0, False)}, {})
         for b in batches:
             out = []
             for f, v in zip(b["f"], b["v"]):
-                ref = memo.get((f, v))
-                if ref is None:
-                    if len(memo) > 100_000:
-                        memo.clear()
-                    ref = memo[f, v] = dicts[f].find(v) if f in dicts else 0
-                out.append(ref)
-            yield b.assign(ref_id=pd.Series(out, index=b.index, dtype="int32"))
-
-    kind = df.schema[key].dataType.simpleString()
-    return cases.mapInPandas(run, f"k {kind}, f string, v string, ref_id int").select(F.col("k").alias(key), F.col("f").alias("field_name"), F.col("v").alias("value"), "ref_id")
+                cuts = {s for words in (normal(v).split(), normal(v, umlauts=True).split()) for start in ruler.windows(words) for _, s in start}
+                out += [(f, v, c) for c in set().union(*[deletes(s, allowed(len(s) + 1)) | {s} for s in cuts])] if cuts else []
+            yield pd.DataFrame(out, columns=["f", "v", "cut"])
+
+    index = phrases.mapInPandas(cuts_of_phrases, "f string, key string, ref int, loose boolean, prior double, cut string")
+    wanted = values.mapInPandas(cuts_of_values, "f string, v string, cut string")
+    near = wanted.join(index, ["f", "cut"]).groupBy("f", "v").agg(F.collect_set(F.struct("key", "ref", "loose", "prior")).alias("phrases"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            refs = [Dictionary({p["key"]: (p["ref"], p["loose"]) for p in ps}, {p["ref"]: p["prior"] for p in ps}).find(v) for v, ps in zip(b["v"], b["phrases"])]
+            yield b[["f", "v"]].assign(ref_id=pd.Series(refs, index=b.index, dtype="int32"))
+
+    hits = near.mapInPandas(run, "f string, v string, ref_id int")
+    return values.join(hits, ["f", "v"], "left").select("f", "v", F.coalesce("ref_id", F.lit(0)).alias("ref_id"))
+
+
+def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame, ref_id: str = "ref_id", field: str = "field_name", label: str = "label", others: tuple[str, ...] = ("label_de", "label_fr"), names: DataFrame | None = None) -> DataFrame:
+    """key, field_name, value and ref_id for each non-blank value of the fields that is not itself a label of its field.
+
+    names: label and name, further names of entries. Each distinct value is looked up once. ref_id is 0 for a value that
+    means no entry. Null and blank values give no rows; a null key is kept; repeated rows each give their own; very long
+    values are searched whole; an empty table gives no rows, an empty reference list only zeros; lists of any length are
+    taken (see BROADCAST_REFERENCE); other columns are not read.
+    """
+    long = df.select(F.col(key).alias("k"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields])).alias("x")).select("k", "x.f", "x.v").where(F.coalesce(F.trim("v") != "", F.lit(False)))
+    used = long.groupBy("f", "v").agg(F.count("*").alias("n"))
+    labels = reference.select(F.col(field).alias("f"), F.col(label).alias("v")).where("f is not null and v is not null").distinct()
+    entries = _entries(reference, used, names, ref_id, field, label, list(others))
+    values = used.select("f", "v").join(labels, ["f", "v"], "left_anti")
+    found = dictionaries(entries)
+    if found is None:
+        mapped = _found_by_shuffle(values, entries)
+    else:
+        shared = df.sparkSession.sparkContext.broadcast(found)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            dicts = shared.value
+            for b in batches:
+                refs = [dicts[f].find(v) if f in dicts else 0 for f, v in zip(b["f"], b["v"])]
+                yield b.assign(ref_id=pd.Series(refs, index=b.index, dtype="int32"))
+
+        # values cost much more than their bytes tell, so they are spread over all cores whatever their size
+        spread = max(df.sparkSession.sparkContext.defaultParallelism, 1) * 2
+        mapped = values.repartition(spread, "f", "v").mapInPandas(run, "f string, v string, ref_id int")
+    cases = long.join(mapped, ["f", "v"])
+    return cases.select(F.col("k").alias(key), F.col("f").alias("field_name"), F.col("v").alias("value"), "ref_id")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from arcspan.functions.geo import haversine_km
 from arcspan.llm.names import addition, parts, tokens
-from arcspan.operators.spatial import near_join
+from arcspan.operators.spatial import leaf_salts, near_join, share_out
 
 #: farthest two records of one place may be given, beyond rounding, in km
 REACH_KM = 5.0
@@ -42,7 +42,10 @@ KAPPA, LEAST_VAR = 0.02, np.array([1e-3, 1e-2, 0.3])
 #: what so many pairs would say of each component: means and deviations; it carries tables with hardly any pairs of a kind
 PRIOR_PAIRS, PRIOR = 5.0, (((0.95, 0.6, 0.4), (0.08, 0.7, 0.8)), ((0.35, 3.0, 2.3), (0.15, 1.3, 1.0)))
 ROUNDS, INNER = 3, 60
-SEEN = 0.05
+#: pairs that are less likely than this come out of neither query
+SEEN = 0.001
+#: rows of either table in one group of a cell; fuller cells are shared out
+GROUP_ROWS = 8_192
 
 
 def _generic(names: DataFrame) -> frozenset[str]:
@@ -114,14 +117,16 @@ def _placed(entities: DataFrame, generic: frozenset[str], reach: bool) -> DataFr
     return entities.where(F.col("name").isNotNull()).mapInPandas(run, _ENTITY)
 
 
-#: names of more letters are alike only if they are equal, as edit distances take the product of both lengths
-MOST_LETTERS = 400
+#: names over SHORT letters are compared along a band of so many edits, as the whole table takes the product of both lengths;
+#: two that need more edits are not alike
+SHORT, MOST_EDITS = 400, 1000
 
 
 def _edits(a: Column, b: Column) -> Column:
     """Levenshtein distance, where two edits that leave the same letters, a swap, count as one."""
     longest = F.greatest(F.length(a), F.length(b))
-    d = F.when(longest <= MOST_LETTERS, F.levenshtein(a, b)).when(a == b, F.lit(0)).otherwise(longest)
+    banded = F.levenshtein(a, b, MOST_EDITS)
+    d = F.when(longest <= SHORT, F.levenshtein(a, b)).when(banded >= 0, banded).otherwise(longest)
     swap = (d == 2) & (F.length(a) == F.length(b)) & (F.array_sort(F.split(a, "")) == F.array_sort(F.split(b, "")))
     return F.when(swap, F.lit(1)).otherwise(d)
 
@@ -144,12 +149,15 @@ def _gap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column
 
 def candidate_pairs(places: DataFrame, sites: DataFrame, generic: frozenset[str]) -> DataFrame:
     """p, s, sim (null where a name is missing), km, adds and gap (null where a date is missing) of each candidate pair, once, with what is compared further."""
-    a, b = _placed(places, generic, True).alias("a"), _placed(sites, generic, False).alias("b")
+    a, b = (_placed(t, generic, reach).withColumnRenamed("cell", "leaf").persist(StorageLevel.MEMORY_AND_DISK) for t, reach in ((places, True), (sites, False)))
+    # a full cell is shared out by exact counts, so that no task meets all its pairs
+    a, b = share_out(a, b, leaf_salts(a, GROUP_ROWS), leaf_salts(b, GROUP_ROWS), ["ent", "core"], ["ent", "core"])
+    a, b = a.alias("a"), b.alias("b")
     raw = haversine_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"))
     km = F.greatest(F.lit(0.0), raw - F.col("a.err") - F.col("b.err"))
     sim = F.greatest(_likeness(F.col("a.core"), F.col("b.core")), _likeness(F.col("a.snd"), F.col("b.snd")))
     side = lambda x: F.struct(F.col(f"{x}.snd").alias("snd"), F.col(f"{x}.adds").alias("adds"), F.col(f"{x}.lat").alias("lat"), F.col(f"{x}.lon").alias("lon"))
-    near = a.join(b, F.col("a.cell") == F.col("b.cell")).where(km <= REACH_KM)
+    near = a.join(b, (F.col("a.leaf") == F.col("b.leaf")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j"))).where(km <= REACH_KM)
     named = near.select(F.col("a.ent").alias("p"), F.col("b.ent").alias("s"), sim.alias("sim"), km.alias("km"), _additions(F.col("a.adds"), F.col("b.adds")).alias("adds"), _gap(F.col("a.low"), F.col("a.high"), F.col("b.low"), F.col("b.high")).alias("gap"), side("a").alias("pa"), side("b").alias("sa"))
     best = named.groupBy("p", "s").agg(F.max("sim").alias("sim"), F.min("km").alias("km"), F.max("adds").alias("adds"), F.min("gap").alias("gap"), F.max_by("pa", "sim").alias("pa"), F.max_by("sa", "sim").alias("sa"))
     one = _nameless(places.where(F.col("name").isNull()), sites).unionByName(_nameless(places.where(F.col("name").isNotNull()), sites.where(F.col("name").isNull())))
@@ -219,7 +227,7 @@ def _transitive(strong: DataFrame) -> DataFrame:
 
 
 def match(places: DataFrame, sites: DataFrame) -> DataFrame:
-    """place, site and confidence of each pair that is the same real place with a posterior of at least SEEN.
+    """place, site and confidence of each pair that is the same real place with a posterior of at least SEEN; 0 for one that contradicts a better pair.
 
     places: id, name, lat, lon, low and high (span of calendar years, both or neither); sites: the same, one row an id. Coordinates with a
     latitude beyond 90 degrees whose other value is none are taken as swapped; records with no usable coordinates make no
@@ -251,7 +259,7 @@ def match(places: DataFrame, sites: DataFrame) -> DataFrame:
         lost = {(r["bs"], r["bk"], r["bg"]): r["lost"] for r in strong.groupBy("bs", "bk", "bg").agg(F.avg(F.col("gamma") - F.col("kept")).alias("lost")).collect()}
         mixture.lost = np.array([lost.get(k, 0.0) for k in keys])
         mixture.fit(10)
-    return _expand(strong.where("kept > 0").select("p", "s", "kept"), members_p, members_s)
+    return _expand(strong.select("p", "s", "kept"), members_p, members_s)
 
 
 def _collapse(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

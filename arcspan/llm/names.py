@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 #: fixed values: additions to a name, each with the form in which it is compared
 _DIRECTIONS = {"north": "n", "nord": "n", "norte": "n", "northern": "n", "south": "s", "sud": "s", "sur": "s", "süd": "s", "southern": "s", "east": "e", "est": "e", "este": "e", "ost": "e", "eastern": "e", "west": "w", "ouest": "w", "oeste": "w", "ovest": "w", "western": "w", "e": "e", "n": "n", "s": "s", "w": "w"}
@@ -44,21 +45,23 @@ def tokens(name: str) -> list[str]:
     return [w.replace("ae", "a").replace("oe", "o").replace("ue", "u") for w in re.findall(r"[a-z0-9]+", plain(name))]
 
 
-LONGEST_GENERIC = 24
-
-
-def bare(word: str, generic: frozenset[str]) -> str:
-    """The word without a generic word, of at most LONGEST_GENERIC letters, that is written together with it."""
-    for n in range(4, min(len(word) - 2, LONGEST_GENERIC + 1)):
+def bare(word: str, generic: frozenset[str], longest: int) -> str:
+    """The word without a generic word, of which none is longer than given, that is written together with it."""
+    for n in range(4, min(len(word) - 2, longest + 1)):
         if word[:n] in generic:
             word = word[n:]
             break
-    for n in range(4, min(len(word) - 2, LONGEST_GENERIC + 1)):
+    for n in range(4, min(len(word) - 2, longest + 1)):
         if word[-n:] in generic:
             return word[:-n]
     return word
 
 
+@lru_cache(8)
+def _longest(generic: frozenset[str]) -> int:
+    return max(map(len, generic), default=0)
+
+
 def parts(name: str | None, generic: frozenset[str]) -> tuple[list[str], list[str], str]:
     """The cores of a name's aliases as written and by sound, and its additions, sorted and joined.
 
@@ -78,7 +81,7 @@ def parts(name: str | None, generic: frozenset[str]) -> tuple[list[str], list[st
                 fallback.append(w)
                 if w not in generic:
                     kept.append(w)
-        for core in ("".join(kept), "".join(bare(w, generic) for w in kept)) if kept else ():
+        for core in ("".join(kept), "".join(bare(w, generic, _longest(generic)) for w in kept)) if kept else ():
             if core not in cores:
                 cores.append(core)
     if not cores and fallback:

@@ -4,7 +4,7 @@ The plan is made from the exact histogram of sizes, which has no more classes th
 number of items. It has two levels. Every item is routed to the shortest context window of C, C/2, C/4 ... tokens that
 holds it. From the longest tier on, each item of a tier opens a window of its tier, whose gap is filled from the shorter
 tiers by subset sums over what is left; a window that cannot be filled is not made, and its item stays single, like what
-is left of the shortest tier. The windows and the single items are then put together to containers, again by subset sums.
+is left of the shortest tier and a reserve of every size. The windows and the single items are then put together to containers, again by subset sums.
 A pattern found so is used as often as its counts allow. Items find their window by their rank within their size, and
 windows their container by their rank within their kind, so that no item leaves its executor but for one shuffle of narrow
 rows. Containers are numbered by falling cost of attention (the sum of squared lengths) and dealt to step groups to and
@@ -30,6 +30,8 @@ TIERS = 5
 STEP_CONTAINERS = 16
 #: a window is closed only if so much of it is filled; else its item stays single for the second level
 FULL = 0.99
+#: share of the items of each size that is kept from the windows, so that the second level has small items to fill up with
+RESERVE = 0.5
 #: gaps up to this many tokens are filled by exact subset sums; of a larger gap the longest items that fit are taken off first
 EXACT_GAP = 4096
 
@@ -115,12 +117,14 @@ class Plan:
     def __init__(self, histogram: dict[int, int], capacity: int, tiers: int = TIERS):
         self.widths = widths(capacity, tiers)
         windows: list[tuple[int, Pattern]] = []
-        left = histogram
+        reserve = {s: math.ceil(n * RESERVE) for s, n in histogram.items()} if len(self.widths) > 1 else {}
+        left = {s: n - reserve.get(s, 0) for s, n in histogram.items()}
         for t, (width, below) in enumerate(zip(self.widths, self.widths[1:])):
             found, left = plan(left, width, (below, width), FULL)
             windows += [(t, p) for p in found]
+        left = {s: left.get(s, 0) + reserve.get(s, 0) for s in histogram}
         # the shortest tier and what opened no window stay single: windows of one item
-        windows += [(len(self.widths) - 1, Pattern(((s, 1),), n, s)) for s, n in sorted(left.items(), reverse=True)]
+        windows += [(len(self.widths) - 1, Pattern(((s, 1),), n, s)) for s, n in sorted(left.items(), reverse=True) if n > 0]
         kinds: dict[int, int] = {}
         self.item_slots: dict[int, list[tuple[int, int, int, int]]] = {}
         used: dict[int, int] = {}

@@ -10,13 +10,14 @@ from arcspan.llm.matching import match, site_profiles, site_spans
 from arcspan.llm.mixing import mix
 from arcspan.llm.packing import pack
 from arcspan.llm.residue import candidates, messages, residue
+from arcspan.llm.thesaurus import names_table
 from arcspan.llm.tokens import with_tokens
 from arcspan.operators.units import BP, CALENDAR, calendar_years, stated_units
 from arcspan.plans.runtime import not_blank, table
 
 
 def _mapped_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return map_values(table(spark, sf_dir, "xronos_sites"), "xronos_id", ["site_type", "feature_type"], table(spark, sf_dir, "type_list"))
+    return map_values(table(spark, sf_dir, "xronos_sites"), "xronos_id", ["site_type", "feature_type"], table(spark, sf_dir, "type_list"), names=names_table(spark))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs that may be the same place, with their posterior probabilities."""
+    """All pairs that are the same place with a posterior of at least a thousandth; 0 for those that contradict a better pair."""
     return _matched(spark, sf_dir).select(F.col("place").alias("place_id"), F.col("site").alias("site_id"), F.round("confidence", 6).alias("confidence"))
 
 
