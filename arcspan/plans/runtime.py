@@ -13,11 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_ready(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; a temporary one only where none is named, as in tests."""
+    """Use the shared folder that the session names; a temporary one only where none is named and all runs on one machine, as in tests."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="arcspan-checkpoint-"))
 
 

@@ -1,6 +1,6 @@
 import pytest
 
-from arcspan.operators.multivalue import Model, pieces, split_values
+from arcspan.operators.multivalue import best, log_bound, pieces, split_values
 
 
 @pytest.mark.parametrize(
@@ -21,11 +21,39 @@ def test_long_fields_take_linear_time():
     assert len(pieces("a," * n)[1]) == n
 
 
-def test_model_joins_known_units_only():
-    model = Model({"kiln / oven": 50, "tomb": 100, "villa": 100}, {"kiln / oven"}, {}, {"/": 10.0, ",": 100.0})
-    assert model.best("kiln / oven, tomb") == ["kiln / oven", "tomb"]
-    assert model.best("tomb / villa") == ["tomb", "villa"]
-    assert model.best('"tomb / villa"') == ["tomb / villa"]
+def test_bound_and_free_neighbours():
+    assert log_bound(40, 41, 40, 1000) > 5
+    assert log_bound(40, 300, 400, 1000) < -10
+    assert log_bound(200, 1000, 3000, 20_000) < -8
+
+
+def test_viterbi_takes_the_better_of_overlapping_values():
+    parts = pieces("a/b/c,d")[1]
+    assert best(parts, {1: 2.0, 2: 3.0}, lambda sign: -5.0) == [2]
+    assert best(parts, {1: 3.0, 2: 2.0, 3: 2.5}, lambda sign: -5.0) == [1, 3]
+    assert best(parts, {}, lambda sign: -5.0) == []
+
+
+def column(spark):
+    """Joined values without quotes, of two and of three parts; "-" between spaces that joins and ":" that splits; ";" that always splits."""
+    words = ["tomb", "villa", "fort", "bath", "port", "mine"]
+    rows = [f"{a};{b}" for a in words for b in words if a != b] + [f"{a} : {b}" for a in words for b in words if a != b]
+    rows += [f"kiln / oven;{a};{b}" for a in words for b in words if a != b] + [f"{a};wine / oil / grain" for a in words] + [f"{a};Wine / Oil / Grain;{b}" for a in words for b in words if a < b]
+    rows += [f"bath / {a}" for a in words[:3]] + [f"{a};upper - lower" for a in words] + ["kiln / oven"]
+    return spark.createDataFrame(list(enumerate(rows)), "id long, v string"), rows
+
+
+def test_what_the_column_tells_decides(spark):
+    """The split that only knows the signs differs from the learnt one."""
+    df, rows = column(spark)
+    learnt: dict = {}
+    for r in split_values(df, "id", "v").orderBy("id", "pos").collect():
+        learnt.setdefault(r["id"], []).append(r["item"])
+    for k, v in enumerate(rows):
+        want = [x.strip() for part in v.split(";") for x in (part.split(" : ") if " : " in part else part.split(" / ") if part.startswith("bath") else [part])]
+        assert learnt[k] == want, v
+    bare = [x for r in split_values(df, "id", "v", min_uses=10**6).collect() for x in [r["item"]]]
+    assert "kiln" in bare and "kiln / oven" not in bare
 
 
 def test_split_values(spark):
