@@ -2,7 +2,8 @@
 
 Unit strings are cut by dynamic programming over tries of prefixes, roots, exponents and epoch phrases. A decomposition's
 score is the sum of its parts' weights, to which the prior of the field's dimension is added, so that "a" is a year beside
-a number in a field of ages and an article in a sentence.
+a number in a field of ages, an are in a field of areas and an article in a sentence. Readings in several dimensions that
+no prior tells apart are no unit. Years have scales and epochs; other dimensions are brought to their base unit.
 """
 
 from __future__ import annotations
@@ -72,14 +73,23 @@ SCALE_WORDS = {
     6: "million millions millionen millón millones milione milioni",
     2: "century centuries jahrhundert jahrhunderte jahrhunderten siècle siècles siglo siglos secolo secoli",
 }
+#: roots by dimension
 ROOTS = {
     "time": ("a", "y", "ya", "yr", "yrs", "year", "years", "annum", "jahr", "jahre", "jahren", "an", "ans", "année", "années", "año", "años", "anno", "anni"),
-    "length": ("m", "metre", "metres", "meter", "in", "ft"),
-    "mass": ("g", "gram", "grams", "gramm"),
-    "area": ("ha", "hectare", "hectares", "a"),
-    "volume": ("l",),
+    "length": ("m", "metre", "metres", "meter", "meters", "mètre", "mètres", "metro", "metri", "in", "inch", "inches", "ft", "foot", "feet", "yd", "mi", "mile", "miles", "'", "\""),
+    "mass": ("g", "gram", "grams", "gramm", "gr", "t", "tonne", "tonnes", "lb", "lbs", "oz"),
+    "area": ("ha", "hectare", "hectares", "a", "are", "ares", "ar", "acre", "acres"),
+    "volume": ("l", "litre", "litres", "liter", "gal", "gallon"),
 }
-EXPONENTS = {"²": 2, "³": 3, "^2": 2, "^3": 3, "⁻¹": -1, "^-1": -1}
+#: fixed values: size of a root in the base unit of its dimension (year, metre, gram, square metre, cubic metre); 1 if not here
+SIZES = {
+    ("length", "in"): "0.0254", ("length", "inch"): "0.0254", ("length", "inches"): "0.0254", ("length", "\""): "0.0254", ("length", "ft"): "0.3048", ("length", "foot"): "0.3048", ("length", "feet"): "0.3048", ("length", "'"): "0.3048", ("length", "yd"): "0.9144", ("length", "mi"): "1609.344", ("length", "mile"): "1609.344", ("length", "miles"): "1609.344",
+    ("mass", "t"): "1000000", ("mass", "tonne"): "1000000", ("mass", "tonnes"): "1000000", ("mass", "lb"): "453.59237", ("mass", "lbs"): "453.59237", ("mass", "oz"): "28.349523125",
+    ("area", "ha"): "10000", ("area", "hectare"): "10000", ("area", "hectares"): "10000", ("area", "a"): "100", ("area", "are"): "100", ("area", "ares"): "100", ("area", "ar"): "100", ("area", "acre"): "4046.8564224", ("area", "acres"): "4046.8564224",
+    ("volume", "l"): "0.001", ("volume", "litre"): "0.001", ("volume", "litres"): "0.001", ("volume", "liter"): "0.001", ("volume", "gal"): "0.003785411784", ("volume", "gallon"): "0.003785411784",
+}
+BASE_UNITS = {"time": "a", "length": "m", "mass": "g", "area": "m2", "volume": "m3"}
+EXPONENTS = {"²": 2, "³": 3, "^2": 2, "^3": 3, "2": 2, "3": 3, "⁻¹": -1, "^-1": -1}
 EPOCH_PHRASES = {
     BP: ("bp", "b.p.", "before present", "before the present", "before today", "ago", "vor heute", "avant le présent", "antes del presente", "prima del presente", "cal bp", "calbp", "14c yr bp", "14c bp"),
     B2K: ("b2k", "before 2000", "before ad 2000", "from ad 2000", "from the year 2000", "to the year 2000", "vor 2000", "avant 2000", "antes de 2000", "prima del 2000"),
@@ -129,7 +139,10 @@ TEXT_PRIOR = {"time": 0.3, "length": -0.6, "mass": -0.6, "area": -0.6, "volume":
 
 
 def segment(text: str, prior: dict[str, float]) -> list[tuple[str, object, int, int]]:
-    """The best-scored cut of a text into (kind, value, start, end); ties go to the longer part that ends sooner."""
+    """The best-scored cut of a text into (kind, value, start, end); ties go to the longer part that ends sooner.
+
+    A root that stands for several dimensions with the same score, as no prior tells them apart, is of the dimension "open".
+    """
     low = text.casefold() if len(text.casefold()) == len(text) else text.lower()
     n = len(text)
     best: list[list[tuple[float, tuple] | None]] = [[None, None] for _ in range(n + 1)]
@@ -163,9 +176,9 @@ def segment(text: str, prior: dict[str, float]) -> list[tuple[str, object, int,
                         put(j, 0, score + e.weight, (path, (e.kind, e.value, i, j)))
                 for j, e in PREFIXES.walk(text, i):
                     put(j, 1, score + e.weight, (path, (e.kind, e.value, i, j)))
-                for j, e in ROOT_TRIE.walk(low, i):
+                for j, dimension, weight in roots_at(low, i, prior):
                     if word_ends(j):
-                        put(j, 0, score + e.weight + prior[e.value], (path, (e.kind, e.value, i, j)))
+                        put(j, 0, score + weight, (path, ("root", dimension, i, j)))
                 if ch.isalpha():
                     j = i + 1
                     while j < n and text[j].isalpha():
@@ -176,9 +189,9 @@ def segment(text: str, prior: dict[str, float]) -> list[tuple[str, object, int,
                     put(j, 0, score + e.weight, (path, (e.kind, e.value, i, j)))
         if here := best[i][1]:
             score, path = here
-            for j, e in ROOT_TRIE.walk(low, i):
+            for j, dimension, weight in roots_at(low, i, prior):
                 if word_ends(j):
-                    put(j, 0, score + e.weight + prior[e.value], (path, (e.kind, e.value, i, j)))
+                    put(j, 0, score + weight, (path, ("root", dimension, i, j)))
     parts, node = [], best[n][0][1] if best[n][0] else ()
     while node:
         node, part = node
@@ -186,6 +199,75 @@ def segment(text: str, prior: dict[str, float]) -> list[tuple[str, object, int,
     return parts[::-1]
 
 
+def roots_at(low: str, at: int, prior: dict[str, float]) -> Iterator[tuple[int, str, float]]:
+    """(end, dimension, weight with prior) of the roots from a place on, of each end the likeliest dimension, "open" if two are as likely."""
+    ends: dict[int, tuple[str, float]] = {}
+    for j, e in ROOT_TRIE.walk(low, at):
+        weight, old = e.weight + prior[e.value], ends.get(j)
+        if old is None or weight > old[1] + 1e-12:
+            ends[j] = (e.value, weight)
+        elif abs(weight - old[1]) <= 1e-12 and e.value != old[0]:
+            ends[j] = ("open", weight)
+    return ((j, dimension, weight) for j, (dimension, weight) in ends.items())
+
+
+def priors(dimension: str) -> dict[str, float]:
+    """Log priors of a field of one dimension, as VALUE_PRIOR is that of years."""
+    # a length may be raised to an area or a volume
+    return {d: 1.0 if d == dimension else 0.0 if d == "length" and dimension in ("area", "volume") else -4.0 for d in ROOTS}
+
+
+def measure(text: str, prior: dict[str, float]) -> tuple[Decimal, str] | None:
+    """A quantity in base units and its dimension (see BASE_UNITS); None if the text does not state exactly one, or its dimension is open.
+
+    The unit is one root with at most one prefix or scale word and one exponent; prefixes are raised with their root
+    ("km²"), and lengths raised to the second or third power are areas and volumes.
+    """
+    m = _MEASURE.fullmatch(text.strip())
+    if not m:
+        return None
+    parts = [p for p in segment(m["unit"].strip(), prior) if p[0] not in ("filler", "approx") and p[1] != "."]
+    number = m["num"].replace("\u202f", "").replace("\u00a0", "").replace(" ", "").replace("'", "")
+    value = Decimal(number.replace(",", ".") if re.fullmatch(r"[+-]?\d+,\d{1,2}", number) else number.replace(",", ""))
+    scale, root, power = Decimal(1), None, 1
+    for kind, what, start, end in parts:
+        if kind in ("prefix", "scale") and root is None:
+            scale *= what
+        elif kind == "root" and root is None:
+            root = (what, m["unit"].strip()[start:end].casefold())
+        elif kind == "exponent" and root is not None and power == 1:
+            power = what
+        else:
+            return None
+    if root is None or root[0] == "open":
+        return None
+    dimension = root[0]
+    if power != 1:
+        dimension = {("length", 2): "area", ("length", 3): "volume"}.get((dimension, power))
+        if dimension is None:
+            return None
+    return value * (scale * Decimal(SIZES.get(root, "1"))) ** power, dimension
+
+
+def measures(df: DataFrame, key: str, value: str, dimension: str) -> DataFrame:
+    """rec_key, quantity (double, in the base unit) and unit of each row whose value states one quantity of a dimension.
+
+    Units that stand for several dimensions are read as the field's own. Null and blank values, limits, ranges, quantities
+    of another dimension and unknown units give no row; repeated rows stay repeated; other columns are not read.
+    """
+    rows = df.where(F.coalesce(F.trim(value) != "", F.lit(False))).select(F.col(key).alias("rec_key"), F.col(value).alias("v"))
+    kind, prior = df.schema[key].dataType.simpleString(), priors(dimension)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = Cache(lambda v: measure(v, prior))
+        for b in batches:
+            out = [read[v] for v in b["v"]]
+            keep = [x is not None and x[1] == dimension for x in out]
+            yield pd.DataFrame({"rec_key": b["rec_key"][keep], "quantity": [float(x[0]) for x, k in zip(out, keep) if k], "unit": BASE_UNITS[dimension]})
+
+    return rows.mapInPandas(run, f"rec_key {kind}, quantity double, unit string")
+
+
 def _collect(parts: list[tuple]) -> Unit | None:
     """The unit that a run of parts states, if any."""
     scale, epoch = None, None
@@ -249,6 +331,7 @@ def unit_in_text(text: str | None) -> Unit | None:
     return Unit(scale, epoch)
 
 
+_MEASURE = re.compile(r"(?:ca?\.? |about |~ ?)?(?P<num>[+-]?\d{1,3}(?:[ '\u00a0\u202f]\d{3})+(?:\.\d+)?|[+-]?\d+(?:[.,]\d+)*)\s*(?P<unit>[^\d<>±].{0,60})", re.S)
 _PLAIN = re.compile(r"\s*[+-]?\d+(\.\d+)?\s*")
 _VALUE = re.compile(
     r"(?P<pre>[^\d+\-−–]*?)\s*(?P<sign>[+\-−–]?)(?P<num>\d{1,3}(?:[ ,'’]\d{3})+(?![\d])(?:\.\d+)?|\d+(?:[.,]\d+)?)(?P<err>\s*(?:±|\+/-|\+-|\+/−)\s*\d+(?:[.,]\d+)?)?(?P<post>.*)",

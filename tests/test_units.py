@@ -1,6 +1,6 @@
 import pytest
 
-from arcspan.operators.units import BP, CALENDAR, Unit, standard, standard_values, stated_units, unit_in_text
+from arcspan.operators.units import BP, CALENDAR, Unit, measure, measures, priors, standard, standard_values, stated_units, unit_in_text
 
 
 @pytest.mark.parametrize(
@@ -47,3 +47,39 @@ def test_order_of_sources_and_edges(spark):
     # a note goes before a remark as a whole: b2k counts the figure in years
     assert got == sorted([(1, 3500), (2, -47), (3, 3500), (None, 1000), (7, 1000), (7, 1000)], key=str)
     assert standard_values(rows.limit(0), "id", "v", "note", "src", BP).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, dimension, want",
+    [
+        ("25 a", "time", 25), ("25 a", "area", 2500), ("3 ka", "time", 3000), ("3 ka", "area", 300000), ("1.5 km²", "area", 1_500_000), ("12 cm", "length", 0.12), ("2 thousand ha", "area", 20_000_000), ("5 ft", "length", 1.524), ("4 l", "volume", 0.004), ("2 m^3", "volume", 2),
+        ("1 200 kg", "mass", 1_200_000), ("7 t", "mass", 7_000_000), ("2 m", "time", None), ("5", "length", None), ("<5 m", "length", None), ("3-4 m", "length", None), ("5 wug", "mass", None), ("5 m m", "length", None), ("3 acres", "area", 12140.5692672),
+    ],
+)
+def test_measure(text, dimension, want):
+    found = measure(text, priors(dimension))
+    if want is None:
+        assert found is None or found[1] != dimension
+    else:
+        assert found[1] == dimension and float(found[0]) == pytest.approx(want)
+
+
+def test_priors_decide():
+    """Without priors "a" and "ka" may be years or ares: no unit, so that no value with them is brought to years."""
+    from arcspan.operators import units
+
+    none = dict.fromkeys(units.ROOTS, 0.0)
+    assert measure("25 a", none) is None and measure("3 ka", none) is None and measure("12 cm", none) is not None
+    assert units.standard("12.5 ka", (None, None), units.BP) == 12500
+    old, units.VALUE_PRIOR = units.VALUE_PRIOR, none
+    try:
+        assert units.standard("12.5 ka", (None, None), units.BP) is None
+    finally:
+        units.VALUE_PRIOR = old
+
+
+def test_measures(spark):
+    df = spark.createDataFrame([(1, "25 a", 0), (2, None, 0), (None, "1 km2", 0), (1, "25 a", 0), (3, "5 m", 0), (4, " ", 0), (5, "x" * 5000, 0)], "id long, v string, unit int")
+    got = sorted([tuple(r) for r in measures(df, "id", "v", "area").collect()], key=str)
+    assert got == sorted([(1, 2500.0, "m2"), (1, 2500.0, "m2"), (None, 1e6, "m2")], key=str)
+    assert measures(df.limit(0), "id", "v", "area").count() == 0
