@@ -113,13 +113,20 @@ def period(year, table: Sequence[tuple[str, float | None, float | None]], other:
     return out.otherwise(F.lit(other))
 
 
-def cluster(lat, lon, clusters: Sequence[tuple[str, float, float, float]], other: str = "none") -> Column:
-    """The first cluster (name, latitude, longitude, radius in km) within whose radius a point lies."""
+# fixed values: clusters in the order in which they are tested: centre and radius in km, or box (south, north, west, east)
+CLUSTERS = (
+    ("Easter Island", (-27.1, -109.3, 200.0)), ("Egypt / Levant", (20.0, 36.0, 25.0, 40.0)), ("Peru / Andes", (-25.0, 0.0, -80.0, -60.0)), ("Iran / Persia", (25.0, 38.0, 44.0, 60.0)), ("Indus Valley", (20.0, 35.0, 60.0, 80.0)), ("Southeast Asia", (0.0, 25.0, 95.0, 115.0)),
+)
+
+
+def cluster(lat, lon, clusters: Sequence[tuple[str, tuple]] = CLUSTERS, other: str = "Other") -> Column:
+    """The first cluster that holds a point: nearer than the radius to a centre, or in a closed box."""
     from arcspan.functions.geo import haversine_km
 
+    la, lo = (F.col(v) if isinstance(v, str) else v for v in (lat, lon))
     out = None
-    for name, a, o, km in clusters:
-        hit = haversine_km(lat, lon, a, o) <= km
+    for name, shape in clusters:
+        hit = haversine_km(lat, lon, *shape[:2]) < shape[2] if len(shape) == 3 else la.between(*shape[:2]) & lo.between(*shape[2:])
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out.otherwise(F.lit(other))
 
@@ -157,5 +164,5 @@ def stage(subtype, bp) -> Column:
     t, age = (F.col(v) if isinstance(v, str) else v for v in (subtype, bp))
     cave = F.when((age >= 5000) & (age < 10000), 3).otherwise(1)
     modified = F.when((age >= 5000) & (age < 10000), 3).otherwise(2)
-    cut = F.when((age >= 3000), 4).otherwise(F.when(age == 0, 4).otherwise(5))
+    cut = F.when(age >= 3000, 4).otherwise(5)
     return F.when(t == "natural_cave", cave).when(t == "modified_cave", modified).when(t == "rock_cut_monumental", cut).when(t == "artificial_complex", 6)

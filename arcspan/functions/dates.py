@@ -15,23 +15,29 @@ PERIODS = (
 )
 
 
-def _pieces(bp: Column, table) -> Column:
+def _pieces(bp: Column, table, closed: bool) -> Column:
     out = None
     for limit, factor, add in table:
         value = bp * factor + add
+        hit = None if limit is None else bp <= limit if closed else bp < limit
         if out is None:
-            out = F.when(bp <= limit, value)
+            out = F.when(hit, value)
         elif limit is None:
             out = out.otherwise(value)
         else:
-            out = out.when(bp <= limit, value)
+            out = out.when(hit, value)
     return out
 
 
 def calibrated_year(bp, version: int = 1) -> Column:
-    """Calendar year (BCE negative) of a radiocarbon age; ages of at most 0 are 1950. Version 1 and 2 differ by their pieces."""
+    """Calendar year (BCE negative) of a radiocarbon age.
+
+    Version 1: ages of at most 0 are 1950, a piece ends before its limit; version 2: no such rule, a piece holds its limit.
+    """
     c = F.col(bp) if isinstance(bp, str) else bp
-    return F.when(c <= 0, F.lit(1950.0)).otherwise(1950.0 - _pieces(c, CALIBRATION_1 if version == 1 else CALIBRATION_2))
+    if version == 1:
+        return F.when(c <= 0, F.lit(1950.0)).otherwise(1950.0 - _pieces(c, CALIBRATION_1, False))
+    return 1950.0 - _pieces(c, CALIBRATION_2, True)
 
 
 def year_label(year) -> Column:
@@ -77,9 +83,13 @@ def period_age(text) -> Column:
     return out
 
 
-def publication_year(text) -> Column:
-    """The last year in brackets, else the first that stands free, else null."""
-    t = F.col(text) if isinstance(text, str) else text
-    bracketed = F.regexp_extract_all(t, F.lit(r"\((1[89]\d\d|20\d\d)\)"), F.lit(1))
-    free = F.regexp_extract(t, r"\b(1[89]\d\d|20\d\d)\b", 1)
-    return F.coalesce(F.try_element_at(bracketed, F.lit(-1)), F.nullif(free, F.lit(""))).cast("int")
+def publication_year(text, source=None) -> Column:
+    """The last four figures in brackets, else the first that stand between signs or spaces, else the last in the source's name, else null."""
+    t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    bracketed = F.regexp_extract_all(t, F.lit(r"\((\d{4})\)"), F.lit(1))
+    free = F.regexp_extract(t, r"(?:^|[.\s:])(\d{4})(?:[.\s,;:\-]|$)", 1)
+    years = [F.try_element_at(bracketed, F.lit(-1)), F.nullif(free, F.lit(""))]
+    if source is not None:
+        named = F.regexp_extract_all(F.col(source) if isinstance(source, str) else source, F.lit(r"(\d{4})"), F.lit(1))
+        years.append(F.try_element_at(named, F.lit(-1)))
+    return F.coalesce(*years).cast("int")

@@ -237,3 +237,19 @@ def frame_point(angle_deg, pole=DEFAULT_POLE, origin: tuple[float, float] = GIZA
     c, s = F.cos(F.radians(col(angle_deg))), F.sin(F.radians(col(angle_deg)))
     x, y, z = (c * a + s * b for a, b in zip(u, v))
     return F.degrees(F.asin(held(z, -1.0, 1.0))), F.degrees(F.atan2(y, x))
+
+
+def along_pole_km(lat, lon, pole: tuple[float, float] = DEFAULT_POLE) -> Column:
+    """Distance along the equator of a pole: the signed bearing from the pole, as an arc of the earth's radius."""
+    b = bearing(F.lit(pole[0]), F.lit(pole[1]), lat, lon)
+    return F.radians(F.pmod(b + 180.0, F.lit(360.0)) - 180.0) * EARTH_RADIUS_KM
+
+
+def pole_through(lat, lon, lat2: float, lon2: float) -> tuple[Column, Column]:
+    """Northern pole of the circle through a point and a fixed one; null where both are one or antipodal."""
+    x, y, z = unit_x(lat, lon), unit_y(lat, lon), unit_z(lat)
+    gx, gy, gz = math.cos(math.radians(lat2)) * math.cos(math.radians(lon2)), math.cos(math.radians(lat2)) * math.sin(math.radians(lon2)), math.sin(math.radians(lat2))
+    nx, ny, nz = y * gz - z * gy, z * gx - x * gz, x * gy - y * gx
+    size = F.sqrt(nx * nx + ny * ny + nz * nz)
+    sign = F.when(nz < 0, -1.0).otherwise(1.0)
+    return F.when(size > 1e-12, F.degrees(F.asin(F.abs(nz) / size))), F.when(size > 1e-12, F.degrees(F.atan2(ny * sign, nx * sign)))

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arcspan.functions.geo import haversine_km
-from arcspan.operators.joins import with_cells
-from arcspan.operators.spatial import near_join, usable_points
+from arcspan.operators.joins import with_cells, without_near
+from arcspan.operators.spatial import usable_points
 from arcspan.plans.runtime import cut_lineage
 
 
@@ -31,8 +31,8 @@ def by_site(df: DataFrame, site: str, lat: str, lon: str, age: str, digits: int
     return df.groupBy(key.alias("site_key")).agg(F.avg(lat).alias("lat"), F.avg(lon).alias("lon"), F.max(age).alias("oldest"), F.count("*").alias("dates"))
 
 
-def ordered_fold(df: DataFrame, lat: str, lon: str, age: str, degrees: float = 0.01, years: float = 200.0) -> DataFrame:
-    """Rows in order of rounded coordinates and age, less those that lie within the tolerances of the last kept row.
+def ordered_fold(df: DataFrame, lat: str, lon: str, age: str, degrees: float = 0.01, years: float = 200.0, closed: bool = False) -> DataFrame:
+    """Rows in order of rounded coordinates and age, less those that lie within all tolerances (closed: or on one) of the last kept row.
 
     The fold depends on what was kept before, so it runs in Arrow groups: stretches of the order between gaps of more than
     twice a tolerance, over which no kept row can reach. Of rows equal in coordinates and age one is kept beforehand (the
@@ -64,7 +64,8 @@ def ordered_fold(df: DataFrame, lat: str, lon: str, age: str, degrees: float = 0
         g = g.sort_values(["__la", "__lo", age, lat, lon], kind="stable")
         keep, last = np.zeros(len(g), dtype=bool), None
         for k, (a, o, t) in enumerate(zip(g[lat].to_numpy(), g[lon].to_numpy(), g[age].to_numpy())):
-            if last is None or not (abs(a - last[0]) <= degrees and abs(o - last[1]) <= degrees and abs(t - last[2]) <= years):
+            gaps = () if last is None else ((abs(a - last[0]), degrees), (abs(o - last[1]), degrees), (abs(t - last[2]), years))
+            if last is None or not all(g <= most if closed else g < most for g, most in gaps):
                 keep[k], last = True, (a, o, t)
         return g[keep]
 
@@ -98,8 +99,8 @@ def greedy_radius(df: DataFrame, key: str, priority: str, km: float) -> DataFram
     return df if dropped is None else df.join(dropped.select(F.col("k").alias(key)), key, "left_anti")
 
 
-def without_other_source(df: DataFrame, key: str, priority: str, source: str, km: float) -> DataFrame:
-    """Rows of the sources in order of priority, each less the rows within km of a kept row of a better source.
+def without_other_source(df: DataFrame, key: str, priority: str, source: str, km: float, strict: bool = True) -> DataFrame:
+    """Rows of the sources in order of priority, each less the rows nearer than km (not strict: or as near) to a kept row of a better source.
 
     One pass a source: rows of one source never drop each other. The number of sources is a stated list's.
     """
@@ -110,8 +111,7 @@ def without_other_source(df: DataFrame, key: str, priority: str, source: str, km
     for name in order:
         part = df.where(F.col(source).eqNullSafe(name))
         if kept is not None:
-            hit = near_join(part, kept, key, key, km).select(F.col("place_key").alias(key)).distinct()
-            part = part.join(hit, key, "left_anti")
+            part = without_near(part, kept, key, key, km, strict)
         part = cut_lineage(part)
         kept = part if kept is None else kept.unionByName(part)
     return df if kept is None else kept

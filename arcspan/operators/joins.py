@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 
 from arcspan.functions.geo import EARTH_RADIUS_KM, haversine_km
 from arcspan.operators.poles import unit_vectors
-from arcspan.operators.spatial import grow_quadtree, haversine_np, leaf_salts, near_join, share_out, usable_points
+from arcspan.operators.spatial import GROUP_ROWS, LEAF_ROWS, SAMPLE_ROWS, PackedRTree, QuadTree, grow_quadtree, haversine_np, leaf_salts, near_apply, near_join, reach_boxes, share_out, usable_points, z_code
 
-#: most leaves of the quadtree behind nearest(): pairs of leaves are bounded on the driver
-NEAREST_LEAVES = 2_000
-BLOCK = 2_000_000
+#: neighbours on the Z curve, before and after, from which nearest() takes its first bound
+PILOTS = 8
 
 
 def _cells(lat: float, lon: float, km: float, cell: float) -> list[int]:
@@ -61,28 +60,89 @@ def distance_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: st
     )
 
 
-def without_near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float) -> DataFrame:
-    """Left rows that have no right row at most km away."""
-    hit = distance_pairs(left, right, left_id, right_id, km).select(F.col("a").alias(left_id)).distinct()
-    return left.join(hit, left_id, "left_anti")
+def near_counts(left: DataFrame, right: DataFrame, left_id: str, right_id: str, radii: list[float], same: bool = True) -> DataFrame:
+    """left_id and n0, n1 ...: right rows (distinct ids and coordinates) within each of the radii of each left row that has any.
 
+    Counted where the pairs are found, one row a left row and leaf, so that no pair is shuffled. same: whether a right row
+    of the same id counts. Rows with unusable coordinates and null right ids are left out; a null left id is kept.
+    """
+    l = usable_points(left, "lat", "lon", F.col(left_id).alias("a")).distinct()
+    r = usable_points(right.where(F.col(right_id).isNotNull()), "lat", "lon", F.col(right_id).alias("b")).distinct()
+    a_type, names = l.schema["a"].dataType.simpleString(), [f"n{k}" for k in range(len(radii))]
+
+    def refine(p: pd.DataFrame, s: pd.DataFrame, hits: Iterator) -> pd.DataFrame:
+        n = np.zeros((len(radii), len(p)), dtype=np.int64)
+        pa, sb = p["a"].to_numpy(), s["b"].to_numpy()
+        for at, item, km in hits:
+            if not same:
+                other = pa[at] != sb[item]
+                at, km = at[other], km[other]
+            for k, radius in enumerate(radii):
+                n[k] += np.bincount(at[km <= radius], minlength=len(p))
+        some = n.any(axis=0)
+        return pd.DataFrame({"a": p["a"][some]} | {c: n[k][some] for k, c in enumerate(names)})
+
+    parts = near_apply(l, r, max(radii), refine, f"a {a_type}, " + ", ".join(f"{c} bigint" for c in names))
+    return parts.groupBy(F.col("a").alias(left_id)).agg(*[F.sum(c).alias(c) for c in names])
+
+
+def pair_bands(points: DataFrame, key: str, edges: list[float], classes: str | None = None) -> DataFrame:
+    """band (from 0), pairs and same: unordered pairs of different ids whose distance lies in each half-open band of edges (the last one closed), and how many agree in a column.
+
+    Counted where the pairs are found; points of one id make no pair. Null classes agree with nothing.
+    """
+    cls = F.col(classes).cast("string") if classes else F.lit(None).cast("string")
+    rows = usable_points(points.where(F.col(key).isNotNull()), "lat", "lon", F.col(key).alias("a"), cls.alias("c")).distinct()
+
+    def refine(p: pd.DataFrame, s: pd.DataFrame, hits: Iterator) -> pd.DataFrame:
+        n, same = np.zeros(len(edges) - 1, dtype=np.int64), np.zeros(len(edges) - 1, dtype=np.int64)
+        pa, sa, pc, sc = p["a"].to_numpy(), s["a"].to_numpy(), p["c"].to_numpy(), s["c"].to_numpy()
+        for at, item, km in hits:
+            band = np.minimum(np.searchsorted(edges, km, side="right") - 1, len(edges) - 2)
+            ok = (pa[at] < sa[item]) & (band >= 0)
+            n += np.bincount(band[ok], minlength=len(n))
+            if classes:
+                x, y = pc[at[ok]], sc[item[ok]]
+                same += np.bincount(band[ok][(x == y) & (x != None)], minlength=len(n))  # noqa: E711
+        return pd.DataFrame({"band": np.arange(len(n)), "pairs": n, "same": same})[n > 0]
+
+    return near_apply(rows, rows, edges[-1], refine, "band bigint, pairs bigint, same bigint").groupBy("band").agg(F.sum("pairs").alias("pairs"), F.sum("same").alias("same"))
+
+
+def with_near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, strict: bool = False) -> DataFrame:
+    """left_id and near: the smallest right id at most (strict: less than) km away, of the left rows that have one.
+
+    A left row leaves a leaf at most once, however many right rows are near.
+    """
+    l = usable_points(left, "lat", "lon", F.col(left_id).alias("a")).distinct()
+    r = usable_points(right.where(F.col(right_id).isNotNull()), "lat", "lon", F.col(right_id).alias("b")).distinct()
+    a_type, b_type = l.schema["a"].dataType.simpleString(), r.schema["b"].dataType.simpleString()
 
-def _caps(boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Centre vectors and angles of caps that hold the boxes: half the height plus half the width along the longest parallel."""
-    lat, lon = (boxes[:, 1] + boxes[:, 3]) / 2, (boxes[:, 0] + boxes[:, 2]) / 2
-    straddles = (boxes[:, 1] < 0) & (boxes[:, 3] > 0)
-    widest = np.where(straddles, 1.0, np.cos(np.radians(np.minimum(np.abs(boxes[:, 1]), np.abs(boxes[:, 3])))))
-    angle = np.radians((boxes[:, 3] - boxes[:, 1]) / 2) + np.radians((boxes[:, 2] - boxes[:, 0]) / 2) * widest
-    return unit_vectors(lat, lon), np.minimum(angle, math.pi)
+    def refine(p: pd.DataFrame, s: pd.DataFrame, hits: Iterator) -> pd.DataFrame:
+        rank = s["b"].rank(method="first").to_numpy().astype(np.int64) if len(s) else np.empty(0, np.int64)
+        first = np.full(len(p), len(s) + 1, dtype=np.int64)
+        for at, item, far in hits:
+            ok = far < km if strict else far <= km
+            np.minimum.at(first, at[ok], rank[item[ok]])
+        some = first <= len(s)
+        by_rank = s["b"].to_numpy()[np.argsort(rank)] if len(s) else s["b"].to_numpy()
+        return pd.DataFrame({"a": p["a"][some], "b": by_rank[first[some] - 1]}) if some.any() else pd.DataFrame({"a": p["a"].iloc[:0], "b": s["b"].iloc[:0]})
 
+    return near_apply(l, r, km, refine, f"a {a_type}, b {b_type}").groupBy(F.col("a").alias(left_id)).agg(F.min("b").alias("near"))
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, leaf_rows: int = 4_096, group_rows: int = 65_536) -> DataFrame:
+
+def without_near(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float, strict: bool = False) -> DataFrame:
+    """Left rows that have no right row at most (strict: less than) km away."""
+    return left.join(with_near(left, right, left_id, right_id, km, strict).select(left_id), left_id, "left_anti")
+
+
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """left_id, nearest (a right id, of ties the smallest) and km for each left row with usable coordinates, exactly.
 
-    A quadtree grown from a sample of the right side adapts to its density. For each leaf with left rows, the leaves that
-    may hold a nearest right row are those whose least distance is at most the smallest greatest distance; these pairs
-    of leaves, whose number does not grow with the rows, are bounded by caps on the driver. Left rows then meet only the
-    right rows of those leaves, in blocks, and keep one candidate a leaf. Full leaves are shared out by exact counts.
+    Two passes over the leaves of a quadtree that follows the density of the right side. First each left row meets one share
+    of its own leaf, or of the closest leaf that has right rows, and takes from its neighbours on the Z curve a distance
+    beyond which nothing can be nearest. Then it goes to those leaves only that this distance touches, whose R-trees are
+    probed by it, and keeps one candidate a leaf. Full leaves are shared out by exact counts.
 
     Null right ids and rows with unusable coordinates are left out; equal rows come out once; without right rows nothing
     comes out; other columns are not read.
@@ -91,57 +151,95 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, leaf
     r = usable_points(right.where(F.col(right_id).isNotNull()), "lat", "lon", F.col(right_id).alias("b")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
     a_type, b_type = l.schema["a"].dataType.simpleString(), r.schema["b"].dataType.simpleString()
     n = r.count()
-    tree = grow_quadtree(r, n, 0.02, min(20_000, 8 * NEAREST_LEAVES), max(leaf_rows, math.ceil(n / (NEAREST_LEAVES / 4))))
+    if not n:
+        return l.select(F.col("a").alias(left_id)).limit(0).withColumns({"nearest": F.lit(None).cast(b_type), "km": F.lit(None).cast("double")})
+    tree = grow_quadtree(r, n, 0.02, sample_rows, leaf_rows)
+    index = PackedRTree(tree.boxes)
 
     def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(leaf=tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy()).astype("int64"))
 
-    r_owned = r.mapInPandas(own, f"b {b_type}, lat double, lon double, leaf bigint")
-    held = {x["leaf"]: x["n"] for x in r_owned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    owned = r.mapInPandas(own, f"b {b_type}, lat double, lon double, leaf bigint")
+    held = {x["leaf"]: x["n"] for x in owned.groupBy("leaf").agg(F.count("*").alias("n")).collect()}  # at most the leaves of the sample's tree
     full = np.array(sorted(held), dtype=np.int64)
-    centres, angles = _caps(tree.boxes)
+    middle = unit_vectors((tree.boxes[:, 1] + tree.boxes[:, 3]) / 2, (tree.boxes[:, 0] + tree.boxes[:, 2]) / 2)
+    salts = {k: math.ceil(v / group_rows) for k, v in held.items() if v > group_rows}
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[int, np.ndarray] = {}
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, int] = {}
         for b in batches:
             home = tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy())
             for h in np.unique(home):
                 if h not in known:
-                    d = np.arccos(np.clip(centres[full] @ centres[h], -1.0, 1.0))
-                    most = (d + angles[full] + angles[h]).min() if len(full) else 0.0
-                    known[h] = full[d - angles[full] - angles[h] <= most + 1e-9]
-            wanted = [known[h] for h in home]
-            out = b.loc[b.index.repeat([len(w) for w in wanted])].copy()
-            out["leaf"] = np.concatenate(wanted).astype("int64") if len(wanted) else np.empty(0, dtype="int64")
-            yield out
+                    known[h] = int(h) if int(h) in held else int(full[np.argmax(middle[full] @ middle[h])])
+            yield b.assign(leaf=np.array([known[h] for h in home], dtype="int64"))
+
+    first = l.mapInPandas(start, f"a {a_type}, lat double, lon double, leaf bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    pilots, asked = share_out(owned, first, salts, leaf_salts(first, group_rows), ["b", "lat", "lon"], ["a", "lat", "lon"])
 
-    l_reached = l.mapInPandas(reach, f"a {a_type}, lat double, lon double, leaf bigint")
-    r_shared, l_shared = share_out(r_owned, l_reached, {k: math.ceil(v / group_rows) for k, v in held.items() if v > group_rows}, leaf_salts(l_reached, group_rows), ["b", "lat", "lon"], ["a", "lat", "lon"])
+    def bound(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or p.empty:
+            return pd.DataFrame({"a": p["a"].iloc[:0], "lat": p["lat"].iloc[:0], "lon": p["lon"].iloc[:0], "most": pd.Series(dtype=float)})
+        s_lat, s_lon, p_lat, p_lon = (x.to_numpy() for x in (s["lat"], s["lon"], p["lat"], p["lon"]))
+        code = z_code(s_lon, s_lat)
+        order = np.argsort(code, kind="stable")
+        at = np.searchsorted(code[order], z_code(p_lon, p_lat))
+        most = np.full(len(p), np.inf)
+        tries = [np.clip(at + k, 0, len(s) - 1) for k in range(-PILOTS, PILOTS)] + [np.full(len(p), k) for k in np.linspace(0, len(s) - 1, 4 * PILOTS).astype(int)]
+        for pick in tries:
+            item = order[pick]
+            most = np.minimum(most, haversine_np(p_lat, p_lon, s_lat[item], s_lon[item]))
+        return pd.DataFrame({"a": p["a"].to_numpy(), "lat": p_lat, "lon": p_lon, "most": most}).astype({"a": p["a"].dtype})
+
+    # one share of a full leaf is enough for a bound
+    bounds = pilots.where("i = 0").groupBy("leaf", "j").cogroup(asked.where("i = 0").groupBy("leaf", "j")).applyInPandas(bound, f"a {a_type}, lat double, lon double, most double")
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            boxes, of = reach_boxes(b["lat"].to_numpy(), b["lon"].to_numpy(), b["most"].to_numpy())
+            box, leaf = QuadTree.met(index, boxes)
+            pairs = np.unique(np.column_stack([of[box], leaf]), axis=0) if len(box) else np.empty((0, 2), int)
+            pairs = pairs[np.isin(pairs[:, 1], full)]
+            yield b.iloc[pairs[:, 0]].assign(leaf=pairs[:, 1].astype("int64"))
+
+    reached = bounds.mapInPandas(reach, f"a {a_type}, lat double, lon double, most double, leaf bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    shared, wanted = share_out(owned, reached, salts, leaf_salts(reached, group_rows), ["b", "lat", "lon"], ["a", "lat", "lon"])
 
     def best(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if s.empty or p.empty:
             return pd.DataFrame({"a": p["a"].iloc[:0], "b": s["b"].iloc[:0], "km": pd.Series(dtype=float)})
         s = s.sort_values("b", kind="stable")
-        sv, s_lat, s_lon = unit_vectors(s["lat"], s["lon"]), s["lat"].to_numpy(), s["lon"].to_numpy()
-        pv, p_lat, p_lon = unit_vectors(p["lat"], p["lon"]), p["lat"].to_numpy(), p["lon"].to_numpy()
-        step, picks, dist = max(1, BLOCK // len(sv)), [], []
-        for k in range(0, len(pv), step):
-            dot = pv[k : k + step] @ sv.T
-            # the chord orders like the distance but for rounding, so near-equal ones are told apart by the distance itself
-            close = dot >= dot.max(axis=1, keepdims=True) - 1e-12
-            q, item = np.nonzero(close)
-            km = haversine_np(p_lat[k + q], p_lon[k + q], s_lat[item], s_lon[item])
-            order = np.lexsort((item, km, q))
-            first = order[np.unique(q[order], return_index=True)[1]]
-            picks.append(item[first])
-            dist.append(km[first])
-        return pd.DataFrame({"a": p["a"].to_numpy(), "b": s["b"].to_numpy()[np.concatenate(picks)], "km": np.concatenate(dist)})
-
-    found = r_shared.groupBy("leaf", "i", "j").cogroup(l_shared.groupBy("leaf", "i", "j")).applyInPandas(best, f"a {a_type}, b {b_type}, km double")
+        s_lat, s_lon, p_lat, p_lon, most = (x.to_numpy() for x in (s["lat"], s["lon"], p["lat"], p["lon"], p["most"]))
+        near, pick = np.full(len(p), np.inf), np.full(len(p), -1, dtype=np.int64)
+        boxes, of = reach_boxes(p_lat, p_lon, most)
+        for q, item in PackedRTree(np.column_stack([s_lon, s_lat, s_lon, s_lat])).probe(boxes):
+            at = of[q]
+            far = haversine_np(p_lat[at], p_lon[at], s_lat[item], s_lon[item])
+            by = np.lexsort((item, far, at))
+            top = by[np.unique(at[by], return_index=True)[1]]
+            at, item, far = at[top], item[top], far[top]
+            closer = (far < near[at]) | (far == near[at]) & (item < pick[at])
+            near[at[closer]], pick[at[closer]] = far[closer], item[closer]
+        some = pick >= 0
+        return pd.DataFrame({"a": p["a"].to_numpy()[some], "b": s["b"].to_numpy()[pick[some]], "km": near[some]})
+
+    found = shared.groupBy("leaf", "i", "j").cogroup(wanted.groupBy("leaf", "i", "j")).applyInPandas(best, f"a {a_type}, b {b_type}, km double")
     return found.groupBy("a").agg(F.min(F.struct("km", "b")).alias("x")).select(F.col("a").alias(left_id), F.col("x.b").alias("nearest"), F.col("x.km").alias("km"))
 
 
+def prefix_matches(left: DataFrame, bases: DataFrame, text: str, base: str) -> DataFrame:
+    """Left rows beside each base that their text begins with, whatever the number of bases and their lengths.
+
+    Texts are cut to the lengths that bases have, which come from a join on the first letter, so that no list is collected.
+    Empty and null bases match nothing; bases are made distinct.
+    """
+    b = bases.where(F.coalesce(F.length(base) > 0, F.lit(False))).select(F.col(base).alias(base)).distinct()
+    sizes = b.select(F.substring(base, 1, 1).alias("__first"), F.length(base).alias("__size")).groupBy("__first").agg(F.collect_set("__size").alias("__sizes"))
+    keyed = left.withColumn("__first", F.substring(text, 1, 1)).join(sizes, "__first").withColumn("__size", F.explode("__sizes")).where(F.col("__size") <= F.length(text))
+    return keyed.withColumn(base, F.expr(f"substring(`{text}`, 1, __size)")).join(b, base).drop("__first", "__size", "__sizes")
+
+
 def asof_tolerance(left: DataFrame, right: DataFrame, left_id: str, left_at: str, right_at: str, value: str, tolerance: float) -> DataFrame:
     """Each left row with the right row whose time is nearest, at most tolerance away; of equal gaps the earlier, then smaller value.
 

@@ -29,11 +29,16 @@ def lengths(vertices: DataFrame, line: str, order: str) -> DataFrame:
 
 
 def straight_deviation(vertices: DataFrame, line: str, order: str) -> DataFrame:
-    """line and rms_km of the vertices from points evenly spaced, in degrees, between the line's ends."""
+    """line and rms_km of the inner vertices from where they were to be between the line's ends, 0 without inner ones.
+
+    A vertex is to be as far along, in degrees, as its distance from the start is a share of its distances to both ends.
+    """
     w, all_of = Window.partitionBy(line).orderBy(order), Window.partitionBy(line)
     ends = lambda c: (F.min_by(c, order).over(all_of), F.max_by(c, order).over(all_of))
     (la0, la1), (lo0, lo1) = ends("lat"), ends("lon")
-    v = vertices.withColumns({"__k": F.row_number().over(w) - 1, "__n": F.count("*").over(all_of) - 1, "__la0": la0, "__la1": la1, "__lo0": lo0, "__lo1": lo1})
-    share = F.coalesce(F.try_divide(F.col("__k"), F.col("__n")), F.lit(0.0))
+    v = vertices.withColumns({"__k": F.row_number().over(w), "__n": F.count("*").over(all_of), "__la0": la0, "__la1": la1, "__lo0": lo0, "__lo1": lo1})
+    start, end = haversine_km("__la0", "__lo0", "lat", "lon"), haversine_km("lat", "lon", "__la1", "__lo1")
+    share = F.when(haversine_km("__la0", "__lo0", "__la1", "__lo1") > 0, F.try_divide(start, start + end)).otherwise(0.5)
     d = haversine_km("lat", "lon", F.col("__la0") + (F.col("__la1") - F.col("__la0")) * share, F.col("__lo0") + (F.col("__lo1") - F.col("__lo0")) * share)
-    return v.withColumn("__d", d).groupBy(line).agg(F.sqrt(F.avg(F.col("__d") * F.col("__d"))).alias("rms_km"))
+    inner = F.when((F.col("__k") > 1) & (F.col("__k") < F.col("__n")), F.col("__d") * F.col("__d"))
+    return v.withColumn("__d", d).groupBy(line).agg(F.coalesce(F.sqrt(F.avg(inner)), F.lit(0.0)).alias("rms_km"))

@@ -103,3 +103,17 @@ def null_summary(observed: DataFrame, null: DataFrame, by: list[str], trials: in
     ge = F.coalesce("ge", F.lit(0)) + F.when(F.col("n") == 0, trials - F.coalesce("rows", F.lit(0))).otherwise(0)
     out = observed.join(stats, by, "left").withColumns({"mu": mu, "sigma": sigma, "p": ge / trials})
     return out.select(*by, F.col("n").alias("observed"), "mu", "sigma", F.when(F.col("sigma") > 1e-12, (F.col("n") - F.col("mu")) / F.col("sigma")).otherwise(0.0).alias("z"), F.try_divide(F.col("n").cast("double"), F.col("mu")).alias("enrichment"), "p")
+
+
+def latitude_matched_poles(spark, trials: int, low: float, high: float, attempts: int = 1000, seed: int = 42) -> DataFrame:
+    """trial, attempt, lat and lon: the first uniform pole of each trial whose circle covers at least half of a range of latitudes.
+
+    A circle reaches 90 less its pole's latitude on both sides of the equator. Where no attempt does, one more is taken as it is.
+    """
+    tries = trials_of(spark.range(attempts + 1).select(F.col("id").alias("attempt")), trials)
+    u = lambda k: uniform(k, F.col("trial"), F.col("attempt"))
+    poles = tries.select("trial", "attempt", F.degrees(F.asin(2.0 * u(seed) - 1.0)).alias("lat"), (360.0 * u(seed + 1) - 180.0).alias("lon"))
+    top = 90.0 - F.abs("lat")
+    shared = F.least(top, F.lit(high)) - F.greatest(-top, F.lit(low))
+    good = poles.where((F.col("attempt") == attempts) | (shared > 0) & (shared >= 0.5 * (high - low)))
+    return good.groupBy("trial").agg(F.min_by(F.struct("attempt", "lat", "lon"), "attempt").alias("x")).select("trial", "x.*")

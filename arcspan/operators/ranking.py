@@ -2,30 +2,26 @@
 
 from __future__ import annotations
 
-import math
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 100_000
-
 
-def rank_within(df: DataFrame, keys: list[str], order: list[str], ids: list[str], name: str = "rank", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], order: list[str], ids: list[str], name: str = "rank") -> DataFrame:
     """Adds a rank from 0 within the keys: by the order columns, then by a hash of the ids, then by the ids.
 
-    Rows of one (keys, order) value are spread over as many salts as its exact count asks for; each salt is ranked by
-    itself and shifted by the counts before it. Nulls in keys or order make a group like any value. Rows that agree in
-    all of these columns share out their ranks in any way. An empty frame stays empty.
+    The rows are put into ranges of all of these columns, one shuffle, and sorted there; a range knows its rows of a key by
+    their running numbers, and one row a key and range tells how many come before. So neither a hot key nor equal values nor
+    values that are all different come together in one task. Nulls in keys or order make a group like any value. Rows that
+    agree in all of these columns share out their ranks in any way. An empty frame stays empty.
     """
-    counts = df.groupBy(*keys, *order).agg(F.count("*").alias("__n"))
-    most = counts.agg(F.max("__n")).first()[0] or 0
-    salts = max(1, math.ceil(most / bucket_rows))
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*ids), F.lit(salts)).cast("int"))
-    before = Window.partitionBy(*keys).orderBy(*[F.col(c).asc_nulls_first() for c in order], "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(*keys, *order, "__salt").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    here = salted.withColumn("__row", F.row_number().over(Window.partitionBy(*keys, *order, "__salt").orderBy(*ids)))
-    renamed = offsets.select(*[F.col(c).alias(f"__{c}") for c in [*keys, *order]], F.col("__salt").alias("__s"), "__before")
-    same = here["__salt"] == renamed["__s"]
-    for c in [*keys, *order]:
-        same = same & here[c].eqNullSafe(renamed[f"__{c}"])
-    return here.join(renamed, same).withColumn(name, F.col("__row") - 1 + F.col("__before")).select(*df.columns, name)
+    by = [F.col(c).asc_nulls_first() for c in [*keys, *order]] + [F.xxhash64(*ids).asc()] + [F.col(c).asc_nulls_first() for c in ids]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumns({"__at": F.monotonically_increasing_id(), "__part": F.spark_partition_id()}).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = ranged.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select(*[F.col(c).alias(f"__k{k}") for k, c in enumerate(keys)], F.col("__part").alias("__p"), (before - F.col("__first")).alias("__shift"))
+    same = ranged["__part"] == shift["__p"]
+    for k, c in enumerate(keys):
+        same = same & ranged[c].eqNullSafe(shift[f"__k{k}"])
+    return ranged.join(shift, same).withColumn(name, F.col("__at") + F.col("__shift")).select(*df.columns, name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,24 @@ def focal(grid: DataFrame, reach: int) -> DataFrame:
 
 
 def position_index(grid: DataFrame, reach: int) -> DataFrame:
-    """row, col, tpi (value over the mean around) and prominence (value over the lowest around)."""
-    return focal(grid, reach).select("row", "col", (F.col("value") - F.col("mean")).alias("tpi"), (F.col("value") - F.col("lowest")).alias("prominence"))
+    """row, col and tpi (value over the mean around)."""
+    return focal(grid, reach).select("row", "col", (F.col("value") - F.col("mean")).alias("tpi"))
+
+
+def prominence(points: DataFrame, grid: DataFrame, step: float, key: str, km: float = 25.0, directions: int = 64, rings: tuple[float, ...] = (0.33, 0.67, 1.0), lowest: float = -100.0, least: int = 10) -> DataFrame:
+    """key and prominence: the ground at a point over the mean of what lies around it on rings, both from the nearest cells.
+
+    Ground under 0 around counts as 0, ground of at most lowest not at all. Null at sea (a point's ground at most 0) and
+    where fewer than least places around are known. keys must be unique.
+    """
+    around = F.array(*[F.struct(F.lit(f * km * math.sin(2 * math.pi * k / directions)).alias("up"), F.lit(f * km * math.cos(2 * math.pi * k / directions)).alias("right")) for k in range(directions) for f in rings])
+    wide = F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    spread = points.select(F.col(key).alias("id"), "lat", "lon", F.explode(around).alias("o"))
+    spread = spread.select("id", (F.col("lat") + F.col("o.up") / 111.0).alias("lat"), (F.pmod(F.col("lon") + F.col("o.right") / (111.0 * wide) + 180.0, F.lit(360.0)) - 180.0).alias("lon")).where(F.col("lat").between(-90, 90))
+    seen = nearest_cell(spread, grid, step).where(F.col("value") > lowest).groupBy("id").agg(F.avg(F.greatest("value", F.lit(0.0))).alias("mean"), F.count("*").alias("n"))
+    own = nearest_cell(points.select(F.col(key).alias("id"), "lat", "lon"), grid, step).select("id", F.col("value").alias("own"))
+    out = own.join(seen, "id", "left")
+    return out.select(F.col("id").alias(key), F.when((F.col("own") > 0) & (F.col("n") >= least), F.col("own") - F.col("mean")).alias("prominence"))
 
 
 def suitability(layers: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -8,7 +8,7 @@ exactly. A hit counts only in the leaf that owns its reference point, so that co
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,7 +68,11 @@ class QuadTree:
 
     def touched(self, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (box, leaf)."""
-        tree = PackedRTree(self.boxes)
+        return self.met(PackedRTree(self.boxes), boxes)
+
+    @staticmethod
+    def met(tree: "PackedRTree", boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (box, leaf), by an R-tree over the leaves."""
         found = list(tree.probe(boxes))
         return (np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])) if found else (np.empty(0, int), np.empty(0, int))
 
@@ -125,11 +129,11 @@ def haversine_np(lat1, lon1, lat2, lon2) -> np.ndarray:
     return 2 * EARTH_RADIUS_KM * np.arcsin(np.sqrt(np.minimum(1.0, a)))
 
 
-def reach_boxes(lat: np.ndarray, lon: np.ndarray, km: float) -> tuple[np.ndarray, np.ndarray]:
-    """Boxes that hold every point within km, cut at the antimeridian; and of which point each is."""
-    angle = min(km / EARTH_RADIUS_KM, math.pi) * (1 + 1e-9) + 1e-12
-    up = math.degrees(angle)
-    sine = math.sin(min(angle, math.pi / 2)) / np.maximum(np.cos(np.radians(lat)), 1e-300)
+def reach_boxes(lat: np.ndarray, lon: np.ndarray, km: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Boxes that hold every point within km, one for all or one each, cut at the antimeridian; and of which point each is."""
+    angle = np.minimum(np.asarray(km) / EARTH_RADIUS_KM, math.pi) * (1 + 1e-9) + 1e-12
+    up = np.degrees(angle)
+    sine = np.sin(np.minimum(angle, math.pi / 2)) / np.maximum(np.cos(np.radians(lat)), 1e-300)
     wide = np.where((np.abs(lat) + up >= 90.0) | (sine >= 1.0), 180.0, np.degrees(np.arcsin(np.minimum(sine, 1.0))))
     low, high = lon - wide, lon + wide
     south, north = np.maximum(lat - up, -90.0), np.minimum(lat + up, 90.0)
@@ -164,6 +168,54 @@ def leaf_salts(owned: DataFrame, group_rows: int) -> dict[int, int]:
     return {r["leaf"]: math.ceil(r["n"] / group_rows) for r in owned.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).collect()}
 
 
+def near_apply(places: DataFrame, sites: DataFrame, km: float, refine: Callable, schema: str, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """What refine(places, sites, hits) makes of the places and sites of each leaf, by the given schema.
+
+    places and sites: rows with lat and lon as usable_points gives them, each a row of its own; hits: batches of (place
+    number, site number, km) of all pairs of them at most km apart. A pair is met in one leaf only, once. A leaf with more
+    than group_rows of either side is shared out by exact counts, so that no task holds an unbounded group.
+    """
+    sites = sites.persist(StorageLevel.MEMORY_AND_DISK)
+    p_type, s_type = (", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema.fields) for t in (places, sites))
+    n_sites = sites.count()
+    tree = grow_quadtree(sites, n_sites, 2.5 * math.degrees(km / EARTH_RADIUS_KM), sample_rows, leaf_rows)
+    index = PackedRTree(tree.boxes)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy()).astype("int64"))
+
+    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            boxes, of = reach_boxes(b["lat"].to_numpy(), b["lon"].to_numpy(), km)
+            box, leaf = QuadTree.met(index, boxes)
+            pairs = np.unique(np.column_stack([of[box], leaf]), axis=0) if len(box) else np.empty((0, 2), int)
+            yield b.iloc[pairs[:, 0]].assign(leaf=pairs[:, 1].astype("int64"))
+
+    owned = sites.mapInPandas(own, f"{s_type}, leaf bigint")
+    reached = places.mapInPandas(reach, f"{p_type}, leaf bigint").persist(StorageLevel.MEMORY_AND_DISK)
+    owned, reached = share_out(owned, reached, leaf_salts(owned, group_rows) if n_sites > group_rows else {}, leaf_salts(reached, group_rows), sites.columns, places.columns)
+
+    def meet(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        s_lat, s_lon, p_lat, p_lon = (x.to_numpy() for x in (s["lat"], s["lon"], p["lat"], p["lon"]))
+
+        def hits() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            if not len(s) or not len(p):
+                return
+            points = PackedRTree(np.column_stack([s_lon, s_lat, s_lon, s_lat]))
+            boxes, of = reach_boxes(p_lat, p_lon, km)
+            for q, item in points.probe(boxes):
+                at = of[q]
+                far = haversine_np(p_lat[at], p_lon[at], s_lat[item], s_lon[item])
+                ok = far <= km
+                # the reference point of a pair is the site itself, the low corner of box and point; its leaf is this one
+                yield at[ok], item[ok], far[ok]
+
+        return refine(p, s, hits())
+
+    return owned.groupBy("leaf", "i", "j").cogroup(reached.groupBy("leaf", "i", "j")).applyInPandas(meet, schema)
+
+
 def near_join(
     places: DataFrame,
     sites: DataFrame,
@@ -182,50 +234,20 @@ def near_join(
 
     Rows with unusable coordinates (see usable_points) and sites with a null key match nothing; a null place key is kept.
     Equal rows on either side make no further pairs; empty tables give no rows; other columns of the inputs, whatever
-    their names, are left out before the join. Site rows are made distinct first, which takes up hot keys; a leaf with
-    more than group_rows of either side is shared out by exact counts, so that no task holds an unbounded group.
+    their names, are left out before the join. Site rows are made distinct first, which takes up hot keys.
     """
     places = usable_points(places, place_lat, place_lon, F.col(place_key).alias("__place")).distinct()
-    sites = usable_points(sites.where(F.col(site_key).isNotNull()), site_lat, site_lon, F.col(site_key).alias("__site")).distinct().persist(StorageLevel.MEMORY_AND_DISK)
+    sites = usable_points(sites.where(F.col(site_key).isNotNull()), site_lat, site_lon, F.col(site_key).alias("__site")).distinct()
     p_type, s_type = places.schema["__place"].dataType.simpleString(), sites.schema["__site"].dataType.simpleString()
-    n_sites = sites.count()
-    tree = grow_quadtree(sites, n_sites, 2.5 * math.degrees(km / EARTH_RADIUS_KM), sample_rows, leaf_rows)
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(leaf=tree.owner(b["lon"].to_numpy(), b["lat"].to_numpy()).astype("int64"))
 
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            boxes, of = reach_boxes(b["lat"].to_numpy(), b["lon"].to_numpy(), km)
-            box, leaf = tree.touched(boxes)
-            pairs = np.unique(np.column_stack([of[box], leaf]), axis=0) if len(box) else np.empty((0, 2), int)
-            yield b.iloc[pairs[:, 0]].assign(leaf=pairs[:, 1].astype("int64"))
-
-    owned = sites.mapInPandas(own, f"__site {s_type}, lat double, lon double, leaf bigint")
-    reached = places.mapInPandas(reach, f"__place {p_type}, lat double, lon double, leaf bigint")
-    owned, reached = share_out(owned, reached, leaf_salts(owned, group_rows) if n_sites > group_rows else {}, leaf_salts(reached, group_rows), ["__site", "lat", "lon"], ["__place", "lat", "lon"])
-
-    def refine(s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"__place": p["__place"].iloc[:0], "__site": s["__site"].iloc[:0]})
-        if s.empty or p.empty:
-            return none
-        s_lat, s_lon, p_lat, p_lon = (x.to_numpy() for x in (s["lat"], s["lon"], p["lat"], p["lon"]))
-        index = PackedRTree(np.column_stack([s_lon, s_lat, s_lon, s_lat]))
-        boxes, of = reach_boxes(p_lat, p_lon, km)
+    def refine(p: pd.DataFrame, s: pd.DataFrame, hits: Iterator) -> pd.DataFrame:
         code, names = pd.factorize(s["__site"])
-        kept = []
-        for q, item in index.probe(boxes):
-            at = of[q]
-            ok = haversine_np(p_lat[at], p_lon[at], s_lat[item], s_lon[item]) <= km
-            # the reference point of a pair is the site itself, the low corner of box and point; its leaf is this one
-            kept.append(np.unique(at[ok] * np.int64(len(names)) + code[item[ok]]))
+        kept = [np.unique(at * np.int64(len(names)) + code[item]) for at, item, _ in hits]
         pairs = np.unique(np.concatenate(kept)) if kept else np.empty(0, np.int64)
-        if not len(pairs):
-            return none
-        return pd.DataFrame({"__place": p["__place"].to_numpy()[pairs // len(names)], "__site": np.asarray(names)[pairs % len(names)]})
+        many = max(len(names), 1)
+        return pd.DataFrame({"__place": p["__place"].to_numpy()[pairs // many], "__site": np.asarray(names)[pairs % many]}).astype({"__place": p["__place"].dtype}) if len(pairs) else pd.DataFrame({"__place": p["__place"].iloc[:0], "__site": s["__site"].iloc[:0]})
 
-    pairs = owned.groupBy("leaf", "i", "j").cogroup(reached.groupBy("leaf", "i", "j")).applyInPandas(refine, f"__place {p_type}, __site {s_type}")
+    pairs = near_apply(places, sites, km, refine, f"__place {p_type}, __site {s_type}", sample_rows, leaf_rows, group_rows)
     return pairs.distinct().select(F.col("__place").alias("place_key"), F.col("__site").alias("site_key"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,14 +135,35 @@ def wrapped_density(df: DataFrame, angle: str, points: int, bandwidth: float, bi
     return grid.groupBy("k").agg(F.sum(F.col("n") * F.exp(-0.5 * F.pow(gap / bandwidth, 2)) / (bandwidth * math.sqrt(2 * math.pi))).alias("density")).select((F.col("k") * step).alias("at"), "density")
 
 
-def ripley(pairs: DataFrame, radii: list[float], n: int, area: float) -> DataFrame:
-    """radius, pairs, k and l (no edge correction) from the unordered pairs (column km) within the largest radius."""
-    counted = pairs.groupBy(F.lit(0).alias("g")).agg(*[F.count_if(F.col("km") <= r).alias(f"n{k}") for k, r in enumerate(radii)])
+def ripley(bands: DataFrame, radii: list[float], n: int, area: float) -> DataFrame:
+    """radius, pairs, k and l (no edge correction) from the unordered pairs in the bands between 0 and the radii (band, pairs)."""
+    counted = bands.groupBy(F.lit(0).alias("g")).agg(*[F.coalesce(F.sum(F.when(F.col("band") <= k, F.col("pairs"))), F.lit(0)).alias(f"n{k}") for k, _ in enumerate(radii)])
     out = counted.select(F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"n{k}").alias("pairs")) for k, r in enumerate(radii)])).alias("x")).select("x.*")
-    k = F.lit(area) * 2 * F.col("pairs") / float(n * n)
+    k = F.try_divide(F.lit(float(area)), F.lit(float(n) * (n - 1))) * (2 * F.col("pairs"))
     return out.withColumn("k", k).withColumn("l", F.sqrt(k / math.pi) - F.col("radius"))
 
 
+def directional_k(points: DataFrame, key: str, along: str, perp: str, radii: list[float], n: int, area: float) -> DataFrame:
+    """radius, pairs_parallel, pairs_across, k_parallel and k_across of points in the plane of two distances in km.
+
+    A pair within a radius is parallel if it lies farther apart along the line than across it. Points meet in square cells
+    as wide as the largest radius; counts are summed before anything is shuffled again.
+    """
+    wide = float(max(radii))
+    p = points.where(F.col(along).isNotNull() & F.col(perp).isNotNull()).select(F.col(key).alias("id"), F.col(along).alias("x"), F.col(perp).alias("y"))
+    cell = lambda c: F.floor(F.col(c) / wide)
+    own = p.select("id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
+    near = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
+    beside = own.select(F.col("id").alias("id2"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(near).alias("o")).select("id2", "x2", "y2", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+    dx, dy = F.abs(F.col("x") - F.col("x2")), F.abs(F.col("y") - F.col("y2"))
+    pairs = own.join(beside, ["cx", "cy"]).where(F.col("id") < F.col("id2")).select((dx > dy).alias("parallel"), F.sqrt(dx * dx + dy * dy).alias("km")).where(F.col("km") <= wide)
+    counted = pairs.groupBy("parallel").agg(*[F.count_if(F.col("km") <= r).alias(f"n{k}") for k, r in enumerate(radii)])
+    long = counted.select("parallel", F.explode(F.array(*[F.struct(F.lit(float(r)).alias("radius"), F.col(f"n{k}").alias("pairs")) for k, r in enumerate(radii)])).alias("q")).select("parallel", "q.*")
+    out = long.groupBy("radius").agg(F.coalesce(F.sum(F.when(F.col("parallel"), F.col("pairs"))), F.lit(0)).alias("pairs_parallel"), F.coalesce(F.sum(F.when(~F.col("parallel"), F.col("pairs"))), F.lit(0)).alias("pairs_across"))
+    unit = F.try_divide(F.lit(float(area)), F.lit(float(n) * (n - 1))) * 2
+    return out.withColumns({"k_parallel": unit * F.col("pairs_parallel"), "k_across": unit * F.col("pairs_across")})
+
+
 def two_by_two(df: DataFrame, row: Column, col: Column) -> DataFrame:
     """a, b, c, d, odds (null for an empty margin), chi2 and the one-sided Fisher p (at least a) of a 2 x 2 table.
 
@@ -187,10 +209,26 @@ def cohens_d(df: DataFrame, value: str, group: str, first: str) -> DataFrame:
     return s.select("n1", "n2", ((F.col("mx") - F.col("my")) / F.sqrt(((F.col("n1") - 1) * F.col("vx") + (F.col("n2") - 1) * F.col("vy")) / (F.col("n1") + F.col("n2") - 2))).alias("d"))
 
 
-def global_moran(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
-    """i, n and weight sum of Moran's I with inverse-distance weights over given pairs (a, b, km > 0, both directions)."""
-    m = values.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(value).alias("n")).withColumn("k", F.lit(0))
-    z = values.select(F.col(key).alias("id"), F.col(value).alias("x"))
-    p = pairs.where("km > 0").join(z.withColumnsRenamed({"id": "a", "x": "xa"}), "a").join(z.withColumnsRenamed({"id": "b", "x": "xb"}), "b").withColumn("k", F.lit(0)).join(F.broadcast(m), "k")
-    s = p.groupBy("n", "v").agg(F.sum(1.0 / F.col("km")).alias("w"), F.sum((F.col("xa") - F.col("m")) * (F.col("xb") - F.col("m")) / F.col("km")).alias("c"))
-    return s.select(F.try_divide(F.col("c"), F.col("w") * F.col("v")).alias("i"), "n", "w")
+def global_moran(points: DataFrame, key: str, value: str, km: float) -> DataFrame:
+    """i, n and weight sum of Moran's I with inverse-distance weights over all pairs of rows more than 0 and at most km apart.
+
+    Every leaf gives one row of sums; the mean is taken off beforehand, so the pairs themselves are never rows.
+    """
+    from arcspan.operators.spatial import near_apply, usable_points
+
+    known = points.where(F.col(value).isNotNull())
+    m = known.agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(value).alias("n")).first()
+    rows = usable_points(known, "lat", "lon", F.col(key).alias("a"), (F.col(value).cast("double") - F.lit(m["m"] or 0.0)).alias("z"))
+
+    def refine(p, s, hits):
+        w = c = 0.0
+        pz, sz = p["z"].to_numpy(), s["z"].to_numpy()
+        for at, item, far in hits:
+            ok = far > 0
+            at, item, far = at[ok], item[ok], far[ok]
+            w += float((1.0 / far).sum())
+            c += float((pz[at] * sz[item] / far).sum())
+        return pd.DataFrame({"w": [w], "c": [c]})
+
+    s = near_apply(rows, rows, km, refine, "w double, c double").agg(F.sum("w").alias("w"), F.sum("c").alias("c"))
+    return s.select(F.try_divide(F.col("c"), F.col("w") * F.lit(float(m["v"] or 0.0))).alias("i"), F.lit(m["n"]).alias("n"), "w")

@@ -74,18 +74,33 @@ def filled_bins(df: DataFrame, by: list[str], bin_column: str, bins: DataFrame,
 
 
 def interpolated_bins(df: DataFrame, at: str, value: str, start: float, stop: float, width: float) -> DataFrame:
-    """bin and value: mean of the rows in each bin [start, start + width) ..., empty bins by the line between their neighbours.
+    """bin and value: mean of the rows in each bin [start, start + width) ..., of an empty bin the line through the rows around its middle.
 
-    Bins before the first or after the last filled one take its value. The bins are a stated list, one window.
+    Before the first and after the last row the line through the two outermost ones goes on. Rows from start to stop, both
+    included, count. Of rows at one place the line takes the least value. With fewer than two places an empty bin stays null.
+    The bins are a stated list, one window.
     """
     bins = int((stop - start) / width)
-    means = df.where(F.col(at).isNotNull() & F.col(value).isNotNull() & (F.col(at) >= start) & (F.col(at) < start + bins * width)).groupBy(F.floor((F.col(at) - start) / width).alias("k")).agg(F.avg(value).alias("v"))
-    grid = df.sparkSession.range(bins).select(F.col("id").alias("k")).join(means, "k", "left").withColumn("known", F.when(F.col("v").isNotNull(), F.struct("k", "v")))
+    known = df.where(F.col(at).isNotNull() & F.col(value).isNotNull() & F.col(at).between(start, stop)).select(F.col(at).cast("double").alias("a"), F.col(value).cast("double").alias("v"))
+    places = known.groupBy("a").agg(F.min("v").alias("v"))
+    low, high = ([(r["a"], r["v"]) for r in places.orderBy(order).limit(2).collect()] for order in (F.col("a").asc(), F.col("a").desc()))
+    means = known.where(F.col("a") < start + bins * width).groupBy(F.floor((F.col("a") - start) / width).alias("k")).agg(F.avg("v").alias("mean"))
+    ends = places.groupBy(F.least(F.floor((F.col("a") - start) / width), F.lit(bins)).alias("k")).agg(F.min(F.struct("a", "v")).alias("first"), F.max(F.struct("a", "v")).alias("last"))
+    grid = df.sparkSession.range(bins + 1).select(F.col("id").alias("k")).join(means, "k", "left").join(ends, "k", "left")
     w = Window.partitionBy(F.lit(0)).orderBy("k")
-    both = grid.withColumns({"left": F.last("known", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "right": F.first("known", True).over(w.rowsBetween(0, Window.unboundedFollowing))})
-    share = F.try_divide(F.col("k") - F.col("left.k"), F.col("right.k") - F.col("left.k"))
-    line = F.col("left.v") + (F.col("right.v") - F.col("left.v")) * F.coalesce(share, F.lit(0.0))
-    return both.select((F.lit(start) + F.col("k") * width).alias("bin"), F.coalesce(line, F.col("left.v"), F.col("right.v")).alias("value"))
+    both = grid.withColumns({"l": F.last("last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)), "r": F.first("first", True).over(w.rowsBetween(1, Window.unboundedFollowing))}).where(F.col("k") < bins)
+    middle = F.lit(start) + (F.col("k") + 0.5) * width
+
+    def through(p, q) -> F.Column:
+        (x0, y0), (x1, y1) = p, q
+        return y0 + (y1 - y0) * (middle - x0) / (x1 - x0)
+
+    inside = through((F.col("l.a"), F.col("l.v")), (F.col("r.a"), F.col("r.v")))
+    out = F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), inside)
+    if len(low) == 2:
+        lit = lambda pair: tuple(map(F.lit, pair))
+        out = out.when(F.col("l").isNull(), through(lit(low[0]), lit(low[1]))).otherwise(through(lit(high[1]), lit(high[0])))
+    return both.select((F.lit(start) + F.col("k") * width).alias("bin"), F.coalesce("mean", out).alias("value"))
 
 
 def on_curve(points: DataFrame, at: str, curve: list[tuple[float, float]], name: str) -> DataFrame:

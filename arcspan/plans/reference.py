@@ -141,7 +141,7 @@ q AS (SELECT bearing, plat, {wrap('-138.646087 + degrees(atan2(sin(radians(beari
 SELECT bearing, count(*) AS n FROM q JOIN sites ON {hav('plat', 'plon', 'lat', 'lon')} <= 250 GROUP BY bearing""")
 def q_density_profile(spark, d):
     trace = spark.range(360).select(F.col("id"), geo.point_lat(F.col("id")).alias("lat"), geo.point_lon(F.col("id"), wrapped=True).alias("lon"))
-    return joins.distance_pairs(trace, sites(spark, d), "id", "id", 250.0).groupBy(F.col("a").alias("bearing")).agg(F.count("*").alias("n"))
+    return joins.near_counts(trace, sites(spark, d), "id", "id", [250.0]).select(F.col("id").alias("bearing"), F.col("n0").alias("n"))
 
 
 @query("gap_islands", f"""WITH {SITES}, b AS (SELECT DISTINCT type, CAST(floor({_frame_sql()[0]}) AS BIGINT) AS deg FROM sites WHERE {circle()} <= 300), g AS (SELECT type, deg, deg - row_number() OVER (PARTITION BY type ORDER BY deg) AS g FROM b),
@@ -184,10 +184,17 @@ def radiocarbon(spark, d):
     return t.where(ok).select("SiteID", F.col("Lat").alias("lat"), F.col("Long").alias("lon"), F.expr("try_cast(Age AS DOUBLE)").alias("age"), "Continent")
 
 
-_CAL = lambda a, pieces: f"CASE WHEN {a} <= 0 THEN 1950.0 ELSE 1950.0 - CASE " + " ".join((f"WHEN {a} <= {m} THEN " if m else "ELSE ") + f"{a} * {f} + {k}" for m, f, k in pieces) + " END END"
+_CAL1 = lambda a: f"CASE WHEN {a} <= 0 THEN 1950.0 WHEN {a} < 2500 THEN 1950 - {a} WHEN {a} < 5000 THEN 1950 - ({a} * 1.05::DOUBLE + 50) WHEN {a} < 8000 THEN 1950 - ({a} * 1.08::DOUBLE + 100) WHEN {a} < 12000 THEN 1950 - ({a} * 1.12::DOUBLE + 200) ELSE 1950 - ({a} * 1.15::DOUBLE + 300) END"
+_CAL2 = lambda a: f"CASE WHEN {a} <= 2000 THEN 1950 - {a} WHEN {a} <= 5000 THEN 1950 - ({a} * 1.05::DOUBLE - 100) WHEN {a} <= 10000 THEN 1950 - ({a} * 1.08::DOUBLE - 250) ELSE 1950 - ({a} * 1.10::DOUBLE - 450) END"
 
 
-@query("c14_calibrate", f"WITH {_DATES}, c AS (SELECT age, {_CAL('age', dates.CALIBRATION_1)} AS y1, {_CAL('age', dates.CALIBRATION_2)} AS y2 FROM dates WHERE age BETWEEN 0 AND 50000) SELECT CAST(floor(y1 / 1000) AS BIGINT) AS millennium, count(*) AS n, round(avg(y2 - y1), 6) AS shift FROM c GROUP BY 1")
+@query("c14_breakpoints", f"WITH a AS (SELECT unnest([-50, 0, 1, 2000, 2499, 2500, 2501, 4999, 5000, 5001, 7999, 8000, 10000, 10001, 11999, 12000, 50000])::DOUBLE AS age) SELECT age, round({_CAL1('age')}, 6) AS y1, round({_CAL2('age')}, 6) AS y2 FROM a")
+def q_c14_breakpoints(spark, d):
+    a = spark.createDataFrame([(float(x),) for x in (-50, 0, 1, 2000, 2499, 2500, 2501, 4999, 5000, 5001, 7999, 8000, 10000, 10001, 11999, 12000, 50000)], "age double")
+    return a.select("age", r6(dates.calibrated_year("age")).alias("y1"), r6(dates.calibrated_year("age", 2)).alias("y2"))
+
+
+@query("c14_calibrate", f"WITH {_DATES}, c AS (SELECT age, {_CAL1('age')} AS y1, {_CAL2('age')} AS y2 FROM dates WHERE age BETWEEN 0 AND 50000) SELECT CAST(floor(y1 / 1000) AS BIGINT) AS millennium, count(*) AS n, round(avg(y2 - y1), 6) AS shift FROM c GROUP BY 1")
 def q_c14_calibrate(spark, d):
     y = radiocarbon(spark, d).where("age between 0 and 50000").select(dates.calibrated_year("age").alias("y1"), dates.calibrated_year("age", 2).alias("y2"))
     return y.groupBy(F.floor(F.col("y1") / 1000).alias("millennium")).agg(F.count("*").alias("n"), r6(F.avg(F.col("y2") - F.col("y1"))).alias("shift"))
@@ -206,7 +213,7 @@ def q_dedup_round(spark, d):
     return first.join(s.groupBy(*[e.alias(k) for k, e in keys.items()]).agg(F.count("*").alias("copies")), ["a", "b"]).select("id", "copies")
 
 
-@query("time_bin_divergence", f"""WITH {_DATES}, s AS (SELECT trim(SiteID) AS k, avg(lat) AS lat, avg(lon) AS lon, max(age) AS age FROM dates WHERE trim(SiteID) <> '' AND age BETWEEN 1 AND 50000 GROUP BY 1), y AS (SELECT *, {_CAL('age', dates.CALIBRATION_1)} AS y FROM s),
+@query("time_bin_divergence", f"""WITH {_DATES}, s AS (SELECT trim(SiteID) AS k, avg(lat) AS lat, avg(lon) AS lon, max(age) AS age FROM dates WHERE trim(SiteID) <> '' AND age BETWEEN 1 AND 50000 GROUP BY 1), y AS (SELECT *, {_CAL1('age')} AS y FROM s),
 b AS (SELECT CAST(floor(y / 500.0) * 500 AS BIGINT) AS bin_start, count(*) AS n, count(*) FILTER (WHERE {circle()} <= 100) AS near FROM y GROUP BY 1) SELECT bin_start, n, near, CASE WHEN n >= 20 THEN round((near - n * sin(100.0 / 6371.0)) / sqrt(n * sin(100.0 / 6371.0)), 6) END AS z FROM b""")
 def q_time_bins(spark, d):
     s = dedup.by_site(radiocarbon(spark, d).where(not_blank("SiteID") & F.col("age").between(1, 50000)), "SiteID", "lat", "lon", "age")
@@ -361,11 +368,16 @@ def q_loo_cluster(spark, d):
     return s.select("km", F.explode(F.array_compact(left)).alias("cluster")).groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("km") <= 200).alias("near"))
 
 
-@query("bootstrap_ratio", f"""WITH {_ROWS}, d AS (SELECT trial, {nulls.draw_int_sql(83, 'trial', 'row')} % n.n AS i FROM slots, n), m AS (SELECT trial, avg(bal) FILTER (WHERE {circle()} <= 1000) / avg(bal) FILTER (WHERE {circle()} > 1000) AS r FROM d JOIN numbered ON numbered.row = d.i GROUP BY trial)
-SELECT round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.5), 6) AS middle, round(quantile_cont(r, 0.975), 6) AS high FROM m""")
+@query("bootstrap_ratio", f"""WITH {SITES}, g AS (SELECT bal, {circle()} <= 1000 AS near, row_number() OVER (PARTITION BY {circle()} <= 1000 ORDER BY id) - 1 AS row, count(*) OVER (PARTITION BY {circle()} <= 1000) AS n FROM sites), d AS (SELECT near, trial.range AS trial, {nulls.draw_int_sql(83, 'trial.range', 'g.row')} % n AS i FROM g, range({TRIALS}) trial),
+m AS (SELECT trial, median(g.bal) FILTER (WHERE g.near) AS a, median(g.bal) FILTER (WHERE NOT g.near) AS b FROM d JOIN g ON g.near = d.near AND g.row = d.i GROUP BY trial) SELECT round(quantile_cont(a / b, 0.025), 6) AS low, round(quantile_cont(a / b, 0.5), 6) AS middle, round(quantile_cont(a / b, 0.975), 6) AS high FROM m WHERE b > 0""")
 def q_bootstrap(spark, d):
-    s = sites(spark, d).select(F.col("id").alias("row"), "bal", (circle_km("lat", "lon") <= 1000).alias("near"))
-    n = s.count()
-    drawn = nulls.trials_of(s.select(F.col("row").alias("slot")), TRIALS).withColumn("row", F.pmod(nulls.draw_int(83, F.col("trial"), F.col("slot")), F.lit(n))).join(s, "row")
-    r = drawn.groupBy("trial").agg((F.avg(F.when(F.col("near"), F.col("bal"))) / F.avg(F.when(~F.col("near"), F.col("bal")))).alias("r"))
+    """Interval of the ratio of medians near to and far from the circle, both sides drawn anew with replacement."""
+    from arcspan.operators.ranking import rank_within
+
+    s = rank_within(sites(spark, d).select("id", "bal", (circle_km("lat", "lon") <= 1000).alias("near")), ["near"], ["id"], ["id"], "row")
+    sizes = {r["near"]: r["n"] for r in s.groupBy("near").agg(F.count("*").alias("n")).collect()}
+    n = F.when(F.col("near"), F.lit(sizes.get(True, 1))).otherwise(F.lit(sizes.get(False, 1)))
+    drawn = nulls.trials_of(s.select("near", F.col("row").alias("slot")), TRIALS).withColumn("row", F.pmod(nulls.draw_int(83, F.col("trial"), F.col("slot")), n))
+    r = drawn.join(s, ["near", "row"]).groupBy("trial").agg(F.percentile(F.when(F.col("near"), F.col("bal")), 0.5).alias("a"), F.percentile(F.when(~F.col("near"), F.col("bal")), 0.5).alias("b"))
+    r = r.where("b > 0").select((F.col("a") / F.col("b")).alias("r"))
     return r.agg(*[r6(F.percentile("r", q)).alias(k) for k, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])

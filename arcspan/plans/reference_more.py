@@ -58,12 +58,9 @@ def q_period(spark, d):
     return y.groupBy(classify.period("y", PERIODS).alias("period")).agg(F.count("*").alias("n"), F.min("y").alias("first"), F.max("y").alias("last"))
 
 
-CLUSTERS = [("giza", 29.9792, 31.1342, 2500.0), ("nazca", -14.7, -75.1, 3000.0), ("indus", 27.3, 68.1, 2000.0)]
-
-
-@query("cluster_assign", f"WITH {SITES} SELECT CASE " + " ".join(f"WHEN {hav('lat', 'lon', str(a), str(o))} <= {k} THEN '{n}'" for n, a, o, k in CLUSTERS) + " ELSE 'none' END AS cluster, count(*) AS n FROM sites GROUP BY 1")
+@query("cluster_assign", f"""WITH {SITES} SELECT CASE WHEN {hav('lat', 'lon', '-27.1', '-109.3')} < 200 THEN 'Easter Island' WHEN lat >= 20 AND lat <= 36 AND lon >= 25 AND lon <= 40 THEN 'Egypt / Levant' WHEN lat >= -25 AND lat <= 0 AND lon >= -80 AND lon <= -60 THEN 'Peru / Andes' WHEN lat >= 25 AND lat <= 38 AND lon >= 44 AND lon <= 60 THEN 'Iran / Persia' WHEN lat >= 20 AND lat <= 35 AND lon >= 60 AND lon <= 80 THEN 'Indus Valley' WHEN lat >= 0 AND lat <= 25 AND lon >= 95 AND lon <= 115 THEN 'Southeast Asia' ELSE 'Other' END AS cluster, count(*) AS n FROM sites GROUP BY 1""")
 def q_cluster(spark, d):
-    return sites(spark, d).groupBy(classify.cluster("lat", "lon", CLUSTERS).alias("cluster")).agg(F.count("*").alias("n"))
+    return sites(spark, d).groupBy(classify.cluster("lat", "lon").alias("cluster")).agg(F.count("*").alias("n"))
 
 
 @query("longitude_offsets", f"WITH {SITES} SELECT floor((((lon - 31.1342) % 360 + 360) % 360) / 15.0) * 15.0 AS bin, count(*) AS n FROM sites GROUP BY 1")
@@ -92,11 +89,8 @@ def q_verdicts(spark, d):
 @query("prefix_join", "WITH b AS (SELECT n_nationkey AS k, n_name AS base FROM nation), c AS (SELECT c_custkey, c_nationkey, n_name || '-' || (c_custkey % 7) AS full_name FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT b.base, count(*) AS n FROM c JOIN b ON starts_with(c.full_name, b.base) GROUP BY b.base")
 def q_prefix(spark, d):
     nation = table(spark, d, "nation")
-    base = nation.select("n_name", F.length("n_name").alias("size"))
-    sizes = [r[0] for r in base.select("size").distinct().limit(200).collect()]  # the lengths of the base names
     full = table(spark, d, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.concat("n_name", F.lit("-"), F.pmod("c_custkey", F.lit(7)).cast("string")).alias("full_name"))
-    keyed = full.withColumn("size", F.explode(F.array(*map(F.lit, sizes)))).where(F.col("size") <= F.length("full_name")).withColumn("base", F.expr("substring(full_name, 1, size)"))
-    return keyed.join(base.select(F.col("n_name").alias("base"), "size"), ["base", "size"]).groupBy("base").agg(F.count("*").alias("n"))
+    return joins.prefix_matches(full, nation.select("n_name"), "full_name", "n_name").groupBy(F.col("n_name").alias("base")).agg(F.count("*").alias("n"))
 
 
 @query("column_check", "WITH w AS (SELECT unnest(['BUILDING', 'FURNITURE', 'BRIDGES', 'TOMBS']) AS code), h AS (SELECT DISTINCT c_mktsegment AS code FROM customer) SELECT w.code, w.code IN (SELECT code FROM h) AS found FROM w")
@@ -153,9 +147,11 @@ def q_histogram(spark, d):
     return windows.histogram(table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "g"), ["g"], "l_quantity", 1.0, 50.0, 10)
 
 
-@query("interpolated_bins", f"WITH {_EV}, m AS (SELECT floor(t / 600)::BIGINT AS k, avg(value) AS v FROM e WHERE event_type = 'error' AND t >= 0 AND t < 864000 GROUP BY 1), g AS (SELECT range AS k, v FROM range(1440) LEFT JOIN m ON m.k = range), b AS (SELECT k, v, last_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER a AS lk, last_value(v IGNORE NULLS) OVER a AS lv, first_value(CASE WHEN v IS NOT NULL THEN k END IGNORE NULLS) OVER z AS rk, first_value(v IGNORE NULLS) OVER z AS rv FROM g WINDOW a AS (ORDER BY k ROWS UNBOUNDED PRECEDING), z AS (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT k * 600.0 AS bin, round(coalesce(CASE WHEN rk > lk THEN lv + (rv - lv) * (k - lk) / (rk - lk)::DOUBLE WHEN rk = lk THEN lv END, lv, rv), 6) AS value FROM b")
+@query("interpolated_bins", f"""WITH {_EV}, x AS (SELECT t AS a, min(value) AS v FROM e WHERE event_type = 'error' AND t >= -600 AND t <= 864000 GROUP BY 1), g AS (SELECT -600.0 + range * 600.0 AS lo FROM range(1441)), m AS (SELECT lo, avg(e.value) AS v FROM g JOIN e ON e.event_type = 'error' AND e.t >= lo AND e.t < lo + 600 AND e.t <= 864000 GROUP BY lo),
+o AS (SELECT a, v, lag(a) OVER w AS pa, lag(v) OVER w AS pv, row_number() OVER w AS k, count(*) OVER () AS n FROM x WINDOW w AS (ORDER BY a)), s AS (SELECT CASE WHEN k = 2 THEN -1e300 ELSE pa END AS f, CASE WHEN k = n THEN 1e300 ELSE a END AS u, pa, pv, a, v FROM o WHERE k >= 2)
+SELECT g.lo AS bin, round(coalesce(any_value(m.v), any_value(s.pv + (s.v - s.pv) * (g.lo + 300 - s.pa) / (s.a - s.pa))), 5) AS value FROM g LEFT JOIN m ON m.lo = g.lo JOIN s ON g.lo + 300 >= s.f AND g.lo + 300 < s.u GROUP BY g.lo""")
 def q_interpolated(spark, d):
-    return windows.interpolated_bins(events(spark, d).where("event_type = 'error'"), "t", "value", 0.0, 864000.0, 600.0).select("bin", r6("value").alias("value"))
+    return windows.interpolated_bins(events(spark, d).where("event_type = 'error'"), "t", "value", -600.0, 864000.0, 600.0).select("bin", r6("value", 5).alias("value"))
 
 
 CURVE = [(0.0, 10.0), (2000.0, 4.0), (5000.0, -3.0), (9000.0, -8.0)]
@@ -264,10 +260,8 @@ def q_compound(spark, d):
 @query("two_site_poles", f"WITH {SITES}, v AS (SELECT id, cos(radians(lat)) * cos(radians(lon)) AS x, cos(radians(lat)) * sin(radians(lon)) AS y, sin(radians(lat)) AS z, cos(radians(29.9792)) * cos(radians(31.1342)) AS gx, cos(radians(29.9792)) * sin(radians(31.1342)) AS gy, sin(radians(29.9792)) AS gz FROM sites WHERE id % 50 = 0), c AS (SELECT id, y * gz - z * gy AS nx, z * gx - x * gz AS ny, x * gy - y * gx AS nz FROM v) SELECT id, round(degrees(asin(abs(nz) / sqrt(nx * nx + ny * ny + nz * nz))), 6) AS pole_lat FROM c")
 def q_two_site(spark, d):
     """Poles of the circles through a fixed place and every site whose id is divisible by 50."""
-    s = [(r["id"], r["lat"], r["lon"]) for r in sites(spark, d).where(F.col("id") % 50 == 0).select("id", "lat", "lon").limit(poles.MAX_POLES + 1).collect()]
-    if len(s) > poles.MAX_POLES:
-        raise ValueError(f"more than {poles.MAX_POLES} sites for circles")
-    return spark.createDataFrame([(i, la) for i, la, _ in poles.circles_through(s, geo.GIZA)], "id long, pole_lat double").select("id", r6("pole_lat").alias("pole_lat"))
+    lat, _ = geo.pole_through("lat", "lon", *geo.GIZA)
+    return sites(spark, d).where(F.col("id") % 50 == 0).select("id", r6(lat).alias("pole_lat"))
 
 
 @query("contingency", f"WITH {SITES}, {_D}, t AS (SELECT count(*) FILTER (WHERE m AND n) AS a, count(*) FILTER (WHERE m AND NOT n) AS b, count(*) FILTER (WHERE NOT m AND n) AS c, count(*) FILTER (WHERE NOT m AND NOT n) AS d FROM (SELECT cls = 'monument' AS m, km <= 1000 AS n FROM d)) SELECT a, b, c, d, round(a * d / (b * c)::DOUBLE, 6) AS odds, round((a + b + c + d)::DOUBLE * (a * d - b * c) * (a * d - b * c) / ((a + b)::DOUBLE * (c + d) * (a + c) * (b + d)), 6) AS chi2 FROM t")
@@ -293,9 +287,7 @@ def q_cohens(spark, d):
 
 @query("global_moran", f"WITH {SITES}, m AS (SELECT avg(bal) AS m, var_pop(bal) AS v FROM sites), p AS (SELECT a.bal AS x, b.bal AS y, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a JOIN sites b ON a.id <> b.id AND abs(a.lat - b.lat) <= 1.8) SELECT round(sum((x - m) * (y - m) / km) / (sum(1 / km) * any_value(v)), 6) AS i FROM p, m WHERE km <= 200 AND km > 0")
 def q_global_moran(spark, d):
-    s = sites(spark, d)
-    pairs = joins.distance_pairs(s, s, "id", "id", 200.0).where("a <> b")
-    return stats.global_moran(pairs, s, "id", "bal").select(r6("i").alias("i"))
+    return stats.global_moran(sites(spark, d), "id", "bal", 200.0).select(r6("i").alias("i"))
 
 
 @query("null_rank", f"WITH {SITES}, {_POLES}, c AS (SELECT pole_id, count(*) FILTER (WHERE {_DOT} <= {band_sine(200.0)!r}) AS n FROM sites, poles GROUP BY pole_id), o AS (SELECT count(*) FILTER (WHERE {circle()} <= 200) AS obs FROM sites), g AS (SELECT count(*) FILTER (WHERE n >= obs) AS ge, count(*) AS n FROM c, o) SELECT ge + 1 AS rank, n AS trials, round((1 - (ge + 1) / (n + 1.0)) * 100, 6) AS percentile, round(sqrt((ge + 1) / (n + 1.0) * (1 - (ge + 1) / (n + 1.0)) / n), 6) AS se FROM g")
@@ -350,7 +342,7 @@ def q_lengths(spark, d):
     return lines.lengths(sites(spark, d).select("nation", "id", "lat", "lon"), "nation", "id").select("nation", r6("km", 3).alias("km"), "points", r6("rms_circle_km", 5).alias("rms_circle_km"))
 
 
-@query("straight_deviation", f"WITH {SITES}, e AS (SELECT nation, id, lat, lon, row_number() OVER (PARTITION BY nation ORDER BY id) - 1 AS k, count(*) OVER p - 1 AS n, arg_min(lat, id) OVER p AS a0, arg_max(lat, id) OVER p AS a1, arg_min(lon, id) OVER p AS o0, arg_max(lon, id) OVER p AS o1 FROM sites WINDOW p AS (PARTITION BY nation)), d AS (SELECT nation, {hav('lat', 'lon', 'a0 + (a1 - a0) * k / n::DOUBLE', 'o0 + (o1 - o0) * k / n::DOUBLE')} AS d FROM e) SELECT nation, round(sqrt(avg(d * d)), 5) AS rms_km FROM d GROUP BY nation")
+@query("straight_deviation", f"WITH {SITES}, e AS (SELECT nation, id, lat, lon, row_number() OVER (PARTITION BY nation ORDER BY id) AS k, count(*) OVER p AS n, arg_min(lat, id) OVER p AS a0, arg_max(lat, id) OVER p AS a1, arg_min(lon, id) OVER p AS o0, arg_max(lon, id) OVER p AS o1 FROM sites WINDOW p AS (PARTITION BY nation)), f AS (SELECT *, {hav('a0', 'o0', 'lat', 'lon')} AS ds, {hav('lat', 'lon', 'a1', 'o1')} AS de, {hav('a0', 'o0', 'a1', 'o1')} AS total FROM e), g AS (SELECT *, CASE WHEN total > 0 THEN ds / (ds + de) ELSE 0.5 END AS frac FROM f), d AS (SELECT nation, k, n, {hav('lat', 'lon', 'a0 + frac * (a1 - a0)', 'o0 + frac * (o1 - o0)')} AS d FROM g) SELECT nation, round(coalesce(sqrt(avg(d * d) FILTER (WHERE k > 1 AND k < n)), 0), 5) AS rms_km FROM d GROUP BY nation")
 def q_straight(spark, d):
     from arcspan.operators import lines
 
@@ -363,12 +355,24 @@ def q_pole_errors(spark, d):
     return e.select("pole_id", "cls", "n", *[r6(c, 5).alias(c) for c in ("mean_km", "rms_km", "max_km")])
 
 
-@query("position_index", "WITH grid AS (SELECT a.range AS row, b.range AS col, ((a.range * 37 + b.range * 91) % 1000) / 10.0 AS value FROM range(37) a, range(72) b) SELECT a.row::INT AS row, a.col::INT AS col, round(any_value(a.value) - avg(b.value), 6) AS tpi, round(any_value(a.value) - min(b.value), 6) AS prominence FROM grid a JOIN grid b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col")
+@query("position_index", "WITH grid AS (SELECT a.range AS row, b.range AS col, ((a.range * 37 + b.range * 91) % 1000) / 10.0 AS value FROM range(37) a, range(72) b) SELECT a.row::INT AS row, a.col::INT AS col, round(any_value(a.value) - avg(b.value), 6) AS tpi  FROM grid a JOIN grid b ON abs(a.row - b.row) <= 2 AND abs(a.col - b.col) <= 2 GROUP BY a.row, a.col")
 def q_position(spark, d):
     from arcspan.operators import raster
     from arcspan.plans.reference_stats import _grid
 
-    return raster.position_index(_grid(spark), 2).select("row", "col", r6("tpi").alias("tpi"), r6("prominence").alias("prominence"))
+    return raster.position_index(_grid(spark), 2).select("row", "col", r6("tpi").alias("tpi"))
+
+
+_ELEV = lambda la, lo: f"((((round_even((90.0 - ({la})) / 5.0, 0)::BIGINT) * 37 + ((round_even((({lo}) + 180.0) / 5.0, 0)::BIGINT) % 72) * 91) % 1000) / 10.0 - 30.0)"
+
+
+@query("prominence", f"WITH {SITES}, c AS (SELECT id, lat, lon, {_ELEV('lat', 'lon')} AS e FROM sites WHERE abs(lat) < 85), a AS (SELECT range * 2 * pi() / 64 AS ang FROM range(64)), f AS (SELECT unnest([0.33, 0.67, 1.0])::DOUBLE AS f), q AS (SELECT id, e, lat + 500.0 * f * sin(ang) * (1.0 / 111.0) AS la, lon + 500.0 * f * cos(ang) * (1.0 / (111.0 * greatest(cos(radians(lat)), 0.01))) AS lo FROM c, a, f), s AS (SELECT id, e, {_ELEV('la', '((lo + 180) % 360 + 360) % 360 - 180')} AS v FROM q WHERE la BETWEEN -90 AND 90) SELECT id, round(CASE WHEN any_value(e) > 0 THEN any_value(e) - avg(greatest(v, 0)) END, 6) AS prominence FROM s GROUP BY id HAVING count(*) >= 10")
+def q_prominence(spark, d):
+    from arcspan.operators import raster
+    from arcspan.plans.reference_stats import _grid
+
+    ground = _grid(spark).withColumn("value", F.col("value") - 30.0)
+    return raster.prominence(sites(spark, d).where(F.abs("lat") < 85), ground, 5.0, "id", 500.0).select("id", r6("prominence").alias("prominence"))
 
 
 @query("feature_auc")
@@ -407,7 +411,7 @@ def q_valley(spark, d):
     return y.groupBy(classify.period("y", classify.VALLEY_PERIODS).alias("period")).agg(F.count("*").alias("n"))
 
 
-@query("hollow_stages", "WITH k AS (SELECT CASE p_size % 5 WHEN 0 THEN 'natural_cave' WHEN 1 THEN 'modified_cave' WHEN 2 THEN 'rock_cut_monumental' WHEN 3 THEN 'artificial_complex' ELSE 'utilitarian' END AS t, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 60 * 1000 END AS bp FROM part) SELECT t AS subtype, CASE WHEN t = 'natural_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 1 END WHEN t = 'modified_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 2 END WHEN t = 'rock_cut_monumental' THEN CASE WHEN bp >= 3000 OR bp = 0 THEN 4 ELSE 5 END WHEN t = 'artificial_complex' THEN 6 END AS stage, count(*) AS n FROM k GROUP BY ALL")
+@query("hollow_stages", "WITH k AS (SELECT CASE p_size % 5 WHEN 0 THEN 'natural_cave' WHEN 1 THEN 'modified_cave' WHEN 2 THEN 'rock_cut_monumental' WHEN 3 THEN 'artificial_complex' ELSE 'utilitarian' END AS t, CASE WHEN p_partkey % 11 > 0 THEN p_partkey % 60 * 1000 END AS bp FROM part) SELECT t AS subtype, CASE WHEN t = 'natural_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 1 END WHEN t = 'modified_cave' THEN CASE WHEN bp >= 5000 AND bp < 10000 THEN 3 ELSE 2 END WHEN t = 'rock_cut_monumental' AND bp IS NULL THEN 5 WHEN t = 'rock_cut_monumental' AND bp < 3000 THEN 5 WHEN t = 'rock_cut_monumental' THEN 4 WHEN t = 'artificial_complex' THEN 6 END AS stage, count(*) AS n FROM k GROUP BY ALL")
 def q_stages(spark, d):
     kinds = F.array(*map(F.lit, ("natural_cave", "modified_cave", "rock_cut_monumental", "artificial_complex", "utilitarian")))
     k = table(spark, d, "part").select(F.element_at(kinds, (F.col("p_size") % 5 + 1).cast("int")).alias("subtype"), F.when(F.col("p_partkey") % 11 > 0, F.col("p_partkey") % 60 * 1000).alias("bp"))
@@ -523,9 +527,11 @@ def q_fit_random(spark, d):
     return f.select("trial", r6("pole_lat", 4).alias("pole_lat"), r6("pole_lon", 4).alias("pole_lon"), r6("rms_km", 3).alias("rms_km"), "n")
 
 
-@query("latitude_matched_poles", f"WITH {_POLES}, r AS (SELECT pole_id, 90 - abs(plat) AS top FROM poles) SELECT pole_id FROM r WHERE least(top, 30.318) / greatest(top, 30.318) >= 0.5")
+_TRY = lambda seed: nulls.uniform_sql(seed, "trial", "attempt")
+
+
+@query("latitude_matched_poles", f"WITH {SITES}, t AS (SELECT min(lat) AS low, max(lat) AS high FROM sites WHERE {circle()} <= 500 AND lat > 0), g AS (SELECT a.range AS trial, b.range AS attempt FROM range(200) a, range(51) b), p AS (SELECT trial, attempt, degrees(asin(2.0 * {_TRY(5)} - 1.0)) AS lat, 360.0 * {_TRY(6)} - 180.0 AS lon FROM g), o AS (SELECT trial, attempt, lat, lon, attempt = 50 OR least(90 - abs(lat), high) - greatest(abs(lat) - 90, low) >= 0.5 * (high - low) AND least(90 - abs(lat), high) > greatest(abs(lat) - 90, low) AS ok FROM p, t), k AS (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY attempt) AS rn FROM o WHERE ok) SELECT trial, attempt, round(lat, 6) AS lat, round(lon, 6) AS lon FROM k WHERE rn = 1")
 def q_latitude_matched(spark, d):
-    """Random circles whose range of latitudes overlaps that of the default circle by half at least; both are symmetric about the equator."""
-    drawn = nulls.random_poles(spark.range(200).select(F.col("id").alias("pole_id")), 5)
-    top = 90 - F.abs("lat")
-    return drawn.where(F.least(top, F.lit(30.318)) / F.greatest(top, F.lit(30.318)) >= 0.5).select("pole_id")
+    """Random circles whose range of latitudes overlaps that of the sites near the default circle north of the equator by half of theirs at least."""
+    low, high = sites(spark, d).where((circle_km("lat", "lon") <= 500) & (F.col("lat") > 0)).agg(F.min("lat"), F.max("lat")).first()
+    return nulls.latitude_matched_poles(spark, 200, low, high, 50, 5).select("trial", "attempt", r6("lat").alias("lat"), r6("lon").alias("lon"))

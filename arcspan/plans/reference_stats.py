@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arcspan.functions import classify, dates, geo
-from arcspan.functions.geo import circle_km
+from arcspan.functions.geo import circle_km, haversine_km
 from arcspan.operators import circular, dedup, fit, joins, raster, stats, windows
 from arcspan.plans.reference import _frame_sql, r6, sites, sites2
 from arcspan.plans.runtime import table
@@ -36,8 +36,8 @@ def q_anti(spark, d):
 @query("distance_self_density", f"WITH {SITES}, n AS (SELECT a.id, count(*) AS n FROM sites a JOIN sites b ON a.id <> b.id AND abs(a.lat - b.lat) <= 1.8 AND {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 200 GROUP BY a.id) SELECT id, coalesce(n, 0) AS neighbours FROM sites LEFT JOIN n USING (id)")
 def q_self_density(spark, d):
     s = sites(spark, d)
-    n = joins.distance_pairs(s, s, "id", "id", 200.0).where("a <> b").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    return s.join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("neighbours"))
+    n = joins.near_counts(s, s, "id", "id", [200.0], same=False)
+    return s.join(n, "id", "left").select("id", F.coalesce("n0", F.lit(0)).alias("neighbours"))
 
 
 @query("nearest_class", f"WITH {SITES}, p AS (SELECT a.id, b.id AS nearest, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM (SELECT * FROM sites WHERE cls = 'monument') a, (SELECT * FROM sites WHERE cls = 'settlement') b) SELECT id, round(min(km), 6) AS km FROM p GROUP BY id")
@@ -48,16 +48,13 @@ def q_nearest_class(spark, d):
 
 @query("two_radii_counts", f"WITH {SITES}, {SITES2}, p AS (SELECT b.id, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a, sites2 b) SELECT id, count(*) FILTER (WHERE km <= 150) AS near, count(*) AS wide FROM p WHERE km <= 500 GROUP BY id")
 def q_two_radii(spark, d):
-    p = joins.distance_pairs(sites2(spark, d), sites(spark, d), "id", "id", 500.0)
-    return p.groupBy(F.col("a").alias("id")).agg(F.count_if(F.col("km") <= 150).alias("near"), F.count("*").alias("wide"))
+    return joins.near_counts(sites2(spark, d), sites(spark, d), "id", "id", [150.0, 500.0]).where("n1 > 0").select("id", F.col("n0").alias("near"), F.col("n1").alias("wide"))
 
 
-@query("pair_band_share", f"WITH {SITES}, p AS (SELECT a.type = b.type AS same, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a JOIN sites b ON a.id < b.id AND abs(a.lat - b.lat) <= 2.7) SELECT CAST(floor(km / 100) AS BIGINT) AS band, count(*) AS pairs, round(avg(same::INT), 6) AS share FROM p WHERE km <= 300 AND km < 300 GROUP BY 1")
+@query("pair_band_share", f"WITH {SITES}, p AS (SELECT a.type = b.type AS same, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a JOIN sites b ON a.id < b.id AND abs(a.lat - b.lat) <= 2.7) SELECT CAST(floor(km / 100) AS BIGINT) AS band, count(*) AS pairs, round(avg(same::INT), 6) AS share FROM p WHERE km <= 300 GROUP BY 1")
 def q_pair_band(spark, d):
-    s = sites(spark, d)
-    t = s.select("id", "type")
-    p = joins.distance_pairs(s, s, "id", "id", 300.0).where("a < b and km < 300").join(t.select(F.col("id").alias("a"), F.col("type").alias("ta")), "a").join(t.select(F.col("id").alias("b"), F.col("type").alias("tb")), "b")
-    return p.groupBy(F.floor(F.col("km") / 100).alias("band")).agg(F.count("*").alias("pairs"), r6(F.avg((F.col("ta") == F.col("tb")).cast("int"))).alias("share"))
+    b = joins.pair_bands(sites(spark, d), "id", [0.0, 100.0, 200.0, 300.0], "type")
+    return b.select("band", "pairs", r6(F.col("same") / F.col("pairs")).alias("share"))
 
 
 _SPANS = "spans AS (SELECT o_custkey AS id, min(year(o_orderdate)) AS low, max(year(o_orderdate)) AS high FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"
@@ -179,21 +176,21 @@ def q_value_counts(spark, d):
 _RADII = [50.0, 100.0, 200.0, 300.0]
 
 
-@query("ripley_k", f"WITH {SITES}, n AS (SELECT count(*)::DOUBLE AS n FROM sites), p AS (SELECT {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a JOIN sites b ON a.id < b.id AND abs(a.lat - b.lat) <= 2.7), t AS (SELECT unnest({_RADII})::DOUBLE AS radius), c AS (SELECT radius, count(*) FILTER (WHERE km <= radius) AS pairs FROM p, t GROUP BY radius) SELECT radius, pairs, round(510064472.0 * 2 * pairs / (n * n), 4) AS k FROM c, n")
+@query("ripley_k", f"WITH {SITES}, n AS (SELECT count(*)::DOUBLE AS n FROM sites), p AS (SELECT {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km FROM sites a JOIN sites b ON a.id < b.id AND abs(a.lat - b.lat) <= 2.7), t AS (SELECT unnest({_RADII})::DOUBLE AS radius), c AS (SELECT radius, count(*) FILTER (WHERE km <= radius) AS pairs FROM p, t GROUP BY radius) SELECT radius, pairs, round(510064472.0 / (n * (n - 1)) * (2 * pairs), 4) AS k FROM c, n")
 def q_ripley(spark, d):
     s = sites(spark, d)
     n = s.count()
-    pairs = joins.distance_pairs(s, s, "id", "id", max(_RADII)).where("a < b")
-    return stats.ripley(pairs, _RADII, n, 510064472.0).select("radius", "pairs", r6("k", 4).alias("k"))
+    return stats.ripley(joins.pair_bands(s, "id", [0.0, *_RADII]), _RADII, n, 510064472.0).select("radius", "pairs", r6("k", 4).alias("k"))
+
 
+_ALONG = f"radians(((({bearing('59.682122', '-138.646087', 'lat', 'lon')} + 180) % 360) - 180)) * 6371.0"
 
-@query("directional_k", f"WITH {SITES}, p AS (SELECT {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS km, {bearing('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS br FROM sites a JOIN sites b ON a.id < b.id AND abs(a.lat - b.lat) <= 2.7), q AS (SELECT CASE WHEN abs(((br + 180) % 360) - 180) < 45 OR abs(((br + 180) % 360) - 180) > 135 THEN 'along' ELSE 'across' END AS axis FROM p WHERE km <= 300) SELECT axis, count(*) AS pairs FROM q GROUP BY axis")
+
+@query("directional_k", f"WITH {SITES}, s AS (SELECT id, {_ALONG} AS along, {hav('lat', 'lon', '59.682122', '-138.646087')} AS perp FROM sites), n AS (SELECT count(*)::DOUBLE AS n FROM s), p AS (SELECT abs(a.along - b.along) AS x, abs(a.perp - b.perp) AS y FROM s a JOIN s b ON a.id < b.id AND abs(a.perp - b.perp) <= 300), t AS (SELECT unnest({_RADII})::DOUBLE AS radius), c AS (SELECT radius, count(*) FILTER (WHERE x > y) AS par, count(*) FILTER (WHERE x <= y) AS perp FROM p, t WHERE sqrt(x * x + y * y) <= radius GROUP BY radius) SELECT radius, par AS pairs_parallel, perp AS pairs_across, round(510064472.0 / (n * (n - 1)) * 2 * par, 4) AS k_parallel, round(510064472.0 / (n * (n - 1)) * 2 * perp, 4) AS k_across FROM c, n")
 def q_directional(spark, d):
-    s = sites(spark, d)
-    at = s.select("id", "lat", "lon")
-    p = joins.distance_pairs(s, s, "id", "id", 300.0).where("a < b").join(at.select(F.col("id").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo")), "a").join(at.select(F.col("id").alias("b"), F.col("lat").alias("lb"), F.col("lon").alias("ob")), "b")
-    turn = geo.angle_between(geo.bearing("la", "lo", "lb", "ob"), 0.0)
-    return p.groupBy(F.when((turn < 45) | (turn > 135), "along").otherwise("across").alias("axis")).agg(F.count("*").alias("pairs"))
+    s = sites(spark, d).select("id", geo.along_pole_km("lat", "lon").alias("along"), haversine_km("lat", "lon", *geo.DEFAULT_POLE).alias("perp"))
+    k = stats.directional_k(s, "id", "along", "perp", _RADII, s.count(), 510064472.0)
+    return k.select("radius", "pairs_parallel", "pairs_across", r6("k_parallel", 4).alias("k_parallel"), r6("k_across", 4).alias("k_across"))
 
 
 @query("moran_1d", f"WITH {SITES}, b AS (SELECT type, CAST(floor({_frame_sql()[0]} / 10) AS BIGINT) AS seg, count(*)::DOUBLE AS n FROM sites GROUP BY ALL), d AS (SELECT type, seg, n - avg(n) OVER (PARTITION BY type) AS d FROM b), l AS (SELECT type, d, lead(d) OVER (PARTITION BY type ORDER BY seg) AS e FROM d) SELECT type, count(*) AS n, round(count(*) * sum(d * e) / ((count(*) - 1) * sum(d * d)), 6) AS i FROM l GROUP BY type")
@@ -287,9 +284,9 @@ def q_keyword(spark, d):
     return table(spark, d, "part").groupBy(classify.keyword_class("p_name", CASCADE).alias("cls")).agg(F.count("*").alias("n"))
 
 
-@query("publication_year", "WITH p AS (SELECT coalesce(list_extract(regexp_extract_all(Reference, '\\((1[89]\\d\\d|20\\d\\d)\\)', 1), -1), nullif(regexp_extract(Reference, '\\b(1[89]\\d\\d|20\\d\\d)\\b', 1), '')) AS y FROM p3k14c_data) SELECT CAST(y AS INT) AS year, count(*) AS n FROM p GROUP BY 1")
+@query("publication_year", "WITH t AS (SELECT coalesce(Reference, '') AS r, coalesce(Source, '') AS s FROM p3k14c_data), p AS (SELECT coalesce(list_extract(regexp_extract_all(r, '\\((\\d{4})\\)', 1), -1), nullif(regexp_extract(r, '(?:^|[.\\s:])(\\d{4})(?:[.\\s,;:\\-]|$)', 1), ''), list_extract(regexp_extract_all(s, '\\d{4}'), -1)) AS y FROM t) SELECT CAST(y AS INT) AS year, count(*) AS n FROM p GROUP BY 1")
 def q_pub_year(spark, d):
-    return table(spark, d, "p3k14c_data").groupBy(dates.publication_year("Reference").alias("year")).agg(F.count("*").alias("n"))
+    return table(spark, d, "p3k14c_data").groupBy(dates.publication_year("Reference", "Source").alias("year")).agg(F.count("*").alias("n"))
 
 
 @query("date_parse", "WITH t AS (SELECT minDate AS m FROM pleiades_places_latest), p AS (SELECT m, regexp_extract(m, '^(\\d+)(?:st|nd|rd|th)\\s+c\\s+(BCE|CE)', ['n', 'e']) AS c, regexp_extract(m, '^(\\d+)\\s*(BCE|CE)', ['n', 'e']) AS s, regexp_extract(m, '^(\\d+)\\s*(BCE|CE)?[-–](\\d+)\\s*(BCE|CE)?', ['a', 'e', 'b', 'f']) AS r FROM t), y AS (SELECT CASE WHEN c.n <> '' THEN ((TRY_CAST(c.n AS BIGINT) - 1) * 100 + 50) * CASE WHEN c.e = 'BCE' THEN -1 ELSE 1 END WHEN s.n <> '' THEN TRY_CAST(s.n AS BIGINT) * CASE WHEN s.e = 'BCE' THEN -1 ELSE 1 END WHEN r.b <> '' THEN floor((TRY_CAST(r.a AS BIGINT) * CASE WHEN r.e = 'BCE' OR r.e = '' AND r.f <> '' THEN -1 ELSE 1 END + TRY_CAST(r.b AS BIGINT) * CASE WHEN r.f = 'BCE' THEN -1 ELSE 1 END) / 2)::BIGINT END AS y FROM p) SELECT y AS year, count(*) AS n FROM y GROUP BY y")

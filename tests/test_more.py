@@ -78,7 +78,7 @@ def test_dates_and_classes(spark):
 def test_interpolated_and_curve(spark):
     df = spark.createDataFrame([(0.5, 2.0), (3.5, 8.0), (None, 1.0), (9.0, 7.0)], "t double, v double")
     got = [r["value"] for r in windows.interpolated_bins(df, "t", "v", -1.0, 5.0, 1.0).orderBy("bin").collect()]
-    assert got == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0]
+    assert got == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
     c = windows.on_curve(df, "t", [(0.0, 0.0), (1.0, 10.0)], "y").orderBy("t").collect()
     assert [r["y"] for r in c] == [None, 5.0, 10.0, 10.0]
 

@@ -18,18 +18,55 @@ def points(spark, n, seed, extra=""):
 def test_rank_within(spark):
     rows = [(k, v, i) for i, (k, v) in enumerate([("a", 1), ("a", 1), ("a", 2), (None, 5), (None, None), ("b", 3)] * 5)]
     df = spark.createDataFrame(rows, "k string, v int, id long")
-    got = rank_within(df, ["k"], ["v"], ["id"], bucket_rows=2).toPandas()
+    got = rank_within(df, ["k"], ["v"], ["id"]).toPandas()
     for k, part in got.groupby("k", dropna=False):
         assert sorted(part["rank"]) == list(range(len(part)))
         assert part.sort_values("rank")["v"].fillna(-1).is_monotonic_increasing
     assert rank_within(df.limit(0), ["k"], ["v"], ["id"]).count() == 0
 
 
+def test_rank_of_values_that_are_all_different(spark):
+    """One key, an order without ties: the ranks are right and no task holds all rows of the key."""
+    df = spark.range(20_000).select(F.lit(1).alias("k"), F.pmod(F.col("id") * 7919, F.lit(20_011)).alias("v"), "id")
+    ranked = rank_within(df, ["k"], ["v"], ["id"])
+    got = ranked.toPandas().sort_values("v")
+    assert got["rank"].tolist() == list(range(20_000))
+    assert ranked.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0] < 15_000
+
+
+def test_counts_near_against_loop(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(o), float(v), "xy"[i % 2]) for i, (a, o, v) in enumerate(zip(rng.normal(10, 2, 300), rng.normal(179, 3, 300), rng.normal(0, 1, 300)))] + [(1000, None, 3.0, 1.0, "x"), (None, 10.0, 179.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double, v double, c string")
+    km = lambda p, q: float(haversine_np(p[1], p[2], q[1], q[2]))
+    good = [r for r in rows if r[1] is not None]
+    got = {r["id"]: (r["n0"], r["n1"]) for r in joins.near_counts(df, df, "id", "id", [50.0, 200.0], same=False).collect()}
+    for p in good:
+        far = [km(p, q) for q in good if q[0] is not None and q[0] != p[0]]
+        want = (sum(x <= 50 for x in far), sum(x <= 200 for x in far))
+        assert got.get(p[0], (0, 0)) == want
+    pairs = [(km(p, q), p[4] == q[4]) for k, p in enumerate(good[:300]) for q in good[k + 1 : 300]]
+    bands = {r["band"]: (r["pairs"], r["same"]) for r in joins.pair_bands(df, "id", [0.0, 50.0, 200.0], "c").collect()}
+    assert bands == {0: (sum(x < 50 for x, _ in pairs), sum(x < 50 and y for x, y in pairs)), 1: (sum(50 <= x <= 200 for x, _ in pairs), sum(50 <= x <= 200 and y for x, y in pairs))}
+    few = df.where("id < 20")
+    near = {r["id"]: r["near"] for r in joins.with_near(df, few, "id", "id", 100.0).collect()}
+    assert near == {p[0]: min(q[0] for q in good[:20] if km(p, q) <= 100) for p in good if any(km(p, q) <= 100 for q in good[:20])}
+    assert joins.without_near(df, few, "id", "id", 0.0, strict=True).count() == len(rows) and joins.without_near(df.where("id < 20"), few, "id", "id", 0.0).count() == 0
+    assert joins.near_counts(df.limit(0), df, "id", "id", [5.0]).count() == joins.with_near(df, df.limit(0), "id", "id", 5.0).count() == 0
+
+
+def test_prefixes(spark):
+    left = spark.createDataFrame([(1, "Tomb 5"), (2, "Tom"), (3, None), (4, ""), (5, "x" * 3000 + "y")], "id long, name string")
+    bases = spark.createDataFrame([("Tomb",), ("Tom",), ("T",), (None,), ("",), ("x" * 3000,), ("Tomb",)], "base string")
+    got = sorted((r["id"], len(r["base"])) for r in joins.prefix_matches(left, bases, "name", "base").collect())
+    assert got == [(1, 1), (1, 3), (1, 4), (2, 1), (2, 3), (5, 3000)]
+
+
 def test_nearest_is_exact(spark):
     a, b = points(spark, 120, 1), points(spark, 25, 2)
     pa, pb = a.toPandas(), b.toPandas()
     d = haversine_np(pa["lat"].to_numpy()[:, None], pa["lon"].to_numpy()[:, None], pb["lat"].to_numpy(), pb["lon"].to_numpy())
-    got = joins.nearest(a, b, "id", "id", 100.0).toPandas().sort_values("id")
+    got = joins.nearest(a, b, "id", "id").toPandas().sort_values("id")
     assert np.allclose(got["km"], d.min(1)) and (got["nearest"].to_numpy() == d.argmin(1)).all()
     assert joins.nearest(a, b.limit(0), "id", "id").count() == 0
     assert joins.without_near(a, b, "id", "id", 1500.0).count() == int((d.min(1) > 1500.0).sum())
@@ -152,7 +189,7 @@ def test_ordered_fold_against_loop(spark, seed, span, ages):
     got = {tuple(r)[1:] for r in dedup.ordered_fold(df, "lat", "lon", "age").collect()}
     last, kept = None, []
     for _, a, o, t in sorted([r for r in rows if r[1] is not None], key=lambda r: (round(r[1], 2), round(r[2], 2), r[3], r[1], r[2])):
-        if last is None or not (abs(a - last[0]) <= 0.01 and abs(o - last[1]) <= 0.01 and abs(t - last[2]) <= 200):
+        if last is None or not (abs(a - last[0]) < 0.01 and abs(o - last[1]) < 0.01 and abs(t - last[2]) < 200):
             last = (a, o, t)
             kept.append(last)
     assert got == set(kept) and len(got) == len(kept)
