@@ -57,7 +57,7 @@ def trials_of(df: DataFrame, trials: int) -> DataFrame:
 
 def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     """Row numbers from 0 by the order columns, without a single-partition sort."""
-    return rank_within(df.withColumn("__all", F.lit(0)), ["__all"], [], order, name).drop("__all")
+    return rank_within(df.withColumn("__all", F.lit(0)), ["__all"], order, order, name).drop("__all")
 
 
 def matched_points(sites: DataFrame, trials: int, rows: int, joint: bool = True, clamp: bool = True, jitter: float = JITTER_DEG, seed: int = 42) -> DataFrame:
@@ -117,3 +117,56 @@ def latitude_matched_poles(spark, trials: int, low: float, high: float, attempts
     shared = F.least(top, F.lit(high)) - F.greatest(-top, F.lit(low))
     good = poles.where((F.col("attempt") == attempts) | (shared > 0) & (shared >= 0.5 * (high - low)))
     return good.groupBy("trial").agg(F.min_by(F.struct("attempt", "lat", "lon"), "attempt").alias("x")).select("trial", "x.*")
+
+
+def class_nulls(sites: DataFrame, trials: int, seed: int = 42) -> DataFrame:
+    """cls, trial, row, lat and lon: the joint distribution-matched null of each class by itself.
+
+    sites: cls, id, lat, lon. Each class draws from its own rows, as many as it has.
+    """
+    numbered_ = rank_within(sites.select("cls", "id", "lat", "lon"), ["cls"], ["id"], ["id"], "row")
+    sizes = numbered_.groupBy("cls").agg(F.count("*").alias("__n"))
+    slots = trials_of(numbered_.select("cls", "row"), trials).join(F.broadcast(sizes), "cls")
+    drawn = slots.withColumn("i", F.pmod(draw_int(seed, F.col("trial"), F.col("row")), F.col("__n"))).join(numbered_.select("cls", F.col("row").alias("i"), "lat", "lon"), ["cls", "i"])
+    jitter = lambda c, k, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.col(c) + JITTER_DEG * normal(seed + k, F.col("trial"), F.col("row"))))
+    return drawn.select("cls", "trial", "row", jitter("lat", 2, 90.0).alias("lat"), jitter("lon", 4, 180.0).alias("lon"))
+
+
+def poles_near(sites: DataFrame, rows: int, poles: int, seed: int = 42, spread: float = 10.0) -> DataFrame:
+    """pole_id, lat and lon: poles drawn around sites (row, lat, lon), latitude and longitude each from its own, by Gaussian jitter."""
+    p = sites.sparkSession.range(poles).select(F.col("id").alias("pole_id"))
+    pick = lambda k: F.pmod(draw_int(seed + k, F.col("pole_id"), F.lit(0)), F.lit(rows))
+    p = p.withColumns({"i": pick(0), "j": pick(1)})
+    p = p.join(sites.select(F.col("row").alias("i"), F.col("lat").alias("la")), "i").join(sites.select(F.col("row").alias("j"), F.col("lon").alias("lo")), "j")
+    lat = F.col("la") + spread * normal(seed + 2, F.col("pole_id"), F.lit(0))
+    lon = F.col("lo") + spread * normal(seed + 4, F.col("pole_id"), F.lit(0))
+    return p.select("pole_id", F.greatest(F.lit(-90.0), F.least(F.lit(90.0), lat)).alias("lat"), (F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).alias("lon"))
+
+
+def gaussian_cloud(spark, trials: int, rows: int, centre: tuple[float, float], spread: tuple[float, float], seed: int = 42) -> DataFrame:
+    """trial, row, lat and lon of points around a centre, held at the ranges of coordinates."""
+    t = trials_of(spark.range(rows).select(F.col("id").alias("row")), trials)
+    at = lambda c, s, k, most: F.greatest(F.lit(-most), F.least(F.lit(most), F.lit(c) + s * normal(seed + k, F.col("trial"), F.col("row"))))
+    return t.select("trial", "row", at(centre[0], spread[0], 0, 90.0).alias("lat"), at(centre[1], spread[1], 2, 180.0).alias("lon"))
+
+
+def toroidal_shift(sites: DataFrame, trials: int, seed: int = 42) -> DataFrame:
+    """trial, lat and lon: all sites moved together by a random shift in both coordinates, which wrap at their ranges."""
+    u = lambda k: uniform(seed + k, F.col("trial"), F.lit(0))
+    return trials_of(sites.select("lat", "lon"), trials).select("trial", (F.pmod(F.col("lat") + 90.0 + 180.0 * u(0), F.lit(180.0)) - 90.0).alias("lat"), (F.pmod(F.col("lon") + 180.0 + 360.0 * u(1), F.lit(360.0)) - 180.0).alias("lon"))
+
+
+def smoothed_points(sites: DataFrame, trials: int, rows: int, factor: float = 1.0, seed: int = 42) -> DataFrame:
+    """trial, lat and lon drawn from a Gaussian kernel density of the sites (row, lat, lon), its bandwidth Scott's times a factor."""
+    sd = sites.agg(F.stddev_samp("lat").alias("a"), F.stddev_samp("lon").alias("o")).first()
+    wide = factor * rows ** (-1.0 / 6.0)
+    slots = trials_of(sites.select("row"), trials).withColumn("i", F.pmod(draw_int(seed, F.col("trial"), F.col("row")), F.lit(rows)))
+    drawn = slots.join(sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
+    at = lambda c, s, k: F.col(c) + wide * (s or 0.0) * normal(seed + k, F.col("trial"), F.col("row"))
+    return drawn.select("trial", at("lat", sd["a"], 2).alias("lat"), at("lon", sd["o"], 4).alias("lon"))
+
+
+def block_bootstrap(counts: DataFrame, trials: int, cells: int, seed: int = 42) -> DataFrame:
+    """trial, n and near of as many cells (row, n, near) drawn with replacement as there are."""
+    slots = trials_of(counts.select(F.col("row").alias("slot")), trials).withColumn("row", F.pmod(draw_int(seed, F.col("trial"), F.col("slot")), F.lit(cells)))
+    return slots.join(counts, "row").groupBy("trial").agg(F.sum("n").alias("n"), F.sum("near").alias("near"))

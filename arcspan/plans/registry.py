@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from arcspan.plans import reference, reference_more, reference_stats, training
+from arcspan.plans import reference, reference_mc, reference_more, reference_stats, training
 
-_MODULES = (reference, reference_stats, reference_more, training)
+_MODULES = (reference, reference_stats, reference_more, reference_mc, training)
 
 
 def queries() -> dict:
