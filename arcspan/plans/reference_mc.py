@@ -178,7 +178,7 @@ def q_blocks(spark, d):
 _MATRIX = f"m AS (SELECT floor({_frame_sql()[0]} / 30)::BIGINT AS seg, floor(bal / 1000)::BIGINT AS bin, count(*)::DOUBLE AS v FROM sites GROUP BY ALL)"
 
 
-@query("time_shuffle_null", f"WITH {SITES}, {_MATRIX}, t AS (SELECT t.range AS trial, seg, bin, v, row_number() OVER (PARTITION BY t.range, seg ORDER BY bin) AS k, row_number() OVER (PARTITION BY t.range, seg ORDER BY {nulls.draw_int_sql(47, 't.range', 'seg * 1000 + bin + 100')}, bin) AS h FROM m, range({FAST}) t), p AS (SELECT a.trial, a.seg, a.bin, b.v FROM t a JOIN t b ON b.trial = a.trial AND b.seg = a.seg AND b.h = a.k) SELECT x.trial, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON y.trial = x.trial AND y.seg = x.seg + 1 AND y.bin = x.bin GROUP BY x.trial")
+@query("time_shuffle_null", f"WITH {SITES}, {_MATRIX}, t AS (SELECT t.range AS trial, seg, bin, v, row_number() OVER (PARTITION BY t.range, seg ORDER BY bin) AS k, row_number() OVER (PARTITION BY t.range, seg ORDER BY {nulls.draw_int_sql(47, 't.range', '(seg * 1000 + bin + 100)')}, bin) AS h FROM m, range({FAST}) t), p AS (SELECT a.trial, a.seg, a.bin, b.v FROM t a JOIN t b ON b.trial = a.trial AND b.seg = a.seg AND b.h = a.k) SELECT x.trial, round(corr(x.v, y.v), 6) AS r FROM p x JOIN p y ON y.trial = x.trial AND y.seg = x.seg + 1 AND y.bin = x.bin GROUP BY x.trial")
 def q_time_shuffle(spark, d):
     """Correlation of neighbouring arcs when the times of each arc are shuffled within it; the matrix is a stated number of arcs and bins."""
     m = sites(spark, d).groupBy(F.floor(geo.arc_position("lat", "lon") / 30).alias("seg"), F.floor(F.col("bal") / 1000).alias("bin")).agg(F.count("*").cast("double").alias("v"))
