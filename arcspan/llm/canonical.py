@@ -124,6 +124,7 @@ class Dictionary:
 
     def __init__(self, phrases: dict[str, tuple[int, bool]], prior: dict[int, float]):
         self.phrases, self.prior = phrases, prior
+        self.known: dict[tuple[str, str, str], tuple[float, int] | None] = {}
         self.index: dict[str, list[str]] = defaultdict(list)
         loose = [key for key, (_, misspelt) in phrases.items() if misspelt]
         self.longest = max(map(len, phrases), default=0)
@@ -146,6 +147,13 @@ class Dictionary:
 
         Words that are known to stand around names are not misspelt: start and end must be the phrase's own.
         """
+        if (s, start, end) not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[s, start, end] = self._near(s, start, end)
+        return self.known[s, start, end]
+
+    def _near(self, s: str, start: str, end: str) -> tuple[float, int] | None:
         d = allowed(len(s) + 1)
         best = None
         if len(s) > self.longest + d:
@@ -317,6 +325,6 @@ def map_values(df: DataFrame, key: str, fields: list[str], reference: DataFrame,
 
         # values cost much more than their bytes tell, so they are spread over all cores whatever their size
         spread = max(df.sparkSession.sparkContext.defaultParallelism, 1) * 2
-        mapped = values.repartition(spread, "f", "v").mapInPandas(run, "f string, v string, ref_id int")
+        mapped = values.repartition(spread, F.xxhash64("f", "v")).mapInPandas(run, "f string, v string, ref_id int")
     cases = long.join(mapped, ["f", "v"])
     return cases.select(F.col("k").alias(key), F.col("f").alias("field_name"), F.col("v").alias("value"), "ref_id")
