@@ -270,7 +270,7 @@ def q_contingency(spark, d):
     return t.select("a", "b", "c", "d", r6("odds").alias("odds"), r6("chi2").alias("chi2"))
 
 
-@query("fisher_exact")
+@query("fisher_exact", f"WITH {SITES}, {_D}, t AS (SELECT count(*) FILTER (WHERE m AND n) AS a, count(*) FILTER (WHERE m AND NOT n) AS b, count(*) FILTER (WHERE NOT m AND n) AS c, count(*) FILTER (WHERE NOT m AND NOT n) AS d FROM (SELECT cls = 'monument' AS m, km <= 1000 AS n FROM d)), x AS (SELECT unnest(range(a, least(a + b, a + c) + 1)) AS x, * FROM t) SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, any_value(d) AS d, round(least(1.0, sum(exp(lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - CASE WHEN x > 0 THEN lgamma(x + 1) ELSE 0 END - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1)))), 6) AS p FROM x")
 def q_fisher(spark, d):
     return stats.two_by_two(sites(spark, d), F.col("cls") == "monument", circle_km("lat", "lon") <= 1000).select("a", "b", "c", "d", r6("p").alias("p"))
 

@@ -325,12 +325,15 @@ def _grid(spark):
     return spark.range(37 * 72).select(F.floor(F.col("id") / 72).cast("int").alias("row"), F.pmod("id", F.lit(72)).cast("int").alias("col")).withColumn("value", F.pmod(F.col("row") * 37 + F.col("col") * 91, F.lit(1000)) / 10.0)
 
 
-@query("bilinear_sample", f"WITH {SITES}, {_RASTER}, p AS (SELECT id, (90.0 - lat) / 5.0 AS y, (lon + 180.0) / 5.0 AS x, least(floor((90.0 - lat) / 5.0), 35) AS t FROM sites), f AS (SELECT id, t, floor(x) AS l, y - t AS fy, x - floor(x) AS fx FROM p) SELECT f.id, round((1 - fy) * ((1 - fx) * a.value + fx * b.value) + fy * ((1 - fx) * c.value + fx * e.value), 6) AS value FROM f JOIN grid a ON a.row = t AND a.col = l % 72 JOIN grid b ON b.row = t AND b.col = (l + 1) % 72 JOIN grid c ON c.row = t + 1 AND c.col = l % 72 JOIN grid e ON e.row = t + 1 AND e.col = (l + 1) % 72")
+_CELL = lambda r, c: f"((({r})::BIGINT * 37 + ({c})::BIGINT * 91) % 1000) / 10.0"
+
+
+@query("bilinear_sample", f"WITH {SITES}, p AS (SELECT id, (90.0 - lat) / 5.0 AS y, (lon + 180.0) / 5.0 AS x, least(floor((90.0 - lat) / 5.0), 35) AS t FROM sites), f AS (SELECT id, t, floor(x)::BIGINT % 72 AS l, (floor(x)::BIGINT + 1) % 72 AS r, y - t AS fy, x - floor(x) AS fx FROM p) SELECT id, round((1 - fy) * ((1 - fx) * {_CELL('t', 'l')} + fx * {_CELL('t', 'r')}) + fy * ((1 - fx) * {_CELL('t + 1', 'l')} + fx * {_CELL('t + 1', 'r')}), 6) AS value FROM f")
 def q_bilinear(spark, d):
     return raster.bilinear(sites(spark, d), _grid(spark), 5.0, "id").select("id", r6("value").alias("value"))
 
 
-@query("raster_gradient", f"WITH {_RASTER}, g AS (SELECT a.row, a.col, (ne.value + 2 * e.value + se.value) - (nw.value + 2 * w.value + sw.value) AS gx, (sw.value + 2 * s.value + se.value) - (nw.value + 2 * n.value + ne.value) AS gy FROM grid a JOIN grid nw ON nw.row = a.row - 1 AND nw.col = a.col - 1 JOIN grid n ON n.row = a.row - 1 AND n.col = a.col JOIN grid ne ON ne.row = a.row - 1 AND ne.col = a.col + 1 JOIN grid w ON w.row = a.row AND w.col = a.col - 1 JOIN grid e ON e.row = a.row AND e.col = a.col + 1 JOIN grid sw ON sw.row = a.row + 1 AND sw.col = a.col - 1 JOIN grid s ON s.row = a.row + 1 AND s.col = a.col JOIN grid se ON se.row = a.row + 1 AND se.col = a.col + 1) SELECT row::INT AS row, col::INT AS col, round(sqrt(gx * gx + gy * gy), 6) AS slope FROM g")
+@query("raster_gradient", f"WITH {_RASTER}, v AS (SELECT *, lag(value) OVER c + 2 * value + lead(value) OVER c AS smooth, lead(value) OVER c - lag(value) OVER c AS diff FROM grid WINDOW c AS (PARTITION BY col ORDER BY row)), h AS (SELECT row, col, lead(smooth) OVER r - lag(smooth) OVER r AS gx, lag(diff) OVER r + 2 * diff + lead(diff) OVER r AS gy FROM v WINDOW r AS (PARTITION BY row ORDER BY col)) SELECT row::INT AS row, col::INT AS col, round(sqrt(gx * gx + gy * gy), 6) AS slope FROM h WHERE gx IS NOT NULL AND gy IS NOT NULL")
 def q_gradient(spark, d):
     return raster.gradient(_grid(spark)).select("row", "col", r6("slope").alias("slope"))
 
