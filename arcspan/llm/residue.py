@@ -315,5 +315,6 @@ def residue(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", so
     come out once; texts are read whole; an empty table gives no rows; other columns are not read.
     """
     found = candidates(documents, doc_id, text, source).persist(StorageLevel.MEMORY_AND_DISK)
+    found.count()  # else the branches of the plan, which start together, would each cut all texts
     bad = messages(found, min_docs, min_sources).select("h", "kind")
     return found.select("doc", "h").join(bad, "h").groupBy(F.col("doc").alias(doc_id)).agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
