@@ -186,7 +186,7 @@ def q_ripley(spark, d):
 _ALONG = f"radians(((({bearing('59.682122', '-138.646087', 'lat', 'lon')} + 180) % 360) - 180)) * 6371.0"
 
 
-@query("directional_k", f"WITH {SITES}, s AS (SELECT id, {_ALONG} AS along, {hav('lat', 'lon', '59.682122', '-138.646087')} AS perp FROM sites), n AS (SELECT count(*)::DOUBLE AS n FROM s), p AS (SELECT abs(a.along - b.along) AS x, abs(a.perp - b.perp) AS y FROM s a JOIN s b ON a.id < b.id AND abs(a.perp - b.perp) <= 300), t AS (SELECT unnest({_RADII})::DOUBLE AS radius), c AS (SELECT radius, count(*) FILTER (WHERE x > y) AS par, count(*) FILTER (WHERE x <= y) AS perp FROM p, t WHERE sqrt(x * x + y * y) <= radius GROUP BY radius) SELECT radius, par AS pairs_parallel, perp AS pairs_across, round(510064472.0 / (n * (n - 1)) * 2 * par, 4) AS k_parallel, round(510064472.0 / (n * (n - 1)) * 2 * perp, 4) AS k_across FROM c, n")
+@query("directional_k", f"WITH {SITES}, s AS (SELECT id, {_ALONG} AS along, {hav('lat', 'lon', '59.682122', '-138.646087')} AS perp FROM sites), n AS (SELECT count(*)::DOUBLE AS n FROM s), p AS (SELECT abs(a.along - b.along) AS x, abs(a.perp - b.perp) AS y FROM s a JOIN s b ON a.id < b.id AND abs(a.perp - b.perp) <= 300), t AS (SELECT unnest({_RADII})::DOUBLE AS radius), c AS (SELECT radius, count(*) FILTER (WHERE x > y AND sqrt(x * x + y * y) <= radius) AS par, count(*) FILTER (WHERE x <= y AND sqrt(x * x + y * y) <= radius) AS perp FROM p, t GROUP BY radius) SELECT radius, par AS pairs_parallel, perp AS pairs_across, round(510064472.0 / (n * (n - 1)) * 2 * par, 4) AS k_parallel, round(510064472.0 / (n * (n - 1)) * 2 * perp, 4) AS k_across FROM c, n")
 def q_directional(spark, d):
     s = sites(spark, d).select("id", geo.along_pole_km("lat", "lon").alias("along"), haversine_km("lat", "lon", *geo.DEFAULT_POLE).alias("perp"))
     k = stats.directional_k(s, "id", "along", "perp", _RADII, s.count(), 510064472.0)

@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -29,7 +30,7 @@ def same(name, spark, small):
     assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b)
 
     def plain(v):
-        return None if v is None or v != v else round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return None if pd.isna(v) else round(float(v), 4) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
     rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df[sorted(df.columns)].astype(object).values.tolist()), key=str)
     for x, y in zip(rows(a), rows(b)):
