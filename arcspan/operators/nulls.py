@@ -60,6 +60,11 @@ def numbered(df: DataFrame, order: list[str], name: str = "row") -> DataFrame:
     return rank_within(df.withColumn("__all", F.lit(0)), ["__all"], order, order, name).drop("__all")
 
 
+def drawn_from(slots: DataFrame, sites: DataFrame, on: str) -> DataFrame:
+    """Slots with the site that each draws. Both sides are sorted: Spark takes exploded trials to be as small as the sites and would broadcast them."""
+    return slots.hint("merge").join(sites, on)
+
+
 def matched_points(sites: DataFrame, trials: int, rows: int, joint: bool = True, clamp: bool = True, jitter: float = JITTER_DEG, seed: int = 42) -> DataFrame:
     """trial, row, lat and lon of the distribution-matched null: coordinates of drawn sites plus Gaussian jitter.
 
@@ -68,7 +73,7 @@ def matched_points(sites: DataFrame, trials: int, rows: int, joint: bool = True,
     """
     slots = trials_of(sites.select("row"), trials)
     slots = slots.withColumn("i", F.pmod(draw_int(seed, F.col("trial"), F.col("row")), F.lit(rows)))
-    drawn = slots.join(sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
+    drawn = drawn_from(slots, sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
     if not joint:
         other = drawn.drop("lon", "i").withColumn("j", F.pmod(draw_int(seed + 7, F.col("trial"), F.col("row")), F.lit(rows)))
         drawn = other.join(sites.select(F.col("row").alias("j"), "lon"), "j")

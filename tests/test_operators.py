@@ -113,6 +113,16 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert abs(u[0] - 0.5) < 0.02 and 0 < u[1] and u[2] < 1 and abs(u[3]) < 0.05 and abs(u[4] - 1) < 0.05
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_drawn_slots_are_not_broadcast(spark):
+    """Trials that are still to be exploded look as small as the sites; broadcast, they overran the driver."""
+    s = spark.range(50).select(F.col("id").alias("row"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
+    assert "BroadcastHashJoin" not in plan(nulls.matched_points(s, 30, 50, clamp=False, seed=55))
+
+
 def test_numbered_is_dense(spark):
     got = nulls.numbered(spark.range(5, 105, 3).repartition(5), ["id"]).toPandas()
     assert sorted(got["row"]) == list(range(len(got)))
