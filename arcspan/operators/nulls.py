@@ -161,14 +161,19 @@ def toroidal_shift(sites: DataFrame, trials: int, seed: int = 42) -> DataFrame:
     return trials_of(sites.select("lat", "lon"), trials).select("trial", (F.pmod(F.col("lat") + 90.0 + 180.0 * u(0), F.lit(180.0)) - 90.0).alias("lat"), (F.pmod(F.col("lon") + 180.0 + 360.0 * u(1), F.lit(360.0)) - 180.0).alias("lon"))
 
 
-def smoothed_points(sites: DataFrame, trials: int, rows: int, factor: float = 1.0, seed: int = 42) -> DataFrame:
-    """trial, lat and lon drawn from a Gaussian kernel density of the sites (row, lat, lon), its bandwidth Scott's times a factor."""
+def smoothed_points(sites: DataFrame, trials: int, rows: int, factors: tuple[float, ...] = (1.0,), seed: int = 42) -> DataFrame:
+    """trial, factor, lat and lon drawn from Gaussian kernel densities of the sites (row, lat, lon), their bandwidths Scott's times the factors.
+
+    All factors widen the same draws, so that the sites are met once.
+    """
     sd = sites.agg(F.stddev_samp("lat").alias("a"), F.stddev_samp("lon").alias("o")).first()
-    wide = factor * rows ** (-1.0 / 6.0)
+    wide = max(rows, 1) ** (-1.0 / 6.0)
     slots = trials_of(sites.select("row"), trials).withColumn("i", F.pmod(draw_int(seed, F.col("trial"), F.col("row")), F.lit(rows)))
-    drawn = slots.join(sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
-    at = lambda c, s, k: F.col(c) + wide * (s or 0.0) * normal(seed + k, F.col("trial"), F.col("row"))
-    return drawn.select("trial", at("lat", sd["a"], 2).alias("lat"), at("lon", sd["o"], 4).alias("lon"))
+    drawn = drawn_from(slots, sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
+    z = lambda k: normal(seed + k, F.col("trial"), F.col("row"))
+    drawn = drawn.select("trial", "lat", "lon", z(2).alias("y"), z(4).alias("x"), F.explode(F.array(*[F.lit(float(f)) for f in factors])).alias("factor"))
+    at = lambda c, s, by: F.col(c) + F.col("factor") * wide * (s or 0.0) * F.col(by)
+    return drawn.select("trial", "factor", at("lat", sd["a"], "y").alias("lat"), at("lon", sd["o"], "x").alias("lon"))
 
 
 def block_bootstrap(counts: DataFrame, trials: int, cells: int, seed: int = 42) -> DataFrame:

@@ -157,13 +157,10 @@ def q_toroidal(spark, d):
 @query("kde_null", f"WITH {SITES}, r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS row, lat, lon, count(*) OVER () AS n, stddev_samp(lat) OVER () AS sa, stddev_samp(lon) OVER () AS so FROM sites), f AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS factor), d AS (SELECT t.range AS trial, r.row, {nulls.draw_int_sql(39, 't.range', 'r.row')} % n AS i FROM r, range({FAST}) t), p AS (SELECT factor, trial, lat + factor * pow(n, -1.0 / 6) * sa * {nulls.normal_sql(41, 'trial', 'd.row')} AS lat, lon + factor * pow(n, -1.0 / 6) * so * {nulls.normal_sql(43, 'trial', 'd.row')} AS lon FROM d JOIN r ON r.row = d.i, f), c AS (SELECT factor, trial, count(*) FILTER (WHERE {circle()} <= {NEAR_KM}) AS n FROM p GROUP BY ALL) SELECT factor, round(avg(n), 5) AS mu, round(stddev_pop(n), 5) AS sigma FROM c GROUP BY factor")
 def q_kde_null(spark, d):
     """Mean and deviation of counts near the circle under kernel densities of the sites, at three bandwidths."""
-    s = sites(spark, d).select(F.col("id").alias("row"), "lat", "lon")  # ids are dense from 0 here
-    n, out = s.count(), None
-    for factor in (0.5, 1.0, 2.0):
-        c = nulls.smoothed_points(s, FAST, n, factor, 39).groupBy("trial").agg(F.count_if(circle_km("lat", "lon") <= NEAR_KM).alias("n"))
-        one = c.agg(r6(F.avg("n"), 5).alias("mu"), r6(F.stddev_pop("n"), 5).alias("sigma")).select(F.lit(factor).alias("factor"), "mu", "sigma")
-        out = one if out is None else out.unionByName(one)
-    return out
+    s = nulls.numbered(sites(spark, d).select("id", "lat", "lon"), ["id"]).select("row", "lat", "lon")
+    p = nulls.smoothed_points(s, FAST, s.count(), (0.5, 1.0, 2.0), 39)
+    c = p.groupBy("factor", "trial").agg(F.count_if(circle_km("lat", "lon") <= NEAR_KM).alias("n"))
+    return c.groupBy("factor").agg(r6(F.avg("n"), 5).alias("mu"), r6(F.stddev_pop("n"), 5).alias("sigma"))
 
 
 @query("block_bootstrap", f"WITH {SITES}, c AS (SELECT floor(lat / 5) AS a, floor(lon / 5) AS b, count(*) AS n, count(*) FILTER (WHERE {circle()} <= {NEAR_KM}) AS near FROM sites GROUP BY ALL), r AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS row, n, near, count(*) OVER () AS cells FROM c), d AS (SELECT t.range AS trial, {nulls.draw_int_sql(45, 't.range', 'r.row')} % cells AS i FROM r, range({TRIALS}) t) SELECT trial, sum(n)::BIGINT AS n, sum(near)::BIGINT AS near FROM d JOIN r ON r.row = d.i GROUP BY trial")

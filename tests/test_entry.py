@@ -41,3 +41,10 @@ def same(name, spark, small):
 @pytest.mark.parametrize("name", ["corridor_counts", "gap_islands", "distance_anti_join", "nearest_class", "interval_bins", "dedup_site", "pole_scan", "mann_whitney", "cai_unpivot", "ripley_k", "directional_k", "c14_breakpoints", "cluster_assign", "hollow_stages", "straight_deviation", "prominence", "latitude_matched_poles", "interpolated_bins", "publication_year", "bootstrap_ratio", "mc_divergence", "fisher_exact", "welch_t", "granger_both", "block_bootstrap", "wavefront", "distance_self_density", "global_moran", "shuffle_null"])
 def test_sql_agrees(spark, small, name):
     same(name, spark, small)
+
+
+@pytest.mark.parametrize("name", ["kde_null"])
+def test_sql_agrees_where_keys_have_gaps(spark, small, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    duckdb.sql(f"copy (select * replace (c_custkey * 3 + 5 as c_custkey) from '{small}/customer.parquet') to '{tmp_path}/customer.parquet'")
+    same(name, spark, str(tmp_path))

@@ -123,6 +123,14 @@ def test_drawn_slots_are_not_broadcast(spark):
     assert "BroadcastHashJoin" not in plan(nulls.matched_points(s, 30, 50, clamp=False, seed=55))
 
 
+def test_smoothed_points_meet_the_sites_once(spark):
+    s = spark.range(50).select(F.col("id").alias("row"), F.col("id").cast("double").alias("lat"), F.lit(2.0).alias("lon"))
+    p = nulls.smoothed_points(s, 30, 50, (0.5, 2.0), 39)
+    assert "BroadcastHashJoin" not in plan(p) and plan(p).count("SortMergeJoin") == 1
+    assert {r["factor"]: r["count"] for r in p.groupBy("factor").count().collect()} == {0.5: 1500, 2.0: 1500}
+    assert nulls.smoothed_points(s.limit(0), 30, 0).count() == 0
+
+
 def test_numbered_is_dense(spark):
     got = nulls.numbered(spark.range(5, 105, 3).repartition(5), ["id"]).toPandas()
     assert sorted(got["row"]) == list(range(len(got)))
