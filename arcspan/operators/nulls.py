@@ -76,7 +76,7 @@ def matched_points(sites: DataFrame, trials: int, rows: int, joint: bool = True,
     drawn = drawn_from(slots, sites.select(F.col("row").alias("i"), "lat", "lon"), "i")
     if not joint:
         other = drawn.drop("lon", "i").withColumn("j", F.pmod(draw_int(seed + 7, F.col("trial"), F.col("row")), F.lit(rows)))
-        drawn = other.join(sites.select(F.col("row").alias("j"), "lon"), "j")
+        drawn = drawn_from(other, sites.select(F.col("row").alias("j"), "lon"), "j")
     lat = F.col("lat") + jitter * normal(seed + 2, F.col("trial"), F.col("row"))
     lon = F.col("lon") + jitter * normal(seed + 4, F.col("trial"), F.col("row"))
     if clamp:

@@ -43,7 +43,7 @@ def test_sql_agrees(spark, small, name):
     same(name, spark, small)
 
 
-@pytest.mark.parametrize("name", ["kde_null", "mc_joint"])
+@pytest.mark.parametrize("name", ["kde_null", "mc_joint", "mc_marginal"])
 def test_sql_agrees_where_keys_have_gaps(spark, small, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     duckdb.sql(f"copy (select * replace (c_custkey * 3 + 5 as c_custkey) from '{small}/customer.parquet') to '{tmp_path}/customer.parquet'")

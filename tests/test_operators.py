@@ -121,6 +121,7 @@ def test_drawn_slots_are_not_broadcast(spark):
     """Trials that are still to be exploded look as small as the sites; broadcast, they overran the driver."""
     s = spark.range(50).select(F.col("id").alias("row"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"))
     assert "BroadcastHashJoin" not in plan(nulls.matched_points(s, 30, 50, clamp=False, seed=55))
+    assert plan(nulls.matched_points(s, 30, 50, joint=False)).count("SortMergeJoin") == 2
 
 
 def test_smoothed_points_meet_the_sites_once(spark):
