@@ -59,12 +59,17 @@ def prominence(points: DataFrame, grid: DataFrame, step: float, key: str, km: fl
 
     Ground under 0 around counts as 0, ground of at most lowest not at all. Null at sea (a point's ground at most 0) and
     where fewer than least places around are known. keys must be unique.
+
+    The places are the side of the join that is kept whole, so that Spark, which takes them for as few as the points before they
+    are exploded, broadcasts the grid or nothing. A broadcast leaves the places of a point in order, direction by direction,
+    and their sum is made in that order; after a shuffle its last bits may vary.
     """
     around = F.array(*[F.struct(F.lit(f * km * math.sin(2 * math.pi * k / directions)).alias("up"), F.lit(f * km * math.cos(2 * math.pi * k / directions)).alias("right")) for k in range(directions) for f in rings])
     wide = F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     spread = points.select(F.col(key).alias("id"), "lat", "lon", F.explode(around).alias("o"))
     spread = spread.select("id", (F.col("lat") + F.col("o.up") / 111.0).alias("lat"), (F.pmod(F.col("lon") + F.col("o.right") / (111.0 * wide) + 180.0, F.lit(360.0)) - 180.0).alias("lon")).where(F.col("lat").between(-90, 90))
-    seen = nearest_cell(spread, grid, step).where(F.col("value") > lowest).groupBy("id").agg(F.avg(F.greatest("value", F.lit(0.0))).alias("mean"), F.count("*").alias("n"))
+    ground = F.when(F.col("value") > lowest, F.greatest("value", F.lit(0.0)))  # not a filter, which would make the outer join an inner one
+    seen = nearest_cell(spread, grid, step).groupBy("id").agg(F.avg(ground).alias("mean"), F.count(ground).alias("n"))
     own = nearest_cell(points.select(F.col(key).alias("id"), "lat", "lon"), grid, step).select("id", F.col("value").alias("own"))
     out = own.join(seen, "id", "left")
     return out.select(F.col("id").alias(key), F.when((F.col("own") > 0) & (F.col("n") >= least), F.col("own") - F.col("mean")).alias("prominence"))

@@ -372,7 +372,9 @@ def q_prominence(spark, d):
     from arcspan.plans.reference_stats import _grid
 
     ground = _grid(spark).withColumn("value", F.col("value") - 30.0)
-    return raster.prominence(sites(spark, d).where(F.abs("lat") < 85), ground, 5.0, "id", 500.0).select("id", r6("prominence").alias("prominence"))
+    scaled = F.col("prominence") * 1e6
+    rounded = F.signum(scaled) * F.floor(F.abs(scaled) + 0.5) / 1e6  # as the SQL rounds; round() goes by the decimal digits, and halves are common here
+    return raster.prominence(sites(spark, d).where(F.abs("lat") < 85), ground, 5.0, "id", 500.0).select("id", rounded.alias("prominence"))
 
 
 @query("feature_auc")
